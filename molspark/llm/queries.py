@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .html import extract_main_text
+from .language import fit_languages, identify_languages
 from .media import wav_media
+from .packing import pack
 from .secrets import scan_secrets
 from .sharding import balanced_shards
 
@@ -18,19 +21,43 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("fingerprint_sha256", "feature")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    model = fit_languages(docs.where(~fold))
+    return identify_languages(docs, model).withColumn("held_out", F.coalesce(fold, F.lit(False)))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = balanced_shards(table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
+    "op3_language": op3_language,
     "op5_sharding": op5_sharding,
+    "op6_html": op6_html,
+    "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
 }
 
