@@ -96,3 +96,27 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
         for i in range(1, n):
             out = mix(out * _MIX[0] + h[i : len(h) - n + 1 + i])
     return out
+
+
+def sub_batches(batch, column: int, most_bytes: int = 8 << 20, most_rows: int = 4096):
+    """Slices of an Arrow batch of at most ``most_rows`` rows and, but for a single longer one, ``most_bytes`` of text."""
+    import pyarrow.compute as pc
+
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast("int64"))
+    first, held = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > first and (held + n > most_bytes or i - first == most_rows):
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if batch.num_rows > first:
+        yield batch.slice(first)
+
+
+def block_ids():
+    """Numbers for the blocks of this task, apart from those of other tasks."""
+    from itertools import count
+
+    from pyspark import TaskContext
+
+    return count(TaskContext.get().partitionId() << 32)

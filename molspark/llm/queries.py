@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontamination import contaminated, find_contamination
 from .html import extract_main_text
 from .language import fit_languages, identify_languages
+from .lm import score_stupid_backoff
 from .media import wav_media
 from .packing import pack
 from .secrets import scan_secrets
@@ -21,6 +23,14 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("fingerprint_sha256", "feature")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(hits).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+        F.size("near_items").cast("long").alias("n_near"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
@@ -38,6 +48,11 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_stupid_backoff(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_tokens", F.round("lm_log10", 3).alias("lm_log10"), F.round("lm_mean", 6).alias("lm_mean"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -54,9 +69,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
+    "op2_decontamination": op2_decontamination,
     "op3_language": op3_language,
     "op5_sharding": op5_sharding,
     "op6_html": op6_html,
+    "op7_lm": op7_lm,
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
 }
