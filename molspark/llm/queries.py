@@ -14,6 +14,7 @@ from .language import fit_languages, identify_languages
 from .lm import score_stupid_backoff
 from .media import wav_media
 from .packing import pack
+from .quality import fit_quality, score_quality
 from .secrets import scan_secrets
 from .sharding import balanced_shards
 
@@ -67,6 +68,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs)).withColumn("quality", F.round("quality", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_decontamination": op2_decontamination,
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_lm": op7_lm,
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
