@@ -13,6 +13,7 @@ from .html import extract_main_text
 from .language import fit_languages, identify_languages
 from .lm import score_stupid_backoff
 from .media import wav_media
+from .ngram_join import jaccard_join
 from .packing import pack
 from .quality import fit_quality, score_quality
 from .secrets import scan_secrets
@@ -39,6 +40,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, model).withColumn("held_out", F.coalesce(fold, F.lit(False)))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = balanced_shards(table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_decontamination": op2_decontamination,
     "op3_language": op3_language,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_sharding": op5_sharding,
     "op6_html": op6_html,
     "op7_lm": op7_lm,
