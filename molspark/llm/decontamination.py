@@ -248,3 +248,14 @@ def _merge_spans(flat: pd.Series) -> pd.Series:
 def contaminated(hits: DataFrame) -> DataFrame:
     """Add the rule: some words hit, and at least one in twenty."""
     return hits.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text the rule of ``contaminated`` lets pass.
+
+    Rows are told apart by their text's hash, so null and repeated ids do no harm; a null text stays.
+    """
+    key = F.xxhash64(f"`{text_col}`")
+    hits = find_contamination(docs.select(key.alias("doc_id"), F.col(f"`{text_col}`").alias("text")), benchmark, **options)
+    bad = stage(contaminated(hits).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
+    return docs.join(bad, key == F.col("__bad"), "left_anti")

@@ -219,3 +219,14 @@ def score_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id
 
     src = id_and_text(docs, id_col, text_col)
     return src.mapInArrow(run, f"doc_id {src.schema[0].dataType.simpleString()}, quality double, keep boolean, votes string")
+
+
+def keep_good(docs: DataFrame, model: QualityModel, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose whole text the model keeps; null and blank texts go."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(t)[0] >= 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
