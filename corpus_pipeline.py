@@ -1,6 +1,62 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: quality, near-duplicates, decontamination, secrets, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read again as the
+next stage's ``docs``.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from molspark.llm.common import stage, table
+from molspark.llm.decontamination import drop_contaminated
+from molspark.llm.ngram_join import keep_one_of_each_class
+from molspark.llm.packing import pack
+from molspark.llm.quality import fit_quality, keep_good
+from molspark.llm.queries import tokenizer_path
+from molspark.llm.secrets import redact_secrets
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on ``docs``, keeps."""
+    return keep_good(docs, fit_quality(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class of near copies."""
+    return keep_one_of_each_class(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark doesn't contaminate."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked."""
+    return redact_secrets(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences."""
+    return pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("packing", packing),
+]
+
+#: SQL has no form for the classifier, the lexer and the tokenizer; tests hold each stage against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over the whole ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
