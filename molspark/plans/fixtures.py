@@ -113,6 +113,8 @@ def oracle(sql: str) -> str:
     views = ", ".join(f"{n} AS ({sql_of(n)})" for n in used)
     if not used:
         return sql
+    if sql.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views}, {sql[15:]}"
     return f"WITH {views}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {views} {sql}"
 
 
