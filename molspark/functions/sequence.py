@@ -44,8 +44,11 @@ def half_guard(seq: Column, text: str) -> Column:
 
 
 def sanitize(seq: Column, text: str, wildcard: str = ".{0,1}") -> Column:
-    """Every fuzzy hit of ``text`` replaced by ``text``; rows that can't match skip the pattern."""
-    return F.when(half_guard(seq, text), F.regexp_replace(seq, fuzzy_pattern(text, wildcard), text)).otherwise(seq)
+    """Every fuzzy hit of ``text`` replaced by ``text``; rows that can't match skip the pattern.
+
+    ``seq`` stands in the expression once, however many of these are nested, so plans stay small.
+    """
+    return F.transform(F.array(seq), lambda s: F.when(half_guard(s, text), F.regexp_replace(s, fuzzy_pattern(text, wildcard), text)).otherwise(s))[0]
 
 
 def spacer_correction(seq: Column | str) -> Column:
