@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -19,50 +23,68 @@ _PLAIN = r"[\t\n\r\x20-\x7e¡-ɏ]*"
 _SPECIAL = "<|"
 
 
+class _Remembered(dict):
+    """``make(key)`` of each key, kept until there are ``most`` of them, then forgotten."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        out = self[key] = self.make(key)
+        return out
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: itself where Latin-1 prints it, else the next from U+0100 on."""
+    prints = [33 <= b <= 126 or 161 <= b <= 172 or 174 <= b for b in range(256)]
+    return [chr(b) if prints[b] else chr(256 + b - sum(prints[:b])) for b in range(256)]
+
+
 class WordEncoder:
     """Token ids of a text by a word-level tokenizers file, each distinct word encoded once.
 
-    The tokenizer splits a text by its pattern and encodes each piece on its own, so the ids of a text
-    are those of its pieces joined.  A text that holds a character outside Latin letters and ASCII, or
-    what may be a special token, is handed to the tokenizer whole.
+    The tokenizer splits a text at white space, then by its pattern, and encodes each piece on its own, so
+    the ids of a text are those of its pieces joined.  A text that holds a character outside Latin letters
+    and ASCII, or what may be a special token, is handed to the tokenizer whole.
     """
 
-    def __init__(self, path: str, most_words: int = 300_000):
-        import os
-
-        import regex
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
+    def __init__(self, path: str, most_words: int = 500_000, most_pieces: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = regex.compile(_PLAIN)
-        # Fixed value: the pattern of the tokenizer's own splitter.
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.known: dict[str, bytes] = {}
-        self.most_words = most_words
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text (null: none)."""
-        out: list[bytes | None] = [None] * len(texts)
-        split: list[tuple[int, list[str]]] = []
-        for i, text in enumerate(texts):
-            if not text:
-                out[i] = b""
-            elif _SPECIAL in text or not self.plain.fullmatch(text):
-                out[i] = _ids(self.tokenizer.encode(text, add_special_tokens=False))
-            else:
-                split.append((i, self.pieces.findall(text.lower())))
-        if len(self.known) > self.most_words:
-            self.known.clear()
-        known = self.known
-        new = list({w for _, ws in split for w in ws if w not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            known.update(zip(part, map(_ids, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        for i, ws in split:
-            out[i] = b"".join([known[w] for w in ws])
-        return out
+        self.plain = re.compile(_PLAIN)
+        some = [chr(c) for c in range(0x21, 0x250)]
+        letter, number = ("".join(c for c in some if unicodedata.category(c)[0] == k) for k in "LN")
+        # Fixed value: the pattern of the tokenizer's own splitter, letters and numbers those of plain text.
+        split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\\s{letter}{number}]+").findall
+        tokenize, letters = self.tokenizer.model.tokenize, _byte_letters()
+
+        def piece_ids(piece: str) -> bytes:
+            raw = piece if piece.isascii() else "".join([letters[b] for b in piece.encode()])
+            return array("I", [t.id for t in tokenize(raw)]).tobytes()
+
+        def word_ids(word: str) -> bytes:
+            return piece(word) if word.isalpha() else b"".join(map(piece, split(word)))
+
+        piece = _Remembered(piece_ids, most_pieces).__getitem__
+        self.word = _Remembered(word_ids, most_words).__getitem__
+
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian unsigned 32-bit ids of a text (null: none)."""
+        if not text:
+            return b""
+        if _SPECIAL in text or not self.plain.fullmatch(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.word, text.lower().split()))
+
+
+@cache
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder a Python worker, so that what it remembers serves all its tasks."""
+    return WordEncoder(path)
 
 
 def _ids(encoding) -> bytes:
@@ -125,7 +147,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, space: int =
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder, windows = WordEncoder(tokenizer), OpenWindows(capacity, space)
+        encoder, windows = encoder_of(tokenizer), OpenWindows(capacity, space)
         held: dict[int, list] = {}  # rows of windows still open: their pieces, not their tokens
 
         def emit(rows: list) -> pa.RecordBatch:
@@ -135,16 +157,14 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, space: int =
 
         for batch in batches:
             done: list = []
-            for a in range(0, batch.num_rows, 512):
-                piece = batch.slice(a, 512)
-                for doc, ids in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
-                    ids += tail
-                    n = len(ids) // 4
-                    for s in range(0, n, capacity):
-                        length = min(capacity, n - s)
-                        win, offset = windows.place(length)
-                        held.setdefault(win, []).append(
-                            (doc, s, length, zlib.crc32(ids[4 * s : 4 * (s + length)]), n, part, win, offset, 0))
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = encoder.encode(text.as_py()) + tail
+                n = len(ids) // 4
+                for s in range(0, n, capacity):
+                    length = min(capacity, n - s)
+                    win, offset = windows.place(length)
+                    held.setdefault(win, []).append(
+                        (doc, s, length, zlib.crc32(ids[4 * s : 4 * (s + length)]), n, part, win, offset, 0))
             still = {w for _, w in windows.by_room}
             for w in [w for w in held if w not in still]:
                 done += held.pop(w)
