@@ -59,7 +59,7 @@ def words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash; forgets everything at ``most`` words, so its memory is bounded."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 
@@ -72,7 +72,10 @@ class WordHashes(dict):
         return h
 
     def of(self, text: str | None) -> np.ndarray:
-        w = words(text)
+        return self.of_bytes(text.encode("utf-8", "surrogatepass") if text else b"")
+
+    def of_bytes(self, raw: bytes) -> np.ndarray:
+        w = raw.translate(WORD_BYTES).split()
         return np.fromiter(map(self.__getitem__, w), np.uint64, len(w))
 
 
@@ -98,6 +101,17 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, the number of each value among them, and how often each stands."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]] if len(values) else np.zeros(0, bool)
+    number = np.empty(len(values), np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return ordered[first], number, np.diff(np.r_[first, len(values)])
+
+
 def sub_batches(batch, column: int, most_bytes: int = 8 << 20, most_rows: int = 4096):
     """Slices of an Arrow batch of at most ``most_rows`` rows and, but for a single longer one, ``most_bytes`` of text."""
     import pyarrow.compute as pc

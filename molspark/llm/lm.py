@@ -11,14 +11,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, block_ids, id_and_text, mix, ngram_hashes, stage, sub_batches
+from .common import WordHashes, block_ids, id_and_text, mix, ngram_hashes, numbered, stage, sub_batches
 
 #: Bits kept of an n-gram's hash; two of m distinct n-grams share one with a chance of m / 2**48.
 HASH_BITS = 48
+_BLOCKS = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("bucket", pa.int32()), ("wide", pa.bool_()), ("grams", pa.binary()),
+                     ("counts", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
+_BLOCKS_SQL = "key long, block long, bucket int, wide boolean, grams binary, counts binary, doc_ids array<long>, lengths array<long>"
+_JOINED_SQL = "block long, bucket int, payload binary, doc_ids array<long>, lengths array<long>"
+#: ``bucket`` of the row that holds a block's texts, compressed: smaller than the numbers of their grams.  Its key is -1 - block.
 _FORWARD = -1
-_BLOCKS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("wide", pa.bool_()), ("grams", pa.binary()), ("counts", pa.binary()),
-                     ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
-_BLOCKS_SQL = "block long, bucket int, wide boolean, grams binary, counts binary, doc_ids array<long>, lengths array<long>"
 
 
 def _narrow(a: np.ndarray) -> bytes:
@@ -39,85 +41,89 @@ def gram_sequence(h: np.ndarray, order: int) -> np.ndarray:
 
 
 def _exploded(docs: DataFrame, order: int, n_buckets: int) -> DataFrame:
-    """Blocks of documents: a forward row (the gram numbers of each document) and a row for each bucket of grams."""
+    """Blocks of documents: a forward row (their texts) and a row for each bucket of their distinct grams."""
     shift = np.uint64(HASH_BITS - n_buckets.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, blocks = WordHashes(), block_ids()
+        hashes, blocks, pack = WordHashes(), block_ids(), zstandard.ZstdCompressor(6)
         for batch in batches:
             for part in sub_batches(batch, 1):
-                docs_h = [hashes.of(t) for t in part.column(1).to_pylist()]
-                grams, number, counts = np.unique(
-                    np.concatenate([gram_sequence(h, order) for h in docs_h]), return_inverse=True, return_counts=True)
+                texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+                grams, _, counts = numbered(np.concatenate([gram_sequence(hashes.of_bytes(t), order) for t in texts]))
                 bucket = (grams >> shift).astype(np.int64)
                 cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(grams) else np.array([], int)
-                rows = [(_FORWARD, False, _narrow(number), b"", part.column(0).to_pylist(), [len(h) for h in docs_h])]
+                block = next(blocks)
+                rows = [(-1 - block, block, _FORWARD, False, pack.compress(b"".join(texts)), b"", part.column(0).to_pylist(), [len(t) for t in texts])]
                 for a, b in zip(cuts, np.r_[cuts[1:], len(grams)], strict=False):
                     delta = np.diff(grams[a:b], prepend=grams[a] >> shift << shift)
                     wide = bool(delta.max() >= 1 << 32)
-                    rows.append((int(bucket[a]), wide, delta.astype("<u8" if wide else "<u4").tobytes(), _narrow(counts[a:b]), None, None))
-                block = next(blocks)
+                    rows.append((int(bucket[a]), block, int(bucket[a]), wide, delta.astype("<u8" if wide else "<u4").tobytes(),
+                                 _narrow(counts[a:b]), None, None))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(rows), pa.int64()),
-                     *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(_BLOCKS)[1:], strict=True))], schema=_BLOCKS)
+                    [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOCKS, strict=True)], schema=_BLOCKS)
 
     return docs.mapInArrow(run, _BLOCKS_SQL)
 
 
 def _totals(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The count table of one bucket, joined to each block's grams of the bucket in their order."""
+    """The count table of one bucket, joined to each block's grams of the bucket in their order; a forward row stays as it is."""
+    if pdf["key"].iloc[0] < 0:
+        return pdf[["block", "bucket", "grams", "doc_ids", "lengths"]].rename(columns={"grams": "payload"})
     parts = [np.cumsum(np.frombuffer(g, "<u8" if w else "<u4"), dtype=np.uint64) for g, w in zip(pdf["grams"], pdf["wide"], strict=True)]
-    _, at = np.unique(np.concatenate(parts), return_inverse=True)
-    total = np.zeros(at.max() + 1, np.int64)
+    grams, at, _ = numbered(np.concatenate(parts))
+    total = np.zeros(len(grams), np.int64)
     np.add.at(total, at, np.concatenate([_widen(c) for c in pdf["counts"]]))
     ends = np.cumsum([len(p) for p in parts])[:-1]
-    return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "totals": [_narrow(x) for x in np.split(total[at], ends)]})
+    return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "payload": [_narrow(x) for x in np.split(total[at], ends)],
+                         "doc_ids": None, "lengths": None})
 
 
-def backoff_log10(number: np.ndarray, total: np.ndarray, own: np.ndarray, n: int, order: int, n_tokens: int, alpha: float) -> np.ndarray:
-    """log10 of the stupid-backoff score of each word of one document.
+def backoff_log10(rest: np.ndarray, n: int, order: int, alpha: float) -> tuple[float, int]:
+    """Sum of the log10 scores of a document's ``n`` words, and how many of them are shares of the corpus.
 
-    ``number`` are its gram numbers (all 1-grams, then all 2-grams, ...), ``total`` the corpus counts of grams and
-    ``own`` the document's, which are taken off: a document doesn't vouch for itself.
+    ``rest`` are the counts, in all other documents, of its 1-grams, then its 2-grams, ... in their order.
+    The latter words' scores are still to be divided by the number of words in all other documents.
     """
-    rest = (total - own).astype(np.float64)
-    base = float(n_tokens - n)
-    uni = rest[number[:n]]
-    # a word that no other document has: one occurrence, backed off once more
-    score = np.where(uni > 0, uni / max(base, 1.0), alpha / max(base, 1.0))
-    begin, below, m = n, number[:n], n
+    uni = rest[:n].astype(np.float64)
+    # a word that no other document has counts as one occurrence, backed off once more
+    score, shares = np.where(uni > 0, uni, alpha), np.ones(n, bool)
+    begin, below = n, uni
     for k in range(2, order + 1):
         m = n - k + 1
         if m <= 0:
             break
-        here = number[begin : begin + m]
+        seen = rest[begin : begin + m].astype(np.float64)
         begin += m
-        seen, context = rest[here], rest[below[: m]]
         with np.errstate(divide="ignore", invalid="ignore"):
-            direct = seen / context
+            direct = seen / below[:m]
         score[k - 1 :] = np.where(seen > 0, direct, alpha * score[k - 1 :])
-        below = here
-    return np.log10(score)
+        shares[k - 1 :] &= seen == 0
+        below = seen
+    return float(np.log10(score).sum()), int(shares.sum())
 
 
-def _scorer(order: int, n_tokens: int, alpha: float):
-    def score(forward: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
-        row = forward.iloc[0]
-        parts = totals.sort_values("bucket")["totals"]
+def _scorer(order: int, alpha: float):
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf[pdf["bucket"] == _FORWARD].iloc[0]
+        parts = pdf[pdf["bucket"] != _FORWARD].sort_values("bucket")["payload"]
         total = np.concatenate([_widen(t) for t in parts]) if len(parts) else np.zeros(0, np.int64)
-        number, at = _widen(row["grams"]), 0
-        own = np.zeros(len(total), np.int64)
-        sums = []
+        raw, hashes, at = zstandard.ZstdDecompressor().decompress(row["payload"]), WordHashes(), 0
+        docs = []
         for n in map(int, row["lengths"]):
+            docs.append(hashes.of_bytes(raw[at : at + n]))
+            at += n
+        _, number, _ = numbered(np.concatenate([gram_sequence(h, order) for h in docs]))  # as the buckets' rows stand
+        own, at, found = np.zeros(len(total), np.int64), 0, []
+        for h in docs:
+            n = len(h)
             size = sum(max(0, n - k + 1) for k in range(1, order + 1))
             mine = number[at : at + size]
             at += size
             np.add.at(own, mine, 1)
-            sums.append(float(backoff_log10(mine, total, own, n, order, n_tokens, alpha).sum()) if n else 0.0)
+            found.append(backoff_log10(total[mine] - own[mine], n, order, alpha) if n else (0.0, 0))
             own[mine] = 0
-        lengths = np.asarray(row["lengths"], np.int64)
         return pd.DataFrame({"doc_id": pd.array([None if d is None or d != d else int(d) for d in row["doc_ids"]], "Int64"),
-                             "n_tokens": lengths, "lm_log10": sums, "lm_mean": np.array(sums) / np.maximum(lengths, 1)})
+                             "n_tokens": [len(h) for h in docs], "log10": [f[0] for f in found], "shares": [f[1] for f in found]})
 
     return score
 
@@ -142,10 +148,9 @@ def score_stupid_backoff(docs: DataFrame, *, order: int = 2, alpha: float = 0.4,
     wanted = n_buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_buckets = 1 << max(0, wanted - 1).bit_length()
     src = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    blocks = stage(_exploded(src, order, n_buckets), "lm-grams")
-    forward = blocks.where(F.col("bucket") == _FORWARD)
-    n_tokens = forward.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    totals = blocks.where(F.col("bucket") != _FORWARD).select("block", "bucket", "wide", "grams", "counts").groupBy("bucket").applyInPandas(
-        _totals, "block long, bucket int, totals binary")
-    return (forward.select("block", "grams", "doc_ids", "lengths").groupBy("block").cogroup(totals.groupBy("block"))
-            .applyInPandas(_scorer(order, n_tokens, alpha), "doc_id long, n_tokens long, lm_log10 double, lm_mean double"))
+    joined = _exploded(src, order, n_buckets).groupBy("key").applyInPandas(_totals, _JOINED_SQL)
+    scored = stage(joined.groupBy("block").applyInPandas(_scorer(order, alpha), "doc_id long, n_tokens long, log10 double, shares long"), "lm-scores")
+    n_tokens = scored.agg(F.sum("n_tokens")).first()[0] or 0
+    rest = F.greatest(F.lit(n_tokens) - F.col("n_tokens"), F.lit(1))
+    total = F.col("log10") - F.col("shares") * F.log10(rest)
+    return scored.select("doc_id", "n_tokens", total.alias("lm_log10"), (total / F.greatest("n_tokens", F.lit(1))).alias("lm_mean"))
