@@ -14,6 +14,7 @@ from .language import fit_languages, identify_languages
 from .lm import score_stupid_backoff
 from .media import wav_media
 from .ngram_join import jaccard_join
+from .oracles import OP2, OP4, OP7
 from .packing import pack
 from .quality import fit_quality, score_quality
 from .secrets import scan_secrets
@@ -29,8 +30,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return contaminated(hits).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
-        F.size("near_items").cast("long").alias("n_near"))
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2, "op4_jaccard_join": OP4, "op7_lm": OP7}
