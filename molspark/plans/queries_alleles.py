@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import align as al
 from ..operators import alleles as a
+from ..operators import composite
 from .constants import INT_ANCHOR1, INT_ANCHOR2
 from .registry import Inputs, query
 
@@ -200,3 +201,10 @@ def character_matrix(t: Inputs) -> DataFrame:
   FROM (SELECT cbc, raw_ibar, wt, seq, count(DISTINCT umi) AS n FROM fx_mols GROUP BY 1, 2, 3, 4) AS x GROUP BY 1, 2""")
 def top_allele_contrast(t: Inputs) -> DataFrame:
     return a.top_allele_contrast(t.fx_mols).withColumns({c: F.round(c, 9) for c in ("log_wt", "log_cut")})
+
+
+@query("bin_alleles")
+def bin_alleles(t: Inputs) -> DataFrame:
+    cut = F.regexp_extract("r2_seq", "(CATCTTAGTCATTAC.*GACAGGTGTTCGTTG)", 1)
+    r = t.fx_reads.select(F.substring("r1_seq", 1, 12).alias("umi"), cut.alias("seq"))
+    return composite.bin_alleles(r, "CATCTTAGTCATTACGACAGGTGTTCGTTG", [("left", 0, 12), ("cut", 13, 17), ("right", 18, 29)], "CATCTTAG", "TGTTCGTTG", min_reads=2)
