@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, stage
+from .common import id_and_text, small_batches, stage
 
 # Frequent function words of four languages.
 FUNCTION_WORDS = frozenset(
@@ -181,7 +181,7 @@ def fit_quality(docs: DataFrame, *, text_col: str = "text", sample_rows: int = 4
             yield pa.RecordBatch.from_arrays(
                 [pa.array([votes(statistics(t)) for t in batch.column(0).to_pylist()], pa.string()), batch.column(1)], ["votes", "h"])
 
-    texts = docs.select(F.col(f"`{text_col}`").alias("text")).where("text is not null and trim(text) != ''").withColumn("h", F.xxhash64("text"))
+    texts = small_batches(docs).select(F.col(f"`{text_col}`").alias("text")).where("text is not null and trim(text) != ''").withColumn("h", F.xxhash64("text"))
     voted = stage(texts.mapInArrow(vote, "votes string, h long"), "quality-votes")
     patterns = {r.votes: r.n for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     model = fit_label_model(patterns)
@@ -229,4 +229,4 @@ def keep_good(docs: DataFrame, model: QualityModel, *, text_col: str = "text") -
         for batch in batches:
             yield batch.filter(pa.array([model.score(t)[0] >= 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
