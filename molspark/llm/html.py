@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # HTML's void elements, raw-text elements, and the elements that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math select".split())
@@ -148,9 +150,9 @@ def main_text(page: str | None) -> str:
     """The main text of a page; empty if it has none.
 
     The element with the largest sum of its children's densities is the centre; the threshold is the
-    smallest density on its path up to body; the article is the highest element on that path that an
-    ``article`` or ``main`` element bounds, or else the centre, with every child that reaches the threshold
-    or holds text of its own that is not links.
+    smallest density on its path up to body.  If an ``article`` or ``main`` element bounds the path, its whole
+    content is the article; else it is the centre's, with the headings beside the path and every other element beside it that
+    reaches the threshold.  Blocks that are mostly links and thinner than the threshold go.
     """
     if not page:
         return ""
@@ -167,12 +169,15 @@ def main_text(page: str | None) -> str:
         up = up.parent
         path.append(up)
     threshold = min(n.density for n in path)
-    top = next((n for n in path if n.tag in ("article", "main")), centre)
-    return " ".join(_blocks(top, threshold))
+    whole = next((n for n in path if n.tag in ("article", "main")), None)
+    return " ".join(_blocks(whole, set(), threshold) if whole else _blocks(body, set(map(id, path[1:])), threshold))
+
 
+_HEADINGS = frozenset("h1 h2 h3".split())
 
-def _blocks(top: Node, threshold: float) -> list[str]:
-    """Texts of the blocks below ``top`` in page order."""
+
+def _blocks(top: Node, path: set[int], threshold: float) -> list[str]:
+    """Texts of the blocks below ``top`` in page order; of children of ``path`` elements those that ``main_text`` keeps."""
     out: list[str] = []
     line: list[str] = []
 
@@ -190,8 +195,9 @@ def _blocks(top: Node, threshold: float) -> list[str]:
             line.append(n)
         elif n.around or n.tag in RAW:
             continue
-        elif n is not top and n.density < threshold and n.chars and n.links > 0.5 * n.chars and n.tag in BLOCK:
-            continue  # mostly links, and thinner than the path to the article
+        elif n is not top and n.tag in BLOCK and n.chars and n.density < threshold and (
+                n.links > 0.5 * n.chars or id(n.parent) in path and id(n) not in path and n.tag not in _HEADINGS):
+            continue
         else:
             block = n.tag in BLOCK
             if block:
@@ -210,7 +216,7 @@ def extract_main_text(pages: DataFrame, *, id_cols: tuple[str, ...] = ("page_id"
     are trimmed and joined in page order by one space.  Broken markup is tolerated; memory follows the largest
     page.  One row a row, no shuffle.
     """
-    src = pages.select(*(F.col(f"`{c}`") for c in id_cols), F.col(f"`{html_col}`").alias("__html"))
+    src = small_batches(pages).select(*(F.col(f"`{c}`") for c in id_cols), F.col(f"`{html_col}`").alias("__html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
