@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_CHECKPOINT_DIR = "/tmp/molspark-checkpoints"
@@ -49,6 +49,30 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return small_batches(docs).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
+#: Bits of the filter of ``apart``: 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
+
+
+def bit_maps(keys: DataFrame, key: Column) -> DataFrame:
+    """``map_no, map``: bitmaps of the hashes of ``key``, FILTER_BITS / 32768 rows of 4 KB at most."""
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1  # Spark's bitmaps number values from 1
+    return keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("map_no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+
+
+def apart(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose key is surely not among ``keys``, and the rest, for an exact join.
+
+    A filter of fixed size is broadcast, so the first part, most rows where few keys are listed, is never shuffled.
+    The more keys there are the more rows fall into the rest; the result of what follows stays the same.
+    """
+    maps = stage(bit_maps(keys, keys_key), "filter")
+    cols = df.columns
+    marked = df.withColumn("__bit", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1).withColumns({"__no": F.bitmap_bucket_number("__bit"), "__at": F.bitmap_bit_position("__bit")})
+    marked = marked.join(F.broadcast(maps), F.col("__no") == F.col("map_no"), "left")
+    hit = F.expr("coalesce(shiftright(cast(conv(hex(substring(map, cast(__at div 8 as int) + 1, 1)), 16, 10) as int), cast(__at % 8 as int)) & 1, 0) = 1")
+    return marked.where(~hit).select(*(F.col(f"`{c}`") for c in cols)), marked.where(hit).select(*(F.col(f"`{c}`") for c in cols))
+
+
 def _word_bytes() -> bytes:
     out = bytearray(range(256))
     for i in range(128):

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, block_ids, id_and_text, stage, sub_batches, words
+from .common import WordHashes, apart, block_ids, id_and_text, stage, sub_batches, words
 
 WINDOW = 13
 #: Benchmark words searched at once; a larger benchmark is searched in slices, so what is broadcast stays bounded.
@@ -258,4 +258,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     key = F.xxhash64(f"`{text_col}`")
     hits = find_contamination(docs.select(key.alias("doc_id"), F.col(f"`{text_col}`").alias("text")), benchmark, **options)
     bad = stage(contaminated(hits).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(bad, key == F.col("__bad"), "left_anti")
+    surely, rest = apart(docs, key, bad, F.col("__bad"))
+    return surely.unionByName(rest.join(bad, key == F.col("__bad"), "left_anti"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, id_and_text, mix, ngram_hashes, stage, sub_batches
+from .common import WordHashes, apart, id_and_text, mix, ngram_hashes, stage, sub_batches
 from .components import connected_components
 
 #: Sampled tokens kept of each set; path steps use them in turn, and sets are first compared by a byte of each.
@@ -285,5 +285,8 @@ def keep_one_of_each_class(docs: DataFrame, **options) -> DataFrame:
     joined = stage(jaccard_join(docs, **options), "join-classes")
     keep = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
     keep = stage(keep.withColumnRenamed("doc_id", "__keep"), "join-kept")
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
+    # most documents are kept: those that surely are pass by the filter, only the others are joined
+    gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("class_id")))
+    surely, rest = apart(docs, F.col("doc_id"), gone, F.col("doc_id"))
+    kept = surely.unionByName(rest.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi"))
     return kept if keep.where("n > 1").isEmpty() else kept.dropDuplicates()
