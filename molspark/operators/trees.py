@@ -26,27 +26,28 @@ def parsimony_score(edges: DataFrame, states: DataFrame, keys: tuple[str, ...] =
 
     Levels go up one at a time for all trees and characters together: a node is done when all its children are; children are folded in the
     order of their names; a state below 0 is missing.  The loop ends after as many steps as the tree is deep; each is stored.
-    ``edges``: parent, child; ``states``: keys, leaf, state.
+    ``edges``: parent, child, of one tree for all keys, or with key columns (``tree_id``), of a tree each; ``states``: keys, leaf, state.
     """
     own = F.when(F.col("state") >= 0, F.array(F.col("state").cast("int"))).otherwise(F.array().cast("array<int>"))
     cells = states.select(*keys).distinct()
-    leaves = edges.select(F.col("child").alias("node")).join(edges.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
-    done = cells.crossJoin(leaves).join(states.select(*keys, F.col("leaf").alias("node"), own.alias("s")), [*keys, "node"], "left").select(
+    own_tree = [k for k in keys if k in edges.columns]
+    leaves = edges.select(*own_tree, F.col("child").alias("node")).join(edges.select(*own_tree, F.col("parent").alias("node")).distinct(), [*own_tree, "node"], "left_anti")
+    done = (cells.join(leaves, own_tree) if own_tree else cells.crossJoin(leaves)).join(states.select(*keys, F.col("leaf").alias("node"), own.alias("s")), [*keys, "node"], "left").select(
         *keys, "node", F.coalesce("s", F.array().cast("array<int>")).alias("s"), F.lit(0).cast("long").alias("n"))
     level = materialise(done, "fitch")
-    waiting = edges.groupBy("parent").agg(F.count("*").alias("children"))
+    waiting = edges.groupBy(*own_tree, "parent").agg(F.count("*").alias("children"))
     pending = None
     total = None
     while True:
-        up = level.join(edges.withColumnRenamed("child", "node"), "node").select(*keys, "parent", F.struct("node", "s").alias("c"), "n")
+        up = level.join(edges.withColumnRenamed("child", "node"), [*own_tree, "node"]).select(*keys, "parent", F.struct("node", "s").alias("c"), "n")
         pending = up if pending is None else pending.unionByName(up)
-        groups = pending.groupBy(*keys, "parent").agg(F.array_sort(F.collect_list("c")).alias("cs"), F.sum("n").alias("n"), F.count("*").alias("k")).join(waiting, "parent")  # children of one node
+        groups = pending.groupBy(*keys, "parent").agg(F.array_sort(F.collect_list("c")).alias("cs"), F.sum("n").alias("n"), F.count("*").alias("k")).join(waiting, [*own_tree, "parent"])  # children of one node
         full = groups.where("k = children").withColumn("f", _fold(F.transform("cs", lambda c: c["s"]))).select(*keys, F.col("parent").alias("node"), F.col("f.s").alias("s"), (F.col("f.n") + F.col("n")).alias("n"))
         level = materialise(full, "fitch")
         if level.isEmpty():
             return total if total is not None else done.groupBy(*keys).agg(F.sum("n").alias("score"))
         pending = materialise(pending.join(level.select(*keys, F.col("node").alias("parent")), [*keys, "parent"], "left_anti"), "fitch")
-        roots = level.join(edges.select(F.col("child").alias("node")).distinct(), "node", "left_anti").groupBy(*keys).agg(F.sum("n").alias("score"))
+        roots = level.join(edges.select(*own_tree, F.col("child").alias("node")).distinct(), [*own_tree, "node"], "left_anti").groupBy(*keys).agg(F.sum("n").alias("score"))
         total = roots if total is None else total.unionByName(roots)
 
 

@@ -60,6 +60,16 @@ FROM lineitem
     "fx_edges": ("customer", """
 SELECT concat('n',CAST(CAST(floor(c_custkey / 2) AS BIGINT) AS STRING)) AS parent, concat('n',CAST(c_custkey AS STRING)) AS child
 FROM customer WHERE c_custkey BETWEEN 2 AND 127
+"""),
+    "fx_tree_alleles": ("orders", """
+SELECT concat('t',CAST(CAST(floor(o_custkey / 64) AS BIGINT) AS STRING)) AS tree_id, concat('n',CAST(64 + o_custkey % 64 AS STRING)) AS leaf,
+  concat('r',CAST(1 + o_orderkey % 6 AS STRING)) AS site,
+  min_by(CAST(floor(o_totalprice) AS BIGINT) % 4 - 1, o_orderkey) AS state FROM orders GROUP BY 1,2,3
+"""),
+    "fx_tree_edges": ("customer", """
+SELECT DISTINCT tree_id, concat('n',CAST(CAST(floor(node / 2) AS BIGINT) AS STRING)) AS parent, concat('n',CAST(node AS STRING)) AS child
+FROM (SELECT concat('t',CAST(CAST(floor(c_custkey / 64) AS BIGINT) AS STRING)) AS tree_id, CAST(floor((64 + c_custkey % 64) / d) AS BIGINT) AS node
+  FROM customer CROSS JOIN (VALUES (1),(2),(4),(8),(16),(32)) AS up(d)) AS e
 """),
     "fx_features": ("", """
 SELECT * FROM (VALUES

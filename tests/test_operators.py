@@ -134,3 +134,24 @@ def test_streaming_equals_batch(spark, small, tmp_path):
     stream = read_stream(spark, folder, "name string, sequence string, quality_scores string")
     write_stream(reads.orient_reads(stream, START), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).exceptAll(batch).isEmpty()
+
+
+def test_trees_grow_with_the_tables(spark):
+    from molspark.plans.fixtures import fixture
+    from molspark.plans.queries import QUERIES
+
+    for folder, customers in (("/root/testdata/sf0.001", 150), ("/root/testdata/sf0.01", 1500)):
+        states, edges = (fixture(spark, folder, v) for v in ("fx_tree_alleles", "fx_tree_edges"))
+        trees_ = -(-customers // 64)
+        assert edges.select("tree_id").distinct().count() == trees_
+        assert edges.where("cast(substr(child, 2) as int) >= 64").count() == customers
+        known = states.where("state >= 0").count()
+        assert known > 0.6 * 6 * customers
+        scores = QUERIES["parsimony_score"](spark, folder)
+        assert scores.count() == 6 * trees_ and scores.where("score > 0").count() == 6 * trees_
+
+
+def test_parsimony_of_a_tree_each(spark):
+    edges = spark.createDataFrame([("t1", "r", "a"), ("t1", "r", "b"), ("t2", "r", "a"), ("t2", "r", "x"), ("t2", "x", "b"), ("t2", "x", "c")], "tree_id string, parent string, child string")
+    states = spark.createDataFrame([("t1", "s", "a", 0), ("t1", "s", "b", 0), ("t2", "s", "a", 0), ("t2", "s", "b", 1), ("t2", "s", "c", 2)], "tree_id string, site string, leaf string, state int")
+    assert {(r.tree_id, r.score) for r in trees.parsimony_score(edges, states).collect()} == {("t1", 0), ("t2", 2)}
