@@ -178,6 +178,12 @@ def allele_matrix(long: DataFrame, sites: list[str]) -> DataFrame:
     return long.groupBy("cell").pivot("site", sites).agg(F.first("allele")).fillna("NA")
 
 
+def allele_matrix_long(long: DataFrame) -> DataFrame:
+    """The whole matrix, a row for each (cell, site) of the table: ``cell, site, allele``; ``NA`` where a cell lacks one.  Cells times sites rows are the result asked for."""
+    spine = long.select("cell").distinct().crossJoin(long.select("site").distinct())
+    return spine.join(long, ["cell", "site"], "left").fillna("NA", ["allele"])
+
+
 def allele_codes(long: DataFrame) -> DataFrame:
     """Integer code of each allele in the order of its text, over all sites: ``cell, site, code``.  The table of distinct alleles is ranked, not the matrix."""
     names = long.select("allele").distinct()

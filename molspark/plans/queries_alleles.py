@@ -159,6 +159,11 @@ def allele_matrix(t: Inputs) -> DataFrame:
     return a.allele_matrix(long(t), sites).withColumnsRenamed({s: f"s{i}" for i, s in enumerate(sites, 1)})
 
 
+@query("allele_matrix_long", f"""SELECT cell, site, coalesce(allele, 'NA') AS allele FROM (SELECT DISTINCT cell FROM {_LONG}) AS c CROSS JOIN (SELECT DISTINCT site FROM {_LONG}) AS s LEFT JOIN {_LONG} USING (cell, site)""")
+def allele_matrix_long(t: Inputs) -> DataFrame:
+    return a.allele_matrix_long(long(t))
+
+
 _CODES = f"(SELECT cell, site, CAST(dense_rank() OVER (ORDER BY allele) AS INT) AS code FROM {_LONG}) AS cds"
 
 

@@ -155,3 +155,14 @@ def test_parsimony_of_a_tree_each(spark):
     edges = spark.createDataFrame([("t1", "r", "a"), ("t1", "r", "b"), ("t2", "r", "a"), ("t2", "r", "x"), ("t2", "x", "b"), ("t2", "x", "c")], "tree_id string, parent string, child string")
     states = spark.createDataFrame([("t1", "s", "a", 0), ("t1", "s", "b", 0), ("t2", "s", "a", 0), ("t2", "s", "b", 1), ("t2", "s", "c", 2)], "tree_id string, site string, leaf string, state int")
     assert {(r.tree_id, r.score) for r in trees.parsimony_score(edges, states).collect()} == {("t1", 0), ("t2", 2)}
+
+
+def test_allele_matrix_holds_every_site(spark, small):
+    from molspark.plans.fixtures import fixture
+    from molspark.plans.queries import QUERIES
+
+    mols = fixture(spark, small, "fx_mols")
+    got = QUERIES["allele_matrix_long"](spark, small)
+    cells, sites, known = mols.select("cbc").distinct().count(), mols.select("raw_ibar").distinct().count(), mols.select("cbc", "raw_ibar").distinct().count()
+    assert sites > 3 and got.select("site").distinct().count() == sites
+    assert got.count() == cells * sites and got.where("allele <> 'NA'").count() == known
