@@ -152,9 +152,9 @@ def parsimony_score(t: Inputs) -> DataFrame:
 
 @query("parsimony_null")
 def parsimony_null(t: Inputs) -> DataFrame:
-    return tr.parsimony_null(t.fx_tree_edges, t.fx_tree_alleles, 50)
+    return tr.parsimony_null(t.fx_tree_edges, t.fx_tree_alleles)
 
 
 @query("tree_qc_summary")
 def tree_qc_summary(t: Inputs) -> DataFrame:
-    return tr.tree_qc_summary(tr.parsimony_null(t.fx_tree_edges, t.fx_tree_alleles, 20), t.fx_tree_alleles)
+    return tr.tree_qc_summary(tr.parsimony_null(t.fx_tree_edges, t.fx_tree_alleles), t.fx_tree_alleles)

@@ -166,3 +166,19 @@ def test_allele_matrix_holds_every_site(spark, small):
     cells, sites, known = mols.select("cbc").distinct().count(), mols.select("raw_ibar").distinct().count(), mols.select("cbc", "raw_ibar").distinct().count()
     assert sites > 3 and got.select("site").distinct().count() == sites
     assert got.count() == cells * sites and got.where("allele <> 'NA'").count() == known
+
+
+@pytest.mark.parametrize("name", ["parsimony_null", "tree_qc_summary"])
+def test_null_queries_draw_all_permutations(spark, small, name, monkeypatch):
+    from molspark.plans.queries import QUERIES
+
+    drawn = []
+    real = trees.parsimony_null
+
+    def seen(edges, states, n=1000, seed=0):
+        drawn.append(n)
+        return real(edges, states.where("tree_id = 't0' and site = 'r1'"), 3, seed)
+
+    monkeypatch.setattr(trees, "parsimony_null", seen)
+    QUERIES[name](spark, small)
+    assert drawn == [1000]
