@@ -46,12 +46,13 @@ def split_by_integration(pairs: DataFrame, valid: DataFrame, most: int = 3) -> D
     return out.join(listed, ["id1", "id2"], "left").withColumn("class", cls).drop("listed")
 
 
-def sample_sheet(primers: DataFrame, upstream: str, downstream: str, length: int = 8, i5_rc: bool = False) -> DataFrame:
+def sample_sheet(primers: DataFrame, upstream: str, downstream: str, length: int = 8, i5_rc: bool = False, plate: str | None = None) -> DataFrame:
     """All combinations of i5 and i7 primers with their indices: ``i5_id, i7_id, index, index2``; i7 is always reversed, i5 by option.
 
-    The sheet has a few dozen primers; all combinations are the result asked for.
+    The sheet has a few dozen primers; all combinations are the result asked for.  With a ``plate`` column, all combinations inside each plate.
     """
     p = primers.withColumn("primer", F.regexp_extract("id", "^PO_([0-9]+)", 1)).withColumn("idx", F.substring(F.regexp_extract(F.upper("seq"), f"{upstream}(.+?){downstream}", 1), 1, length))
-    i5 = p.where("primer_end = 'i5'").select(F.col("primer").alias("i5_id"), (reverse_complement("idx") if i5_rc else F.col("idx")).alias("index2"))
-    i7 = p.where("primer_end = 'i7'").select(F.col("primer").alias("i7_id"), reverse_complement("idx").alias("index"))
-    return i5.crossJoin(i7)
+    key = [plate] if plate else []
+    i5 = p.where("primer_end = 'i5'").select(*key, F.col("primer").alias("i5_id"), (reverse_complement("idx") if i5_rc else F.col("idx")).alias("index2"))
+    i7 = p.where("primer_end = 'i7'").select(*key, F.col("primer").alias("i7_id"), reverse_complement("idx").alias("index"))
+    return i5.join(i7, key) if plate else i5.crossJoin(i7)

@@ -51,6 +51,12 @@ SELECT concat('PO_',CAST(p_partkey AS STRING),'_x') AS id,
   CASE WHEN p_partkey % 2 = 0 THEN 'i5' ELSE 'i7' END AS primer_end,
   concat('aatgatacggcgaccaccga',lower(substr(translate(md5(concat('x',CAST(p_partkey AS STRING))),'0123456789abcdef','ACGTACGTACGTACGT'),1,8)),'acactctttccctacacgac') AS seq
 FROM part WHERE p_partkey <= 24
+"""),
+    "fx_plates": ("part", """
+SELECT CAST(floor(p_partkey / 24) AS BIGINT) AS plate, concat('PO_',CAST(p_partkey AS STRING),'_x') AS id,
+  CASE WHEN p_partkey % 2 = 0 THEN 'i5' ELSE 'i7' END AS primer_end,
+  concat('aatgatacggcgaccaccga',lower(substr(translate(md5(concat('x',CAST(p_partkey AS STRING))),'0123456789abcdef','ACGTACGTACGTACGT'),1,8)),'acactctttccctacacgac') AS seq
+FROM part
 """),
     "fx_cigar": ("lineitem", """
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,

@@ -122,6 +122,15 @@ def profile_erosion(t: Inputs) -> DataFrame:
     return a.profile_erosion(ops, ["operation", "l_linenumber"], 20).withColumn("per_10k", F.round("per_10k", 9))
 
 
+@query("profile_erosion_lines", f"""WITH o AS (SELECT op AS operation, l_linenumber, CAST(m AS INT) AS coord, n AS oper_len FROM {_CG})
+  SELECT operation, l_linenumber, coord, CAST(coalesce(s, 0) AS BIGINT) AS total_len, round(coalesce(n, 0) * 1e4 / (SELECT count(*) FROM o), 9) AS per_10k FROM
+  (SELECT operation, l_linenumber, CAST(c AS INT) AS coord FROM (SELECT DISTINCT operation FROM o) AS a, (SELECT DISTINCT l_linenumber FROM o) AS b, range(20) AS g(c)) AS k
+  LEFT JOIN (SELECT operation, l_linenumber, coord, sum(oper_len) AS s, count(*) AS n FROM o GROUP BY 1, 2, 3) AS v USING (operation, l_linenumber, coord)""")
+def profile_erosion_lines(t: Inputs) -> DataFrame:
+    ops = a.cigar_ops(t.fx_cigar).where("operation in ('I', 'D')")
+    return a.profile_erosion(ops, ["operation", "l_linenumber"], 20).withColumn("per_10k", F.round("per_10k", 9))
+
+
 @query("lineage_vector")
 def lineage_vector(t: Inputs) -> DataFrame:
     d = t.fx_mols.selectExpr("umi", "concat('ACGT', spacer, 'GGTT') as aligned_ref", "concat('ACGT', substr(seq, 1, 8), repeat('-', umi_reads % 5), substr(seq, 9 + umi_reads % 5), 'GGTT') as aligned_seq")

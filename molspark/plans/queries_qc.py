@@ -54,6 +54,12 @@ def sample_sheet(t: Inputs) -> DataFrame:
     return m.sample_sheet(t.fx_primers, "GGCGACCACCGA", "ACACTCTTTCC")
 
 
+@query("sample_sheet_plates", """WITH p AS (SELECT plate, regexp_extract(id, '^PO_([0-9]+)', 1) AS primer, primer_end, substr(regexp_extract(upper(seq), 'GGCGACCACCGA(.+?)ACACTCTTTCC', 1), 1, 8) AS idx FROM fx_plates)
+  SELECT plate, a.primer AS i5_id, a.idx AS index2, b.primer AS i7_id, reverse(translate(b.idx, 'ACGT', 'TGCA')) AS "index" FROM p AS a JOIN p AS b USING (plate) WHERE a.primer_end = 'i5' AND b.primer_end = 'i7'""")
+def sample_sheet_plates(t: Inputs) -> DataFrame:
+    return m.sample_sheet(t.fx_plates, "GGCGACCACCGA", "ACACTCTTTCC", plate="plate")
+
+
 def _reads(t: Inputs) -> DataFrame:
     return t.fx_reads.select("read_id", F.substring("r1_seq", 1, 12).alias("umi"), "r2_seq", F.col("r1_seq").contains(ANCHOR).alias("ont"))
 

@@ -182,3 +182,17 @@ def test_null_queries_draw_all_permutations(spark, small, name, monkeypatch):
     monkeypatch.setattr(trees, "parsimony_null", seen)
     QUERIES[name](spark, small)
     assert drawn == [1000]
+
+
+def test_sample_sheet_and_erosion_read_all_rows(spark, small):
+    from molspark.plans.fixtures import fixture
+    from molspark.plans.queries import QUERIES
+
+    primers = fixture(spark, small, "fx_plates")
+    sheet = QUERIES["sample_sheet_plates"](spark, small)
+    ids = sheet.select("i5_id").distinct().count() + sheet.select("i7_id").distinct().count()
+    assert ids == primers.count() == spark.read.parquet(f"{small}/part.parquet").count()
+    erosion = QUERIES["profile_erosion_lines"](spark, small)
+    lines = spark.read.parquet(f"{small}/lineitem.parquet")
+    assert erosion.select("l_linenumber").distinct().count() == lines.select("l_linenumber").distinct().count() == 7
+    assert abs(erosion.agg(F.sum("per_10k")).first()[0] - 10_000) < 0.01
