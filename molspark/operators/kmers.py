@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def kmer_explode(df: DataFrame, seq: str, k: int = 15, only_unique: bool = True, max_str_len: int = 500) -> DataFrame:
-    """One row for each of the first ``max_str_len`` k-mers; ``only_unique`` keeps those that stand once in the whole frame."""
+def kmer_explode(df: DataFrame, seq: str, k: int = 15, only_unique: bool = True, max_str_len: int = 1 << 30) -> DataFrame:
+    """One row for each k-mer, or the first ``max_str_len`` (500 in the reference); ``only_unique`` keeps those that stand once in the whole frame."""
     s = F.col(seq)
     starts = F.when(F.length(s) >= k, F.sequence(F.lit(1), F.least(F.lit(max_str_len), F.length(s) - k + 1)))
     out = df.withColumn("kmer", F.explode(F.transform(starts, lambda i: F.substring(s, i, F.lit(k)))))
@@ -149,7 +149,7 @@ def assembly_metrics(contigs: DataFrame) -> DataFrame:
 
 def kmer_classify(contigs: DataFrame, refs: DataFrame, k: int = 25) -> DataFrame:
     """Per integration barcode the reference whose own k-mers most UMIs share: ``intBC, mod, fps``; ties by name."""
-    own = kmer_explode(refs.select("mod", F.col("seq").alias("ref_seq")), "ref_seq", k).select("kmer", "mod")
-    each = kmer_explode(contigs.select("intBC", "sbc", "umi", "contig"), "contig", k, only_unique=False).select("intBC", "sbc", "umi", "kmer")
+    own = kmer_explode(refs.select("mod", F.col("seq").alias("ref_seq")), "ref_seq", k, max_str_len=1 << 30).select("kmer", "mod")
+    each = kmer_explode(contigs.select("intBC", "sbc", "umi", "contig"), "contig", k, only_unique=False, max_str_len=1 << 30).select("intBC", "sbc", "umi", "kmer")
     fps = each.join(own, "kmer").groupBy("intBC", "mod", "sbc").agg(F.countDistinct("umi").alias("n")).groupBy("intBC", "mod").agg(F.sum("n").alias("fps"))
     return fps.groupBy("intBC").agg(F.min(F.struct((-F.col("fps")).alias("m"), F.col("mod"))).alias("b")).select("intBC", "b.mod", (-F.col("b.m")).alias("fps"))

@@ -196,3 +196,19 @@ def test_sample_sheet_and_erosion_read_all_rows(spark, small):
     lines = spark.read.parquet(f"{small}/lineitem.parquet")
     assert erosion.select("l_linenumber").distinct().count() == lines.select("l_linenumber").distinct().count() == 7
     assert abs(erosion.agg(F.sum("per_10k")).first()[0] - 10_000) < 0.01
+
+
+def test_kmers_behind_base_500_vote(spark):
+    rng = random.Random(5)
+    ref = "".join(rng.choice("ACGT") for _ in range(40))
+    contigs = spark.createDataFrame([("i", "s", "u", "A" * 600 + ref)], "intBC string, sbc string, umi string, contig string")
+    refs = spark.createDataFrame([("m1", ref), ("m2", "C" * 600 + ref[::-1])], "mod string, seq string")
+    assert kmers.kmer_classify(contigs, refs).collect() == [("i", "m1", 1)]
+    late = spark.createDataFrame([("i", "s", "u", ref[::-1])], "intBC string, sbc string, umi string, contig string")
+    assert kmers.kmer_classify(late, refs).collect() == [("i", "m2", 1)]
+
+
+def test_kmer_explode_goes_to_the_end(spark):
+    df = spark.createDataFrame([("A" * 600,)], "v string")
+    assert kmers.kmer_explode(df, "v", 15, only_unique=False).count() == 586
+    assert kmers.kmer_explode(df, "v", 15, only_unique=False, max_str_len=500).count() == 500
