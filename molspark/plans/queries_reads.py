@@ -69,8 +69,8 @@ def quality_span_gate(t: Inputs) -> DataFrame:
     return r.quality_span_gate(guides, r.quality_background_quantile(guides, "qual"), "ATGGG([ACGT]{18,20})GGGTTAGAGCTAGA([ACGT]{6})AATAGCAA")
 
 
-@query("regex_trim", """WITH p AS (SELECT read_id, r2_seq, CASE WHEN regexp_matches(r2_seq, 'ATCGTGCGGACG') THEN length(regexp_extract(r2_seq, '^(.*?)ATCGTGCGGACG', 1)) END AS at FROM fx_reads)
-  SELECT read_id, substr(r2_seq, 1, coalesce(at, (SELECT CAST(floor(avg(at)) AS BIGINT) FROM p), length(r2_seq))) AS trimmed FROM p""")
+@query("regex_trim", """WITH p AS (SELECT read_id, r2_seq, CASE WHEN regexp_matches(r2_seq, 'ATCGTGCGGACG') THEN length(regexp_extract(r2_seq, '^(.*?)ATCGTGCGGACG', 1)) END AS place FROM fx_reads)
+  SELECT read_id, substr(r2_seq, 1, coalesce(place, (SELECT CAST(floor(avg(place)) AS BIGINT) FROM p), length(r2_seq))) AS trimmed FROM p""")
 def regex_trim(t: Inputs) -> DataFrame:
     return r.regex_trim(t.fx_reads, "ATCGTGCGGACG", "r2_seq").select("read_id", "trimmed")
 
