@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,9 +23,29 @@ RUN = 4096
 def letters(text: str | None) -> str:
     """Lower-cased runs of letters, joined and enclosed by blanks; empty if there is no letter."""
     kept = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    if not kept.replace(" ", "").isalpha():  # numerals beyond the digits, such as halves and Roman ones
+        kept = " ".join("".join(c if c.isalpha() else " " for c in kept).split())
     return f" {kept} " if kept else ""
 
 
+def _shares(sizes: list[int], total: int) -> int:
+    """The most bytes a text may give so that all of them give ``total`` at most: short ones give all, the others equal parts."""
+    left, among = total, len(sizes)
+    for size in sorted(sizes):
+        if size * among >= left:
+            return left // among
+        left, among = left - size, among - 1
+    return max(sizes, default=0)
+
+
+def _dictionary(texts: list[str], most: int) -> bytes:
+    """Equal parts of all texts, from a place in each that its hash chooses."""
+    raw = [letters(t).encode("utf-8", "surrogatepass") for t in texts]
+    part = _shares([len(r) for r in raw], most)
+    starts = [zlib.crc32(r) % max(1, len(r) - part + 1) for r in raw]
+    return b"".join(r[a : a + part] for r, a in zip(raw, starts, strict=True))
+
+
 @dataclass(frozen=True)
 class CompressionClassifier:
     """``lang -> dictionary`` bytes; at most ``dictionary_bytes`` each."""
@@ -55,9 +77,9 @@ class CompressionClassifier:
         if len(sizes) == 1:
             return sizes[0][1], 1.0, False
         if sizes[0][0] == sizes[1][0]:  # too short to tell by size: count the words that a dictionary holds
-            some = raw.split()[:1000]
+            some = Counter(raw.split())
             tied = [lang for n, lang in sizes if n == sizes[0][0]]
-            best = max(tied, key=lambda lang: (sum(b" " + w + b" " in self.dictionaries[lang] for w in some), lang))
+            best = max(tied, key=lambda lang: (sum(n for w, n in some.items() if b" " + w + b" " in self.dictionaries[lang]), lang))
             return best, 0.0, True
         score = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
         return sizes[0][1], score, score < self.margin
@@ -65,31 +87,33 @@ class CompressionClassifier:
 
 def fit_languages(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", dictionary_bytes: int = 98_304,
                   sample_rows: int = 400, sample_bytes: tuple[int, int] = (200, 8_000), margin: float = 0.01) -> CompressionClassifier:
-    """Fit on a bounded sample: for each language ``sample_rows`` distinct texts of ``sample_bytes``, chosen by hash.
+    """Fit on a bounded sample: for each language ``sample_rows`` distinct texts, chosen by hash.
 
     The sample is drawn by a hash threshold from per-language counts first, so that no language's rows
-    meet in one task.  Short texts are used only where a language has no others.  Rows without text
+    meet in one task.  Of a text above the second of ``sample_bytes`` a slice of that many characters, at a place that its hash chooses,
+    is taken.  Texts below the first are used only where a language has no others.  A dictionary of
+    ``dictionary_bytes`` takes equal parts of all its language's texts.  Rows without text, letters
     or language are ignored; without any, nothing is learned and every prediction is ``und``.
     """
     lo, hi = sample_bytes
     rows = (labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
-            .where("lang is not null and text is not null").withColumn("n", F.octet_length("text"))
-            .where(F.col("n").between(1, hi)).withColumns({"h": F.xxhash64("text"), "long": F.col("n") >= lo}))
+            .where("lang is not null and text is not null and text != ''")
+            .withColumns({"h": F.xxhash64("text"), "long": F.octet_length("text") >= lo}))
     counts = rows.groupBy("lang", "long").agg(F.count("*").alias("c"))
     # four times the wanted rows pass the threshold, for copies; what passes is bounded by languages * sample_rows
     wanted = rows.join(F.broadcast(counts), ["lang", "long"]).where(
         F.expr(f"pmod(h, 1000000007) < 1000000007 * least(1.0D, {4 * sample_rows}.0D / c)"))
     distinct = wanted.dropDuplicates(["lang", "long", "h"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("long").desc(), "h"))
-    sample = distinct.withColumn("k", rank).where(F.col("k") <= sample_rows).select("lang", "k", "text").collect()
+    sample = distinct.withColumn("k", rank).where(F.col("k") <= sample_rows).select("lang", "k", F.substring(
+        "text", F.expr(f"1 + cast(pmod(h, greatest(1, length(text) - {hi} + 1)) as int)"), F.lit(hi)).alias("text")).collect()
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in sample:
         texts.setdefault(r.lang, []).append((r.k, r.text))
     out = {}
     for lang, found in texts.items():
-        raw = "".join(letters(t) for _, t in sorted(found)).encode("utf-8", "surrogatepass")
-        if raw:
-            out[lang] = raw[:dictionary_bytes]
+        if raw := _dictionary([t for _, t in sorted(found)], dictionary_bytes):
+            out[lang] = raw
     return CompressionClassifier(out, margin)
 
 

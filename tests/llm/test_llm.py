@@ -125,6 +125,41 @@ def test_language(spark, docs, empty):
     assert language.identify_languages(docs, language.fit_languages(empty)).where("lang_pred != 'und'").count() == 0
 
 
+def test_language_letters_and_samples(spark):
+    """Numerals of any kind are no letters; long texts are learned by slices; every sampled text is in the dictionary."""
+    assert language.letters("½ ² ① Ⅷ 12 ٣ _ é") == " é " and language.letters("½ ² ① Ⅷ") == ""
+    assert language._shares([10, 100, 1000], 210) == 100 and language._shares([5, 5], 100) == 5 and language._shares([], 10) == 0
+    long = " ".join(f"wort{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(40_000))
+    train = spark.createDataFrame([(long, "de"), ("the house and the king", "en"), ("un roi et la maison", "fr"), ("²½", "xx")], "text string, lang string")
+    model = language.fit_languages(train, dictionary_bytes=3000)
+    assert set(model.dictionaries) == {"de", "en", "fr"} and 2900 <= len(model.dictionaries["de"]) <= 3000
+    many = spark.createDataFrame([(f"{'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]}word " * 200, "en") for i in range(100)], "text string, lang string")
+    words = set(language.fit_languages(many, dictionary_bytes=10_000).dictionaries["en"].split())
+    assert all(f"{'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]}word".encode() in words for i in range(100))
+    # a tie in size goes by all the words of a text
+    c = language.CompressionClassifier({"a": b" x " * 3, "b": b" y " * 3}, 0.01)
+    assert c.predict("q " * 3000 + "y", c.compressors())[0] == "b"
+
+
+def test_language_against_compressing_every_text_anew(spark):
+    import zstandard as z
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.fit_languages(docs)
+    got = {r.doc_id: r for r in language.identify_languages(docs, model).collect()}
+    for d in docs.collect():
+        raw = (" " + " ".join(re.sub(r"[^a-zà-öø-ÿß]+", " ", (d.text or "").lower()).split()) + " ").encode()
+        sizes = {}
+        for lang, words in model.dictionaries.items():
+            params = z.ZstdCompressionParameters.from_level(6, dict_size=len(words), source_size=4096, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(words, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params).compress(raw[i : i + 4096])) for i in range(0, len(raw), 4096))
+        least, second = sorted(sizes.values())[:2]
+        if not raw.strip():
+            assert got[d.doc_id].lang_pred == "und"
+        else:
+            assert sizes[got[d.doc_id].lang_pred] == least and abs(got[d.doc_id].score - (second - least) / second) < 1e-9
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
