@@ -49,27 +49,45 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return small_batches(docs).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
-#: Bits of the filter of ``apart``: 8 MB, whatever the input.
-FILTER_BITS = 1 << 26
+#: A key with more than one in HOT of all rows is hot; there are fewer than HOT of them, whatever the input.
+HOT = 1024
 
 
-def bit_maps(keys: DataFrame, key: Column) -> DataFrame:
-    """``map_no, map``: bitmaps of the hashes of ``key``, FILTER_BITS / 32768 rows of 4 KB at most."""
-    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1  # Spark's bitmaps number values from 1
-    return keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("map_no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+def join_unique(rows: DataFrame, right: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``right``, which has one row a ``key`` and in ``size`` how many of the ``total`` rows have that key.
+
+    Rows of hot keys meet theirs by a broadcast (fewer than HOT rows) where they stand; the others are shuffled, so no task gets
+    more than one in HOT of all rows for one key.  ``how``: inner, or left for all rows.  ``rows`` and ``right`` are read twice: store them first.
+    """
+    hot, cold = right.where(F.col(size) * HOT > total), right.where(F.col(size) * HOT <= total)
+    met = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return met.unionByName(rest.join(cold, key, how))
+
+
+#: Bits of the filter of ``apart`` for each key, and the most: 64 MB.  Beyond some 10**8 keys more rows are joined that need not be.
+BITS_A_KEY, MOST_BITS = 16, 1 << 29
+
+
+def bit_maps(keys: DataFrame, key: Column, bits: int) -> DataFrame:
+    """``__map_no, __map``: bitmaps of the hashes of ``key``, bits / 32768 rows of 4 KB at most."""
+    bit = F.pmod(F.xxhash64(key), F.lit(bits)) + 1  # Spark's bitmaps number values from 1
+    return keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("__map_no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("__map"))
 
 
 def apart(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column) -> tuple[DataFrame, DataFrame]:
     """``df`` in two: rows whose key is surely not among ``keys``, and the rest, for an exact join.
 
-    A filter of fixed size is broadcast, so the first part, most rows where few keys are listed, is never shuffled.
-    The more keys there are the more rows fall into the rest; the result of what follows stays the same.
+    A filter of BITS_A_KEY bits a key, MOST_BITS at most, is broadcast, so the first part, most rows where few keys are listed, is never shuffled.
+    What falls into the rest by chance changes nothing in the result of what follows.
     """
-    maps = stage(bit_maps(keys, keys_key), "filter")
+    n = keys.count()
+    bits = min(MOST_BITS, 1 << max(20, (BITS_A_KEY * n - 1).bit_length()))
+    maps = stage(bit_maps(keys, keys_key, bits), "filter")
     cols = df.columns
-    marked = df.withColumn("__bit", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1).withColumns({"__no": F.bitmap_bucket_number("__bit"), "__at": F.bitmap_bit_position("__bit")})
-    marked = marked.join(F.broadcast(maps), F.col("__no") == F.col("map_no"), "left")
-    hit = F.expr("coalesce(shiftright(cast(conv(hex(substring(map, cast(__at div 8 as int) + 1, 1)), 16, 10) as int), cast(__at % 8 as int)) & 1, 0) = 1")
+    marked = df.withColumn("__bit", F.pmod(F.xxhash64(key), F.lit(bits)) + 1).withColumns({"__no": F.bitmap_bucket_number("__bit"), "__at": F.bitmap_bit_position("__bit")})
+    marked = marked.join(F.broadcast(maps), F.col("__no") == F.col("__map_no"), "left")
+    hit = F.expr("coalesce(shiftright(cast(conv(hex(substring(__map, cast(__at div 8 as int) + 1, 1)), 16, 10) as int), cast(__at % 8 as int)) & 1, 0) = 1")
     return marked.where(~hit).select(*(F.col(f"`{c}`") for c in cols)), marked.where(hit).select(*(F.col(f"`{c}`") for c in cols))
 
 

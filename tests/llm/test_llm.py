@@ -207,10 +207,56 @@ def test_jaccard_join(spark, docs, empty, monkeypatch, leaf, block):
     assert got == brute_join([(r.doc_id, r.text) for r in d.collect()])
     if leaf > 2:
         assert ngram_join.jaccard_join(empty).count() == 0
-        assert ngram_join.runs_for(0.999, 0.8, 4) * 4 <= ngram_join.SAMPLES
-        kept = ngram_join.keep_one_of_each_class(docs.where("doc_id is not null"))
+        assert ngram_join.runs_for(0.999, 0.8, 4) * 4 <= ngram_join.SKETCH
+        kept = ngram_join.keep_one_of_each_class(docs)
         texts = Counter(every_text(kept))
-        assert kept.columns == docs.columns and texts[BASE] == 1 and texts[LONG] == 1 and texts[None] == 1 and texts[""] == 1
+        assert kept.columns == docs.columns and kept.schema == docs.schema
+        assert texts[BASE] == 1 and texts[LONG] == 1 and texts[None] == 2 and texts[""] == 1 and texts[BASE.replace("alpha30", "beta")] == 0
+        assert ngram_join.keep_one_of_each_class(empty).count() == 0
+
+
+def test_one_of_each_class_stays(spark):
+    """Repeated and null ids: copies go whatever ids they have, other texts under the same id stay."""
+    a, b = BASE, "another text that has nothing in common with the first one " * 3
+    def left(rows):
+        d = spark.createDataFrame(rows, "doc_id long, text string, map int, __no int")
+        return sorted(((r.doc_id, r.text) for r in ngram_join.keep_one_of_each_class(d).collect()), key=str)
+
+    assert left([(3, a, 1, 1), (7, a, 1, 1), (7, b, 1, 1)]) == [(3, a), (7, b)]
+    assert left([(None, a, 1, 1), (None, a, 1, 1), (None, b, 1, 1)]) == sorted([(None, a), (None, b)], key=str)
+    assert left([(None, a, 1, 1), (4, a, 1, 1), (4, a, 1, 1), (4, b, 1, 1)]) == sorted([(4, a), (4, b)], key=str)
+    assert left([(1, "", 1, 1), (1, "", 1, 1), (1, None, 1, 1), (2, "...", 1, 1)]) == sorted([(1, ""), (1, ""), (1, None), (2, "...")], key=str)
+
+
+@pytest.mark.parametrize(("threshold", "depth", "leaf"), [((1, 2), 2, 256), ((1, 2), 1, 2), ((7, 10), 3, 2), ((4, 5), 4, 2), ((19, 20), 4, 2)])
+def test_recall_at_other_thresholds(spark, monkeypatch, threshold, depth, leaf):
+    """Pairs of sets right at the threshold: buckets split to full depth or compared outright, nearly all are found."""
+    monkeypatch.setattr(ngram_join, "LEAF", leaf)
+    num, den = threshold
+    rows, shingles = [], 100 * den
+    for g in range(150):
+        both = [f"g{g}b{i}" for i in range(shingles * num // den)]
+        cut = shingles - len(both)
+        rows += [(2 * g, " ".join(both + [f"g{g}x{i}" for i in range(cut // 2)])), (2 * g + 1, " ".join(both + [f"g{g}y{i}" for i in range(cut - cut // 2)]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_join.jaccard_join(d, threshold=threshold, depth=depth, shingle=1).where("n_links = 1 and class_id = doc_id - doc_id % 2").count()
+    assert got >= 0.99 * len(rows)
+
+
+def test_sketches_follow_the_threshold():
+    assert ngram_join.sketch_least(0.5) < ngram_join.sketch_least(0.7) < ngram_join.sketch_least(0.8) < ngram_join.sketch_least(0.95) <= 64
+    for t in (0.5, 0.8, 0.95):  # a chance below SKETCH_LOSS to share fewer
+        drawn = np.random.default_rng(1).binomial(64, t, 200_000)
+        assert (drawn < ngram_join.sketch_least(t)).mean() < 1e-4
+    with pytest.raises(ValueError):
+        ngram_join.runs_for(1.0, 0.8, 4)
+
+
+def test_components_of_a_hub(spark):
+    """A node with most edges is hot: its rows meet theirs by a broadcast."""
+    edges = spark.range(5000).selectExpr("id % 3000 + 10 as u", "if(id < 3000, 0, id % 3000 + 11) as v")
+    got = connected_components(edges)
+    assert {r.root for r in got.select("root").distinct().collect()} == {0} and got.count() == 3001
 
 
 def test_components(spark):
