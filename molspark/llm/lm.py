@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, block_ids, id_and_text, mix, ngram_hashes, numbered, stage, sub_batches
 
-#: Bits kept of an n-gram's hash; two of m distinct n-grams share one with a chance of m / 2**48.
-HASH_BITS = 48
-_BLOCKS = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("bucket", pa.int32()), ("wide", pa.bool_()), ("grams", pa.binary()),
+_BLOCKS = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("grams", pa.binary()),
                      ("counts", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
-_BLOCKS_SQL = "key long, block long, bucket int, wide boolean, grams binary, counts binary, doc_ids array<long>, lengths array<long>"
+_BLOCKS_SQL = "key long, block long, bucket int, n int, grams binary, counts binary, doc_ids array<long>, lengths array<long>"
 _JOINED_SQL = "block long, bucket int, payload binary, doc_ids array<long>, lengths array<long>"
 #: ``bucket`` of the row that holds a block's texts, compressed: smaller than the numbers of their grams.  Its key is -1 - block.
 _FORWARD = -1
+#: Bytes of text whose n-grams make a bucket or a shuffle partition: what a task holds of them doesn't grow with the corpus.
+BUCKET_BYTES, PARTITION_BYTES = 4 << 20, 16 << 20
 
 
 def _narrow(a: np.ndarray) -> bytes:
@@ -34,15 +34,26 @@ def _widen(b: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), f"<u{b[:1].decode()}").astype(np.int64)
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers as their lowest bytes, then their next ones, ... up to the highest that is used."""
+    width = max(1, (int(a.max()).bit_length() + 7) // 8)
+    return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(b: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(b) // n] = np.frombuffer(b, np.uint8).reshape(-1, n).T
+    return out.reshape(-1).view("<u8")
+
+
 def gram_sequence(h: np.ndarray, order: int) -> np.ndarray:
-    """Hashes of all 1-grams, then all 2-grams, ... of a document, HASH_BITS each."""
-    parts = [mix(h), *(ngram_hashes(h, n) for n in range(2, order + 1))]
-    return np.concatenate(parts) >> np.uint64(64 - HASH_BITS)
+    """64-bit hashes of all 1-grams, then all 2-grams, ... of a document; two of m distinct n-grams share one with a chance of m / 2**64."""
+    return np.concatenate([mix(h), *(ngram_hashes(h, n) for n in range(2, order + 1))])
 
 
 def _exploded(docs: DataFrame, order: int, n_buckets: int) -> DataFrame:
     """Blocks of documents: a forward row (their texts) and a row for each bucket of their distinct grams."""
-    shift = np.uint64(HASH_BITS - n_buckets.bit_length() + 1)
+    bits = n_buckets.bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, blocks, pack = WordHashes(), block_ids(), zstandard.ZstdCompressor(6)
@@ -50,15 +61,13 @@ def _exploded(docs: DataFrame, order: int, n_buckets: int) -> DataFrame:
             for part in sub_batches(batch, 1):
                 texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
                 grams, _, counts = numbered(np.concatenate([gram_sequence(hashes.of_bytes(t), order) for t in texts]))
-                bucket = (grams >> shift).astype(np.int64)
+                bucket = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
                 cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(grams) else np.array([], int)
                 block = next(blocks)
-                rows = [(-1 - block, block, _FORWARD, False, pack.compress(b"".join(texts)), b"", part.column(0).to_pylist(), [len(t) for t in texts])]
+                rows = [(-1 - block, block, _FORWARD, 0, pack.compress(b"".join(texts)), b"", part.column(0).to_pylist(), [len(t) for t in texts])]
                 for a, b in zip(cuts, np.r_[cuts[1:], len(grams)], strict=False):
-                    delta = np.diff(grams[a:b], prepend=grams[a] >> shift << shift)
-                    wide = bool(delta.max() >= 1 << 32)
-                    rows.append((int(bucket[a]), block, int(bucket[a]), wide, delta.astype("<u8" if wide else "<u4").tobytes(),
-                                 _narrow(counts[a:b]), None, None))
+                    base = np.uint64(int(bucket[a]) << (64 - bits) if bits else 0)
+                    rows.append((int(bucket[a]), block, int(bucket[a]), int(b - a), _planes(np.diff(grams[a:b], prepend=base)), _narrow(counts[a:b]), None, None))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOCKS, strict=True)], schema=_BLOCKS)
 
@@ -66,15 +75,16 @@ def _exploded(docs: DataFrame, order: int, n_buckets: int) -> DataFrame:
 
 
 def _totals(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The count table of one bucket, joined to each block's grams of the bucket in their order; a forward row stays as it is."""
+    """The count table of one bucket, joined to each block's grams of the bucket in their order, what other blocks count; a forward row stays as it is."""
     if pdf["key"].iloc[0] < 0:
         return pdf[["block", "bucket", "grams", "doc_ids", "lengths"]].rename(columns={"grams": "payload"})
-    parts = [np.cumsum(np.frombuffer(g, "<u8" if w else "<u4"), dtype=np.uint64) for g, w in zip(pdf["grams"], pdf["wide"], strict=True)]
+    parts = [np.cumsum(_from_planes(g, n), dtype=np.uint64) for g, n in zip(pdf["grams"], pdf["n"], strict=True)]
+    counts = np.concatenate([_widen(c) for c in pdf["counts"]])
     grams, at, _ = numbered(np.concatenate(parts))
     total = np.zeros(len(grams), np.int64)
-    np.add.at(total, at, np.concatenate([_widen(c) for c in pdf["counts"]]))
+    np.add.at(total, at, counts)
     ends = np.cumsum([len(p) for p in parts])[:-1]
-    return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "payload": [_narrow(x) for x in np.split(total[at], ends)],
+    return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "payload": [_narrow(x) for x in np.split(total[at] - counts, ends)],
                          "doc_ids": None, "lengths": None})
 
 
@@ -106,13 +116,14 @@ def _scorer(order: int, alpha: float):
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf[pdf["bucket"] == _FORWARD].iloc[0]
         parts = pdf[pdf["bucket"] != _FORWARD].sort_values("bucket")["payload"]
-        total = np.concatenate([_widen(t) for t in parts]) if len(parts) else np.zeros(0, np.int64)
+        elsewhere = np.concatenate([_widen(t) for t in parts]) if len(parts) else np.zeros(0, np.int64)
         raw, hashes, at = zstandard.ZstdDecompressor().decompress(row["payload"]), WordHashes(), 0
         docs = []
         for n in map(int, row["lengths"]):
             docs.append(hashes.of_bytes(raw[at : at + n]))
             at += n
-        _, number, _ = numbered(np.concatenate([gram_sequence(h, order) for h in docs]))  # as the buckets' rows stand
+        _, number, counts = numbered(np.concatenate([gram_sequence(h, order) for h in docs]))  # as the buckets' rows stand
+        total = elsewhere + counts
         own, at, found = np.zeros(len(total), np.int64), 0, []
         for h in docs:
             n = len(h)
@@ -128,15 +139,15 @@ def _scorer(order: int, alpha: float):
     return score
 
 
-def score_stupid_backoff(docs: DataFrame, *, order: int = 2, alpha: float = 0.4, n_buckets: int | None = None,
+def score_stupid_backoff(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, n_buckets: int | None = None,
                          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every whole document by a stupid-backoff model counted over all the others.
 
     Documents are taken in blocks.  Each block explodes into its distinct n-grams of orders 1 to ``order`` with
     counts, dealt by hash into buckets; a bucket holds the count table of its n-grams over the whole corpus
     and joins it to the blocks' n-grams; the block then sums the log scores of each document.  A frequent
-    n-gram is one entry a block, never one a row, so no bucket grows with it.  ``n_buckets`` (a power of two) is
-    four times the shuffle partitions unless given.
+    n-gram is one entry a block, never one a row, so no bucket grows with it.  Buckets and shuffle partitions are as many as
+    the corpus has BUCKET_BYTES and PARTITION_BYTES of text, so that neither grows with it; ``n_buckets`` (a power of two) may be given.
 
     The score of a word is count(context, word) / count(context) for the longest context seen elsewhere,
     times ``alpha`` for each order backed off; the document's own counts are taken off; a word that no other
@@ -145,11 +156,12 @@ def score_stupid_backoff(docs: DataFrame, *, order: int = 2, alpha: float = 0.4,
     rows give no rows.
     """
     spark = docs.sparkSession
-    wanted = n_buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = 1 << max(0, wanted - 1).bit_length()
     src = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    joined = _exploded(src, order, n_buckets).groupBy("key").applyInPandas(_totals, _JOINED_SQL)
-    scored = stage(joined.groupBy("block").applyInPandas(_scorer(order, alpha), "doc_id long, n_tokens long, log10 double, shares long"), "lm-scores")
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets = 1 << max(0, (n_buckets or -(-size // BUCKET_BYTES)) - 1).bit_length()
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+    joined = _exploded(src, order, n_buckets).repartition(n_parts, "key").groupBy("key").applyInPandas(_totals, _JOINED_SQL)
+    scored = stage(joined.repartition(n_parts, "block").groupBy("block").applyInPandas(_scorer(order, alpha), "doc_id long, n_tokens long, log10 double, shares long"), "lm-scores")
     n_tokens = scored.agg(F.sum("n_tokens")).first()[0] or 0
     rest = F.greatest(F.lit(n_tokens) - F.col("n_tokens"), F.lit(1))
     total = F.col("log10") - F.col("shares") * F.log10(rest)

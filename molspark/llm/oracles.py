@@ -28,15 +28,32 @@ SELECT d.doc_id, (SELECT min(x.doc_id) FROM r JOIN d AS x ON x.rid = r.reach WHE
 
 OP7 = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
-t AS (SELECT rid, i, w[i] AS w1, CASE WHEN i > 1 THEN w[i - 1] END AS w0 FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d) AS x),
-n AS (SELECT count(*) AS n FROM t), dn AS (SELECT rid, count(*) AS n FROM t GROUP BY 1),
-c1 AS (SELECT w1, count(*) AS c FROM t GROUP BY 1), o1 AS (SELECT rid, w1, count(*) AS c FROM t GROUP BY 1, 2),
-c2 AS (SELECT w0, w1, count(*) AS c FROM t WHERE w0 IS NOT NULL GROUP BY 1, 2), o2 AS (SELECT rid, w0, w1, count(*) AS c FROM t WHERE w0 IS NOT NULL GROUP BY 1, 2, 3),
-s AS (SELECT t.rid, CASE WHEN c2.c - o2.c > 0 THEN (c2.c - o2.c) / (k.c - ok.c) ELSE CASE WHEN t.w0 IS NULL THEN 1.0 ELSE 0.4 END *
-    CASE WHEN c1.c - o1.c > 0 THEN (c1.c - o1.c) / greatest(n.n - dn.n, 1) ELSE 0.4 / greatest(n.n - dn.n, 1) END END AS p
-  FROM t CROSS JOIN n JOIN dn USING (rid) JOIN c1 ON c1.w1 = t.w1 JOIN o1 ON o1.rid = t.rid AND o1.w1 = t.w1
-  LEFT JOIN c2 ON c2.w0 = t.w0 AND c2.w1 = t.w1 LEFT JOIN o2 ON o2.rid = t.rid AND o2.w0 = t.w0 AND o2.w1 = t.w1
-  LEFT JOIN c1 AS k ON k.w1 = t.w0 LEFT JOIN o1 AS ok ON ok.rid = t.rid AND ok.w1 = t.w0),
-q AS (SELECT rid, count(*) AS n_tokens, sum(log10(p)) AS l FROM s GROUP BY rid)
+t AS (SELECT rid, i, w[i] AS w1, CASE WHEN i > 1 THEN w[i - 1] END AS w0, CASE WHEN i > 2 THEN w[i - 2] END AS w00 FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d) AS x),
+c AS (SELECT rid, i, count(*) OVER () - count(*) OVER (PARTITION BY rid) AS rest,
+  count(*) OVER (PARTITION BY w1) - count(*) OVER (PARTITION BY rid, w1) AS c1,
+  count(*) OVER (PARTITION BY w0, w1) - count(*) OVER (PARTITION BY rid, w0, w1) AS c2,
+  count(*) OVER (PARTITION BY w00, w0, w1) - count(*) OVER (PARTITION BY rid, w00, w0, w1) AS c3 FROM t),
+k AS (SELECT *, lag(c1) OVER (PARTITION BY rid ORDER BY i) AS k1, lag(c2) OVER (PARTITION BY rid ORDER BY i) AS k2 FROM c),
+p1 AS (SELECT *, CASE WHEN c1 > 0 THEN c1 ELSE 0.4 END / greatest(rest, 1) AS p FROM k),
+p2 AS (SELECT * REPLACE (CASE WHEN i < 2 THEN p WHEN c2 > 0 THEN c2 / k1 ELSE 0.4 * p END AS p) FROM p1),
+p3 AS (SELECT * REPLACE (CASE WHEN i < 3 THEN p WHEN c3 > 0 THEN c3 / k2 ELSE 0.4 * p END AS p) FROM p2),
+q AS (SELECT rid, count(*) AS n_tokens, sum(log10(p)) AS l FROM p3 GROUP BY rid)
 SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, round(coalesce(l, 0), 3) AS lm_log10, round(coalesce(l / n_tokens, 0), 6) AS lm_mean FROM d LEFT JOIN q USING (rid)
 """
+
+#: CRC-32 of a text's UTF-8 bytes, which are counted out from its code points, by a table that is made from the polynomial.
+_CRC_TABLE = """SELECT list_transform(range(0, 256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END)) AS crc"""
+_UTF8 = """flatten(list_transform(string_split(coalesce(text, ''), ''), lambda c: CASE WHEN c = '' THEN [] WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+  WHEN unicode(c) < 2048 THEN [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] WHEN unicode(c) < 65536 THEN [224 + (unicode(c) >> 12), 128 + ((unicode(c) >> 6) & 63), 128 + (unicode(c) & 63)]
+  ELSE [240 + (unicode(c) >> 18), 128 + ((unicode(c) >> 12) & 63), 128 + ((unicode(c) >> 6) & 63), 128 + (unicode(c) & 63)] END))"""
+_CRC32 = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {_UTF8}), lambda a, b: xor(a >> 8, crc[1 + (xor(a, b) & 255)])), 4294967295)"
+
+#: Shards by the middle of each row's interval of bytes, rows in the order of id and text hash.
+OP5 = f"""
+WITH t AS ({_CRC_TABLE}),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, md5(coalesce(text, '')) AS h, CAST({_CRC32} AS BIGINT) AS text_crc32 FROM documents, t),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, h ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM d),
+s AS (SELECT *, least(39, CAST((2 * upto - size) * 40 // (2 * total) AS INT)) AS shard FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY upto) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM s
+"""

@@ -31,7 +31,7 @@ def balanced_shards(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", t
     slim = stage(
         id_and_text(docs, id_col, text_col).select(
             "doc_id", (F.octet_length(text) + F.lit(row_overhead)).cast("long").alias("size"),
-            F.crc32(text).alias("text_crc32"), F.xxhash64("text").alias("h"),
+            F.crc32(text).alias("text_crc32"), F.md5(text).alias("h"),
             F.monotonically_increasing_id().alias("uid")),
         "shard-slim")
     order = ["doc_id", "h", "uid"]
