@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -21,6 +22,15 @@ from .common import id_and_text, stage
 #: Only these characters take the fast path, where lower case and white space are the same everywhere.
 _PLAIN = r"[\t\n\r\x20-\x7e¡-ɏ]*"
 _SPECIAL = "<|"
+# The steps before the model that the fast path stands for, as a tokenizers file states them.
+_KNOWN = {
+    "truncation": None, "padding": None, "post_processor": None,
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 
 
 class _Remembered(dict):
@@ -55,6 +65,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        #: Whether the file splits and lower-cases as this class does; if not, every text is handed to the tokenizer whole.
+        self.fast = all(made.get(k) == v for k, v in _KNOWN.items()) and made["model"]["type"] == "BPE" and all(
+            t["content"].startswith(_SPECIAL) for t in made["added_tokens"])
         self.plain = re.compile(_PLAIN)
         some = [chr(c) for c in range(0x21, 0x250)]
         letter, number = ("".join(c for c in some if unicodedata.category(c)[0] == k) for k in "LN")
@@ -76,7 +91,7 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of a text (null: none)."""
         if not text:
             return b""
-        if _SPECIAL in text or not self.plain.fullmatch(text):
+        if not self.fast or _SPECIAL in text or not self.plain.fullmatch(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.word, text.lower().split()))
 
@@ -87,10 +102,6 @@ def encoder_of(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _ids(encoding) -> bytes:
-    return np.array(encoding.ids, "<u4").tobytes()
-
-
 class OpenWindows:
     """At most ``space`` open windows; a piece goes where it leaves the least room."""
 
