@@ -36,22 +36,40 @@ _SHAPE = _shape_bytes()
 _RUN = re.compile(rb"(.)\1+")
 
 
-def statistics(text: str) -> dict[str, float]:
+class _Collapsed(dict):
+    """shape -> the shape with runs of a character taken once; shapes are few, and forgotten at 100,000."""
+
+    def __missing__(self, shape: bytes) -> bytes:
+        if len(self) >= 100_000:
+            self.clear()
+        out = self[shape] = _RUN.sub(rb"\1", shape)
+        return out
+
+
+_COLLAPSED = _Collapsed()
+
+
+def shapes_of(text: str) -> list[bytes]:
+    """The shape of each word: a for a lower-case letter or any other character beyond ASCII, A for a capital, 0 for a digit, signs as they are."""
+    return text.encode("utf-8", "surrogatepass").translate(_SHAPE).split()
+
+
+def statistics(text: str, shapes: list[bytes] | None = None) -> dict[str, float]:
     """The figures that labellers and scorer read; shares are of words unless named otherwise."""
     raw = text.encode("utf-8", "surrogatepass")
-    shape = raw.translate(_SHAPE)
     tokens = text.split()
     n = len(tokens) or 1
     count = Counter(tokens)
     lines = [x for x in text.split("\n") if x.strip()]
-    letters = shape.count(b"a") + shape.count(b"A")
-    shapes = shape.split()
+    shape_count = Counter(shapes_of(text) if shapes is None else shapes)
+    capitals = sum(c * s.count(b"A") for s, c in shape_count.items())
+    letters = capitals + sum(c * s.count(b"a") for s, c in shape_count.items())
     return {
         "words": len(tokens),
         "symbols": (len(raw) - len(raw.translate(None, _SYMBOLS))) / max(1, len(raw)),
-        "bare": sum(b"a" not in s and b"A" not in s and b"0" not in s for s in shapes) / n,
-        "capitals": shape.count(b"A") / max(1, letters),
-        "ends": sum(s[-1] in b".,;:?" for s in shapes) / n,
+        "bare": sum(c for s, c in shape_count.items() if b"a" not in s and b"A" not in s and b"0" not in s) / n,
+        "capitals": capitals / max(1, letters),
+        "ends": sum(c for s, c in shape_count.items() if s[-1] in b".,;:?") / n,
         "shouts": raw.count(b"!") / n,
         "top": max(count.values(), default=0) / n,
         "distinct": len(count) / n,
@@ -122,9 +140,9 @@ def fit_label_model(patterns: dict[str, int], rounds: int = 60, smooth: float =
     return model
 
 
-def hashed_features(text: str, stats: dict[str, float], dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and weights (root shares) of hashed word shapes, pairs of shapes, and binned statistics."""
-    shapes = _RUN.sub(rb"\1", text.encode("utf-8", "surrogatepass").translate(_SHAPE)).split()
+def hashed_features(shapes: list[bytes], stats: dict[str, float], dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and weights (root shares) of hashed collapsed word shapes, pairs of them, and binned statistics."""
+    shapes = list(map(_COLLAPSED.__getitem__, shapes))
     n = max(1, len(shapes))
     found: dict[int, float] = {}
     for prefix, count in ((b"1", Counter(shapes)), (b"2", Counter(zip(shapes, shapes[1:], strict=False)))):
@@ -148,8 +166,9 @@ class QualityModel:
         """(chance that the text is good, votes); 0 for a null or blank text."""
         if not text or not text.strip():
             return 0.0, "0" * len(LABELLERS)
-        stats = statistics(text)
-        at, x = hashed_features(text, stats, len(self.weights))
+        shapes = shapes_of(text)
+        stats = statistics(text, shapes)
+        at, x = hashed_features(shapes, stats, len(self.weights))
         z = float(self.weights[at] @ x) + self.bias
         return 1 / (1 + float(np.exp(-np.clip(z, -50, 50)))), votes(stats)
 
@@ -169,20 +188,22 @@ def _train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, dims:
     return w, b
 
 
-def fit_quality(docs: DataFrame, *, text_col: str = "text", sample_rows: int = 4_000, dims: int = 1 << 14) -> QualityModel:
-    """Label model over the votes of all documents, and a scorer fitted on at most ``sample_rows`` of them.
+def fit_quality(docs: DataFrame, *, text_col: str = "text", sample_rows: int = 4_000, sample_bytes: int = 64 << 20, dims: int = 1 << 14) -> QualityModel:
+    """Label model over the votes of all documents, and a scorer fitted on at most ``sample_rows`` of them, of ``sample_bytes`` in all.
 
     The vote patterns of the whole corpus are counted (a bounded table), EM estimates how often each
     labeller is right, and the posterior of a document's pattern is its label.  The scorer's sample is drawn by
-    hash, half from documents held good and half from those held bad where there are as many, distinct texts only.
+    hash, half from documents held good and half from those held bad where there are as many, distinct texts only; a text
+    longer than what is left of its half of the bytes isn't drawn.  Null and blank texts don't vote; without any other every text is scored by
+    an empty model, 0.5.
     """
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([votes(statistics(t)) for t in batch.column(0).to_pylist()], pa.string()), batch.column(1)], ["votes", "h"])
+                [pa.array([votes(statistics(t)) for t in batch.column(0).to_pylist()], pa.string()), batch.column(1), batch.column(2)], ["votes", "h", "size"])
 
-    texts = small_batches(docs).select(F.col(f"`{text_col}`").alias("text")).where("text is not null and trim(text) != ''").withColumn("h", F.xxhash64("text"))
-    voted = stage(texts.mapInArrow(vote, "votes string, h long"), "quality-votes")
+    texts = small_batches(docs).select(F.col(f"`{text_col}`").alias("text")).where("text is not null and trim(text) != ''").withColumns({"h": F.xxhash64("text"), "size": F.octet_length("text").cast("long")})
+    voted = stage(texts.mapInArrow(vote, "votes string, h long, size long"), "quality-votes")
     patterns = {r.votes: r.n for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     model = fit_label_model(patterns)
     posterior = dict(zip(patterns, model.posterior(list(patterns)), strict=True)) if patterns else {}
@@ -193,14 +214,18 @@ def fit_quality(docs: DataFrame, *, text_col: str = "text", sample_rows: int = 4
         if total:
             share = min(1.0, 3 * (sample_rows // 2) / total)  # three times as many, since copies count once
             some = voted.where(F.col("votes").isin(keys) & (F.pmod("h", F.lit(1_000_003)) < int(1_000_003 * share) + 1))
-            chosen += [(r.votes, r.h) for r in some.dropDuplicates(["h"]).orderBy("h").limit(sample_rows // 2).collect()]
+            left = sample_bytes // 2
+            for r in some.dropDuplicates(["h"]).orderBy("h").limit(sample_rows // 2).collect():
+                if r.size <= left:
+                    left -= r.size
+                    chosen.append((r.votes, r.h))
     if not chosen:
         return QualityModel(model, np.zeros(dims), 0.0)
     label = {h: posterior[v] for v, h in chosen}
     wanted = docs.sparkSession.createDataFrame([(h,) for h in label], "h long")  # sample_rows at most
     sample = sorted({r.h: r.text for r in texts.join(F.broadcast(wanted), "h", "left_semi").dropDuplicates(["h"]).collect()}.items(),
                     key=lambda kv: zlib.crc32(str(kv[0]).encode()))
-    rows = [hashed_features(t, statistics(t), dims) for _, t in sample]
+    rows = [hashed_features(shapes_of(t), statistics(t), dims) for _, t in sample]
     return QualityModel(model, *_train(rows, np.array([label[h] for h, _ in sample]), dims))
 
 
