@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text
+from .common import id_and_text, sub_batches
 
 BLOCK = 64
 RATE = 8000
@@ -124,14 +124,15 @@ def wav_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     One row a row, no shuffle.  A null text counts as empty; an empty text has a payload of 64 zero
     bytes.  A text of one frame, or without a local maximum, has an empty fingerprint.  A very long
-    text is transformed in runs of FRAMES_AT_ONCE frames.  Equal texts give equal values.
+    text is transformed in runs of FRAMES_AT_ONCE frames.  Equal texts give equal values; null ids stay, other columns are not
+    read, and no rows give no rows.
     """
     fields = [f.split() for f in (DIGEST + (MEDIA if keep_media else "")).split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # a media column is as large as the texts, so large batches are handed on in parts
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            # media and fingerprints are as large as the texts, so large batches are handed on in parts
+            for part in sub_batches(batch, 1, 4 << 20, 256):
                 rows = _media(keep_media, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array([r[k] for r in rows], _ARROW[t]) for k, t in fields)],
