@@ -12,11 +12,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, apart, block_ids, id_and_text, stage, sub_batches, words
+from .common import WordHashes, apart, block_ids, id_and_text, small_batches, stage, sub_batches
 
 WINDOW = 13
-#: Benchmark words searched at once; a larger benchmark is searched in slices, so what is broadcast stays bounded.
-SLICE_WORDS = 500_000
+#: Benchmark windows searched at once; a larger benchmark is searched in slices, so what is collected and broadcast stays bounded.
+SLICE_WINDOWS = 200_000
+#: How far a word may stand from its place in a near window.
+SLOP = 3
+#: Positions of at least this many bytes are compressed; most lists hold one or two.
+PACKED = 32
 #: Window starts checked at once in a block.
 STARTS_AT_ONCE = 4_000_000
 
@@ -27,42 +31,41 @@ INDEX_SCHEMA = "block long, term long, n long, positions binary, doc_ids array<l
 DIRECTORY = 0
 
 
-def positional_index(docs: DataFrame, terms: set[bytes] | None = None, *, id_col: str = "doc_id", text_col: str = "text",
-                     gap: int = WINDOW) -> DataFrame:
-    """Positional postings of every word (or of ``terms`` alone) of whole texts, by blocks of documents.
+def positional_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gap: int = WINDOW + SLOP) -> DataFrame:
+    """Positional postings of every word of whole texts, by blocks of documents.
 
     A block is a run of documents of about 8 MB (or one longer document); its words are numbered through,
     with ``gap`` free numbers between documents so that no window crosses them.  A row holds the word
-    numbers of one term in one block, delta-coded and compressed; the row of term 0 lists the block's
+    numbers of one term in one block, delta-coded and, if long, compressed; the row of term 0 lists the block's
     documents and where each starts.  Returned as a stored table, so that it is built once however often it
     is searched.  Null and empty texts have no words but stand in the directory.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, pack = block_ids(), zstandard.ZstdCompressor(1)
         hashes = WordHashes()
-        chosen = None if terms is None else {t: hashes[t] for t in terms}
         for batch in batches:
             for part in sub_batches(batch, 1):
                 numbers, starts, at = [], [], 0
                 for text in part.column(1).to_pylist():
-                    w = words(text)
-                    numbers.append(np.fromiter((chosen.get(x, 0) for x in w) if chosen is not None
-                                               else map(hashes.__getitem__, w), np.uint64, len(w)))
+                    numbers.append(hashes.of(text))
                     starts.append(at)
-                    at += len(w) + gap
+                    at += len(numbers[-1]) + gap
                 starts.append(at)
                 flat = np.concatenate(numbers).view(np.int64)
                 where = np.arange(len(flat)) + np.repeat(np.arange(len(numbers)) * gap, [len(x) for x in numbers])
-                kept = np.flatnonzero(flat)
-                kept = kept[np.argsort(flat[kept], kind="stable")]
-                term, where = flat[kept], where[kept].astype("<u4")
+                order = np.argsort(flat, kind="stable")
+                term, where = flat[order], where[order]
                 cuts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.array([], int)
                 ends = np.r_[cuts[1:], len(term)]
-                lists = [pack.compress(np.diff(where[a:b], prepend=np.uint32(0)).tobytes()) for a, b in zip(cuts, ends, strict=False)]
+                delta = np.diff(where, prepend=0)
+                delta[cuts] = where[cuts]
+                raw = delta.astype("<u4").tobytes()
+                lists = [raw[4 * a : 4 * b] for a, b in zip(cuts.tolist(), ends.tolist(), strict=False)]
+                lists = [pack.compress(x) if len(x) >= PACKED else x for x in lists]
                 n, block = len(lists), next(blocks)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([block] * (n + 1), pa.int64()), pa.array([DIRECTORY, *term[cuts].tolist()], pa.int64()),
-                    pa.array([at, *(ends[: n] - cuts).tolist()], pa.int64()), pa.array([b"", *lists], pa.binary()),
+                    pa.array(np.full(n + 1, block)), pa.array(np.r_[DIRECTORY, term[cuts]]),
+                    pa.array(np.r_[at, ends[:n] - cuts]), pa.array([b"", *lists], pa.binary()),
                     pa.array([part.column(0).to_pylist(), *[None] * n], pa.list_(pa.int64())),
                     pa.array([starts, *[None] * n], pa.list_(pa.int64()))], schema=_INDEX)
 
@@ -81,25 +84,35 @@ class Windows:
     order: np.ndarray
 
 
-def benchmark_windows(items: list[tuple[str, str]], frequency: dict[int, int], size: int = WINDOW) -> Windows:
-    hashes = WordHashes()
-    rows, lengths, of, names = [], [], [], []
-    for name, text in items:
-        h = hashes.of(text).view(np.int64)
-        if not len(h):
-            continue
-        n = min(size, len(h))
-        w = np.zeros((len(h) - n + 1, size), np.int64)
-        w[:, :n] = np.lib.stride_tricks.sliding_window_view(h, n)
-        rows.append(w)
-        lengths += [n] * len(w)
-        of += [len(names)] * len(w)
-        names.append(name)
-    terms = np.concatenate(rows) if rows else np.zeros((0, size), np.int64)
-    lengths = np.array(lengths, np.int64)
+def benchmark_windows(benchmark: DataFrame, size: int = WINDOW, *, item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``item, terms``: the distinct windows of ``size`` consecutive words of each item; an item of fewer words, but not none, is one window."""
+    items = small_batches(benchmark).select(F.coalesce(F.col(f"`{item_id_col}`").cast("string"), F.lit("null")).alias("item"), F.col(f"`{item_text_col}`").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = hashes.of(text).view(np.int64)
+                for first in range(0, len(h), 10_000):  # an item of any length is handed on in parts
+                    part = h[first : first + 10_000 + size - 1]
+                    if n := min(size, len(h)) if len(part) >= min(size, len(h)) else 0:
+                        rows = np.lib.stride_tricks.sliding_window_view(part, n)
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(list(rows), pa.list_(pa.int64()))], ["item", "terms"])
+
+    return items.mapInArrow(run, "item string, terms array<long>").distinct()
+
+
+def windows_of(rows: list[tuple[str, list[int]]], frequency: dict[int, int], size: int) -> Windows:
+    """Windows with the offsets of their terms from the rarest in the corpus up; ties by place."""
+    names = sorted({name for name, _ in rows})
+    number = {name: i for i, name in enumerate(names)}
+    lengths = np.array([len(t) for _, t in rows], np.int64)
+    terms = np.zeros((len(rows), size), np.int64)
+    for i, (_, t) in enumerate(rows):
+        terms[i, : len(t)] = t
     count = np.array([frequency.get(t, 0) for t in terms.ravel().tolist()], np.int64).reshape(terms.shape)
     count[np.arange(size) >= lengths[:, None]] = np.iinfo(np.int64).max
-    return Windows(np.array(of, np.int64), names, terms, lengths, np.lexsort((terms, count), axis=1))
+    return Windows(np.array([number[name] for name, _ in rows], np.int64), names, terms, lengths, np.argsort(count, axis=1, kind="stable"))
 
 
 _HITS = "block long, ord int, doc_id long, n_words long, spans array<int>, items array<string>, near_items array<string>"
@@ -110,14 +123,14 @@ def search_block(pdf: pd.DataFrame, windows: Windows, near_terms: int, slop: int
     directory = pdf[pdf["term"] == DIRECTORY].iloc[0]
     starts, length = np.asarray(directory["starts"], np.int64), int(directory["n"])
     n_docs, size = len(starts) - 1, windows.terms.shape[1]
-    n_words = np.diff(starts) - size
+    n_words = np.diff(starts) - (size + slop)  # the gap between documents
     pad = size + slop
     sequence = np.zeros(length + 2 * pad, np.int64)  # the term at each word number, moved by pad
     lists: dict[int, np.ndarray] = {}
     unpack = zstandard.ZstdDecompressor()
-    for term, coded in zip(pdf["term"].tolist(), pdf["positions"], strict=True):
+    for term, n, coded in zip(pdf["term"].tolist(), pdf["n"].tolist(), pdf["positions"], strict=True):
         if term != DIRECTORY:
-            at = np.cumsum(np.frombuffer(unpack.decompress(coded), "<u4"), dtype=np.int64)
+            at = np.cumsum(np.frombuffer(unpack.decompress(coded) if 4 * n >= PACKED else coded, "<u4"), dtype=np.int64)
             lists[term] = at
             sequence[at + pad] = term
     rarest = np.take_along_axis(windows.terms, windows.order[:, :1], 1)[:, 0] if len(windows.terms) else np.array([], np.int64)
@@ -180,41 +193,32 @@ def _searcher(windows: Windows, near_terms: int, slop: int):
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                        item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
-                       near_terms: int = 4, slop: int = 3) -> DataFrame:
+                       near_terms: int = 4, slop: int = SLOP) -> DataFrame:
     """Phrase and proximity matches of benchmark windows in whole documents.
 
     A window is ``window`` consecutive words of an item; an item with fewer words, but not none, is one window.
-    The postings of the benchmark's words are stored once (of all words if the benchmark is larger than
-    SLICE_WORDS, then it is searched in slices).  Each window starts from the list of its rarest word in the
+    The postings of all words of the documents are stored once.  Windows, made where the items are, are searched in slices of about
+    SLICE_WINDOWS by hash, so neither a large benchmark nor a long item is collected whole.  Each window starts from the list of its rarest word in the
     corpus; the other lists, moved by their offsets, cut it down, the next rarest first.  What is left are
-    the exact phrases.  A window is near where its ``near_terms`` rarest words (ties by hash) all stand within ``slop``
-    words of their places relative to the rarest.
+    the exact phrases.  A window is near where its ``near_terms`` rarest words (ties by place) all stand within ``slop``
+    words of their places relative to the rarest, in one document.
 
     Returns ``doc_id, n_words, n_hit, spans, items, near_items``, a row a document row: hit words and their
     merged word spans (start, end, start, end, ...), and the item ids, as sorted strings, with a phrase or a
     near window in it.  A null or empty text has no words and no hits; items without words never match; an
-    empty benchmark gives no hits.  Repeated item ids count once.
+    empty benchmark gives no hits.  Repeated item ids count once, a null one as ``null``.  Document ids are integers (others become null); a null id stays null.
     """
-    items = benchmark.select(F.coalesce(F.col(f"`{item_id_col}`").cast("string"), F.lit("null")).alias("item"),
-                             F.coalesce(F.col(f"`{item_text_col}`"), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.ceil(F.octet_length("text") / 4))).first()[0] or 0
-    n_slices = max(1, -(-total // SLICE_WORDS))
-    index, hits = None, []
+    windows = stage(benchmark_windows(benchmark, window, item_id_col=item_id_col, item_text_col=item_text_col), "benchmark-windows")
+    index = positional_index(docs, id_col=id_col, text_col=text_col, gap=window + slop)
+    n_slices = max(1, -(-windows.count() // SLICE_WINDOWS))
+    hits = []
     for k in range(n_slices):
-        part = items if n_slices == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_slices)) == k)
-        rows = [(r.item, r.text) for r in part.collect()]
-        vocabulary = {w for _, t in rows for w in words(t)}
-        if index is None:
-            index = positional_index(docs, vocabulary if n_slices == 1 else None, id_col=id_col, text_col=text_col, gap=window)
-        hashes = WordHashes()
-        signed = np.array([hashes[w] for w in vocabulary], np.uint64).view(np.int64).tolist()
-        chosen = index
-        if n_slices > 1:  # a slice has SLICE_WORDS terms at most
-            terms = docs.sparkSession.createDataFrame([(t,) for t in [DIRECTORY, *signed]], "term long")
-            chosen = index.join(F.broadcast(terms), "term", "left_semi")
+        part = windows if n_slices == 1 else windows.where(F.pmod(F.xxhash64("item", "terms"), F.lit(n_slices)) == k)
+        rows = sorted((r.item, r.terms) for r in part.collect())
+        terms = docs.sparkSession.createDataFrame([(t,) for t in sorted({DIRECTORY, *(t for _, ts in rows for t in ts)})], "term long")  # of a slice's windows
+        chosen = index.join(F.broadcast(terms), "term", "left_semi")
         frequency = {r.term: r.f for r in chosen.where(F.col("term") != DIRECTORY).groupBy("term").agg(F.sum("n").alias("f")).collect()}
-        windows = benchmark_windows(rows, frequency, window)
-        hits.append(chosen.groupBy("block").applyInPandas(_searcher(windows, near_terms, slop), _HITS))
+        hits.append(chosen.groupBy("block").applyInPandas(_searcher(windows_of(rows, frequency, window), near_terms, slop), _HITS))
     out = hits[0]
     if n_slices > 1:
         for h in hits[1:]:

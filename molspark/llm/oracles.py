@@ -10,10 +10,21 @@ bw AS (SELECT DISTINCT item, array_to_string(w[i : i + n - 1], ' ') AS win, n FR
 dw AS (SELECT rid, i, n, array_to_string(w[i : i + n - 1], ' ') AS win FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) AS s WHERE len(w) >= n) AS x),
 m AS (SELECT rid, i, dw.n AS n, item FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
 h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM m) AS x GROUP BY rid),
-t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM m) AS x GROUP BY rid)
+t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM m) AS x GROUP BY rid),
+-- near windows: their four rarest words, ties by place, all within three words of their places relative to the rarest
+p AS (SELECT rid, i, w[i] AS word FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d) AS x),
+f AS (SELECT word, count(*) AS f FROM p GROUP BY word),
+bt AS (SELECT item, win, o, string_split(win, ' ')[o + 1] AS word FROM (SELECT item, win, unnest(range(0, n)) AS o FROM bw) AS x),
+br AS (SELECT bt.*, row_number() OVER (PARTITION BY item, win ORDER BY coalesce(f, 0), o) AS k FROM bt LEFT JOIN f USING (word)),
+b1 AS (SELECT br.item, br.win, p.rid, p.i - br.o AS base FROM br JOIN p USING (word) WHERE k = 1),
+bn AS (SELECT item, win, count(*) AS need FROM br WHERE k BETWEEN 2 AND 4 GROUP BY 1, 2),
+bm AS (SELECT b1.item, b1.win, b1.rid, b1.base, count(DISTINCT br.k) AS met FROM b1 JOIN br ON br.item = b1.item AND br.win = b1.win AND br.k BETWEEN 2 AND 4
+  JOIN p ON p.rid = b1.rid AND p.word = br.word AND p.i BETWEEN b1.base + br.o - 3 AND b1.base + br.o + 3 GROUP BY 1, 2, 3, 4),
+ni AS (SELECT DISTINCT b1.rid, b1.item FROM b1 LEFT JOIN bn USING (item, win) LEFT JOIN bm USING (item, win, rid, base) WHERE coalesce(met, 0) = coalesce(need, 0)),
+nt AS (SELECT rid, count(*) AS n_near_items, string_agg(item, ',' ORDER BY item) AS near_items FROM ni GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near_items, 0) AS n_near_items, sha256(coalesce(near_items, '')) AS near_items_sha256
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid) LEFT JOIN nt USING (rid)
 """
 
 OP4 = rf"""

@@ -22,7 +22,7 @@ from .sharding import balanced_shards
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = wav_media(table(spark, sf_dir, "documents"), keep_media=False)
+    out = wav_media(table(spark, sf_dir, "documents"))
     return out.withColumnRenamed("fingerprint_sha256", "feature")
 
 
@@ -30,7 +30,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return contaminated(hits).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+        F.size("near_items").cast("long").alias("n_near_items"), F.sha2(F.array_join("near_items", ","), 256).alias("near_items_sha256"))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,9 +72,9 @@ def benchmark(spark):
     return spark.createDataFrame(items, "item_id long, text string")
 
 
-@pytest.mark.parametrize("slice_words", [500_000, 20])
-def test_decontamination(docs, empty, benchmark, monkeypatch, slice_words):
-    monkeypatch.setattr(dec, "SLICE_WORDS", slice_words)
+@pytest.mark.parametrize("slice_windows", [200_000, 7])
+def test_decontamination(docs, empty, benchmark, monkeypatch, slice_windows):
+    monkeypatch.setattr(dec, "SLICE_WINDOWS", slice_windows)
     wins = {}
     for r in benchmark.collect():
         w = tok(r.text)
