@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import extract_or_null, fuzzy_pattern, scramble_text
+from ..functions.sequence import extract_or_null, fuzzy_regex, scramble_text
 from .kmers import assemble_umis
 from .reads import fuzzy_sanitize
 
@@ -15,7 +15,7 @@ CASSETTE_START, CASSETTE_END = "_CASSETTE_START_", "_CASSETTE_END_"
 
 
 def _maybe_fuzzy(text: str, fuzzy: bool, wildcard: str) -> str:
-    return fuzzy_pattern(text, wildcard) if fuzzy else text
+    return fuzzy_regex(text, wildcard) if fuzzy else text
 
 
 def _swap_after(df: DataFrame, col: str, rules: list[tuple[str, str, str]], fuzzy: bool, wildcard: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import fuzzy_pattern, half_guard
+from ..functions.sequence import fuzzy_pattern, fuzzy_regex, half_guard
 from .umi import barcode_merge, materialise
 
 # The guide's features.
@@ -14,12 +16,11 @@ DOWNSTREAM, CANONICAL, PRIMER, SCAFFOLD2 = "AATAGCAA", "GGGTTAGAG", "GGCTAGTCCGT
 STAMMER = "TATGGGTATGGG"
 
 
-def encode_rules(zombie: bool = False) -> list[tuple[str, str, str]]:
+def encode_rules(zombie: bool = False, f: Callable[[str], str] = fuzzy_pattern) -> list[tuple[str, str, str]]:
     """(pattern, token, feature or token without which the pattern can't match) in the order in which they apply.
 
     The barcode is read after the third.
     """
-    f = fuzzy_pattern
     scf1, scf2, u6 = (rf"\[···{x}···\]" for x in ("SCF1", "SCF2", "U6"))
     return [
         (f".*?({f(TSO)})", "[···TSO···]", TSO), (f".*({f(U6)})", "[···U6···]", U6), (f".*({f(BROKEN_U6)})", "[···bU6···]", BROKEN_U6),
@@ -41,9 +42,10 @@ def encode_reads(df: DataFrame, zombie: bool = False) -> DataFrame:
         # one error leaves a half of a feature intact; rows with neither half skip the pattern, and ``s`` stands once
         return F.transform(F.array(s), lambda x: F.when(half_guard(x, needs), F.regexp_replace(x, pattern, token)).otherwise(x))[0]
 
-    for i, r in enumerate(encode_rules(zombie)):
-        if i == 3:
-            df = df.withColumn("raw_ibar", F.when(F.col("seq").rlike(RAW_IBAR), F.regexp_extract("seq", RAW_IBAR, 1)))
+    for i, r in enumerate(encode_rules(zombie, fuzzy_regex)):
+        if i == 3:  # a barcode has six letters: an empty one is none
+            raw = F.regexp_extract("seq", f"CTAGA(.{{6}})(?:{fuzzy_regex(DOWNSTREAM)})", 1)
+            df = df.withColumn("raw_ibar", F.when(half_guard(F.col("seq"), DOWNSTREAM), F.nullif(raw, F.lit(""))))
         df = df.withColumn("seq", rule(F.col("seq"), *r))
     return mask_wt(df)
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import extract_or_null, fuzzy_pattern, hamming, reverse_complement
+from ..functions.sequence import extract_or_null, fuzzy_regex, hamming, reverse_complement
 
 
 def anchored(col: str, anchor1: str, length: int, anchor2: str, wildcard: str = ".{0,1}") -> Column:
     """The ``length`` bases between two anchors with one error each; null without both."""
-    return extract_or_null(F.col(col), f"(?:{fuzzy_pattern(anchor1, wildcard)})(.{{{length}}})(?:{fuzzy_pattern(anchor2, wildcard)})", 1)
+    return extract_or_null(F.col(col), f"(?:{fuzzy_regex(anchor1, wildcard)})(.{{{length}}})(?:{fuzzy_regex(anchor2, wildcard)})", 1)
 
 
 def integration_detect(reads: DataFrame, col: str, anchor1: str, length: int, anchor2: str, top: int | None = None) -> DataFrame:

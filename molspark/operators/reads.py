@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import extract_or_null, fuzzy_pattern, low_quality_bases, reverse_complement, sanitize
+from ..functions.sequence import extract_or_null, fuzzy_regex, half_guard, has_fuzzy, low_quality_bases, reverse_complement, reverse_complement_text, sanitize
 
 
 def fuzzy_sanitize(df: DataFrame, features: list[str], anchors: list[str], col: str = "seq", wildcard: str = ".{0,1}") -> DataFrame:
@@ -80,12 +80,15 @@ def regex_trim(df: DataFrame, pattern: str, col: str = "seq") -> DataFrame:
 
 
 def orient_reads(df: DataFrame, anchor: str, wildcard: str = ".{0,4}") -> DataFrame:
-    """``oriented_sequence`` and ``oriented_quality``: as is if the anchor matches, else reversed if its reverse complement does."""
-    pattern = fuzzy_pattern(anchor, wildcard)
-    s, rc = F.col("sequence"), reverse_complement(F.col("sequence"))
-    flip = ~s.rlike(pattern) & rc.rlike(pattern)
-    return df.withColumns({"oriented_sequence": F.when(flip, rc).otherwise(s),
-                           "oriented_quality": F.when(flip, F.reverse("quality_scores")).otherwise(F.col("quality_scores"))})
+    """``oriented_sequence`` and ``oriented_quality``: as is if the anchor matches, else reversed if its reverse complement does.
+
+    The reverse complement of a read holds the anchor where the read holds the anchor's reverse complement, so only
+    reads that turn around are reversed.
+    """
+    s = F.col("sequence")
+    flipped = df.withColumn("__flip", ~has_fuzzy(s, anchor, wildcard) & has_fuzzy(s, reverse_complement_text(anchor), wildcard))
+    return flipped.withColumns({"oriented_sequence": F.when(F.col("__flip"), reverse_complement(s)).otherwise(s),
+                                "oriented_quality": F.when(F.col("__flip"), F.reverse("quality_scores")).otherwise(F.col("quality_scores"))}).drop("__flip")
 
 
 def ont_to_paired(df: DataFrame, umi_len: int, sbc_len: int, anchor_orient: str, anchor_ont: str, *, modality: str = "single-molecule", cbc_len: int = 16,
@@ -94,7 +97,14 @@ def ont_to_paired(df: DataFrame, umi_len: int, sbc_len: int, anchor_orient: str,
     head = (cbc_len + umi_len if modality == "single-cell" else umi_len + sbc_len) + len(anchor_ont)
     out = orient_reads(df, anchor_orient, wildcard)
     s, q = F.col("oriented_sequence"), F.col("oriented_quality")
-    out = out.withColumn("after", extract_or_null(s, f"^(.*)({fuzzy_pattern(anchor_orient, wildcard)})(.*)$", 3))
+    pattern = f"^.*(?:{fuzzy_regex(anchor_orient, wildcard)})(.*)$"
+
+    def behind(x: Column) -> Column:
+        """What follows the last adapter; an empty rest is told from no adapter by a second look, which few rows need."""
+        rest = F.regexp_extract(x, pattern, 1)
+        return F.when(half_guard(x, anchor_orient), F.transform(F.array(rest), lambda r: F.when((r != "") | x.rlike(pattern), r))[0])
+
+    out = out.withColumn("after", behind(s))
     out = out.withColumn("trim_pos", F.length(s) - F.length("after"))
     out = out.withColumns({"ts": F.coalesce("after", s), "tq": F.when(F.col("trim_pos").isNotNull(), F.substring(q, F.col("trim_pos") + 1, F.length(q))).otherwise(q)})
     rest_s, rest_q = F.expr(f"substr(ts, {head + 1})"), F.expr(f"substr(tq, {head + 1})")
@@ -102,12 +112,10 @@ def ont_to_paired(df: DataFrame, umi_len: int, sbc_len: int, anchor_orient: str,
                       (reverse_complement(rest_s) if do_rev_comp else rest_s).alias("r2_seq"), (F.reverse(rest_q) if do_rev_comp else rest_q).alias("r2_qual"), "trim_pos")
 
 
-def parse_reads(df: DataFrame, umi_len: int, anchor: str, sbc_len: int = 6, *, modality: str = "single-molecule", cbc_len: int = 16, open_end: bool = False) -> DataFrame:
-    """Barcodes of read 1, on-target flag, frame-level metrics, validity, and reads per UMI.
+def parse_barcodes(df: DataFrame, umi_len: int, anchor: str, sbc_len: int = 6, *, modality: str = "single-molecule", cbc_len: int = 16, open_end: bool = False) -> DataFrame:
+    """Barcodes of read 1, on-target flag and validity of each row by itself, for batches and streams.
 
     ``valid_umi``: what precedes the anchor has the length of the barcodes; the anchor must end read 1 unless ``open_end``.
-    The four metrics are one broadcast row; reads per UMI are counted with a partial aggregate and joined back, so a
-    UMI with very many reads is never held in one task.
     """
     r1 = F.col("r1_seq")
     if modality == "single-cell":
@@ -117,13 +125,22 @@ def parse_reads(df: DataFrame, umi_len: int, anchor: str, sbc_len: int = 6, *, m
         first, second = ("sbc", "umi") if modality == "single-molecule-v2" else ("umi", "sbc")
         n = {"umi": umi_len, "sbc": sbc_len}
         df, expected = df.withColumns({first: F.substring(r1, 1, n[first]), second: F.substring(r1, n[first] + 1, n[second])}), umi_len + sbc_len
-    df = df.withColumn("ont", r1.rlike(anchor))
+    prefix = F.length(F.regexp_extract(r1, f"(.*?){anchor}{'.*' if open_end else ''}$", 1))
+    return df.withColumns({"ont": r1.rlike(anchor), "valid_umi": prefix == expected})
+
+
+def parse_reads(df: DataFrame, umi_len: int, anchor: str, sbc_len: int = 6, **options) -> DataFrame:
+    """``parse_barcodes`` with frame-level metrics and reads per UMI.
+
+    The four metrics are one broadcast row; reads per UMI are counted with a partial aggregate and joined back, so a
+    UMI with very many reads is never held in one task.
+    """
+    df = parse_barcodes(df, umi_len, anchor, sbc_len, **options)
     ont = F.col("ont").cast("int")
     metrics = df.agg(F.sum(ont).alias("metric_reads_ont"), F.sum(1 - ont).alias("metric_reads_offt"),
                      F.avg(ont).alias("metric_fraction_ont"), F.avg(1 - ont).alias("metric_fraction_offt"))
     per_umi = df.groupBy("umi").agg(F.count("*").alias("reads"))
-    prefix = F.length(F.regexp_extract(r1, f"(.*?){anchor}{'.*' if open_end else ''}$", 1))
-    return df.withColumn("valid_umi", prefix == expected).crossJoin(F.broadcast(metrics)).join(per_umi, "umi")
+    return df.crossJoin(F.broadcast(metrics)).join(per_umi, "umi")
 
 
 def parse_read1(df: DataFrame, anchor: str) -> DataFrame:
@@ -179,7 +196,7 @@ def demux_by_suffix(df: DataFrame, sheet: DataFrame, suffix_len: int) -> DataFra
 def demux_by_index(df: DataFrame, samples: DataFrame, anchor: str, index_len: int = 6, wildcard: str = ".{0,1}") -> DataFrame:
     """``sample_id`` (null: invalid) of pairs whose index is listed and whose read 1 holds the anchor."""
     named = df.withColumn("index", F.substring("r2_seq", 1, index_len)).join(samples, "index", "left")
-    ok = F.col("sample_id").isNotNull() & F.col("r1_seq").rlike(fuzzy_pattern(anchor, wildcard))
+    ok = F.col("sample_id").isNotNull() & has_fuzzy(F.col("r1_seq"), anchor, wildcard)
     return named.withColumn("sample_id", F.when(ok, F.col("sample_id")))
 
 

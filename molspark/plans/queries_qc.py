@@ -101,7 +101,7 @@ def bin_values(t: Inputs) -> DataFrame:
 
 @query("valid_ont_crosstab", f"""SELECT concat('s', right(read_id, 1)) AS sample_id, length(regexp_extract(r1_seq, '(.*?){ANCHOR}$', 1)) = 18 AS valid_umi, contains(r1_seq, '{ANCHOR}') AS ont, count(*) AS reads FROM fx_reads GROUP BY 1, 2, 3""")
 def valid_ont_crosstab(t: Inputs) -> DataFrame:
-    p = r.parse_reads(t.fx_reads, 12, ANCHOR, 6).withColumn("sample_id", F.concat(F.lit("s"), F.right("read_id", F.lit(1))))
+    p = r.parse_barcodes(t.fx_reads, 12, ANCHOR, 6).withColumn("sample_id", F.concat(F.lit("s"), F.right("read_id", F.lit(1))))
     return q.valid_ont_crosstab(p)
 
 

@@ -17,6 +17,26 @@ def test_reverse_complement_twice(seq):
     assert s.reverse_complement_text(s.reverse_complement_text(seq)) == seq
 
 
+def test_fuzzy_regex_equals_fuzzy_pattern(spark):
+    """The same hits, one after the other, in random strings that hold pieces of the text; and the guards let no inexact hit pass."""
+    import random
+    import re
+
+    rng = random.Random(1)
+    rows = []
+    for text in ("ACGTACGTTGCA", "AATAGCAA", "GGGTTAGAG", "AAAA", "AC", "A", "TATGGGTATGGG"):
+        for wildcard in (".{0,1}", ".{0,4}"):
+            flat, nested = re.compile(s.fuzzy_pattern(text, wildcard)), re.compile(s.fuzzy_regex(text, wildcard))
+            for _ in range(300):
+                seq = "".join(rng.choice(["A", "C", "G", "T", text, text[: len(text) // 2], text[1:], text[:-1], text[:2] + "C" + text[3:], text + text[-1:]]) for _ in range(rng.randrange(1, 9)))
+                assert flat.sub("<>", seq) == nested.sub("<>", seq) and [m.span() for m in flat.finditer(seq)] == [m.span() for m in nested.finditer(seq)]
+                rows.append((text, wildcard, seq, flat.sub(text, seq), bool(flat.search(seq))))
+    for text, wildcard in {(r[0], r[1]) for r in rows}:
+        some = spark.createDataFrame([r[2:] for r in rows if r[:2] == (text, wildcard)], "seq string, want string, has boolean")
+        bad = some.where((s.sanitize(F.col("seq"), text, wildcard) != F.col("want")) | (s.has_fuzzy(F.col("seq"), text, wildcard) != F.col("has"))) if len(text) > 3 else some.limit(0)
+        assert bad.count() == 0, (text, wildcard, bad.first())
+
+
 def test_fuzzy_pattern():
     assert s.fuzzy_pattern("ACG") == "ACG|.{0,1}CG|A.{0,1}G|AC.{0,1}"
     assert s.fuzzy_pattern("A" * 201) == "A" * 201
