@@ -9,20 +9,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import fuzzy_regex
+
 # Affine gaps and match scores.
 GAP_OPEN, GAP_EXTEND, MATCH, MISMATCH = 20, 1, 5, -4
 
 
-def align_pair(seq: str, ref: str) -> tuple[str, str, str, int]:
-    """(CIGAR, aligned ref, aligned seq, score) of a global alignment with affine gaps; gaps at the start cost nothing.
+def align_pair(seq: str, ref: str, local: bool = False) -> tuple[str, str, str, int, int, int]:
+    """(CIGAR, aligned ref, aligned seq, score, start in the ref, start in the seq) of an alignment with affine gaps; gaps at the start cost nothing.
 
-    Rows are computed as vectors; a gap along the row is a running maximum.  Ties prefer a match, then a gap in the
+    Global: all of both.  ``local``: the best scoring part of both, the first one by its end in the reference, then in the sequence; nothing
+    if no letter agrees.  Rows are computed as vectors; a gap along the row is a running maximum.  Ties prefer a match, then a gap in the
     reference, then one in the sequence.
     """
     a, b = np.frombuffer(ref.encode(), np.uint8), np.frombuffer(seq.encode(), np.uint8)
     n, m = len(a), len(b)
     low = -10**9
-    h, e, f = (np.full((n + 1, m + 1), low, np.int64) for _ in range(3))
+    h, e, f = (np.full((n + 1, m + 1), low, np.int32) for _ in range(3))
     h[0], h[:, 0] = 0, 0
     j = np.arange(m + 1)
     for i in range(1, n + 1):
@@ -32,9 +35,15 @@ def align_pair(seq: str, ref: str) -> tuple[str, str, str, int]:
         here[1:] = np.maximum(here[1:], h[i - 1, :-1] + np.where(b == a[i - 1], MATCH, MISMATCH))
         f[i, 1:] = np.maximum.accumulate(here + j * GAP_EXTEND)[:-1] - GAP_OPEN - (j[1:] - 1) * GAP_EXTEND
         h[i] = np.maximum(here, f[i])
+        if local:
+            np.maximum(h[i], 0, out=h[i])
+    end_a, end_b = np.unravel_index(int(h.argmax()), h.shape) if local else (n, m)
+    score = int(h[end_a, end_b])
     out_a, out_b, ops = [], [], []
-    i, k, state = n, m, "h"
+    i, k, state = int(end_a), int(end_b), "h"
     while i and k:
+        if local and state == "h" and not h[i, k]:
+            break
         if state == "h":
             if h[i, k] == h[i - 1, k - 1] + (MATCH if a[i - 1] == b[k - 1] else MISMATCH):
                 out_a.append(ref[i - 1]), out_b.append(seq[k - 1]), ops.append("M")
@@ -51,10 +60,11 @@ def align_pair(seq: str, ref: str) -> tuple[str, str, str, int]:
                 state = "h"
             out_a.append(ref[i - 1]), out_b.append("-"), ops.append("D")
             i -= 1
-    while i:
+    first_a, first_b = (i, k) if local else (0, 0)
+    while i and not local:
         out_a.append(ref[i - 1]), out_b.append("-"), ops.append("D")
         i -= 1
-    while k:
+    while k and not local:
         out_a.append("-"), out_b.append(seq[k - 1]), ops.append("I")
         k -= 1
     ops.reverse()
@@ -63,38 +73,44 @@ def align_pair(seq: str, ref: str) -> tuple[str, str, str, int]:
         if x == len(ops) or ops[x] != ops[at]:
             cigar += f"{x - at}{ops[at]}"
             at = x
-    return cigar, "".join(reversed(out_a)), "".join(reversed(out_b)), int(h[n, m])
+    return cigar, "".join(reversed(out_a)), "".join(reversed(out_b)), score, first_a, first_b
+
 
+def align_distinct(pairs: DataFrame, local: bool = False) -> DataFrame:
+    """``seq, ref`` -> with ``cigar_str, aligned_ref, aligned_seq, alignment_score``, ``local`` with ``start_ref, start_seq``; each distinct pair is aligned once.
 
-def align_distinct(pairs: DataFrame) -> DataFrame:
-    """``seq, ref`` -> with ``cigar_str, aligned_ref, aligned_seq, alignment_score``; each distinct pair is aligned once."""
+    Memory follows the product of the two lengths of one pair, 12 bytes a cell.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seqs, refs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = [align_pair(s, r) for s, r in zip(seqs, refs, strict=True)]
-            cols = list(zip(*found, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int64())],
-                                             ["seq", "ref", "cigar_str", "aligned_ref", "aligned_seq", "alignment_score"])
+            found = [align_pair(s, r, local) for s, r in zip(seqs, refs, strict=True)]
+            cols = list(zip(*found, strict=True)) or [()] * 6
+            arrays = [batch.column(0), batch.column(1), *(pa.array(c, pa.string()) for c in cols[:3]), *(pa.array(c, pa.int64()) for c in cols[3:])]
+            yield pa.RecordBatch.from_arrays(arrays, ["seq", "ref", "cigar_str", "aligned_ref", "aligned_seq", "alignment_score", "start_ref", "start_seq"])
 
     distinct = pairs.select("seq", "ref").where("seq is not null and ref is not null").distinct()
-    return distinct.mapInArrow(run, "seq string, ref string, cigar_str string, aligned_ref string, aligned_seq string, alignment_score long")
+    out = distinct.mapInArrow(run, "seq string, ref string, cigar_str string, aligned_ref string, aligned_seq string, alignment_score long, start_ref long, start_seq long")
+    return out if local else out.drop("start_ref", "start_seq")
 
 
-def align_alleles(df: DataFrame, groups: list[str], start_anchor: str, end_anchor: str, *, refs: DataFrame | None = None, min_group_size: int = 1) -> DataFrame:
+def align_alleles(df: DataFrame, groups: list[str], start_anchor: str, end_anchor: str, *, refs: DataFrame | None = None, min_group_size: int = 1,
+                  fuzzy: bool = True, local: bool = False) -> DataFrame:
     """Align each molecule's sequence, trimmed to its anchors, to its group's reference: given, or the most frequent ``wt`` spacer.
 
+    ``fuzzy`` anchors may hold one wrong, or lack one, letter.  A sequence is kept from its first start anchor to the first end anchor behind it; those without both go.
     Groups with fewer than ``min_group_size`` trimmed reads, or without a reference, are left out.
     """
     s = F.col("seq")
-    a, b = F.instr(s, start_anchor), F.instr(s, end_anchor)
-    cut = df.where((a > 0) & (b > a)).withColumn("seq", F.substring(s, a, b - a + len(end_anchor)))
+    a, b = (fuzzy_regex(x) if fuzzy else x for x in (start_anchor, end_anchor))
+    cut = df.withColumn("seq", F.regexp_substr(s, F.lit(f"(?:{a}).*?(?:{b})"))).where("seq is not null")
     n = cut.groupBy(*groups).agg(F.count("*").alias("n")).where(F.col("n") >= min_group_size).drop("n")
     cut = cut.join(n, groups, "left_semi")
     if refs is None:
         wt = cut.where("wt").groupBy(*groups, "seq").agg(F.count("*").alias("n"))
         refs = wt.groupBy(*groups).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col("seq").alias("r"))).alias("b")).select(*groups, F.col("b.r").alias("ref"))
     keyed = cut.join(refs, groups)
-    return keyed.join(align_distinct(keyed), ["seq", "ref"])
+    return keyed.join(align_distinct(keyed, local), ["seq", "ref"])
 
 
 def coverage_by_position(alignments: DataFrame, max_range: int, groups: tuple[str, ...] = ()) -> DataFrame:

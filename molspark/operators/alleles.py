@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import extract_or_null
+from ..functions.sequence import approx_place, extract_or_null
 
 
 def parse_contigs(contigs: DataFrame, anchor1: str, anchor2: str, sbc_names: dict[str, str] | None = None) -> DataFrame:
@@ -100,36 +100,57 @@ def profile_erosion(ops: DataFrame, keys: list[str], max_coord: int) -> DataFram
     return full.select(*keys, "coord", F.coalesce("s", F.lit(0)).alias("total_len"), (F.coalesce("n", F.lit(0)) * 1e4 / F.col("total")).alias("per_10k"))
 
 
-def lineage_vector(df: DataFrame, intervals: list[tuple[str, int, int]], anchor: str, anchor_end: str, max_mismatch: int = 50) -> DataFrame:
+def lineage_vector(df: DataFrame, intervals: list[tuple[str, int, int]], anchor: str, anchor_end: str, max_mismatch: int = 50, anchor_errors: int = 3,
+                   read_end: str = "merged", read_length: int = 0) -> DataFrame:
     """``barcode``: per interval ``mismatches.insertions.deletions`` of an aligned pair, joined by ``|``.
 
-    Reference coordinates count bases of the reference, so an insertion shifts nothing.  The pair is cut to the first anchor of
-    the read.  Without either anchor the row is ``trash-unmatched``; an interval that is deleted whole is ``..exx``; one with more than
-    ``max_mismatch`` mismatches is ``.NA.``, as are those behind the last base read if the end anchor is missing.
+    Reference coordinates count bases of the reference, so an insertion shifts nothing.  The pair is cut to the first anchor, within ``anchor_errors`` edits, of
+    the read.  Without either anchor the row is ``trash-unmatched``; with eight As or Gs in a row inserted or deleted inside the intervals it is
+    ``trash-gen``.  An interval that is deleted whole is ``..exx``; one with more than ``max_mismatch`` mismatches is ``.NA.``.  Without the end
+    anchor every ``..exx``, and the last interval if it isn't unchanged, is ``.NA.``: nothing shows where the deletion ends.  Of a pair's
+    ``read1`` the intervals from the one that holds reference base ``read_length`` on are ``.NA.``, of its ``read2`` those up to the one that
+    holds the base ``read_length`` before the end.
     """
-    at = F.instr(F.col("aligned_seq"), anchor)
-    has_end = F.instr(F.col("aligned_seq"), anchor_end) > 0
-    cut = F.greatest(at, F.lit(1))
+    at = approx_place(F.col("aligned_seq"), anchor, anchor_errors)
+    out = df.withColumns({"__at": at, "__end": approx_place(F.col("aligned_seq"), anchor_end, anchor_errors) > 0}).withColumn("__cut", F.greatest("__at", F.lit(1)))
     pairs = F.arrays_zip(F.split(F.expr("upper(substr(aligned_ref, __cut))"), "").alias("a"), F.split(F.expr("upper(substr(aligned_seq, __cut))"), "").alias("b"))
-    start = F.struct(F.array().cast("array<struct<p:int,k:string>>").alias("out"), F.lit(-1).alias("r"))
+    start = F.struct(F.array().cast("array<struct<p:int,k:string,c:string>>").alias("out"), F.lit(-1).alias("r"))
+
+    def event(p: Column, k: Column, c: Column) -> Column:
+        return F.array(F.struct(p.alias("p"), k.alias("k"), c.alias("c")))
+
     events = F.aggregate(pairs, start, lambda acc, p: F.when(F.coalesce(p["a"], F.lit("")) == "", acc).when(
-        p["a"] == "-", F.struct(F.concat(acc["out"], F.array(F.struct(F.greatest(acc["r"], F.lit(0)).alias("p"), F.lit("i").alias("k")))).alias("out"), acc["r"].alias("r"))).otherwise(
-        F.struct(F.when(p["b"] == p["a"], acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct((acc["r"] + 1).alias("p"), F.when(p["b"] == "-", F.lit("d")).otherwise(F.lit("m")).alias("k"))))).alias("out"),
+        p["a"] == "-", F.struct(F.concat(acc["out"], event(F.greatest(acc["r"], F.lit(0)), F.lit("i"), p["b"])).alias("out"), acc["r"].alias("r"))).otherwise(
+        F.struct(F.concat(acc["out"], event(acc["r"] + 1, F.when(p["b"] == p["a"], F.lit("=")).when(p["b"] == "-", F.lit("d")).otherwise(F.lit("m")), F.when(p["b"] == "-", p["a"]).otherwise(p["b"]))).alias("out"),
                  (acc["r"] + 1).alias("r"))), lambda acc: acc["out"])
-    out = df.withColumn("__cut", cut).withColumn("__ev", events).withColumn("__last", F.length(F.regexp_replace(F.expr("substr(aligned_ref, __cut, length(rtrim('-', aligned_seq)) - __cut + 1)"), "-", "")))
-
-    def code(first: int, last: int) -> Column:
+    out = out.withColumn("__ev", events)
+    first, last = min(a for _, a, _ in intervals), max(b for _, _, b in intervals)
+    inside = F.filter("__ev", lambda e: e["p"].between(first, last))
+    runs = F.array_join(F.transform(inside, lambda e: F.when(e["k"] == "i", e["c"]).when(e["k"] == "d", F.lower(e["c"])).otherwise(".")), "")
+    out = out.withColumn("__poly", runs.rlike("A{8}|G{8}|a{8}|g{8}"))
+    n_ref = F.size(F.filter("__ev", lambda e: e["k"] != "i"))
+
+    def unread(i: int, first: int, last: int) -> Column:
+        nxt = intervals[i + 1][1] if i + 1 < len(intervals) else 1 << 30
+        if read_end == "read1":
+            return F.lit(nxt > read_length)
+        return F.lit(first) <= n_ref - read_length if read_end == "read2" else F.lit(False)
+
+    def code(i: int, first: int, last: int) -> Column:
         def n(kind: str) -> Column:
             return F.size(F.filter("__ev", lambda e: (e["p"] >= first) & (e["p"] <= last) & (e["k"] == kind)))
 
         def text(kind: str) -> Column:
             return F.when(n(kind) > 0, n(kind).cast("string")).otherwise("")
 
-        return (F.when(~has_end & (F.col("__last") <= first), ".NA.").when(n("d") == last - first + 1, "..exx").when(n("m") > max_mismatch, ".NA.")
-                .otherwise(F.concat_ws(".", text("m"), text("i"), text("d"))))
+        whole = (F.when(unread(i, first, last) | (n("m") > max_mismatch), ".NA.").when(n("d") == last - first + 1, "..exx")
+                 .otherwise(F.concat_ws(".", text("m"), text("i"), text("d"))))
+        lost = whole == "..exx" if i + 1 < len(intervals) else whole != ".."
+        return F.when(~F.col("__end") & lost, ".NA.").otherwise(whole)
 
-    codes = F.array_join(F.array(*(code(a, b) for _, a, b in intervals)), "|")
-    return out.withColumn("barcode", F.when((at == 0) & ~has_end, "trash-unmatched").otherwise(codes)).drop("__cut", "__ev", "__last")
+    codes = F.array_join(F.array(*(code(i, a, b) for i, (_, a, b) in enumerate(intervals))), "|")
+    barcode = F.when((F.col("__at") == 0) & ~F.col("__end"), "trash-unmatched").when(F.col("__poly"), "trash-gen").otherwise(codes)
+    return out.withColumn("barcode", barcode).drop("__at", "__end", "__cut", "__ev", "__poly")
 
 
 def cs_alleles(df: DataFrame, loci: DataFrame, window: int = 60) -> DataFrame:

@@ -212,8 +212,11 @@ def meta_frequency_filter(types: DataFrame, threshold: float = 1.0, *, expected:
     return out.join(names.withColumnRenamed("m", "end_meta"), "end_meta", "left_semi").select(*types.columns)
 
 
-def segmentation_report(segments: DataFrame, contigs: DataFrame, metas: dict[str, str], molecule: list[str], threshold: float = 0.2) -> DataFrame:
-    """Long form ``section, key, value``: totals, pair and edge counts, heterogeneity, contig lengths, META presence."""
+def segmentation_report(segments: DataFrame, contigs: DataFrame, metas: dict[str, str], molecule: list[str], threshold: float = 0.2, assembled: DataFrame | None = None) -> DataFrame:
+    """Long form ``section, key, value``: totals, pair and edge counts, heterogeneity, segments per molecule, contig lengths, META presence.
+
+    With ``assembled`` (start_meta, end_meta, contig), the percent of each type whose contig isn't empty, and of all.
+    """
     def rows(df: DataFrame, section: str, key: Column, value: Column) -> DataFrame:
         return df.select(F.lit(section).alias("section"), key.alias("key"), value.cast("double").alias("value"))
 
@@ -225,6 +228,12 @@ def segmentation_report(segments: DataFrame, contigs: DataFrame, metas: dict[str
     out.append(rows(types, "transitions", F.concat_ws(">", "start_meta", "end_meta"), F.col("count")))
     het = transition_heterogeneity(segments, molecule, threshold)
     out.append(rows(het, "heterogeneity", F.concat_ws(":", "mode", F.col("n_transition_types").cast("string")), F.col("molecules")))
+    per = segments.groupBy(*molecule).agg(F.count("*").alias("n")).agg(F.avg("n").alias("mean"), F.median("n").alias("median"), F.min("n").alias("min"), F.max("n").alias("max"))
+    out += [rows(per, "segments_per_molecule", F.lit(c), F.col(c)) for c in per.columns]
+    if assembled is not None:
+        ok = 100 * F.avg((F.length(F.coalesce("contig", F.lit(""))) > 0).cast("int"))
+        out.append(rows(assembled.groupBy("start_meta", "end_meta").agg(ok.alias("ok")), "assembly", F.concat_ws(">", "start_meta", "end_meta"), F.col("ok")))
+        out.append(rows(assembled.agg(ok.alias("ok")), "assembly", F.lit("all"), F.col("ok")))
     n = F.length("contig")
     lengths = contigs.where(n > 0).agg(F.count("*").alias("contigs"), F.avg(n).alias("mean"), F.median(n).alias("median"))
     out += [rows(lengths, "contigs", F.lit(c), F.col(c)) for c in lengths.columns]

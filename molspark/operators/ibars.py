@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import fuzzy_pattern, fuzzy_regex, half_guard
-from .umi import barcode_merge, materialise
+from ..sources.shared import materialise
+from .umi import barcode_merge, merge_roots
 
 # The guide's features.
 TSO, U6, BROKEN_U6 = "TTTCTTATATGGG", "GACGAAACACC", "GGAAAGAAACACCG"
@@ -107,10 +108,17 @@ def reads_to_molecules(reads: DataFrame, spacers: list[str], modality: str = "si
     return with_counts(with_counts(m, [*keys, "seq"], "umis_allele", F.col("umi")), keys, "n_sib", F.col("seq"))
 
 
-def valid_ibars(df: DataFrame, min_cells: int, min_mols: int, errors: int = 1) -> DataFrame:
-    """Barcodes without N in more than ``min_cells`` cells and ``min_mols`` molecules that no better one within ``errors`` absorbs."""
+def valid_ibars(df: DataFrame, min_cells: float, min_mols: int, errors: int = 1, fraction: bool = False) -> DataFrame:
+    """Barcodes without N in more than ``min_cells`` cells and ``min_mols`` molecules that no better one within ``errors`` absorbs.
+
+    With ``fraction``, ``min_cells`` is a share of all cells.
+    """
     n = df.groupBy("raw_ibar").agg(F.countDistinct("cbc").alias("cells"), F.count("*").alias("mols"))
-    some = n.where((F.col("cells") > min_cells) & (F.col("mols") > min_mols) & ~F.col("raw_ibar").contains("N"))
+    least = F.lit(min_cells)
+    if fraction:
+        n = n.crossJoin(F.broadcast(df.agg(F.countDistinct("cbc").alias("all_cells"))))
+        least = F.lit(float(min_cells)) * F.col("all_cells")
+    some = n.where((F.col("cells") > least) & (F.col("mols") > min_mols) & ~F.col("raw_ibar").contains("N")).drop("all_cells")
     own = barcode_merge(some, errors, "dist", "raw_ibar", "mols").where("old = new").select(F.col("old").alias("raw_ibar"))
     return some.join(own, "raw_ibar", "left_semi")
 
@@ -288,8 +296,8 @@ def marginal_cut(mols: DataFrame) -> DataFrame:
 def ibar_correlation_groups(mols: DataFrame, min_cells: int = 10, min_corr: float = 0.2) -> DataFrame:
     """Barcodes of correlated presence across cells: ``raw_ibar, grp`` by size from 1; -1 where a barcode has no partner.
 
-    Sums over cells come from one self join on the cell; barcodes with a correlation of at least ``min_corr`` are linked, and the smallest
-    name is passed along links until nothing changes.
+    Sums over cells come from one self join on the cell; barcodes with a correlation of at least ``min_corr`` are linked; linked groups are
+    hooked to the smallest name beside them until nothing changes.
     """
     x = mols.where("wt").groupBy("cbc", "raw_ibar").agg(F.count("*").cast("double").alias("x"))
     stats = x.groupBy("raw_ibar").agg(F.count("*").alias("k"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss")).where(F.col("k") >= min_cells)
@@ -301,14 +309,16 @@ def ibar_correlation_groups(mols: DataFrame, min_cells: int = 10, min_corr: floa
     edges = sxy.join(sa, "a").join(sb, "b").crossJoin(F.broadcast(n)).where(r >= min_corr).select("a", "b")
     both = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "corr-edges")
     label = materialise(both.select("a").distinct().select("a", F.col("a").alias("root")), "corr-label")
-    while True:
+    while True:  # the smallest root among the neighbours, then the root's own root: rounds follow the logarithm of the longest chain
         best = both.join(label.withColumnsRenamed({"a": "b"}), "b").groupBy("a").agg(F.min("root").alias("near"))
-        new = materialise(label.join(best, "a", "left").select("a", F.least("root", "near").alias("root")), "corr-label")
-        if new.join(label, ["a", "root"], "left_anti").isEmpty():
+        hooks = label.join(best, "a").groupBy("root").agg(F.min("near").alias("to")).where("to < root").select(F.col("root").alias("old"), F.col("to").alias("new"))
+        hooks = materialise(hooks, "corr-hooks")
+        if hooks.isEmpty():
             break
-        label = new
-    sizes = new.groupBy("root").agg(F.count("*").alias("size")).withColumn("grp", F.row_number().over(Window.orderBy(F.desc("size"), "root")))  # a row a group
-    named = new.join(sizes, "root").select(F.col("a").alias("raw_ibar"), "grp")
+        roots = label.select("root").distinct().join(hooks, F.col("root") == F.col("old"), "left").select(F.col("root").alias("old"), F.coalesce("new", "root").alias("new"))
+        label = materialise(label.join(merge_roots(roots).withColumnRenamed("old", "root"), "root").select("a", F.col("new").alias("root")), "corr-label")
+    sizes = label.groupBy("root").agg(F.count("*").alias("size")).withColumn("grp", F.row_number().over(Window.orderBy(F.desc("size"), "root")))  # a row a group
+    named = label.join(sizes, "root").select(F.col("a").alias("raw_ibar"), "grp")
     return stats.select("raw_ibar").join(named, "raw_ibar", "left").withColumn("grp", F.coalesce("grp", F.lit(-1)))
 
 
@@ -323,6 +333,20 @@ def clone_filter(mols: DataFrame, min_clone_share: float = 0.0) -> DataFrame:
     return per.select("cbc", "clusters", "n_clusters", (-F.col("r")[0]["c"]).alias("top_cluster"), F.col("r")[0]["n"].alias("rank1"), F.coalesce(F.try_element_at("r", F.lit(2))["n"], F.lit(0)).alias("rank2"))
 
 
+def clone_table(mols: DataFrame, anchor5: str, anchor3: str, min_clone_size: float = 0.01, cell: str = "cbc", barcode: str = "raw_ibar", allele: str = "allele") -> DataFrame:
+    """Molecules of clones that a share of all cells holds, with on-target flag, cell size, clone size and UMIs of their allele.
+
+    ``ot``: both anchors stand in ``seq``; ``csize``: UMIs of the cell; ``clone_size``: share of cells with the barcode; ``allele_umis``: UMIs of
+    the allele of the cell's barcode.  Distinct counts are taken by partial aggregates and joined back, so no group is held in one task.
+    """
+    total = mols.agg(F.countDistinct(cell).alias("__cells"))
+    clones = mols.groupBy(barcode).agg(F.countDistinct(cell).alias("__k")).crossJoin(F.broadcast(total)).select(barcode, (F.col("__k") / F.col("__cells")).alias("clone_size"))
+    sizes = mols.groupBy(cell).agg(F.countDistinct("umi").alias("csize"))
+    kept = mols.withColumn("ot", F.col("seq").contains(anchor5) & F.col("seq").contains(anchor3)).join(clones.where(F.col("clone_size") >= min_clone_size), barcode)
+    alleles = kept.groupBy(allele, cell, barcode).agg(F.countDistinct("umi").alias("allele_umis"))
+    return kept.join(sizes, cell).join(alleles, [allele, cell, barcode])
+
+
 def genotype_table(mols: DataFrame, key: str, value: str, top_n: int) -> DataFrame:
     """Top values of each key side by side, and the number of cases guessed from the top share: round(1 / share)."""
     n = mols.groupBy(key, value).agg(F.count("*").alias("n"))
@@ -333,13 +357,28 @@ def genotype_table(mols: DataFrame, key: str, value: str, top_n: int) -> DataFra
     return wide.join(total, key).withColumn("cases", F.round(F.col("total") / F.col("top")).cast("int")).drop("total", "top")
 
 
-def integration_coords(chains: DataFrame, min_points: int = 30) -> DataFrame:
+def contacts_to_cis(contacts: DataFrame, lineage: str = "Lin") -> DataFrame:
+    """Contacts (chr1, start1, chr2, start2, mol) of the lineage chromosome with another, as contacts of the other with itself, one base long."""
+    chrom, at = F.concat(F.lit("chr"), F.col("chr2").cast("string")), F.col("start2").cast("long")
+    trans = contacts.where((F.col("chr1") == lineage) & (F.col("chr1") != F.col("chr2")))
+    return trans.select(chrom.alias("chrom1"), at.alias("start1"), (at + 1).alias("end1"), chrom.alias("chrom2"), F.col("start2").alias("start2"), (at + 1).alias("end2"), "mol")
+
+
+def integration_coords(chains: DataFrame, min_points: int = 30, all_top: bool = False) -> DataFrame:
     """Chain lines ``rid ibar chrom:start,chrom:start`` to barcodes' places: top chromosome, its share, and the median distinct start.
 
-    Barcodes need more than ``min_points`` distinct points on their top chromosome.
+    Barcodes need more than ``min_points`` distinct points on their top chromosome.  With ``all_top`` a barcode may have several places: its
+    round(1 / top share) chromosomes with the most hits, repeated ones counted; ties by name.
     """
     parts = F.split("value", "\\s+")
     hit = chains.select(parts[1].alias("ibar"), F.explode(F.split(parts[2], ",")).alias("at")).select("ibar", F.split_part("at", F.lit(":"), F.lit(1)).alias("chrom"), F.split_part("at", F.lit(":"), F.lit(2)).try_cast("long").alias("start"))
+    if all_top:
+        hits = hit.where("start is not null").groupBy("ibar", "chrom").agg(F.count("*").alias("hits"))
+        totals = hits.groupBy("ibar").agg(F.sum("hits").alias("total"), F.max("hits").alias("top"))
+        rank = F.row_number().over(Window.partitionBy("ibar").orderBy(F.desc("hits"), "chrom"))  # a row a chromosome
+        some = hits.join(totals, "ibar").withColumn("k", rank).where(F.col("k") <= F.round(F.col("total") / F.col("top")))
+        medians = hit.where("start is not null").distinct().groupBy("ibar", "chrom").agg(F.count("*").alias("points"), F.percentile("start", F.lit(0.5)).alias("median_start"))
+        return some.join(medians.where(F.col("points") > min_points), ["ibar", "chrom"]).select("ibar", "chrom", "points", "median_start", (F.col("hits") / F.col("total")).alias("share"))
     points = hit.where("start is not null").distinct().groupBy("ibar", "chrom").agg(F.count("*").alias("n"), F.percentile("start", F.lit(0.5)).alias("median_start"))
     top = points.groupBy("ibar").agg(F.max_by(F.struct("chrom", "n", "median_start"), F.struct("n", "chrom")).alias("t"), F.sum("n").alias("total"))
     return top.where(F.col("t.n") > min_points).select("ibar", "t.chrom", F.col("t.n").alias("points"), "t.median_start", (F.col("t.n") / F.col("total")).alias("share"))

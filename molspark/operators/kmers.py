@@ -84,6 +84,14 @@ def assemble_umis(df: DataFrame, groups: list[str], *, seq: str = "r2_seq", k: i
                   start_anchor: str = "", end_anchor: str = "", min_length: int = 0) -> DataFrame:
     """One contig a group by its de Bruijn graph; empty if there is none of ``min_length``.
 
+    The walk is of ``_assembled``, for one k and coverage."""
+    return _assembled(df, groups, [k], [min_coverage], seq=seq, method=method, start_anchor=start_anchor, end_anchor=end_anchor, min_length=min_length).drop("k", "min_coverage")
+
+
+def _assembled(df: DataFrame, groups: list[str], ks: list[int], coverages: list[int], *, seq: str = "r2_seq", method: str = "shortest_path",
+               start_anchor: str = "", end_anchor: str = "", min_length: int = 0) -> DataFrame:
+    """Groups x k x coverage with a contig each.
+
     Reads are cut to [start anchor, end anchor] where they hold them, k-mers are counted by Spark, those below
     ``min_coverage`` dropped, and only the edges left of one UMI, at most the distinct k-mers of one molecule, are walked in
     Python: ``shortest_path`` from the start to the end anchor's (k-1)-mer, or ``compression``, the longest unitig.
@@ -93,10 +101,16 @@ def assemble_umis(df: DataFrame, groups: list[str], *, seq: str = "r2_seq", k: i
         s = F.when(F.instr(s, start_anchor) > 0, F.substring(s, F.instr(s, start_anchor), F.length(s))).otherwise(s)
     if end_anchor:
         s = F.when(F.instr(s, end_anchor) > 0, F.substring(s, F.lit(1), F.instr(s, end_anchor) + len(end_anchor) - 1)).otherwise(s)
-    edges = debruijn_edges(df.withColumn("__s", s), groups, "__s", k).where(F.col("count") >= min_coverage)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*groups).schema) + ", contig string"
+    each = df.select(*groups, s.alias("__s"), F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    starts = F.when(F.length("__s") >= F.col("k"), F.sequence(F.lit(1), F.length("__s") - F.col("k") + 1))
+    n = each.select(*groups, "k", F.explode(F.transform(starts, lambda i: F.substring("__s", i, F.col("k")))).alias("kmer")).groupBy(*groups, "k", "kmer").agg(F.count("*").alias("count"))
+    cuts = F.explode(F.filter(F.array(*map(F.lit, coverages)), lambda c: c <= F.col("count")))
+    edges = n.select(*groups, "k", F.expr("substr(kmer, 1, k - 1)").alias("src"), F.expr("substr(kmer, 2)").alias("dst"), "count", cuts.alias("min_coverage"))
+    keys = [*groups, "k", "min_coverage"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*groups).schema) + ", k int, min_coverage int, contig string"
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = int(pdf["k"].iloc[0])
         graph: dict[str, list[tuple[str, int]]] = defaultdict(list)
         for a, b, n in sorted(zip(pdf["src"], pdf["dst"], pdf["count"], strict=True)):
             graph[a].append((b, int(n)))
@@ -107,24 +121,25 @@ def assemble_umis(df: DataFrame, groups: list[str], *, seq: str = "r2_seq", k: i
             contig = _path(graph, first, last) if first and last else ""
         else:
             contig = _unitig(graph)
-        return pdf[groups].head(1).assign(contig=contig if len(contig) >= min_length else "")
+        return pdf[keys].head(1).assign(contig=contig if len(contig) >= min_length else "")
 
-    found = edges.groupBy(*groups).applyInPandas(walk, schema)
-    return df.select(*groups).distinct().join(found, groups, "left").withColumn("contig", F.coalesce("contig", F.lit("")))
+    found = edges.groupBy(*keys).applyInPandas(walk, schema)
+    grid = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(c).alias("min_coverage")) for k in ks for c in coverages)))
+    every = df.select(*groups).distinct().select(*groups, grid.alias("g")).select(*groups, "g.k", "g.min_coverage")
+    return every.join(found, keys, "left").select(*groups, F.coalesce("contig", F.lit("")).alias("contig"), "k", "min_coverage")
 
 
 def assembly_sweep(df: DataFrame, groups: list[str], ks: list[int], coverages: list[int], **options) -> DataFrame:
-    """Contigs for every k and coverage of a grid."""
-    out = None
-    for k in ks:
-        for c in coverages:
-            one = assemble_umis(df, groups, k=k, min_coverage=c, **options).withColumns({"k": F.lit(k), "min_coverage": F.lit(c)})
-            out = one if out is None else out.unionByName(one)
-    return out
+    """Contigs for every k and coverage of a grid: the reads are read once, their k-mers of all lengths counted together, and coverages cut the counts."""
+    return _assembled(df, groups, ks, coverages, **options)
 
 
-def assembly_optimize(df: DataFrame, groups: list[str], ks: list[int], coverages: list[int], *, start_anchor: str, end_anchor: str, prioritize_length: bool = False, **options) -> DataFrame:
-    """Per group the contig that holds both anchors, then the longest (or longest first); ``failed`` if empty."""
+def assembly_optimize(df: DataFrame, groups: list[str], ks: list[int], coverages: list[int], *, start_anchor: str, end_anchor: str, prioritize_length: bool = False,
+                      min_reads: int = 1, **options) -> DataFrame:
+    """Per group of at least ``min_reads`` reads the contig that holds both anchors, then the longest (or longest first); ``failed`` if empty."""
+    if min_reads > 1:
+        enough = df.groupBy(*groups).agg(F.count("*").alias("__n")).where(F.col("__n") >= min_reads).select(*groups)
+        df = df.join(enough, groups, "left_semi")
     grid = assembly_sweep(df, groups, ks, coverages, start_anchor=start_anchor, end_anchor=end_anchor, **options)
     both = (F.col("contig").contains(start_anchor) & F.col("contig").contains(end_anchor)).cast("int")
     n = F.length("contig")

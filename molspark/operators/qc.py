@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import hash_order, hash_share
+from ..sources.shared import materialise
+
 
 def _sampled_umis(df: DataFrame, n: int, reps: int, seed: int) -> DataFrame:
     """(rep, umi): ``n`` UMIs for each repetition in the order of a seeded hash."""
     umis = df.select("umi").distinct().select("umi", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    w = Window.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", "umi"), "umi")
+    w = Window.partitionBy("rep").orderBy(hash_order(seed, F.col("rep"), F.col("umi")), "umi")
     return umis.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).drop("k")
 
 
@@ -33,7 +36,7 @@ def saturation_curve(df: DataFrame, sizes: list[int], reps: int = 3, threshold:
     its hash's share of all reads, so no global order is needed.  ``velocity`` is new UMIs a new read; ``smooth`` its mean over 10.
     """
     total = df.agg(F.count("*").alias("total"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "rep", "read_id", "umi"), F.lit(1 << 30)) / float(1 << 30)
+    u = hash_share(F.concat_ws(":", F.col("rep").cast("string"), "read_id", "umi"), seed)
     reads = df.select("umi", "read_id", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).crossJoin(F.broadcast(total))
     placed = reads.withColumn("place", u * F.col("total")).withColumn("size", F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda s: s > F.col("place"))))
     per = placed.groupBy("rep", "size", "umi").agg(F.count("*").alias("n"))
@@ -44,6 +47,19 @@ def saturation_curve(df: DataFrame, sizes: list[int], reps: int = 3, threshold:
     return curve.withColumn("velocity", velocity).withColumn("smooth", F.avg("velocity").over(w.rowsBetween(-9, 0)))
 
 
+def reads_per_umi_depths(df: DataFrame, read_id: str = "read_id", n: int = 5, seed: int = 0) -> DataFrame:
+    """``reads_per_umi_ecdf`` at ``n`` depths that divide the reads evenly: ``depth`` 1 to n.
+
+    A read is in all depths above its hash place, so deeper samples hold the shallower ones, and no global order is needed.
+    """
+    place = hash_share(F.col(read_id), seed)
+    deep = df.select("umi", F.explode(F.sequence((F.floor(place * n) + 1).cast("int"), F.lit(n))).alias("depth"))
+    hist = deep.groupBy("depth", "umi").agg(F.count("*").alias("reads")).groupBy("depth", "reads").agg(F.count("*").alias("umis"))
+    w = Window.partitionBy("depth")  # a row a distinct number of reads
+    below = w.orderBy(F.desc("reads")).rowsBetween(Window.unboundedPreceding, 0)
+    return hist.select("depth", "reads", "umis", (F.sum("umis").over(below) / F.sum("umis").over(w)).alias("at_least"))
+
+
 def reads_per_umi_ecdf(df: DataFrame) -> DataFrame:
     """Share of UMIs with at least each number of reads."""
     hist = df.groupBy("umi").agg(F.count("*").alias("reads")).groupBy("reads").agg(F.count("*").alias("umis"))
@@ -52,17 +68,45 @@ def reads_per_umi_ecdf(df: DataFrame) -> DataFrame:
     return hist.crossJoin(F.broadcast(total)).select("reads", "umis", (F.sum("umis").over(w) / F.col("total")).alias("at_least"))
 
 
-def knee_threshold(df: DataFrame, min_reads: int = 1) -> DataFrame:
-    """The number of reads at the knee of the ranked curve: farthest from the chord between its ends in log10 rank and log10 reads.
+def knee_threshold(df: DataFrame, min_reads: int = 1, method: str = "chord", seed: int = 42) -> DataFrame:
+    """A number of reads that parts real UMIs from noise, from the ranked curve of reads per UMI: one row, ``threshold``.
 
-    UMIs with equal reads share a point, at the last of their ranks, so the curve has a row a distinct number of reads.
+    ``chord``: the point farthest from the chord between the curve's ends in log10 rank and log10 reads, or, if none is off it, as ``drop``.
+    ``drop``: the number behind the steepest fall of log10 reads from one UMI to the next (ties: the largest).  ``kmeans``: two means on log rank and
+    log reads, cut halfway, in log10, between the groups; the number itself if there is one alone.
+    UMIs with equal reads share a point, at the last of their ranks (``kmeans``: weighted by their number), so the curve has a row a distinct number of reads.
     """
+    if method not in ("chord", "drop", "kmeans"):
+        raise ValueError(f"unknown method: {method}")
     hist = df.groupBy("umi").agg(F.count("*").alias("reads")).where(F.col("reads") >= min_reads).groupBy("reads").agg(F.count("*").alias("umis"))
     w = Window.orderBy(F.desc("reads")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = hist.select(F.log10("reads").alias("y"), F.log10(F.sum("umis").over(w)).alias("x"), "reads")
+    curve = hist.select(F.log10("reads").alias("y"), F.log10(F.sum("umis").over(w)).alias("x"), "reads", "umis")
+    fall = F.col("y") - F.lag("y").over(Window.orderBy(F.desc("reads")))
+    falls = F.when(F.col("fall").isNotNull(), F.struct(F.round("fall", 9), -F.col("reads")))
+    drop = curve.withColumn("fall", fall).agg(F.coalesce(F.min_by("reads", falls), F.max("reads")).alias("threshold"))
+    if method == "drop":
+        return drop
+    if method == "kmeans":
+        return _two_means(curve, seed)
     ends = curve.agg(F.min_by("x", "x").alias("x0"), F.min_by("y", "x").alias("y0"), F.max("x").alias("x1"), F.max_by("y", "x").alias("y1"))
     d = F.abs((F.col("y1") - F.col("y0")) * F.col("x") - (F.col("x1") - F.col("x0")) * F.col("y") + F.col("x1") * F.col("y0") - F.col("y1") * F.col("x0"))
-    return curve.crossJoin(F.broadcast(ends)).agg(F.max_by("reads", F.struct(F.round(d, 9), "reads")).alias("threshold"))
+    far = curve.crossJoin(F.broadcast(ends)).agg(F.max_by("reads", F.struct(F.round(d, 9), "reads")).alias("knee"), F.max(F.round(d, 9)).alias("off"))
+    return far.crossJoin(drop).select(F.when(F.col("off") > 0, F.col("knee")).otherwise(F.col("threshold")).alias("threshold"))
+
+
+def _two_means(curve: DataFrame, seed: int) -> DataFrame:
+    """The cut between two clusters of the points (x, y), each weighted by its UMIs."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    points = materialise(curve, "knee-curve")
+    if points.count() < 2:
+        return points.agg(F.max("reads").cast("double").alias("threshold"))
+    placed = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(points)
+    model = KMeans(k=2, seed=seed, weightCol="umis").fit(placed)
+    groups = model.transform(placed).groupBy("prediction").agg((F.sum(F.col("y") * F.col("umis")) / F.sum("umis")).alias("mean"), F.min("y").alias("low"), F.max("y").alias("high"))
+    cut = groups.agg(F.max_by("low", "mean").alias("signal"), F.min_by("high", "mean").alias("noise"))
+    return cut.select(F.pow(F.lit(10.0), (F.col("signal") + F.col("noise")) / 2).alias("threshold"))
 
 
 def bin_values(col: Column, breaks: list[float], labels: list[str]) -> Column:

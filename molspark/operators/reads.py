@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import extract_or_null, fuzzy_regex, half_guard, has_fuzzy, low_quality_bases, reverse_complement, reverse_complement_text, sanitize
+from ..functions.sequence import extract_or_null, fuzzy_regex, half_guard, has_fuzzy, hash_order, low_quality_bases, reverse_complement, reverse_complement_text, sanitize
 
 
 def fuzzy_sanitize(df: DataFrame, features: list[str], anchors: list[str], col: str = "seq", wildcard: str = ".{0,1}") -> DataFrame:
@@ -40,8 +42,10 @@ def quality_filter(df: DataFrame, qual_col: str, tolerance: int, min_qual: str =
     return df.where(low_quality_bases(F.col(qual_col), min_qual) < tolerance)
 
 
-def quality_background_quantile(df: DataFrame, qual_col: str, q: float = 0.5) -> DataFrame:
-    """Per read position the quantile ``q`` of the phred values: ``pos`` from 0, ``q``."""
+def quality_background_quantile(df: DataFrame, qual_col: str, q: float = 0.5, first: int | None = None, order: str | None = None) -> DataFrame:
+    """Per read position the quantile ``q`` of the phred values: ``pos`` from 0, ``q``; of all reads, or of the ``first`` ones by the column ``order``."""
+    if first is not None:
+        df = df.orderBy(order).limit(first)
     each = df.select(F.posexplode(F.split(qual_col, "")).alias("pos", "c")).where("c != ''")
     return each.groupBy("pos").agg(F.percentile(F.ascii("c") - 33, F.lit(q)).alias("q"))
 
@@ -71,12 +75,22 @@ def quality_span_gate(df: DataFrame, bg: DataFrame, pattern: str, whitelist: Dat
     return counts.crossJoin(F.broadcast(top)).where(F.col("n") >= (1 - rank) * F.col("top")).drop("top")
 
 
-def regex_trim(df: DataFrame, pattern: str, col: str = "seq") -> DataFrame:
-    """Cut each sequence where ``pattern`` starts; where it doesn't match, at the mean start of those that do."""
-    at = F.regexp_instr(F.col(col), F.lit(pattern))
-    mean = df.select(F.avg(F.when(at > 0, at - 1)).cast("long").alias("mean_start"))
+def regex_trim(df: DataFrame, pattern: str, col: str = "seq", span_index: int = 0) -> DataFrame:
+    """Cut each sequence where the first match of ``pattern`` starts, or with ``span_index`` 1 where it ends; where it doesn't match, at the mean place of those that do."""
+    start = F.regexp_instr(F.col(col), F.lit(pattern))
+    at = F.when(start > 0, start - 1 + (F.length(F.regexp_substr(F.col(col), F.lit(pattern))) if span_index else F.lit(0)))
+    mean = df.select(F.avg(at).cast("long").alias("mean_start"))
     return df.crossJoin(F.broadcast(mean)).withColumn(
-        "trimmed", F.substring(F.col(col), F.lit(1), F.when(at > 0, at - 1).otherwise(F.coalesce(F.col("mean_start"), F.length(col))).cast("int"))).drop("mean_start")
+        "trimmed", F.substring(F.col(col), F.lit(1), F.coalesce(at, F.col("mean_start"), F.length(col)).cast("int"))).drop("mean_start")
+
+
+def keep_groups(df: DataFrame, pattern: str, col: str = "seq") -> DataFrame:
+    """``trimmed``: the named groups ``(?P<name>...)`` of the first match, joined in their order; a sequence without a match stays as it is."""
+    groups = sorted(re.compile(pattern).groupindex.values())
+    java = re.sub(r"\(\?P<\w+>", "(", pattern)
+    s = F.col(col)
+    joined = F.concat(*(F.regexp_extract(s, java, g) for g in groups))
+    return df.withColumn("trimmed", F.when(s.rlike(java), joined).otherwise(s))
 
 
 def orient_reads(df: DataFrame, anchor: str, wildcard: str = ".{0,4}") -> DataFrame:
@@ -179,6 +193,14 @@ def correct_barcodes(df: DataFrame, pairs: DataFrame, col: str = "cbc") -> DataF
     return df.join(one, col, "left").withColumn("matched", F.col("__new").isNotNull()).withColumn(col, F.coalesce("__new", col)).drop("__new")
 
 
+def correction_report(corrected: DataFrame, col: str = "cbc") -> DataFrame:
+    """What ``correct_barcodes`` matched: a row ``matched`` with the share of reads in ``fraction``, and a row for each barcode it missed with its reads."""
+    total = corrected.agg(F.count("*").alias("all"), F.avg(F.col("matched").cast("int")).alias("share"), F.sum(F.col("matched").cast("long")).alias("n"))
+    one = total.select(F.lit("matched").alias("case"), F.lit(None).cast("string").alias(col), F.coalesce("n", F.lit(0)).alias("reads"), "share")
+    missed = corrected.where("not matched").groupBy(col).agg(F.count("*").alias("reads")).crossJoin(F.broadcast(total.select("all")))
+    return one.unionByName(missed.select(F.lit("missed").alias("case"), col, "reads", (F.col("reads") / F.col("all")).alias("share"))).withColumnRenamed("share", "fraction")
+
+
 def cells_from_umis(df: DataFrame, pairs: DataFrame | None = None, cell_len: int = 16) -> DataFrame:
     """``cell`` of each compound UMI: corrected if a map is given, else as is with ``-1`` unless it holds an N."""
     out = df.select(F.substring("umi", 1, cell_len).alias("raw"), "umi").distinct()
@@ -212,7 +234,14 @@ def tag_read_ids(df: DataFrame, umi_len: int) -> DataFrame:
 
 
 def ingest_experiments(frames: list[DataFrame], batches: DataFrame, valid_cells: DataFrame | None, min_mols: int) -> DataFrame:
-    """Molecules of all experiments with their batch; cells get it as suffix; barcodes need ``min_mols`` molecules."""
+    """Molecules of all experiments with their batch; cells get it as suffix; barcodes need ``min_mols`` molecules.
+
+    Samples and batches must be 1:1; a sample listed twice, or a batch of two samples, is an error.
+    """
+    pairs = batches.select("sample_id", "batch").distinct()
+    if bad := [r[0] for c in ("sample_id", "batch") for r in pairs.groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(c).limit(10).collect()]:
+        raise ValueError(f"samples and batches are not 1:1: {bad}")
+    batches = pairs
     allm = frames[0]
     for f in frames[1:]:
         allm = allm.unionByName(f)
@@ -224,11 +253,18 @@ def ingest_experiments(frames: list[DataFrame], batches: DataFrame, valid_cells:
 
 
 def downsample_per_group(df: DataFrame, n: int, over: list[str], key: str, seed: int = 0) -> DataFrame:
-    """At most ``n`` rows of each group, chosen by a seeded hash of ``key`` (a sampling operator)."""
-    w = Window.partitionBy(*over).orderBy(F.xxhash64(F.lit(seed), key), key)
+    """At most ``n`` rows of each group, chosen by a seeded hash of ``key``, ties by all columns (a sampling operator)."""
+    w = Window.partitionBy(*over).orderBy(hash_order(seed, F.col(key)), key, *(c for c in df.columns if c != key))
     return df.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= n).drop("__k")
 
 
+def head_per_file(df: DataFrame, n: int, order: str) -> DataFrame:
+    """The first ``n`` rows by ``order`` of each input file, with the file's name; ``df`` is read from files."""
+    named = df.withColumn("file", F.input_file_name())
+    w = Window.partitionBy("file").orderBy(order)
+    return named.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= n).drop("__k")
+
+
 def downsample_by_coverage(df: DataFrame, umis_per_group: int = 30, seed: int = 0) -> DataFrame:
     """All reads of up to ``umis_per_group`` UMIs around the 10, 50 and 90 % quantiles of reads per UMI."""
     counts = df.groupBy("umi").agg(F.count("*").alias("n"))

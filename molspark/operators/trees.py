@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .umi import materialise
+from ..functions.sequence import hash_order
+from ..sources.shared import materialise
 
 
 def _fold(sets: Column) -> Column:
@@ -61,7 +62,7 @@ def parsimony_null(edges: DataFrame, states: DataFrame, n: int = 1000, seed: int
     each = states.select("tree_id", "site", "leaf", "state", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("perm"))
     w = Window.partitionBy("tree_id", "site", "perm")  # the leaves of one tree
     a = each.select("tree_id", "site", "perm", "leaf", F.row_number().over(w.orderBy("leaf")).alias("k"))
-    b = each.select("tree_id", "site", "perm", "state", F.row_number().over(w.orderBy(F.when(F.col("perm") > 0, F.xxhash64(F.lit(seed), "perm", "leaf")), "leaf")).alias("k"))
+    b = each.select("tree_id", "site", "perm", "state", F.row_number().over(w.orderBy(F.when(F.col("perm") > 0, hash_order(seed, F.col("perm"), F.col("leaf"))), "leaf")).alias("k"))
     mixed = a.join(b, ["tree_id", "site", "perm", "k"]).drop("k")
     scores = parsimony_score(edges, mixed, ("tree_id", "site", "perm"))
     obs = scores.where("perm = 0").select("tree_id", "site", F.col("score").alias("observed"))

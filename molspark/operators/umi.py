@@ -2,35 +2,50 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import hamming
+from ..functions.sequence import hamming, hash_share
+from ..sources.shared import materialise
+
 
+def umi_from_mates(df: DataFrame, mates: DataFrame, read_id: str = "read_id") -> DataFrame:
+    """``df`` with the ``umi`` that the mate of each read carries, by read id; reads without a mate go."""
+    return df.join(mates.groupBy(read_id).agg(F.min("umi").alias("umi")), read_id)
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/molspark-checkpoints").rstrip("/")
 
+def umi_from_tags(use_uncorrected: bool = False, corrected: tuple[str, str] = ("CB", "UB"), raw: tuple[str, str] = ("CR", "UR")) -> Column:
+    """Cell and molecule tags joined: the corrected ones where both are set, else, if asked for, the raw ones; null without."""
+    tags = F.concat(*corrected)  # null if either is
+    return F.coalesce(tags, F.concat(*raw)) if use_uncorrected else tags
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: ends the lineage of a loop's step."""
-    path = f"{shared_dir(df.sparkSession)}/molspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def umi_collapse(df: DataFrame, umi: Column, *, min_reads: int = 1, whitelist: DataFrame | None = None, seq: str = "seq",
+                 match_pattern: str | None = None, fraction: float | None = None, read_id: str = "read_id", seed: int = 0) -> DataFrame:
+    """Reads and distinct sequences of each UMI with at least ``min_reads``.
 
-def umi_collapse(df: DataFrame, umi: Column, *, min_reads: int = 1, whitelist: DataFrame | None = None, seq: str = "seq") -> DataFrame:
-    """Reads and distinct sequences of each UMI with at least ``min_reads``."""
-    keyed = df.withColumn("umi", umi)
+    ``umi``: a slice of the read, the tags of ``umi_from_tags``, or the column that ``umi_from_mates`` adds; reads without one go.  Reads
+    must match ``match_pattern``; ``fraction`` draws that share of them by a seeded hash of ``read_id``.
+    """
+    if match_pattern is not None:
+        df = df.where(F.col(seq).rlike(match_pattern))
+    if fraction is not None:
+        df = df.where(hash_share(F.col(read_id), seed) < fraction)
+    keyed = df.withColumn("umi", umi).where("umi is not null")
     if whitelist is not None:
         keyed = keyed.join(whitelist.select("umi").distinct(), "umi", "left_semi")
     per_seq = keyed.groupBy("umi", F.col(seq).alias("seq")).agg(F.count("*").alias("n"))
     return per_seq.groupBy("umi").agg(F.sum("n").alias("reads"), F.count("*").alias("seqs")).where(F.col("reads") >= min_reads)
 
 
+def umi_collapse_pairs(r1: DataFrame, r2: DataFrame, min_reads: int = 1) -> DataFrame:
+    """The groups of both reads of a pair, each with a ``umi`` column, fused: ``umi, reads, seqs_r1, seqs_r2``; a UMI that one side lacks has 0 there."""
+    both = umi_collapse(r1, F.col("umi")).select("umi", "reads", F.col("seqs").alias("seqs_r1")).join(
+        umi_collapse(r2, F.col("umi")).select("umi", F.col("reads").alias("reads2"), F.col("seqs").alias("seqs_r2")), "umi", "full_outer")
+    reads = F.greatest(F.coalesce("reads", F.lit(0)), F.coalesce("reads2", F.lit(0)))
+    return both.select("umi", reads.alias("reads"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("seqs_r1", "seqs_r2"))).where(F.col("reads") >= min_reads)
+
+
 def umi_counts(df: DataFrame, min_coverage: int = 1) -> DataFrame:
     """Reads per UMI, most first, ties by UMI descending."""
     return df.groupBy("umi").agg(F.count("*").alias("reads")).where(F.col("reads") >= min_coverage).orderBy(F.desc("reads"), F.desc("umi"))
@@ -56,7 +71,7 @@ def hamming_correlation(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("distance").agg(F.count("*").alias("pairs"), F.corr("n_a", "n_b").alias("r"))
 
 
-def _pieces(col: str, parts: int) -> Column:
+def pieces(col: str, parts: int) -> Column:
     """(number, text) of ``parts`` nearly equal pieces: strings within parts - 1 substitutions share one."""
     n = F.length(col)
 
@@ -69,7 +84,7 @@ def _pieces(col: str, parts: int) -> Column:
 
 def _edit_pieces(col: str, parts: int) -> Column:
     """Pieces for edits: as above, without the length, so that strings of other lengths meet."""
-    return F.transform(_pieces(col, parts), lambda p: F.struct(p["k"].alias("k"), p["piece"].alias("piece")))
+    return F.transform(pieces(col, parts), lambda p: F.struct(p["k"].alias("k"), p["piece"].alias("piece")))
 
 
 def barcode_merge(counts: DataFrame, errors: int = 1, mode: str = "dist", col: str = "umi", by: str = "reads") -> DataFrame:
@@ -80,12 +95,12 @@ def barcode_merge(counts: DataFrame, errors: int = 1, mode: str = "dist", col: s
     """
     b = counts.select(F.col(col).alias("bc"), F.struct(F.col(by).alias("n"), F.col(col).alias("bc")).alias("rank"))
     if mode == "dist":
-        left = b.select("bc", "rank", F.explode(_pieces("bc", errors + 1)).alias("p"))
+        left = b.select("bc", "rank", F.explode(pieces("bc", errors + 1)).alias("p"))
         right = left.select(F.col("bc").alias("new"), F.col("rank").alias("new_rank"), "p")
         near = (F.length("bc") == F.length("new")) & (hamming(F.col("bc"), F.col("new")) <= errors)
     else:
         left = b.select("bc", "rank", F.explode(_edit_pieces("bc", errors + 1)).alias("p"))
-        moved = F.explode(F.flatten(F.transform(_pieces("bc", errors + 1), lambda p: F.transform(
+        moved = F.explode(F.flatten(F.transform(pieces("bc", errors + 1), lambda p: F.transform(
             F.sequence(F.lit(-errors), F.lit(errors)), lambda d: F.struct(p["k"].alias("k"), F.substring(
                 F.col("bc"), F.greatest(F.floor(p["n"] * p["k"] / (errors + 1)).cast("int") + 1 + d, F.lit(1)), F.length(p["piece"])).alias("piece"))))))
         right = b.select(F.col("bc").alias("new"), F.col("rank").alias("new_rank"), moved.alias("p")).distinct()

@@ -45,12 +45,6 @@ FROM lineitem
 SELECT concat('t',CAST(o_custkey % 8 AS STRING)) AS tree_id, concat('n',CAST(64 + o_orderkey % 64 AS STRING)) AS leaf,
   concat('r',CAST(1 + o_orderkey % 6 AS STRING)) AS site,
   min(CAST(floor(o_totalprice) AS BIGINT) % 4 - 1) AS state FROM orders GROUP BY 1,2,3
-"""),
-    "fx_primers": ("part", """
-SELECT concat('PO_',CAST(p_partkey AS STRING),'_x') AS id,
-  CASE WHEN p_partkey % 2 = 0 THEN 'i5' ELSE 'i7' END AS primer_end,
-  concat('aatgatacggcgaccaccga',lower(substr(translate(md5(concat('x',CAST(p_partkey AS STRING))),'0123456789abcdef','ACGTACGTACGTACGT'),1,8)),'acactctttccctacacgac') AS seq
-FROM part WHERE p_partkey <= 24
 """),
     "fx_plates": ("part", """
 SELECT CAST(floor(p_partkey / 24) AS BIGINT) AS plate, concat('PO_',CAST(p_partkey AS STRING),'_x') AS id,

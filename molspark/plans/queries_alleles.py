@@ -113,12 +113,12 @@ def alignment_profile(t: Inputs) -> DataFrame:
     return a.alignment_profile(d)
 
 
-@query("profile_erosion", f"""WITH o AS (SELECT op AS operation, l_linenumber, CAST(m AS INT) AS coord, n AS oper_len FROM {_CG} WHERE l_linenumber < 6)
+@query("profile_erosion", f"""WITH o AS (SELECT op AS operation, l_linenumber, CAST(m AS INT) AS coord, n AS oper_len FROM {_CG})
   SELECT operation, l_linenumber, coord, CAST(coalesce(s, 0) AS BIGINT) AS total_len, round(coalesce(n, 0) * 1e4 / (SELECT count(*) FROM o), 9) AS per_10k FROM
   (SELECT operation, l_linenumber, CAST(c AS INT) AS coord FROM (SELECT DISTINCT operation FROM o) AS a, (SELECT DISTINCT l_linenumber FROM o) AS b, range(20) AS g(c)) AS k
   LEFT JOIN (SELECT operation, l_linenumber, coord, sum(oper_len) AS s, count(*) AS n FROM o GROUP BY 1, 2, 3) AS v USING (operation, l_linenumber, coord)""")
 def profile_erosion(t: Inputs) -> DataFrame:
-    ops = a.cigar_ops(t.fx_cigar.where("l_linenumber < 6")).where("operation in ('I', 'D')")
+    ops = a.cigar_ops(t.fx_cigar).where("operation in ('I', 'D')")
     return a.profile_erosion(ops, ["operation", "l_linenumber"], 20).withColumn("per_10k", F.round("per_10k", 9))
 
 
@@ -131,17 +131,47 @@ def profile_erosion_lines(t: Inputs) -> DataFrame:
     return a.profile_erosion(ops, ["operation", "l_linenumber"], 20).withColumn("per_10k", F.round("per_10k", 9))
 
 
-@query("lineage_vector")
-def lineage_vector(t: Inputs) -> DataFrame:
-    d = t.fx_mols.selectExpr("umi", "concat('ACGT', spacer, 'GGTT') as aligned_ref", "concat('ACGT', substr(seq, 1, 8), repeat('-', umi_reads % 5), substr(seq, 9 + umi_reads % 5), 'GGTT') as aligned_seq")
-    return a.lineage_vector(d, [("b1", 4, 9), ("b2", 10, 13), ("b3", 14, 23)], "ACGT", "GGTT")
+# aligned pairs with insertions, deletions up to a whole interval, runs of one letter, and missing anchors
+_ADAPT, _TAIL = "ACGTTGCATTGCA", "GGTTCCAATGG"
+_REF = f"concat('{_ADAPT}', substr(spacer, 1, 10), CASE WHEN umi_reads % 13 = 0 THEN '--------' WHEN umi_reads % 3 = 0 THEN '--' ELSE '' END, substr(spacer, 11), '{_TAIL}')"
+_READ = (f"concat(CASE WHEN umi_reads % 11 = 0 THEN 'NNNNNNNNNNNNN' ELSE '{_ADAPT}' END, substr(seq, 1, 10), CASE WHEN umi_reads % 13 = 0 THEN 'AAAAAAAA' WHEN umi_reads % 3 = 0 THEN 'AC' ELSE '' END, "
+         f"CASE WHEN umi_reads % 17 = 0 THEN '----------' ELSE concat(substr(seq, 11, 3), repeat('-', CAST(umi_reads % 5 AS INT)), substr(seq, CAST(14 + umi_reads % 5 AS INT))) END, CASE WHEN umi_reads % 7 = 0 THEN 'NNNNNNNNNNN' ELSE '{_TAIL}' END)")
+_BINS = [("b1", 13, 18), ("b2", 19, 22), ("b3", 23, 32)]
+
+
+def _bin_code(i: int, first: int, last: int) -> str:
+    n = {k: f"count(*) FILTER (WHERE p BETWEEN {first} AND {last} AND k = '{k}')" for k in "mid"}
+    text = ", ".join(f"CASE WHEN {n[k]} > 0 THEN CAST({n[k]} AS STRING) ELSE '' END" for k in "mid")
+    code = f"CASE WHEN {n['m']} > 3 THEN '.NA.' WHEN {n['d']} = {last - first + 1} THEN '..exx' ELSE concat_ws('.', {text}) END"
+    return f"CASE WHEN NOT max(has_end) AND {code} {chr(61) if i < 2 else '<>'} '{'..exx' if i < 2 else '..'}' THEN '.NA.' ELSE {code} END"
 
 
-@query("cs_alleles")
+@query("lineage_vector", f"""WITH d AS (SELECT row_number() OVER () AS rid, umi, {_REF} AS aligned_ref, {_READ} AS aligned_seq FROM fx_mols),
+  a AS (SELECT *, strpos(aligned_seq, '{_ADAPT}') AS at_, contains(aligned_seq, '{_TAIL}') AS has_end FROM d),
+  e AS (SELECT rid, has_end, i, substr(aligned_ref, i, 1) AS a, substr(aligned_seq, i, 1) AS b FROM (SELECT *, CAST(unnest(range(greatest(at_, 1), length(aligned_ref) + 1)) AS BIGINT) AS i FROM a) AS x),
+  r AS (SELECT *, sum(CASE WHEN a <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) - 1 AS r FROM e),
+  k AS (SELECT rid, has_end, i, a, b, CASE WHEN a = '-' THEN greatest(r, 0) ELSE r END AS p, CASE WHEN a = '-' THEN 'i' WHEN a = b THEN '=' WHEN b = '-' THEN 'd' ELSE 'm' END AS k FROM r),
+  c AS (SELECT rid, concat_ws('|', {", ".join(_bin_code(i, x, y) for i, (_, x, y) in enumerate(_BINS))}) AS codes,
+    regexp_matches(string_agg(CASE WHEN p BETWEEN 13 AND 32 THEN CASE k WHEN 'i' THEN b WHEN 'd' THEN lower(a) ELSE '.' END ELSE '' END, '' ORDER BY i), 'A{{8}}|G{{8}}|a{{8}}|g{{8}}') AS poly FROM k GROUP BY 1)
+  SELECT umi, aligned_ref, aligned_seq, CASE WHEN at_ = 0 AND NOT has_end THEN 'trash-unmatched' WHEN poly THEN 'trash-gen' ELSE codes END AS barcode FROM a JOIN c USING (rid)""")
+def lineage_vector(t: Inputs) -> DataFrame:
+    d = t.fx_mols.selectExpr("umi", f"{_REF} as aligned_ref", f"{_READ} as aligned_seq")
+    return a.lineage_vector(d, _BINS, _ADAPT, _TAIL, max_mismatch=3, anchor_errors=0)
+
+
+@query("cs_alleles", """WITH d AS (SELECT row_number() OVER () AS rid, concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS name, concat('chr', CAST(l_suppkey % 3 AS STRING)) AS rname, 100 + l_linenumber AS pos,
+    concat(':', CAST(10 + l_linenumber AS STRING), CASE WHEN l_orderkey % 2 = 0 THEN '-ac' ELSE '+gg' END, ':5*ag:', CAST(l_orderkey % 7 AS STRING)) AS cs FROM fx_cigar),
+  n AS (SELECT d.*, locus FROM d JOIN (VALUES ('g0', 'chr0', 100), ('g1', 'chr1', 104)) AS v(locus, rname, at_) ON d.rname = v.rname AND abs(pos - at_) <= 3),
+  t AS (SELECT *, unnest(regexp_extract_all(cs, '(:[0-9]+|[*][a-z]{2}|[+][a-z]+|-[a-z]+|~[a-z]{2}[0-9]+[a-z]{2})')) AS tok, generate_subscripts(regexp_extract_all(cs, '(:[0-9]+|[*][a-z]{2}|[+][a-z]+|-[a-z]+|~[a-z]{2}[0-9]+[a-z]{2})'), 1) AS i FROM n),
+  l AS (SELECT *, left(tok, 1) AS k, substr(tok, 2) AS rest, CASE left(tok, 1) WHEN ':' THEN CAST(substr(tok, 2) AS INT) WHEN '*' THEN 1 WHEN '~' THEN CAST(regexp_extract(tok, '([0-9]+)', 1) AS INT) ELSE length(tok) - 1 END AS n FROM t),
+  p AS (SELECT *, pos + coalesce(sum(CASE WHEN k = '+' THEN 0 ELSE n END) OVER (PARTITION BY rid, locus ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM l)
+  SELECT any_value(name) AS name, any_value(rname) AS rname, any_value(pos) AS pos, any_value(cs) AS cs, locus, coalesce(string_agg(CASE WHEN k IN ('+', '-', '~') THEN concat(CAST(p AS STRING), tok) END, ':' ORDER BY i), '') AS hallele,
+    coalesce(string_agg(CASE WHEN k = '*' THEN concat(CAST(p AS STRING), tok) END, ':' ORDER BY i), '') AS sallele, coalesce(string_agg(CASE WHEN k = '+' THEN CAST(n AS STRING) END, ',' ORDER BY i), '') AS ins_lengths,
+    coalesce(string_agg(CASE WHEN k = '-' THEN CAST(n AS STRING) END, ',' ORDER BY i), '') AS del_lengths FROM p GROUP BY rid, locus""")
 def cs_alleles(t: Inputs) -> DataFrame:
     d = t.fx_cigar.selectExpr("concat(l_orderkey, '-', l_linenumber) as name", "concat('chr', l_suppkey % 3) as rname", "100 + l_linenumber as pos", "concat(':', 10 + l_linenumber, if(l_orderkey % 2 = 0, '-ac', '+gg'), ':5*ag:', l_orderkey % 7) as cs")
     loci = t.spark.createDataFrame([("g0", "chr0", 100), ("g1", "chr1", 104)], "locus string, rname string, pos int")
-    return a.cs_alleles(d, loci, 3)
+    return a.cs_alleles(d, loci, 3).withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("ins_lengths", "del_lengths")})
 
 
 @query("cigar_allele_string", f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, concat(CAST(m AS STRING), op) AS allele FROM {_CG}")
@@ -161,10 +191,13 @@ def _coded(t: Inputs) -> DataFrame:
     return a.allele_codes(long(t))
 
 
-@query("allele_matrix", f"""SELECT cell, coalesce(max(CASE WHEN k = 1 THEN allele END), 'NA') AS s1, coalesce(max(CASE WHEN k = 2 THEN allele END), 'NA') AS s2, coalesce(max(CASE WHEN k = 3 THEN allele END), 'NA') AS s3
+_SITES = ", ".join(f"coalesce(max(CASE WHEN k = {k} THEN allele END), 'NA') AS s{k}" for k in range(1, 41))  # the fixture has 40 barcodes
+
+
+@query("allele_matrix", f"""SELECT cell, {_SITES}
   FROM {_LONG} JOIN (SELECT site, row_number() OVER (ORDER BY site) AS k FROM (SELECT DISTINCT raw_ibar AS site FROM fx_mols) AS x) AS y USING (site) GROUP BY cell""")
 def allele_matrix(t: Inputs) -> DataFrame:
-    sites = [r.raw_ibar for r in t.fx_mols.select("raw_ibar").distinct().orderBy("raw_ibar").limit(3).collect()]
+    sites = [r.raw_ibar for r in t.fx_mols.select("raw_ibar").distinct().orderBy("raw_ibar").collect()]
     return a.allele_matrix(long(t), sites).withColumnsRenamed({s: f"s{i}" for i, s in enumerate(sites, 1)})
 
 

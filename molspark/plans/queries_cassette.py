@@ -163,10 +163,12 @@ def meta_presence(t: Inputs) -> DataFrame:
 @query("segmentation_report", f"""SELECT 'totals' AS section, 'segments' AS key, CAST(count(*) AS DOUBLE) AS value FROM fx_segments UNION ALL SELECT 'totals', 'molecules', count(DISTINCT umi) FROM fx_segments
   UNION ALL SELECT 'totals', 'consecutive', count(*) FROM fx_segments UNION ALL SELECT 'totals', 'edges', 0 UNION ALL SELECT 'transitions', concat(start_meta, '>', end_meta), count FROM {_TYPES}
   UNION ALL SELECT 'heterogeneity', concat(mode, ':', CAST(n_transition_types AS STRING)), molecules FROM {_HET}
+  UNION ALL SELECT 'segments_per_molecule', k, v FROM (SELECT unnest(['mean', 'median', 'min', 'max']) AS k, unnest([round(avg(n), 9), quantile_cont(n, 0.5), min(n), max(n)]) AS v FROM (SELECT count(*) AS n FROM fx_segments GROUP BY umi) AS c) AS s
+  UNION ALL SELECT 'assembly', concat(start_meta, '>', end_meta), round(100 * avg(CAST(length(contig) > 60 AS INT)), 9) FROM {_ASM} GROUP BY 2 UNION ALL SELECT 'assembly', 'all', round(100 * avg(CAST(length(contig) > 60 AS INT)), 9) FROM {_ASM}
   UNION ALL SELECT 'contigs', 'contigs', count(*) FROM fx_reads UNION ALL SELECT 'contigs', 'mean', round(avg(length(r2_seq)), 9) FROM fx_reads UNION ALL SELECT 'contigs', 'median', quantile_cont(length(r2_seq), 0.5) FROM fx_reads
   UNION ALL SELECT 'presence', feature, percent FROM (WITH contigs AS (SELECT r2_seq AS contig FROM fx_reads) {_PRESENCE}) AS p WHERE feature LIKE 'META%'""")
 def segmentation_report(t: Inputs) -> DataFrame:
-    out = c.segmentation_report(t.fx_segments, t.fx_reads.select(F.col("r2_seq").alias("contig")), METAS, ["umi"], 0.4)
+    out = c.segmentation_report(t.fx_segments, t.fx_reads.select(F.col("r2_seq").alias("contig")), METAS, ["umi"], 0.4, assembled(t).withColumn("contig", F.when(F.length("contig") > 60, F.col("contig"))))
     return out.withColumn("value", F.round("value", 9))
 
 

@@ -209,7 +209,13 @@ def clone_pairs(t: Inputs) -> DataFrame:
     return i.clone_pairs(t.fx_mols, 95).withColumn("distance", F.round("distance", 9))
 
 
-@query("ibar_correlation_groups")
+@query("ibar_correlation_groups", """WITH RECURSIVE x AS (SELECT cbc, raw_ibar, CAST(count(*) AS DOUBLE) AS x FROM fx_mols WHERE wt GROUP BY 1, 2),
+  s AS (SELECT raw_ibar, sum(x) AS s, sum(x * x) AS ss FROM x GROUP BY 1 HAVING count(*) >= 10), n AS (SELECT CAST(count(DISTINCT cbc) AS DOUBLE) AS n FROM x),
+  xy AS (SELECT p.raw_ibar AS a, q.raw_ibar AS b, sum(p.x * q.x) AS sxy FROM x AS p JOIN x AS q ON p.cbc = q.cbc AND p.raw_ibar < q.raw_ibar GROUP BY 1, 2),
+  e AS (SELECT a, b FROM xy JOIN s AS sa ON sa.raw_ibar = a JOIN s AS sb ON sb.raw_ibar = b, n WHERE (n * sxy - sa.s * sb.s) / sqrt((n * sa.ss - sa.s * sa.s) * (n * sb.ss - sb.s * sb.s)) >= 0.05),
+  u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a, a AS reach FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.reach = u.a),
+  g AS (SELECT a, min(reach) AS root FROM r GROUP BY 1), z AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) AS grp FROM g GROUP BY 1)
+  SELECT s.raw_ibar, CAST(coalesce(grp, -1) AS INT) AS grp FROM s LEFT JOIN g ON g.a = s.raw_ibar LEFT JOIN z USING (root)""")
 def ibar_correlation_groups(t: Inputs) -> DataFrame:
     return i.ibar_correlation_groups(t.fx_mols, 10, 0.05)
 
@@ -226,7 +232,44 @@ def genotype_table(t: Inputs) -> DataFrame:
     return i.genotype_table(t.fx_mols, "raw_ibar", "seq", 2)
 
 
-@query("integration_coords")
+_LINE = "concat(umi, ' ', raw_ibar, ' chr', CAST(cluster AS STRING), ':', CAST(umi_reads * 1000 + length(seq) * umi_dom_reads AS STRING), ',chr', CAST(cluster % 2 AS STRING), ':', CAST(umi_dom_reads AS STRING))"
+_HITS = f"""l AS (SELECT {_LINE} AS value FROM fx_mols), h AS (SELECT split_part(value, ' ', 2) AS ibar, unnest(string_split(split_part(value, ' ', 3), ',')) AS at_ FROM l),
+  p AS (SELECT ibar, split_part(at_, ':', 1) AS chrom, CAST(split_part(at_, ':', 2) AS BIGINT) AS start FROM h), d AS (SELECT DISTINCT * FROM p),
+  m AS (SELECT ibar, chrom, count(*) AS points, quantile_cont(start, 0.5) AS median_start FROM d GROUP BY 1, 2)"""
+
+
+@query("integration_coords", f"""WITH {_HITS}, k AS (SELECT *, row_number() OVER (PARTITION BY ibar ORDER BY points DESC, chrom DESC) AS k, sum(points) OVER (PARTITION BY ibar) AS total FROM m)
+  SELECT ibar, chrom, points, median_start, round(points / total, 9) AS share FROM k WHERE k = 1 AND points > 5""")
 def integration_coords(t: Inputs) -> DataFrame:
-    lines = t.fx_mols.selectExpr("concat(umi, ' ', raw_ibar, ' chr', cluster, ':', umi_reads * 1000 + length(seq) * umi_dom_reads, ',chr', cluster % 2, ':', umi_dom_reads) as value")
-    return i.integration_coords(lines, 5)
+    return i.integration_coords(t.fx_mols.selectExpr(f"{_LINE} as value"), 5).withColumn("share", F.round("share", 9))
+
+
+@query("integration_coords_all", f"""WITH {_HITS}, c AS (SELECT ibar, chrom, count(*) AS hits FROM p GROUP BY 1, 2),
+  k AS (SELECT *, row_number() OVER (PARTITION BY ibar ORDER BY hits DESC, chrom) AS k, sum(hits) OVER (PARTITION BY ibar) AS total, max(hits) OVER (PARTITION BY ibar) AS top FROM c)
+  SELECT ibar, chrom, points, median_start, round(hits / total, 9) AS share FROM k JOIN m USING (ibar, chrom) WHERE k <= round(total / top) AND points > 5""")
+def integration_coords_all(t: Inputs) -> DataFrame:
+    return i.integration_coords(t.fx_mols.selectExpr(f"{_LINE} as value"), 5, all_top=True).withColumn("share", F.round("share", 9))
+
+
+_CONTACTS = ("CASE WHEN wt THEN 'Lin' ELSE '1' END AS chr1", "umi_reads AS start1", "CASE WHEN cluster = 1 THEN 'Lin' ELSE CAST(cluster AS STRING) END AS chr2", "umi_reads * 1000 AS start2", "umi AS mol")
+
+
+@query("contacts_to_cis", f"""SELECT concat('chr', chr2) AS chrom1, CAST(start2 AS BIGINT) AS start1, CAST(start2 + 1 AS BIGINT) AS end1, concat('chr', chr2) AS chrom2, start2, CAST(start2 + 1 AS BIGINT) AS end2, mol
+  FROM (SELECT {", ".join(_CONTACTS)} FROM fx_mols) AS c WHERE chr1 = 'Lin' AND chr2 <> 'Lin'""")
+def contacts_to_cis(t: Inputs) -> DataFrame:
+    return i.contacts_to_cis(t.fx_mols.selectExpr(*_CONTACTS))
+
+
+@query("clone_table", """WITH m AS (SELECT *, substr(seq, 1, 6) AS allele FROM fx_mols), n AS (SELECT CAST(count(DISTINCT cbc) AS DOUBLE) AS n FROM m),
+  k AS (SELECT raw_ibar, count(DISTINCT cbc) / n AS clone_size FROM m, n GROUP BY raw_ibar, n), z AS (SELECT cbc, count(DISTINCT umi) AS csize FROM m GROUP BY 1),
+  j AS (SELECT m.*, clone_size FROM m JOIN k USING (raw_ibar) WHERE clone_size >= 0.05), a AS (SELECT allele, cbc, raw_ibar, count(DISTINCT umi) AS allele_umis FROM j GROUP BY 1, 2, 3)
+  SELECT cbc, umi, raw_ibar, allele, contains(seq, 'AC') AND contains(seq, 'GT') AS ot, csize, round(clone_size, 9) AS clone_size, allele_umis FROM j JOIN z USING (cbc) JOIN a USING (allele, cbc, raw_ibar)""")
+def clone_table(t: Inputs) -> DataFrame:
+    out = i.clone_table(t.fx_mols.withColumn("allele", F.substring("seq", 1, 6)), "AC", "GT", 0.05)
+    return out.select("cbc", "umi", "raw_ibar", "allele", "ot", "csize", F.round("clone_size", 9).alias("clone_size"), "allele_umis")
+
+
+@query("valid_ibars_share", f"""WITH n AS (SELECT raw_ibar, count(DISTINCT cbc) AS cells, count(*) AS mols FROM fx_mols GROUP BY 1 HAVING count(DISTINCT cbc) > CAST(0.1 AS DOUBLE) * (SELECT count(DISTINCT cbc) FROM fx_mols) AND count(*) > 5 AND NOT contains(raw_ibar, 'N'))
+  SELECT * FROM n AS x WHERE NOT EXISTS (SELECT 1 FROM n AS y WHERE (y.mols > x.mols OR y.mols = x.mols AND y.raw_ibar > x.raw_ibar) AND {_HAM} <= 3)""")
+def valid_ibars_share(t: Inputs) -> DataFrame:
+    return i.valid_ibars(t.fx_mols, 0.1, 5, 3, fraction=True)

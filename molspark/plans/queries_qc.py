@@ -48,10 +48,11 @@ def split_by_integration(t: Inputs) -> DataFrame:
     return m.split_by_integration(_pairs(t), m.valid_pairs(_pairs(t), 0.3)).select("umi", "intid1", "intid2", "class")
 
 
-@query("sample_sheet", """WITH p AS (SELECT regexp_extract(id, '^PO_([0-9]+)', 1) AS primer, primer_end, substr(regexp_extract(upper(seq), 'GGCGACCACCGA(.+?)ACACTCTTTCC', 1), 1, 8) AS idx FROM fx_primers)
-  SELECT a.primer AS i5_id, a.idx AS index2, b.primer AS i7_id, reverse(translate(b.idx, 'ACGT', 'TGCA')) AS "index" FROM p AS a, p AS b WHERE a.primer_end = 'i5' AND b.primer_end = 'i7'""")
+@query("sample_sheet", """WITH p AS (SELECT regexp_extract(id, '^PO_([0-9]+)', 1) AS primer, primer_end, substr(regexp_extract(upper(seq), 'GGCGACCACCGA(.+?)ACACTCTTTCC', 1), 1, 8) AS idx, plate FROM fx_plates)
+  SELECT plate, a.primer AS i5_id, reverse(translate(a.idx, 'ACGT', 'TGCA')) AS index2, b.primer AS i7_id, reverse(translate(b.idx, 'ACGT', 'TGCA')) AS "index" FROM p AS a JOIN p AS b USING (plate)
+  WHERE a.primer_end = 'i5' AND b.primer_end = 'i7'""")
 def sample_sheet(t: Inputs) -> DataFrame:
-    return m.sample_sheet(t.fx_primers, "GGCGACCACCGA", "ACACTCTTTCC")
+    return m.sample_sheet(t.fx_plates, "GGCGACCACCGA", "ACACTCTTTCC", i5_rc=True, plate="plate")
 
 
 @query("sample_sheet_plates", """WITH p AS (SELECT plate, regexp_extract(id, '^PO_([0-9]+)', 1) AS primer, primer_end, substr(regexp_extract(upper(seq), 'GGCGACCACCGA(.+?)ACACTCTTTCC', 1), 1, 8) AS idx FROM fx_plates)
@@ -64,19 +65,35 @@ def _reads(t: Inputs) -> DataFrame:
     return t.fx_reads.select("read_id", F.substring("r1_seq", 1, 12).alias("umi"), "r2_seq", F.col("r1_seq").contains(ANCHOR).alias("ont"))
 
 
-@query("double_anchor")
+_SAMPLED = """s AS (SELECT rep, umi FROM (SELECT rep, umi, row_number() OVER (PARTITION BY rep ORDER BY md5(concat('0:', CAST(rep AS STRING), ':', umi)), umi) AS k
+  FROM (SELECT DISTINCT umi FROM r) AS u, range(1, {n}) AS g(rep)) AS x WHERE k <= 500),
+  p AS (SELECT umi, avg(CAST(contains(r2_seq, '{a}') AS INT)) AS start, avg(CAST(contains(r2_seq, '{b}') AS INT)) AS "end", count(*) AS reads FROM r GROUP BY 1)"""
+_READS = f"SELECT read_id, substr(r1_seq, 1, 12) AS umi, r2_seq FROM fx_reads"
+
+
+@query("double_anchor", f"""WITH r AS ({_READS} WHERE contains(r1_seq, '{ANCHOR}')), {_SAMPLED.format(n=4, a=START, b=END)}
+  SELECT CAST(rep AS INT) AS rep, count(*) AS umis, round(avg(CAST(start > 0 AND "end" > 0 AS INT)), 9) AS "both" FROM s JOIN p USING (umi) GROUP BY 1""")
 def double_anchor(t: Inputs) -> DataFrame:
-    return q.double_anchor(_reads(t), START, END, 500)
+    return q.double_anchor(_reads(t), START, END, 500).withColumn("both", F.round("both", 9))
 
 
-@query("anchor_stats")
+@query("anchor_stats", f"""WITH r AS ({_READS}), {_SAMPLED.format(n=3, a=START, b=END)}
+  SELECT umi, CAST(rep AS INT) AS rep, round(start, 9) AS start, round("end", 9) AS "end", reads FROM s JOIN p USING (umi)""")
 def anchor_stats(t: Inputs) -> DataFrame:
-    return q.anchor_stats(_reads(t), START, END, 500, 2)
+    return q.anchor_stats(_reads(t), START, END, 500, 2).withColumns({c: F.round(c, 9) for c in ("start", "end")})
 
 
-@query("saturation_curve")
+@query("saturation_curve", f"""WITH r AS ({_READS}), n AS (SELECT count(*) AS total FROM r),
+  p AS (SELECT rep, umi, CAST(concat('0x', substr(md5(concat('0:', CAST(rep AS STRING), ':', read_id, ':', umi)), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) * total AS place FROM r, n, range(1, 4) AS g(rep)),
+  x AS (SELECT rep, size, umi, count(*) AS n FROM p JOIN (VALUES (500), (1000), (2000), (4000), (8000), (16000)) AS v(size) ON size > place GROUP BY 1, 2, 3),
+  o AS (SELECT rep, size, count(*) AS umis, avg(n) AS mean, quantile_cont(n, 0.5) AS median, min(n) AS least, max(n) AS most FROM x GROUP BY 1, 2),
+  c AS (SELECT size, avg(umis) AS umis, avg(mean) AS mean, avg(median) AS median, avg(least) AS least, avg(most) AS most FROM o GROUP BY 1),
+  v AS (SELECT *, (umis - lag(umis) OVER (ORDER BY size)) / (size - lag(size) OVER (ORDER BY size)) AS velocity FROM c)
+  SELECT size, round(umis, 6) AS umis, round(mean, 6) AS mean, round(median, 6) AS median, round(least, 6) AS least, round(most, 6) AS most, round(velocity, 6) AS velocity,
+    round(avg(velocity) OVER (ORDER BY size ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS smooth FROM v""")
 def saturation_curve(t: Inputs) -> DataFrame:
-    return q.saturation_curve(_reads(t), [500, 1000, 2000, 4000, 8000, 16000])
+    out = q.saturation_curve(_reads(t), [500, 1000, 2000, 4000, 8000, 16000])
+    return out.select("size", *(F.round(c, 6).alias(c) for c in out.columns if c != "size"))
 
 
 _HIST = "(SELECT reads, count(*) AS umis FROM (SELECT cbc, count(*) AS reads FROM fx_mols GROUP BY 1) AS c GROUP BY 1) AS h"

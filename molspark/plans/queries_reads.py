@@ -35,7 +35,10 @@ def fuzzy_sanitize(t: Inputs) -> DataFrame:
     return r.fuzzy_sanitize(t.fx_reads.select("read_id", "r2_seq"), list(METAS.values()), [START, END], "r2_seq")
 
 
-@query("approx_anchor_extract")
+@query("approx_anchor_extract", f"""WITH c AS (SELECT read_id, r2_seq AS s, unnest(range(13, length(r2_seq) - 32)) AS p FROM fx_reads),
+  d AS (SELECT read_id, s, p, levenshtein(substr(s, p - 12, 12), '{START}') AS a, levenshtein(substr(s, p + 14, 20), '{METAS["META01"]}') AS b FROM c),
+  k AS (SELECT read_id, substr(s, p, 14) AS barcode, a + b AS edits, row_number() OVER (PARTITION BY read_id ORDER BY a + b, p) AS k FROM d WHERE a <= 2 AND b <= 2)
+  SELECT read_id, r2_seq, barcode, CAST(edits AS INT) AS edits FROM fx_reads LEFT JOIN (SELECT * FROM k WHERE k = 1) AS b USING (read_id)""")
 def approx_anchor_extract(t: Inputs) -> DataFrame:
     return r.approx_anchor_extract(t.fx_reads.select("read_id", "r2_seq"), "r2_seq", START, 2, 14, METAS["META01"], 2)
 
@@ -63,10 +66,21 @@ def quality_background_quantile(t: Inputs) -> DataFrame:
     return r.quality_background_quantile(t.fx_long, "quality_scores")
 
 
-@query("quality_span_gate")
+_GUIDE = "ATGGG([ACGT]{18,20})GGGTTAGAGCTAGA([ACGT]{6})AATAGCAA"
+
+
+@query("quality_span_gate", f"""WITH g AS (SELECT row_number() OVER () AS rid, seq, substr(repeat(md5(seq), 5), 1, length(seq)) AS qual FROM fx_guides),
+  e AS (SELECT rid, CAST(i AS BIGINT) AS p, ascii(substr(qual, CAST(i AS BIGINT), 1)) - 33 AS v FROM (SELECT rid, qual, unnest(range(1, length(qual) + 1)) AS i FROM g) AS x),
+  bg AS (SELECT p, quantile_cont(v, 0.5) AS q FROM e GROUP BY 1),
+  h AS (SELECT rid, seq, regexp_extract(seq, '{_GUIDE}', 1) AS spacer, regexp_extract(seq, '{_GUIDE}', 2) AS ibar FROM g WHERE NOT contains(seq, 'N') AND regexp_matches(seq, '{_GUIDE}')),
+  w AS (SELECT *, strpos(seq, spacer) AS s_at FROM h), z AS (SELECT *, s_at + length(spacer) - 1 + strpos(substr(seq, s_at + length(spacer)), ibar) AS i_at FROM w),
+  f AS (SELECT rid, ibar, spacer, avg(CASE WHEN p BETWEEN s_at AND s_at + length(spacer) - 1 THEN CAST(v >= q AS INT) END) AS fs, avg(CASE WHEN p BETWEEN i_at AND i_at + length(ibar) - 1 THEN CAST(v >= q AS INT) END) AS fi
+    FROM z JOIN e USING (rid) JOIN bg USING (p) GROUP BY 1, 2, 3),
+  c AS (SELECT ibar, spacer, count(*) AS n FROM f WHERE fs >= 0.005 AND fi >= 0.009 GROUP BY 1, 2)
+  SELECT * FROM c WHERE n >= (1 - CAST(0.95 AS DOUBLE)) * (SELECT max(n) FROM c)""")
 def quality_span_gate(t: Inputs) -> DataFrame:
     guides = t.fx_guides.select("seq", F.expr("substr(repeat(md5(seq), 5), 1, length(seq))").alias("qual"))
-    return r.quality_span_gate(guides, r.quality_background_quantile(guides, "qual"), "ATGGG([ACGT]{18,20})GGGTTAGAGCTAGA([ACGT]{6})AATAGCAA")
+    return r.quality_span_gate(guides, r.quality_background_quantile(guides, "qual"), _GUIDE)
 
 
 @query("regex_trim", """WITH p AS (SELECT read_id, r2_seq, CASE WHEN regexp_matches(r2_seq, 'ATCGTGCGGACG') THEN length(regexp_extract(r2_seq, '^(.*?)ATCGTGCGGACG', 1)) END AS place FROM fx_reads)
@@ -201,12 +215,17 @@ def ingest_experiments(t: Inputs) -> DataFrame:
     return r.ingest_experiments(frames, batches, cells, 3).select("cbc", "umi", "raw_ibar", "sample_id")
 
 
-@query("downsample_by_coverage")
+@query("downsample_by_coverage", """WITH r AS (SELECT read_id, substr(r1_seq, 1, 12) AS umi FROM fx_reads), n AS (SELECT umi, count(*) AS n FROM r GROUP BY 1),
+  q AS (SELECT quantile_cont(n, 0.1) AS q0, quantile_cont(n, 0.49) AS q1, quantile_cont(n, 0.5) AS q2, quantile_cont(n, 0.52) AS q3, quantile_cont(n, 0.9) AS q4 FROM n),
+  b AS (SELECT umi, CASE WHEN n <= q0 THEN '10%' WHEN n > q1 AND n <= q3 OR n = q2 THEN '50%' WHEN n >= q4 THEN '90%' END AS bin FROM n, q),
+  s AS (SELECT umi, bin FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5(concat('0:', umi)), umi) AS k FROM b WHERE bin IS NOT NULL) AS x WHERE k <= 30)
+  SELECT umi, read_id, bin FROM r JOIN s USING (umi)""")
 def downsample_by_coverage(t: Inputs) -> DataFrame:
     return r.downsample_by_coverage(t.fx_reads.select("read_id", F.substring("r1_seq", 1, 12).alias("umi")))
 
 
-@query("downsample_per_group")
+@query("downsample_per_group", """SELECT sample_id, cbc, umi, raw_ibar FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY md5(concat('0:', umi)), umi, sample_id, cbc, raw_ibar) AS k FROM fx_mols) AS x
+  WHERE k <= 20""")
 def downsample_per_group(t: Inputs) -> DataFrame:
     return r.downsample_per_group(t.fx_mols.select("sample_id", "cbc", "umi", "raw_ibar"), 20, ["sample_id"], "umi")
 

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.umi import shared_dir
 from ..sources import fastq as fq
 from ..sources import files as f
+from ..sources.shared import shared_dir
 from .registry import Inputs, query
 
 

@@ -1,6 +1,7 @@
 """Hand-made cases and invariants of the operators."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -93,14 +94,14 @@ def test_assembly_rebuilds_the_template(spark):
 @settings(deadline=None, max_examples=60)
 @given(st.text("ACGT", min_size=1, max_size=25), st.text("ACGT", min_size=1, max_size=25))
 def test_alignment_holds_both_sequences(seq, ref):
-    cigar, a, b, score = align.align_pair(seq, ref)
+    cigar, a, b, score = align.align_pair(seq, ref)[:4]
     assert a.replace("-", "") == ref and b.replace("-", "") == seq and len(a) == len(b)
     assert "".join(str(c) for c in cigar) and score <= 5 * min(len(seq), len(ref))
 
 
 def test_alignment_of_a_deletion():
-    cigar, a, b, score = align.align_pair("ACGTACGTAAGGCCTT" * 2, "ACGTACGTAAGGCCTT" + "TTTTT" + "ACGTACGTAAGGCCTT")
-    assert sorted(cigar) == sorted("16M5D16M") or "5D" in cigar
+    cigar, a, b, score = align.align_pair("ACGTACGTAAGGCCTT" * 2, "ACGTACGTAAGGCCTT" + "TTTTT" + "ACGTACGTAAGGCCTT")[:4]
+    assert re.fullmatch(r"(14|15|16)M5D(18|17|16)M", cigar)  # the two Ts before the gap may stand on either side
     assert score == 32 * 5 - 24
 
 
