@@ -158,12 +158,19 @@ def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(values)
     ordered = values[order]
     new = np.r_[True, ordered[1:] != ordered[:-1]] if len(values) else np.zeros(0, bool)
-    number = np.empty(len(values), np.int64)
-    number[order] = np.cumsum(new) - 1
+    number = np.empty(len(values), np.int32 if len(values) < 1 << 31 else np.int64)
+    number[order] = np.cumsum(new, dtype=number.dtype) - 1
     first = np.flatnonzero(new)
     return ordered[first], number, np.diff(np.r_[first, len(values)])
 
 
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and how often each stands; ``values`` are sorted in place."""
+    values.sort()
+    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    return values[first], np.diff(np.r_[first, len(values)])
+
+
 def sub_batches(batch, column: int, most_bytes: int = 8 << 20, most_rows: int = 4096):
     """Slices of an Arrow batch of at most ``most_rows`` rows and, but for a single longer one, ``most_bytes`` of text."""
     import pyarrow.compute as pc

@@ -11,39 +11,54 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, block_ids, id_and_text, mix, ngram_hashes, numbered, stage, sub_batches
+from .common import WordHashes, block_ids, counted, id_and_text, mix, ngram_hashes, numbered, stage, sub_batches
 
-_BLOCKS = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("grams", pa.binary()),
+_BLOCKS = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary()),
                      ("counts", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
-_BLOCKS_SQL = "key long, block long, bucket int, n int, grams binary, counts binary, doc_ids array<long>, lengths array<long>"
+_BLOCKS_SQL = "key long, block long, bucket int, grams binary, counts binary, doc_ids array<long>, lengths array<long>"
 _JOINED_SQL = "block long, bucket int, payload binary, doc_ids array<long>, lengths array<long>"
 #: ``bucket`` of the row that holds a block's texts, compressed: smaller than the numbers of their grams.  Its key is -1 - block.
 _FORWARD = -1
 #: Bytes of text whose n-grams make a bucket or a shuffle partition: what a task holds of them doesn't grow with the corpus.
-BUCKET_BYTES, PARTITION_BYTES = 4 << 20, 16 << 20
+BUCKET_BYTES, PARTITION_BYTES = 2 << 20, 4 << 20
+
+
+def _planes(a: np.ndarray, width: int) -> np.ndarray:
+    """Unsigned numbers as their lowest bytes, then their next ones, ... of ``width`` bytes each."""
+    return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+
+
+def _from_planes(b: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(b) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(b, np.uint8).reshape(width, -1).T
+    return out.reshape(-1).view("<u8")
+
+
+def _width(a: np.ndarray) -> int:
+    return max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
 
 
 def _narrow(a: np.ndarray) -> bytes:
-    """Unsigned numbers in the fewest bytes each, that number first, compressed."""
-    top = int(a.max()) if len(a) else 0
-    t = "<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8"
-    return t[2].encode() + zstandard.ZstdCompressor(1).compress(a.astype(t).tobytes())
+    """Small numbers: their width, then their planes, most of which are zeros, compressed."""
+    width = _width(a)
+    return bytes([width]) + zstandard.ZstdCompressor(3).compress(_planes(a, width).tobytes())
 
 
 def _widen(b: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), f"<u{b[:1].decode()}").astype(np.int64)
+    return _from_planes(zstandard.ZstdDecompressor().decompress(b[1:]), b[0]).astype(np.int64)
 
 
-def _planes(a: np.ndarray) -> bytes:
-    """Unsigned 64-bit numbers as their lowest bytes, then their next ones, ... up to the highest that is used."""
-    width = max(1, (int(a.max()).bit_length() + 7) // 8)
-    return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+def _steps(a: np.ndarray) -> bytes:
+    """Steps between sorted hashes: random bytes but for the highest plane, which alone is compressed."""
+    width = _width(a)
+    planes = _planes(a, width)
+    top = zstandard.ZstdCompressor(3).compress(planes[-1].tobytes())
+    return bytes([width]) + len(top).to_bytes(4, "little") + top + planes[:-1].tobytes()
 
 
-def _from_planes(b: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, : len(b) // n] = np.frombuffer(b, np.uint8).reshape(-1, n).T
-    return out.reshape(-1).view("<u8")
+def _from_steps(b: bytes) -> np.ndarray:
+    end = 5 + int.from_bytes(b[1:5], "little")
+    return _from_planes(b[end:] + zstandard.ZstdDecompressor().decompress(b[5:end]), b[0])
 
 
 def gram_sequence(h: np.ndarray, order: int) -> np.ndarray:
@@ -60,14 +75,14 @@ def _exploded(docs: DataFrame, order: int, n_buckets: int) -> DataFrame:
         for batch in batches:
             for part in sub_batches(batch, 1):
                 texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
-                grams, _, counts = numbered(np.concatenate([gram_sequence(hashes.of_bytes(t), order) for t in texts]))
+                grams, counts = counted(np.concatenate([gram_sequence(hashes.of_bytes(t), order) for t in texts]))
                 bucket = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
                 cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(grams) else np.array([], int)
                 block = next(blocks)
-                rows = [(-1 - block, block, _FORWARD, 0, pack.compress(b"".join(texts)), b"", part.column(0).to_pylist(), [len(t) for t in texts])]
+                rows = [(-1 - block, block, _FORWARD, pack.compress(b"".join(texts)), b"", part.column(0).to_pylist(), [len(t) for t in texts])]
                 for a, b in zip(cuts, np.r_[cuts[1:], len(grams)], strict=False):
                     base = np.uint64(int(bucket[a]) << (64 - bits) if bits else 0)
-                    rows.append((int(bucket[a]), block, int(bucket[a]), int(b - a), _planes(np.diff(grams[a:b], prepend=base)), _narrow(counts[a:b]), None, None))
+                    rows.append((int(bucket[a]), block, int(bucket[a]), _steps(np.diff(grams[a:b], prepend=base)), _narrow(counts[a:b]), None, None))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOCKS, strict=True)], schema=_BLOCKS)
 
@@ -78,7 +93,7 @@ def _totals(pdf: pd.DataFrame) -> pd.DataFrame:
     """The count table of one bucket, joined to each block's grams of the bucket in their order, what other blocks count; a forward row stays as it is."""
     if pdf["key"].iloc[0] < 0:
         return pdf[["block", "bucket", "grams", "doc_ids", "lengths"]].rename(columns={"grams": "payload"})
-    parts = [np.cumsum(_from_planes(g, n), dtype=np.uint64) for g, n in zip(pdf["grams"], pdf["n"], strict=True)]
+    parts = [np.cumsum(_from_steps(g), dtype=np.uint64) for g in pdf["grams"]]
     counts = np.concatenate([_widen(c) for c in pdf["counts"]])
     grams, at, _ = numbered(np.concatenate(parts))
     total = np.zeros(len(grams), np.int64)
