@@ -2,32 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOCAL_CHECKPOINT_DIR = "/tmp/molspark-checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the cluster names none (local tests) is a folder of our own used.
-    """
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINT_DIR).rstrip("/")
-
+from ..sources.shared import materialise
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts lineage: what follows survives lost executors and never recomputes ``df``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/molspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Writes a table in the shared folder that the session names and reads it back: what follows survives lost executors.
+stage = materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
