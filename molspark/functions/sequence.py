@@ -62,13 +62,20 @@ def has_fuzzy(seq: Column, text: str, wildcard: str = ".{0,1}") -> Column:
     return seq.contains(text) | half_guard(seq, text) & seq.rlike(fuzzy_regex(text, wildcard))
 
 
-def _places(seq: Column, text: str) -> Column:
-    """How often ``text`` stands in ``seq``, overlaps counted."""
-    if any(text[:k] == text[-k:] for k in range(1, len(text))):  # it may overlap itself
-        return F.regexp_count(seq, F.lit(f"(?={text})"))
+def _count(seq: Column, text: str) -> Column:
+    """How often ``text`` stands in ``seq``, without overlaps."""
     return ((F.length(seq) - F.length(F.replace(seq, F.lit(text)))) / len(text)).cast("int")
 
 
+def _overlaps(seq: Column, text: str) -> Column:
+    """Whether ``text`` stands in ``seq`` twice with an overlap."""
+    out = F.lit(False)
+    for k in range(1, len(text)):
+        if text[:k] == text[-k:]:
+            out = out | seq.contains(text + text[k:])
+    return out
+
+
 def sanitize(seq: Column, text: str, wildcard: str = ".{0,1}") -> Column:
     """Every fuzzy hit of ``text`` replaced by ``text``; rows without an inexact hit skip the pattern.
 
@@ -79,8 +86,8 @@ def sanitize(seq: Column, text: str, wildcard: str = ".{0,1}") -> Column:
 
     def one(s: Column) -> Column:
         if wildcard == ".{0,1}" and half:
-            whole = ((F.length(s) - F.length(F.replace(s, F.lit(text)))) / len(text)).cast("int")
-            guard = (_places(s, text[:half]) > whole) | (_places(s, text[half:]) > whole)
+            whole = _count(s, text)
+            guard = (_count(s, text[:half]) > whole) | (_count(s, text[half:]) > whole) | _overlaps(s, text[:half]) | _overlaps(s, text[half:])
         else:
             guard = half_guard(s, text)
         return F.when(guard, F.regexp_replace(s, fuzzy_regex(text, wildcard), text)).otherwise(s)

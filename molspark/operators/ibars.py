@@ -43,11 +43,13 @@ def encode_reads(df: DataFrame, zombie: bool = False) -> DataFrame:
         # one error leaves a half of a feature intact; rows with neither half skip the pattern, and ``s`` stands once
         return F.transform(F.array(s), lambda x: F.when(half_guard(x, needs), F.regexp_replace(x, pattern, token)).otherwise(x))[0]
 
-    for i, r in enumerate(encode_rules(zombie, fuzzy_regex)):
+    for i, (pattern, *r) in enumerate(encode_rules(zombie, fuzzy_regex)):
+        if pattern.startswith(".*"):  # it takes in all that stands before: no match can start behind the last one's end
+            pattern = "\\G" + pattern
         if i == 3:  # a barcode has six letters: an empty one is none
             raw = F.regexp_extract("seq", f"CTAGA(.{{6}})(?:{fuzzy_regex(DOWNSTREAM)})", 1)
             df = df.withColumn("raw_ibar", F.when(half_guard(F.col("seq"), DOWNSTREAM), F.nullif(raw, F.lit(""))))
-        df = df.withColumn("seq", rule(F.col("seq"), *r))
+        df = df.withColumn("seq", rule(F.col("seq"), pattern, *r))
     return mask_wt(df)
 
 

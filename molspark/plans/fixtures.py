@@ -128,8 +128,15 @@ def oracle(sql: str) -> str:
     return f"WITH {views}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {views} {sql}"
 
 
+def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver's, dealt to all cores where it has fewer files than there are cores: a file of one row group is one task otherwise."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base = VIEWS[name][0]
     if base:
-        spark.read.parquet(f"{sf_dir}/{base}.parquet").createOrReplaceTempView(base)
+        base_table(spark, sf_dir, base).createOrReplaceTempView(base)
     return spark.sql(sql_of(name))

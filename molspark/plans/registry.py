@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .fixtures import fixture, oracle
+from .fixtures import base_table, fixture, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,7 +22,7 @@ class Inputs:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("fx_"):
             return fixture(self.spark, self.sf_dir, name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return base_table(self.spark, self.sf_dir, name)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Callable[[Inputs], DataFrame]], Callable[[Inputs], DataFrame]]:
