@@ -167,7 +167,7 @@ def cs_alleles(df: DataFrame, loci: DataFrame, window: int = 60) -> DataFrame:
         n = F.when(k == ":", rest.try_cast("int")).when(k == "*", F.lit(1)).when(k == "~", F.regexp_extract(t, "(\\d+)", 1).try_cast("int")).otherwise(F.length(rest))
         return F.struct(F.concat(acc["out"], F.array(F.struct(k.alias("k"), rest.alias("t"), acc["r"].alias("p"), n.alias("n")))).alias("out"), (acc["r"] + F.when(k == "+", 0).otherwise(n)).alias("r"))
 
-    near = df.join(F.broadcast(loci.withColumnRenamed("pos", "locus_pos")), "rname").where(F.abs(F.col("pos") - F.col("locus_pos")) <= window)
+    near = df.join(loci.withColumnRenamed("pos", "locus_pos"), "rname").where(F.abs(F.col("pos") - F.col("locus_pos")) <= window)
     out = near.withColumn("__e", F.aggregate(token, start, step, lambda acc: acc["out"]))
 
     def kind(*kinds: str) -> Column:

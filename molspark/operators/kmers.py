@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def kmer_explode(df: DataFrame, seq: str, k: int = 15, only_unique: bool = True, max_str_len: int = 1 << 30) -> DataFrame:
-    """One row for each k-mer, or the first ``max_str_len`` (500 in the reference); ``only_unique`` keeps those that stand once in the whole frame."""
+    """One row for each k-mer, or the first ``max_str_len``; ``only_unique`` keeps those that stand once in the whole frame."""
     s = F.col(seq)
     starts = F.when(F.length(s) >= k, F.sequence(F.lit(1), F.least(F.lit(max_str_len), F.length(s) - k + 1)))
     out = df.withColumn("kmer", F.explode(F.transform(starts, lambda i: F.substring(s, i, F.lit(k)))))

@@ -245,7 +245,7 @@ def ingest_experiments(frames: list[DataFrame], batches: DataFrame, valid_cells:
     allm = frames[0]
     for f in frames[1:]:
         allm = allm.unionByName(f)
-    allm = allm.join(F.broadcast(batches), "sample_id").withColumn("cbc", F.concat_ws("-", "cbc", "batch"))
+    allm = allm.join(batches, "sample_id").withColumn("cbc", F.concat_ws("-", "cbc", "batch"))
     if valid_cells is not None:
         allm = allm.join(valid_cells, "cbc", "left_semi")
     enough = allm.groupBy("raw_ibar").agg(F.count("*").alias("n")).where(F.col("n") >= min_mols).select("raw_ibar")

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..sources import fastq as fq
 from ..sources import files as f
-from ..sources.shared import shared_dir
+from ..sources.shared import session_folder
 from .registry import Inputs, query
 
 
 def _folder(t: Inputs, name: str) -> str:
-    return f"{shared_dir(t.spark)}/molspark/{name}-{uuid.uuid4().hex}"
+    return f"{session_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _text(df: DataFrame, col: str, path: str, gzip: bool = False) -> str:

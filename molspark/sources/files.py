@@ -25,7 +25,7 @@ def tabulate_reads(df: DataFrame, *, modality: str = "single-cell", cbc_len: int
 def sam_scan(spark: SparkSession, path: str) -> DataFrame:
     """Alignment text as a table, tags as a map; header lines are left out."""
     f = F.split("value", "\t")
-    tags = F.map_from_entries(F.transform(F.slice(f, 12, 1000), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, F.lit(6), F.length(t)).alias("v"))))
+    tags = F.map_from_entries(F.transform(F.slice(f, F.lit(12), F.greatest(F.size(f) - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, F.lit(6), F.length(t)).alias("v"))))
     rows = spark.read.text(path).where("value not like '@%'")
     return rows.select(f[0].alias("name"), f[1].cast("int").alias("flag"), f[2].alias("rname"), f[3].cast("long").alias("pos"), f[5].alias("cigar"), f[9].alias("sequence"), f[10].alias("quality_scores"),
                        F.when(F.size(f) > 11, tags).otherwise(F.create_map().cast("map<string,string>")).alias("tags"))

@@ -25,8 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or _own_folder()).rstrip("/")
 
 
+def session_folder(spark: SparkSession) -> str:
+    """Where this application stores its tables."""
+    return f"{shared_dir(spark)}/molspark/{spark.sparkContext.applicationId}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete all tables that this application has stored.  Call it when results are written: a lazy result may still read them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: ends the lineage, so that lost executors recompute nothing before it."""
-    path = f"{shared_dir(df.sparkSession)}/molspark/{name}-{uuid.uuid4().hex}"
+    path = f"{session_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ from molspark.operators.umi import umi_correct, umi_dominant_seq
 from molspark.plans.constants import END, METAS, START
 from molspark.plans.fixtures import fixture
 from molspark.plans.queries import ORACLE_SQL, QUERIES
-from molspark.sources.shared import shared_dir
+from molspark.sources.shared import drop_stored, materialise, session_folder, shared_dir
 
 TESTED = {"assemble_umis", "assembly_sweep", "assembly_optimize", "contig_table", "assemble_segmented", "align_alleles", "bin_alleles", "parsimony_score", "parsimony_null", "tree_qc_summary", "knee_threshold_kmeans"}
 
@@ -302,6 +302,16 @@ def test_head_of_each_file(spark, tmp_path):
     assert sorted((r.name, r.id) for r in got) == [(n, i) for n in "ab" for i in range(3)] and len({r.file for r in got}) == 2
 
 
+def test_stored_tables_are_dropped(spark, tmp_path_factory):
+    """All of the application's stored tables go at once; it may store new ones."""
+    from pathlib import Path
+
+    kept = materialise(spark.range(3), "kept")
+    assert kept.count() == 3 and Path(session_folder(spark)).is_dir()
+    drop_stored(spark)
+    assert not Path(session_folder(spark)).exists() and materialise(spark.range(3), "new").count() == 3
+
+
 def test_shared_folder_is_the_one_that_is_named(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
