@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import approx_place, extract_or_null
+from .pairs import pairs_in_groups
 
 
 def parse_contigs(contigs: DataFrame, anchor1: str, anchor2: str, sbc_names: dict[str, str] | None = None) -> DataFrame:
@@ -227,8 +228,7 @@ def allele_similarity(codes: DataFrame, bias: float = 1.0, dont_include: int = 3
     per = codes.groupBy("cell").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("site", "code"))), lambda s: F.concat_ws(":", s["site"], s["code"].cast("string"))), ",").alias("profile"))
     reps = per.groupBy("profile").agg(F.min("cell").alias("cell"))
     some = codes.join(reps.select("cell"), "cell", "left_semi").where(F.col("code") > dont_include)
-    other = some.select(F.col("cell").alias("other"), "site", "code")
-    pairs = some.join(other, ["site", "code"]).where("cell < other")
+    pairs = pairs_in_groups(some, ["site", "code"], "cell", {"cell": "cell"}, {"cell": "other"})
     return pairs.groupBy("cell", "other").agg(F.sum(F.lit(bias * bias)).alias("similarity"))
 
 

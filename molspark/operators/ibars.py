@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import fuzzy_pattern, fuzzy_regex, half_guard
 from ..sources.shared import materialise
+from .pairs import pairs_in_groups
 from .umi import barcode_merge, merge_roots
 
 # The guide's features.
@@ -283,8 +284,7 @@ def clone_pairs(mols: DataFrame, min_marginal: int = 0) -> DataFrame:
     if min_marginal:
         enough = each.groupBy("raw_ibar").agg(F.count("*").alias("n")).where(F.col("n") >= min_marginal)
         each = each.join(enough.select("raw_ibar"), "raw_ibar", "left_semi")
-    left, right = (each.select("cbc", F.col("raw_ibar").alias(x)) for x in ("a", "b"))
-    n = left.join(right, "cbc").where("a < b").groupBy("a", "b").agg(F.count("*").alias("cells"))
+    n = pairs_in_groups(each, ["cbc"], "raw_ibar", {"raw_ibar": "a"}, {"raw_ibar": "b"}).groupBy("a", "b").agg(F.count("*").alias("cells"))
     return n.withColumn("distance", 1 / (1 + F.col("cells")))
 
 
@@ -304,8 +304,8 @@ def ibar_correlation_groups(mols: DataFrame, min_cells: int = 10, min_corr: floa
     x = mols.where("wt").groupBy("cbc", "raw_ibar").agg(F.count("*").cast("double").alias("x"))
     stats = x.groupBy("raw_ibar").agg(F.count("*").alias("k"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss")).where(F.col("k") >= min_cells)
     n = x.select("cbc").distinct().agg(F.count("*").alias("n"))
-    a, b = (x.select("cbc", F.col("raw_ibar").alias(v), F.col("x").alias(f"x{v}")) for v in ("a", "b"))
-    sxy = a.join(b, "cbc").where("a < b").groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("sxy"))
+    met = pairs_in_groups(x, ["cbc"], "raw_ibar", {"raw_ibar": "a", "x": "xa"}, {"raw_ibar": "b", "x": "xb"})
+    sxy = met.groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("sxy"))
     sa, sb = (stats.select(F.col("raw_ibar").alias(v), F.col("s").alias(f"s{v}"), F.col("ss").alias(f"ss{v}")) for v in ("a", "b"))
     r = F.expr("(n * sxy - sa * sb) / sqrt((n * ssa - sa * sa) * (n * ssb - sb * sb))")
     edges = sxy.join(sa, "a").join(sb, "b").crossJoin(F.broadcast(n)).where(r >= min_corr).select("a", "b")

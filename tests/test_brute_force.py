@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from molspark.functions import sequence as s
 from molspark.operators import align, alleles, cassette, kmers, qc, reads, trees, umi
+from molspark.operators.pairs import pairs_in_groups
 from molspark.operators.umi import umi_correct, umi_dominant_seq
 from molspark.plans.constants import END, METAS, START
 from molspark.plans.fixtures import fixture
@@ -295,6 +296,14 @@ def test_experiments_need_one_batch_a_sample(spark):
             reads.ingest_experiments([mols], spark.createDataFrame(bad, "sample_id string, batch string"), None, 1)
 
 
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_pairs_in_groups(spark, block):
+    """Blocks of any size give each pair once."""
+    rows = [("hot", i) for i in range(20)] + [("a", 1), ("a", 2), ("one", 5), (None, 1), (None, 2)]
+    got = Counter((r.k, r.x, r.y) for r in pairs_in_groups(spark.createDataFrame(rows, "k string, i int"), ["k"], "i", {"i": "x"}, {"i": "y"}, block).collect())
+    assert got == Counter((k, i, j) for k, i in rows for q, j in rows if k is not None and k == q and i < j)
+
+
 def test_head_of_each_file(spark, tmp_path):
     for name in "ab":
         spark.range(20).selectExpr("id", f"'{name}' as name").coalesce(1).write.parquet(f"{tmp_path}/{name}")
