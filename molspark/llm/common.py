@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +30,38 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def _give_back() -> None:
+    """Return what this Python process no longer uses to the machine; its memory counts as the executor's, and workers live on between tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc, nothing to trim
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, which gives memory back when a task ends."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return tidied
+
+
+def tidy_group(f: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """``f`` for ``applyInPandas``, which gives memory back after each group; for groups of megabytes."""
+    def tidied(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = f(pdf)
+        _give_back()
+        return out
+
+    return tidied
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the two columns an operator needs, under fixed names; other columns are not read."""
     return small_batches(docs).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -93,7 +129,7 @@ def words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash; forgets everything at ``most`` words, so its memory is bounded."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

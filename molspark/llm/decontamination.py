@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, apart, block_ids, id_and_text, small_batches, stage, sub_batches
+from .common import WordHashes, apart, block_ids, id_and_text, small_batches, stage, sub_batches, tidy, tidy_group
 
 WINDOW = 13
 #: Benchmark windows searched at once; a larger benchmark is searched in slices, so what is collected and broadcast stays bounded.
@@ -70,7 +70,7 @@ def positional_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     pa.array([starts, *[None] * n], pa.list_(pa.int64()))], schema=_INDEX)
 
     src = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return stage(src.mapInArrow(run, INDEX_SCHEMA), "positional-index")
+    return stage(src.mapInArrow(tidy(run), INDEX_SCHEMA), "positional-index")
 
 
 @dataclass(frozen=True)
@@ -99,7 +99,7 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW, *, item_id_col:
                         rows = np.lib.stride_tricks.sliding_window_view(part, n)
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(list(rows), pa.list_(pa.int64()))], ["item", "terms"])
 
-    return items.mapInArrow(run, "item string, terms array<long>").distinct()
+    return items.mapInArrow(tidy(run), "item string, terms array<long>").distinct()
 
 
 def windows_of(rows: list[tuple[str, list[int]]], frequency: dict[int, int], size: int) -> Windows:
@@ -218,7 +218,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
         terms = docs.sparkSession.createDataFrame([(t,) for t in sorted({DIRECTORY, *(t for _, ts in rows for t in ts)})], "term long")  # of a slice's windows
         chosen = index.join(F.broadcast(terms), "term", "left_semi")
         frequency = {r.term: r.f for r in chosen.where(F.col("term") != DIRECTORY).groupBy("term").agg(F.sum("n").alias("f")).collect()}
-        hits.append(chosen.groupBy("block").applyInPandas(_searcher(windows_of(rows, frequency, window), near_terms, slop), _HITS))
+        hits.append(chosen.groupBy("block").applyInPandas(tidy_group(_searcher(windows_of(rows, frequency, window), near_terms, slop)), _HITS))
     out = hits[0]
     if n_slices > 1:
         for h in hits[1:]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 # HTML's void elements, raw-text elements, and the elements that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -348,4 +348,4 @@ def extract_main_text(pages: DataFrame, *, id_cols: tuple[str, ...] = ("page_id"
                 [*id_cols, "text", "n_chars"])
 
     ids = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[: len(id_cols)])
-    return src.mapInArrow(run, f"{ids}, text string, n_chars long")
+    return src.mapInArrow(tidy(run), f"{ids}, text string, n_chars long")

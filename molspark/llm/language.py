@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, tidy
 
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -135,4 +135,4 @@ def identify_languages(docs: DataFrame, model: CompressionClassifier, *, id_col:
                 ["doc_id", "lang_pred", "score", "rejected"])
 
     src = id_and_text(docs, id_col, text_col)
-    return src.mapInArrow(run, f"doc_id {src.schema[0].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    return src.mapInArrow(tidy(run), f"doc_id {src.schema[0].dataType.simpleString()}, lang_pred string, score double, rejected boolean")

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, block_ids, counted, id_and_text, mix, ngram_hashes, numbered, stage, sub_batches
+from .common import WordHashes, block_ids, counted, id_and_text, mix, ngram_hashes, numbered, stage, sub_batches, tidy, tidy_group
 
 _BLOCKS = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary()),
                      ("counts", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
@@ -86,7 +86,7 @@ def _exploded(docs: DataFrame, order: int, n_buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOCKS, strict=True)], schema=_BLOCKS)
 
-    return docs.mapInArrow(run, _BLOCKS_SQL)
+    return docs.mapInArrow(tidy(run), _BLOCKS_SQL)
 
 
 def _totals(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -176,7 +176,7 @@ def score_stupid_backoff(docs: DataFrame, *, order: int = 3, alpha: float = 0.4,
     n_buckets = 1 << max(0, (n_buckets or -(-size // BUCKET_BYTES)) - 1).bit_length()
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
     joined = _exploded(src, order, n_buckets).repartition(n_parts, "key").groupBy("key").applyInPandas(_totals, _JOINED_SQL)
-    scored = stage(joined.repartition(n_parts, "block").groupBy("block").applyInPandas(_scorer(order, alpha), "doc_id long, n_tokens long, log10 double, shares long"), "lm-scores")
+    scored = stage(joined.repartition(n_parts, "block").groupBy("block").applyInPandas(tidy_group(_scorer(order, alpha)), "doc_id long, n_tokens long, log10 double, shares long"), "lm-scores")
     n_tokens = scored.agg(F.sum("n_tokens")).first()[0] or 0
     rest = F.greatest(F.lit(n_tokens) - F.col("n_tokens"), F.lit(1))
     total = F.col("log10") - F.col("shares") * F.log10(rest)

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, sub_batches
+from .common import id_and_text, sub_batches, tidy
 
 BLOCK = 64
 RATE = 8000
@@ -139,4 +139,4 @@ def wav_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                     ["doc_id", *(k for k, _ in fields)])
 
     src = id_and_text(docs, id_col, text_col)
-    return src.mapInArrow(run, f"doc_id {src.schema[0].dataType.simpleString()}, {', '.join(map(' '.join, fields))}")
+    return src.mapInArrow(tidy(run), f"doc_id {src.schema[0].dataType.simpleString()}, {', '.join(map(' '.join, fields))}")

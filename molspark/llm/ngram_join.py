@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, apart, id_and_text, join_unique, mix, ngram_hashes, stage, sub_batches
+from .common import WordHashes, apart, id_and_text, join_unique, mix, ngram_hashes, stage, sub_batches, tidy
 from .components import connected_components
 
 #: Sampled tokens of each set by a byte of which sets are first compared; path steps use the same ones in turn, and more where they need them.
@@ -186,9 +186,9 @@ def _verifier(num: int, den: int):
             inter = np.zeros((len(x), len(y)), np.float32)
             place_x, place_y = (np.full(len(sets), -1) for _ in range(2))
             place_x[x], place_y[y] = np.arange(len(x)), np.arange(len(y))
-            for first in range(0, int(shared.sum()), 4096):
-                i, j = np.searchsorted(at, (first, first + 4096))
-                grid = np.zeros((len(sets), 4096), np.float32)
+            for first in range(0, int(shared.sum()), 1024):
+                i, j = np.searchsorted(at, (first, first + 1024))
+                grid = np.zeros((len(sets), 1024), np.float32)
                 grid[of[i:j], at[i:j] - first] = 1
                 inter += grid[x] @ (grid[x] if same else grid[y]).T
             both = inter.astype(np.int64)
@@ -231,7 +231,7 @@ def _classes(rows: DataFrame, threshold: tuple[int, int], shingle: int, recall:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(n, pa.int64()), pa.array(sketch), pa.array(keys, pa.list_(pa.int64()))],
                                                  ["th", "n", "sketch", "keys"])
 
-    drawn = rows.select("th", "text").mapInArrow(draw, "th binary, n long, sketch binary, keys array<long>")
+    drawn = rows.select("th", "text").mapInArrow(tidy(draw), "th binary, n long, sketch binary, keys array<long>")
     drawn = drawn.groupBy("th").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     sets = stage(drawn.withColumn("rid", F.monotonically_increasing_id()), "join-sets")
 
@@ -248,7 +248,7 @@ def _classes(rows: DataFrame, threshold: tuple[int, int], shingle: int, recall:
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
         active = met.where(F.col("size") > LEAF).select("rid", "path")
     met = leaves.join(sets.select("rid", "n", "sketch"), "rid")
-    edges = _deal(met, "key", "size", BLOCK).select("key", "left", "right", "mine", "rid", "n", "sketch").mapInArrow(_candidates(num, den), "u long, v long")
+    edges = _deal(met, "key", "size", BLOCK).select("key", "left", "right", "mine", "rid", "n", "sketch").mapInArrow(tidy(_candidates(num, den)), "u long, v long")
     group = stage(connected_components(edges).withColumnRenamed("u", "rid"), "join-groups")
 
     # the members' sets: one row a text, found by text hash and smallest id
@@ -265,10 +265,10 @@ def _classes(rows: DataFrame, threshold: tuple[int, int], shingle: int, recall:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.binary())], ["pk", "tokens"])
 
     _, some = apart(rows.select(_row_key("th", "doc_id").alias("pk"), "text"), F.col("pk"), members, F.col("pk"))
-    again = some.mapInArrow(reread, "pk binary, tokens binary").groupBy("pk").agg(F.first("tokens").alias("tokens"))
+    again = some.mapInArrow(tidy(reread), "pk binary, tokens binary").groupBy("pk").agg(F.first("tokens").alias("tokens"))
     full = members.join(again, "pk").select("rid", "root", "size", "copies", "tokens")
     verified = stage(_deal(full, "root", "size", BLOCK // 2).select("root", "left", "right", "mine", "rid", "copies", "tokens")
-                     .mapInArrow(_verifier(num, den), "u long, v long, links long"), "join-verified")
+                     .mapInArrow(tidy(_verifier(num, den)), "u long, v long, links long"), "join-verified")
     classes = connected_components(verified.select("u", "v")).withColumnRenamed("u", "rid")
     links = verified.groupBy(F.col("u").alias("rid")).agg(F.sum("links").alias("links"))
     known = sets.select("rid", "th", "n").join(texts, "th").join(classes, "rid", "left").join(links, "rid", "left")

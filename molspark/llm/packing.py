@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, stage
+from .common import id_and_text, stage, tidy
 
 #: Only these characters take the fast path, where lower case and white space are the same everywhere.
 _PLAIN = r"[\t\n\r\x20-\x7e¡-ɏ]*"
@@ -61,7 +61,7 @@ class WordEncoder:
     and ASCII, or what may be a special token, is handed to the tokenizer whole.
     """
 
-    def __init__(self, path: str, most_words: int = 500_000, most_pieces: int = 500_000):
+    def __init__(self, path: str, most_words: int = 150_000, most_pieces: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -183,7 +183,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, space: int =
         used = {w: capacity - room for room, w in windows.by_room}
         yield emit([(*r[:-1], used[w]) for w, rows in held.items() for r in rows])
 
-    pieces = stage(src.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, "
+    pieces = stage(src.mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, "
                                        "win long, offset long, open_used long"), "pack-pieces")
     # open windows: at most `space` a partition, with the sequence they go to and their place there
     left = (pieces.where("open_used > 0").select("part", "win", "open_used").distinct()

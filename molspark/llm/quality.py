@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, small_batches, stage
+from .common import id_and_text, small_batches, stage, tidy
 
 # Frequent function words of four languages.
 FUNCTION_WORDS = frozenset(
@@ -203,7 +203,7 @@ def fit_quality(docs: DataFrame, *, text_col: str = "text", sample_rows: int = 4
                 [pa.array([votes(statistics(t)) for t in batch.column(0).to_pylist()], pa.string()), batch.column(1), batch.column(2)], ["votes", "h", "size"])
 
     texts = small_batches(docs).select(F.col(f"`{text_col}`").alias("text")).where("text is not null and trim(text) != ''").withColumns({"h": F.xxhash64("text"), "size": F.octet_length("text").cast("long")})
-    voted = stage(texts.mapInArrow(vote, "votes string, h long, size long"), "quality-votes")
+    voted = stage(texts.mapInArrow(tidy(vote), "votes string, h long, size long"), "quality-votes")
     patterns = {r.votes: r.n for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     model = fit_label_model(patterns)
     posterior = dict(zip(patterns, model.posterior(list(patterns)), strict=True)) if patterns else {}
@@ -243,7 +243,7 @@ def score_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id
                 ["doc_id", "quality", "keep", "votes"])
 
     src = id_and_text(docs, id_col, text_col)
-    return src.mapInArrow(run, f"doc_id {src.schema[0].dataType.simpleString()}, quality double, keep boolean, votes string")
+    return src.mapInArrow(tidy(run), f"doc_id {src.schema[0].dataType.simpleString()}, quality double, keep boolean, votes string")
 
 
 def keep_good(docs: DataFrame, model: QualityModel, *, text_col: str = "text") -> DataFrame:
@@ -254,4 +254,4 @@ def keep_good(docs: DataFrame, model: QualityModel, *, text_col: str = "text") -
         for batch in batches:
             yield batch.filter(pa.array([model.score(t)[0] >= 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(tidy(run), docs.schema)
