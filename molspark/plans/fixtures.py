@@ -40,11 +40,6 @@ SELECT concat('S',CAST(l_suppkey % 4 AS STRING)) AS sample_id,
   CAST(l_partkey % 3 AS INT) + 1 AS cluster,
   CASE WHEN l_orderkey % 10 = 0 THEN 'doublet' ELSE 'singlet' END AS doublet_prediction
 FROM lineitem
-"""),
-    "fx_alleles": ("orders", """
-SELECT concat('t',CAST(o_custkey % 8 AS STRING)) AS tree_id, concat('n',CAST(64 + o_orderkey % 64 AS STRING)) AS leaf,
-  concat('r',CAST(1 + o_orderkey % 6 AS STRING)) AS site,
-  min(CAST(floor(o_totalprice) AS BIGINT) % 4 - 1) AS state FROM orders GROUP BY 1,2,3
 """),
     "fx_plates": ("part", """
 SELECT CAST(floor(p_partkey / 24) AS BIGINT) AS plate, concat('PO_',CAST(p_partkey AS STRING),'_x') AS id,
@@ -56,10 +51,6 @@ FROM part
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
   concat(CAST(10 + l_linenumber AS STRING),'M',CAST(1 + l_orderkey % 3 AS STRING),CASE WHEN l_orderkey % 2 = 0 THEN 'D' ELSE 'I' END,'20M') AS cigar_str
 FROM lineitem
-"""),
-    "fx_edges": ("customer", """
-SELECT concat('n',CAST(CAST(floor(c_custkey / 2) AS BIGINT) AS STRING)) AS parent, concat('n',CAST(c_custkey AS STRING)) AS child
-FROM customer WHERE c_custkey BETWEEN 2 AND 127
 """),
     "fx_tree_alleles": ("orders", """
 SELECT concat('t',CAST(CAST(floor(o_custkey / 64) AS BIGINT) AS STRING)) AS tree_id, concat('n',CAST(64 + o_custkey % 64 AS STRING)) AS leaf,
