@@ -157,6 +157,23 @@ def test_streaming_equals_batch(spark, small, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).exceptAll(batch).isEmpty()
 
 
+def test_barcodes_and_segments_of_a_stream(spark, small, tmp_path):
+    """Row-local operators in a row, on arriving files, give what a batch gives."""
+    from molspark.plans.fixtures import fixture
+    from molspark.streaming import read_stream, write_stream
+
+    def steps(df):
+        parsed = reads.parse_barcodes(df, 12, "GGCACACTGTCCT").where("ont and valid_umi")
+        return cassette.segment_by_metas(parsed, METAS, START, END, "r2_seq", ["umi", "sbc"])
+
+    folder = str(tmp_path / "in")
+    fixture(spark, small, "fx_reads").write.parquet(folder)
+    stream = read_stream(spark, folder, "read_id string, r1_seq string, r2_seq string")
+    write_stream(steps(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got, want = spark.read.parquet(str(tmp_path / "out")), steps(spark.read.parquet(folder))
+    assert got.exceptAll(want).isEmpty() and got.count() == want.count() > 0
+
+
 def test_trees_grow_with_the_tables(spark):
     from molspark.plans.fixtures import fixture
     from molspark.plans.queries import QUERIES
