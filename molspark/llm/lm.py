@@ -11,13 +11,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, block_ids, counted, id_and_text, mix, ngram_hashes, numbered, stage, sub_batches, tidy, tidy_group
+from .common import WordHashes, block_ids, counted, id_and_text, mix, ngram_hashes, numbered, stage, sub_batches, tidy, tidy_group, words
 
 _BLOCKS = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary()),
                      ("counts", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
 _BLOCKS_SQL = "key long, block long, bucket int, grams binary, counts binary, doc_ids array<long>, lengths array<long>"
 _JOINED_SQL = "block long, bucket int, payload binary, doc_ids array<long>, lengths array<long>"
-#: ``bucket`` of the row that holds a block's texts, compressed: smaller than the numbers of their grams.  Its key is -1 - block.
+#: ``bucket`` of the row that holds the words of a block's texts, compressed: smaller than the numbers of their grams.  Its key is -1 - block.
 _FORWARD = -1
 #: Bytes of text whose n-grams make a bucket or a shuffle partition: what a task holds of them doesn't grow with the corpus.
 BUCKET_BYTES, PARTITION_BYTES = 2 << 20, 4 << 20
@@ -71,10 +71,10 @@ def _exploded(docs: DataFrame, order: int, n_buckets: int) -> DataFrame:
     bits = n_buckets.bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, blocks, pack = WordHashes(), block_ids(), zstandard.ZstdCompressor(6)
+        hashes, blocks, pack = WordHashes(), block_ids(), zstandard.ZstdCompressor(12)
         for batch in batches:
             for part in sub_batches(batch, 1):
-                texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+                texts = [b" ".join(words(t)) for t in part.column(1).to_pylist()]  # nothing but the words goes on
                 grams, counts = counted(np.concatenate([gram_sequence(hashes.of_bytes(t), order) for t in texts]))
                 bucket = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
                 cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(grams) else np.array([], int)
