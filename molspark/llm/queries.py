@@ -19,6 +19,9 @@ from .packing import pack
 from .quality import fit_quality, score_quality
 from .secrets import scan_secrets
 from .sharding import balanced_shards
+from .spelling import group_spellings
+from .token_alignment import align_tokenizers
+from .token_store import read_token_store, write_token_store
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +63,10 @@ def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.round("lm_log10", 3).alias("lm_log10"), F.round("lm_mean", 6).alias("lm_mean"))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +82,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs)).withColumn("quality", F.round("quality", 6))
 
 
+def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return read_token_store(spark, write_token_store(docs, tokenizer_path("byte_bpe_50k.json")), docs)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_decontamination": op2_decontamination,
@@ -90,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
+    "op11_token_store": op11_token_store,
+    "op12_spelling": op12_spelling,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2, "op4_jaccard_join": OP4, "op5_sharding": OP5, "op7_lm": OP7}
