@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +15,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_ids, id_and_text, stage, sub_batches, tidy
+from .common import block_ids, counted, id_and_text, stage, sub_batches, tidy
 from .tokens import ByteEncoder, byte_letters
 
 #: What stands for a blank in a piece.
 _BLANK = "▁"
 #: Chunks whose alignment a Python worker keeps; it forgets them between blocks once there are more.
-MOST_CHUNKS = 250_000
+MOST_CHUNKS = 400_000
 
 
 def _unsigned(a: np.ndarray) -> bytes:
@@ -37,16 +38,12 @@ def _numbers(b: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.int64)
 
 
-@dataclass(frozen=True)
-class Aligned:
-    """The groups of one chunk of text: counts, their text form, and its distinct links with how often each stands."""
+class Aligned(NamedTuple):
+    """The groups of one chunk of text: counts, their text form, and the codes of its distinct links with how often each stands."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
+    counts: tuple[int, int, int, int]
     shown: bytes
-    links: Counter
+    links: dict[int, int]
 
 
 class Aligner:
@@ -59,7 +56,7 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
 
-        self.a = ByteEncoder(path_a, plain=True, most_chunks=1)
+        self.a = ByteEncoder(path_a, plain=True)
         letters = {c: bytes([b]) for b, c in enumerate(byte_letters())}
         special = {t.content for t in self.a.tokenizer.get_added_tokens_decoder().values()}
         self.bytes_a = [b""] * self.a.tokenizer.get_vocab_size()
@@ -80,20 +77,25 @@ class Aligner:
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.shown: list[bytes] = []
-        self.counts: list[tuple[int, int, int, int]] = []
-        self.codes: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
+        self.counts, self.codes, self.times, self.ends = array("q"), array("q"), array("q"), array("q")
 
     def align(self, a: list[int], b: list[int], text: str) -> Aligned | None:
         """Groups of tokens over one text; None if their bytes aren't those of " " + text."""
         raw = b" " + text.encode("utf-8", "surrogatepass")
         if b"".join([self.bytes_a[x] for x in a]) != raw or b"".join([self.bytes_b[x] for x in b]) != raw:
             return None
-        size_a, size_b = self.size_a, self.size_b
-        groups, links, n_links, i, j = [], Counter(), 0, 0, 0
+        size_a, size_b, every_b = self.size_a, self.size_b, len(self.size_b)
+        groups, links, n_links, i, j = [], {}, 0, 0, 0
         while i < len(a):
-            i0, j0, ahead = i, j, size_a[a[i]] - size_b[b[j]]
+            i0, j0, x, y = i, j, a[i], b[j]
+            ahead = size_a[x] - size_b[y]
             i, j = i + 1, j + 1
+            if not ahead:
+                groups.append(f"{x}|{y}")
+                code = x * every_b + y
+                links[code] = links.get(code, 0) + 1
+                n_links += 1
+                continue
             while ahead:
                 if ahead < 0:
                     ahead += size_a[a[i]]
@@ -101,43 +103,39 @@ class Aligner:
                 else:
                     ahead -= size_b[b[j]]
                     j += 1
-            if i - i0 == 1 and j - j0 == 1:
-                x, y = a[i0], b[j0]
-                groups.append(f"{x}|{y}")
-                links[x, y] += 1
-                n_links += 1
-            else:
-                xs, ys = a[i0:i], b[j0:j]
-                groups.append(f"{','.join(map(str, xs))}|{','.join(map(str, ys))}")
-                times = Counter(ys).items()
-                for x, m in Counter(xs).items():
-                    for y, k in times:
-                        links[x, y] += m * k
-                n_links += len(xs) * len(ys)
-        return Aligned(len(a), len(b), len(groups), n_links, ";".join(groups).encode(), links)
+            xs, ys = a[i0:i], b[j0:j]
+            groups.append(f"{','.join(map(str, xs))}|{','.join(map(str, ys))}")
+            n_links += len(xs) * len(ys)
+            often = Counter(ys).items() if len(ys) > 1 else ((ys[0], 1),)
+            for x, m in Counter(xs).items() if len(xs) > 1 else ((xs[0], 1),):
+                for y, k in often:
+                    code = x * every_b + y
+                    links[code] = links.get(code, 0) + m * k
+        return Aligned((len(a), len(b), len(groups), n_links), ";".join(groups).encode(), links)
 
     def keep(self, aligned: Aligned) -> int:
         """Room for a chunk's alignment among those of this block; its number."""
-        n_b = len(self.size_b)
         self.shown.append(aligned.shown)
-        self.counts.append((aligned.n_a, aligned.n_b, aligned.n_groups, aligned.n_links))
-        self.codes.append(np.array([x * n_b + y for x, y in aligned.links], np.int64))
-        self.times.append(np.array(list(aligned.links.values()), np.int64))
+        self.counts.extend(aligned.counts)
+        self.codes.extend(aligned.links.keys())
+        self.times.extend(aligned.links.values())
+        self.ends.append(len(self.codes))
         return len(self.shown) - 1
 
     def learn(self, chunks: list[str]) -> None:
         """Align chunks that aren't known yet; -1 is the number of one that texts can't be cut at."""
-        white = self.a.white
-        whole = [c for c in chunks if c and c[0] not in white and c[-1] not in white]
+        whole = [c for c in chunks if self.a.whole(c)]
         self.number.update(dict.fromkeys(chunks, -1))
-        for chunk, b in zip(whole, self.b.encode(whole, num_threads=1), strict=True):
-            aligned = self.align(np.frombuffer(self.a.pieces(" " + chunk), self.a.dtype).tolist(), b, chunk)
+        if not whole:
+            return
+        for chunk, a, b in zip(whole, self.a.chunk_ids(whole), self.b.encode(whole, num_threads=1), strict=True):
+            aligned = self.align(np.frombuffer(a, self.a.dtype).tolist(), b, chunk)
             if aligned:
                 self.number[chunk] = self.keep(aligned)
 
     def whole(self, text: str) -> list[int]:
         """The text as a single chunk; no chunk if it has no tokens."""
-        aligned = self.align(self.a.tokenizer.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), text)
+        aligned = self.align(self.a.ids(" " + text).tolist(), self.b.encode(text), text)
         return [self.keep(aligned)] if aligned else []
 
     def block(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[str], np.ndarray]:
@@ -156,30 +154,31 @@ class Aligner:
             digests.append(hashlib.sha256(b";".join([self.shown[x] for x in k])).hexdigest() if k else "")
         doc = np.repeat(np.arange(len(texts)), [len(k) for k in numbers])
         chunk = np.concatenate([*numbers, np.zeros(0, np.int64)])
-        counts = np.array(self.counts, np.int64).reshape(-1, 4)
+        counts = np.array(self.counts).reshape(-1, 4)
         sums = np.zeros((len(texts), 4), np.int64)
         ends = np.cumsum([len(k) for k in numbers])
         for c in range(4):
             sums[:, c] = np.diff(np.r_[0, np.r_[0, np.cumsum(counts[chunk, c])][ends]])
         links = self._links(doc, chunk)
-        for column in (self.shown, self.counts, self.codes, self.times):
-            del column[kept:]
+        held = self.ends[kept - 1] if kept else 0
+        del self.shown[kept:], self.counts[4 * kept :], self.codes[held:], self.times[held:], self.ends[kept:]
         return sums, digests, links
 
     def _links(self, doc: np.ndarray, chunk: np.ndarray) -> np.ndarray:
-        some, at, often = np.unique(doc * len(self.shown) + chunk, return_index=True, return_counts=True)
-        doc, chunk = doc[at], chunk[at]
-        size = np.array([len(c) for c in self.codes], np.int64)
-        starts = np.r_[0, np.cumsum(size)]
-        codes, times = np.concatenate([*self.codes, np.zeros(0, np.int64)]), np.concatenate([*self.times, np.zeros(0, np.int64)])
-        n = size[chunk]
+        """``(document, code, times)``, one column a distinct pair of a document, ordered."""
+        every = max(1, len(self.shown))
+        some, often = counted(doc * every + chunk)
+        doc, chunk = some // every, some % every
+        ends, codes, times = (np.array(x) for x in (self.ends, self.codes, self.times))
+        n = np.diff(ends, prepend=0)[chunk]
         row = np.repeat(np.arange(len(chunk)), n)
-        place = np.repeat(starts[chunk] - np.r_[0, np.cumsum(n)][:-1], n) + np.arange(len(row))
-        code, count, doc = codes[place], times[place] * often[row], doc[row]
-        order = np.lexsort((code, doc))
-        code, count, doc = code[order], count[order], doc[order]
-        first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])]) if len(code) else np.zeros(0, np.int64)
-        return np.stack([doc[first], code[first], np.add.reduceat(count, first) if len(first) else first])
+        place = np.repeat(ends[chunk] - np.cumsum(n), n) + np.arange(len(row))
+        key = doc[row] * (len(self.size_a) * len(self.size_b)) + codes[place]
+        order = np.argsort(key)
+        key, times = key[order], (times[place] * often[row])[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        doc, code = np.divmod(key[first], len(self.size_a) * len(self.size_b))
+        return np.stack([doc, code, np.add.reduceat(times, first) if len(first) else first])
 
 
 @cache

@@ -28,11 +28,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import session_folder
-from .common import id_and_text, stage, tidy, tidy_group
+from .common import id_and_text, stage, sub_batches, tidy, tidy_group
 from .perfect_hash import build, find
 from .tokens import byte_encoder
 
-#: Ids in the buffer of a task that writes or reads a shard.
+#: Ids in the buffer of a task that reads a shard.
 BUFFER = 1 << 21
 #: A bucket of the index has some 2**20 keys; small stores get up to 256 buckets of 1024 keys or more, so that many tasks share the work.
 BUCKET_KEYS, FEW_BUCKETS, SMALL_BUCKET_KEYS = 1 << 20, 256, 1 << 10
@@ -226,24 +226,17 @@ def write_token_store(docs: DataFrame, tokenizer: str, path: str | None = None,
         shard, name = task.partitionId(), f"{task.partitionId():08d}-{task.taskAttemptId()}"
         encoder = byte_encoder(tokenizer)
         tail = np.array([end_id], encoder.dtype).tobytes()
-        files, at_id, number, held = [], 0, 0, []
+        files, at_id, number = [], 0, 0
         system, folder = file_system(path)
         for batch in batches:
             if batch.num_rows and not files:
                 files = [system.open_output_stream(f"{folder}/ids/{name}.{end}") for end in ("ids", "offsets")]
-            lengths = np.zeros(batch.num_rows, np.int64)
-            waiting = 0
-            for i, text in enumerate(batch.column(1)):
-                ids = encoder.encode(text.as_py()) + tail
-                held.append(ids)
-                lengths[i] = len(ids) // encoder.width
-                waiting += len(ids)
-                if waiting > BUFFER:
-                    files[0].write(b"".join(held))
-                    held, waiting = [], 0
-            if held:
+            lengths = []
+            for part in sub_batches(batch, 1, 2 << 20):
+                held = [ids + tail for ids in encoder.encode_all(part.column(1).to_pylist())]
                 files[0].write(b"".join(held))
-                held = []
+                lengths += [len(ids) // encoder.width for ids in held]
+            lengths = np.array(lengths, np.int64)
             offsets = at_id + np.r_[0, np.cumsum(lengths)].astype("<u8")
             if files:
                 files[1].write(offsets[:-1].tobytes())
