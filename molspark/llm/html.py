@@ -27,19 +27,24 @@ SCOPES = frozenset("td th button object table caption foreignobject".split())
 #: Elements that never hold main text.
 NEVER = frozenset("head nav footer aside form button input script style template iframe noscript noembed noframes menu dialog svg select textarea object canvas title".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
-#: Parts of a class or id that name what surrounds an article, wherever they stand.
+#: Words that name what surrounds an article: a class or id does if it has one of them, and no other parts than such words, weak ones and FRAMES.
 STRONG = frozenset("advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comentarios comment commentaires commentlist comments cookie cookies disqus "
                    "gdpr kommentare masthead menubar navbar navigation newsletter pagination popup sidebar sponsored subscribe toolbar".split())
 #: Classes and ids that do so if they are nothing but the word.
-EXACT = frozenset("ad ads banner consent footer menu modal nav notice notices promo respond signup widget".split())
+EXACT = frozenset("ad ads banner consent footer menu modal nav notice notices promo".split())
 #: Parts that do so only of an element that is thin, mostly links, or outside the article.
 WEAK = frozenset("ad ads banner consent disclaimer discussion footer header menu modal nav notice notices promo promoted promotion reactions recommended "
                  "related replies reply respond share sharing signup social sponsor subscription widget".split())
+#: Parts that say nothing of what an element holds.
+FRAMES = frozenset("area bar block body bottom box btn card cell col column container content count entry feed field fixed form full global group head holder html icon "
+                   "inner item items js label left link links list load main middle mobile module nav outer page pane panel post primary reader readers right root row secondary "
+                   "section site slot small stack text thread title top unit user users view wp wrap wrapper x xl xs".split())
 #: First parts of a class that tells a state of the page.
 STATES = frozenset("has hide is no not show with without".split())
+_FRAME_WORDS = STRONG | WEAK | EXACT | FRAMES
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-_TAG_STOP = re.compile(r">|=\s{0,64}([\"'])")
-_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s{0,64}=\s{0,64}(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TAG_STOP = re.compile(r">|=\s*+([\"'])")
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: A start tag of the first ends an open element of the second.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -88,7 +93,7 @@ class Node:
                     if name == "role":
                         self.named |= token.lower() in ROLES
                     elif parts and parts[0] not in STATES:
-                        self.named |= not STRONG.isdisjoint(parts) or len(parts) == 1 and parts[0] in EXACT
+                        self.named |= self.tag not in _HEADINGS and (not STRONG.isdisjoint(parts) and _FRAME_WORDS.issuperset(parts) or len(parts) == 1 and parts[0] in EXACT)
                         self.weak |= not WEAK.isdisjoint(parts)
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in "".join(value.lower().split()):
                 self.around = self.tag not in ("html", "body")
@@ -258,7 +263,7 @@ def main_text(page: str | None) -> str:
     density on its path up to body.  The article is the centre, and every element beside the path that reaches the threshold.  An
     ``article`` or ``main`` element on the path moves that bar: what it holds stays, what is outside must be as dense as the
     element itself.  Without one, headings and paragraphs beside the path stay, but for those right below body.  Elements other than paragraphs that are mostly
-    links and thinner than the threshold go, and so do elements with a weak name that are mostly links, thinner (no paragraphs) or outside the article.  Where
+    links and thinner than the threshold go, and so do elements with a weak name that are mostly links, or outside the article.  Where
     nothing is left without the forms of a page, what they hold is looked at too.
     """
     if not page:
@@ -299,7 +304,8 @@ def _blocks(body: Node, path: list[Node], bound: Node | None, threshold: float)
             return True
         block = n.tag in BLOCK
         thin = n.density < threshold
-        if n.weak and not n.holds and block and n.chars and (not inside or thin and n.tag not in _TEXT_BLOCKS or n.links > 0.5 * n.chars):
+        # outside the article a weak name is enough, unless the element reaches the bar; inside, no name takes away what isn't mostly links
+        if n.weak and not n.holds and block and n.chars and (n.links > 0.5 * n.chars or not inside and n.tag not in _HEADINGS and (thin or n.density < bar or not bound)):
             return False
         beside = n.parent
         if not block or not n.chars:

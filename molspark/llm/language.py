@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -46,6 +47,12 @@ def _dictionary(texts: list[str], most: int) -> bytes:
     return b"".join(r[a : a + part] for r, a in zip(raw, starts, strict=True))
 
 
+@lru_cache(64)
+def _words_of(dictionary: bytes) -> frozenset[bytes]:
+    """The words that stand whole in a dictionary."""
+    return frozenset(dictionary.split(b" ")[1:-1])
+
+
 @dataclass(frozen=True)
 class CompressionClassifier:
     """``lang -> dictionary`` bytes; at most ``dictionary_bytes`` each."""
@@ -79,7 +86,8 @@ class CompressionClassifier:
         if sizes[0][0] == sizes[1][0]:  # too short to tell by size: count the words that a dictionary holds
             some = Counter(raw.split())
             tied = [lang for n, lang in sizes if n == sizes[0][0]]
-            best = max(tied, key=lambda lang: (sum(n for w, n in some.items() if b" " + w + b" " in self.dictionaries[lang]), lang))
+            held = {lang: _words_of(self.dictionaries[lang]) for lang in tied}
+            best = max(tied, key=lambda lang: (sum(n for w, n in some.items() if w in held[lang]), lang))
             return best, 0.0, True
         score = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
         return sizes[0][1], score, score < self.margin
@@ -89,8 +97,8 @@ def fit_languages(labelled: DataFrame, *, text_col: str = "text", lang_col: str
                   sample_rows: int = 400, sample_bytes: tuple[int, int] = (200, 8_000), margin: float = 0.01) -> CompressionClassifier:
     """Fit on a bounded sample: for each language ``sample_rows`` distinct texts, chosen by hash.
 
-    The sample is drawn by a hash threshold from per-language counts first, so that no language's rows
-    meet in one task.  Of a text above the second of ``sample_bytes`` a slice of that many characters, at a place that its hash chooses,
+    The sample is drawn by a hash threshold from each language's number of distinct texts first (copies of a text count
+    once, so they hide no language), so that no language's rows meet in one task.  Of a text above the second of ``sample_bytes`` a slice of that many characters, at a place that its hash chooses,
     is taken.  Texts below the first are used only where a language has no others.  A dictionary of
     ``dictionary_bytes`` takes equal parts of all its language's texts.  Rows without text, letters
     or language are ignored; without any, nothing is learned and every prediction is ``und``.
@@ -99,8 +107,8 @@ def fit_languages(labelled: DataFrame, *, text_col: str = "text", lang_col: str
     rows = (labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
             .where("lang is not null and text is not null and text != ''")
             .withColumns({"h": F.xxhash64("text"), "long": F.octet_length("text") >= lo}))
-    counts = rows.groupBy("lang", "long").agg(F.count("*").alias("c"))
-    # four times the wanted rows pass the threshold, for copies; what passes is bounded by languages * sample_rows
+    # of distinct texts, however many copies there are; four times the wanted ones pass the threshold, so a few percent of error leave enough
+    counts = rows.groupBy("lang", "long").agg(F.approx_count_distinct("h", 0.05).alias("c"))
     wanted = rows.join(F.broadcast(counts), ["lang", "long"]).where(
         F.expr(f"pmod(h, 1000000007) < 1000000007 * least(1.0D, {4 * sample_rows}.0D / c)"))
     distinct = wanted.dropDuplicates(["lang", "long", "h"])

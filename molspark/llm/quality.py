@@ -193,8 +193,8 @@ def fit_quality(docs: DataFrame, *, text_col: str = "text", sample_rows: int = 4
 
     The vote patterns of the whole corpus are counted (a bounded table), EM estimates how often each
     labeller is right, and the posterior of a document's pattern is its label.  The scorer's sample is drawn by
-    hash, half from documents held good and half from those held bad where there are as many, distinct texts only; a text
-    longer than what is left of its half of the bytes isn't drawn.  Null and blank texts don't vote; without any other every text is scored by
+    hash, half from documents held good and half from those held bad where there are as many, distinct texts only (copies count once, so
+    they crowd out no class); a text longer than what is left of its half of the bytes isn't drawn.  Null and blank texts don't vote; without any other every text is scored by
     an empty model, 0.5.
     """
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,10 +210,11 @@ def fit_quality(docs: DataFrame, *, text_col: str = "text", sample_rows: int = 4
     chosen: list[tuple[str, int]] = []
     for is_good in (True, False):
         keys = [k for k, p in posterior.items() if (p >= 0.5) == is_good]
-        total = sum(patterns[k] for k in keys)
-        if total:
-            share = min(1.0, 3 * (sample_rows // 2) / total)  # three times as many, since copies count once
-            some = voted.where(F.col("votes").isin(keys) & (F.pmod("h", F.lit(1_000_003)) < int(1_000_003 * share) + 1))
+        if keys:
+            held = voted.where(F.col("votes").isin(keys))
+            distinct = held.agg(F.approx_count_distinct("h", 0.05)).first()[0]
+            share = min(1.0, 3 * (sample_rows // 2) / max(1, distinct))  # three times as many, so a few percent of error leave enough
+            some = held.where(F.pmod("h", F.lit(1_000_003)) < int(1_000_003 * share) + 1)
             left = sample_bytes // 2
             for r in some.dropDuplicates(["h"]).orderBy("h").limit(sample_rows // 2).collect():
                 if r.size <= left:
