@@ -7,7 +7,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,9 +46,9 @@ _BLOCK = re.compile(r"[|>][+-]?\d?[ \t]*\n")
 _LINE = re.compile(r"([ \t]*)([^\n]*)\n?")
 #: A reference or a plain word, not a literal, where no quotes enclose it.
 _WORDS = re.compile(r"[A-Za-z_$.-]+")
+#: What a known name may look like where it is used.
+_KNOWN = re.compile(r"[\w.$-]+")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-#: Pieces of a joined literal; a longer join goes on as a literal of its own, so that long chains stay linear.
-MOST_PIECES = 256
 #: Names whose value names the target of the ``value`` that follows.
 _NAMERS, _VALUES = frozenset(("name", "key")), frozenset(("value", "val", "default"))
 
@@ -70,23 +69,65 @@ def name_score(name: str) -> float:
     return sum(SENSITIVE.get(p, 0.0) for p in found)
 
 
-def literal_score(value: str) -> float:
-    """How much a literal looks like a secret: bits a character, longer and mixed ones more."""
-    n = len(value)
-    if n < LEAST_LITERAL or " " in value or any(p in value.lower() for p in PLACEHOLDERS):
-        return 0.0
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return bits * min(1.0, n / 16) * (0.5 + 0.25 * min(classes, 2))
+#: Most letters of a joined value that are counted, and of one that may still be a name.
+MOST_LETTERS, MOST_NAME = 1 << 40, 256
+_EDGE = max(map(len, PLACEHOLDERS)) - 1
 
 
-@dataclass(frozen=True)
 class Literal:
-    """A value, the spans of the literals that it is made of, and whether these are quoted or otherwise no plain words."""
+    """A value with what its score needs: how often each letter stands in it, its length, and its edges.
 
-    value: str
-    parts: tuple[tuple[int, int], ...]
-    sure: bool = True
+    It is made of spans of the text or of two joined values, so that a join takes the same time however much is joined.
+    ``text`` is the value itself, None of a long join; ``sure``: quoted or otherwise no plain word; ``told``: its spans were given out.
+    """
+
+    __slots__ = ("text", "spans", "joined", "letters", "size", "head", "tail", "placeholder", "sure", "told")
+
+    def __init__(self, text: str | None, spans: tuple[tuple[int, int], ...], sure: bool = True):
+        self.text, self.spans, self.joined, self.sure, self.told = text, spans, (), sure, False
+        if text is not None:
+            low = text.lower()
+            self.letters, self.size, self.head, self.tail = Counter(text), len(text), low[:_EDGE], low[-_EDGE:]
+            self.placeholder = any(p in low for p in PLACEHOLDERS)
+
+    def __add__(self, other: Literal) -> Literal:
+        out = Literal(None, ())
+        out.joined = (self, other)
+        size = self.size + other.size
+        if size > MOST_LETTERS:  # constants joined to themselves again and again: no letter more or less makes a difference
+            out.letters, out.size = self.letters, self.size
+        else:
+            out.letters, out.size = self.letters + other.letters, size
+        if size <= MOST_NAME and self.text is not None and other.text is not None:
+            out.text = self.text + other.text
+        out.head = self.head if self.size >= _EDGE else (self.head + other.head)[:_EDGE]
+        out.tail = other.tail if other.size >= _EDGE else (self.tail + other.tail)[-_EDGE:]
+        out.placeholder = self.placeholder or other.placeholder or any(p in self.tail + other.head for p in PLACEHOLDERS)
+        return out
+
+    def score(self) -> float:
+        """How much it looks like a secret: bits a character, longer and mixed ones more."""
+        n = self.size
+        if n < LEAST_LITERAL or " " in self.letters or self.placeholder:
+            return 0.0
+        bits = -sum(c / n * math.log2(c / n) for c in self.letters.values())
+        classes = len({"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "" for c in self.letters})
+        return bits * min(1.0, n / 16) * (0.5 + 0.25 * min(classes, 2))
+
+    def tell(self) -> list[tuple[int, int]]:
+        """The spans that it is made of, but for those that were told before."""
+        out, todo = [], [self]
+        while todo:
+            part = todo.pop()
+            if not part.told:
+                part.told = True
+                out += part.spans
+                todo += part.joined
+        return out
+
+
+def literal_score(value: str) -> float:
+    return Literal(value, ()).score()
 
 
 class Reader:
@@ -96,6 +137,7 @@ class Reader:
         self.text = text
         self.open: dict[str, int] = {}
         self.line = (0, -1)  # the line that was last looked at
+        self.called = (0, 0, 0)  # the bare word that was last seen called: where it begins, where it ends without its last signs, and with them
 
     def line_end(self, at: int) -> int:
         """Where the line that holds ``at`` ends; a line is searched once."""
@@ -121,6 +163,9 @@ class Reader:
     def value(self, at: int, known: dict[str, Literal], block: bool, indent: int) -> tuple[Literal | None, int]:
         """What stands at ``at``: a string, joined strings and constants, a block scalar or a bare word; and the place behind it."""
         text = self.text
+        if self.called[0] <= at < self.called[2]:  # in a word that is no value; only a name that ends it may be known
+            name = _KNOWN.match(text, at)
+            return self._joined(known[name[0]], name.end(), known) if name and name.end() == self.called[1] and name[0] in known else (None, at)
         at = _BLANKS.match(text, at).end()
         start = _PREFIX.match(text, at).end()
         quote = text[start : start + 3] if text[start : start + 3] in ('"""', "'''") else text[start : start + 1]
@@ -132,17 +177,20 @@ class Reader:
             return self._lines(m.end(), indent)
         if not (m := _BARE.match(text, at)):
             return None, at
-        word = m[0].rstrip(".:\\")
-        if (found := known.get(word)) is not None:
-            return self._joined(found, at + len(word), known)
-        if not word or _CALLED.match(text, m.end()):
+        stop, end = at + len(m[0].rstrip(".:\\")), m.end()
+        called = stop <= at or _CALLED.match(text, end)
+        if called:
+            self.called = (at, stop, end)
+        if (name := _KNOWN.match(text, at)) and name.end() == stop and name[0] in known:
+            return self._joined(known[name[0]], stop, known)
+        if called:
             return None, at
-        if _WORDS.fullmatch(word):
-            return Literal(word, ((at, at + len(word)),), False), at
-        return Literal(word, ((at, at + len(word)),)), m.end()
+        if (m := _WORDS.match(text, at)) and m.end() == stop:
+            return Literal(m[0], ((at, stop),), False), at
+        return Literal(text[at:stop], ((at, stop),)), end
 
     def _joined(self, first: Literal, at: int, known: dict[str, Literal]) -> tuple[Literal, int]:
-        values, parts, text = [first.value], [*first.parts], self.text
+        text = self.text
         while m := _PLUS.match(text, at):
             start = m.end()
             if text[start : start + 1] in ("'", '"', "`") and start < len(text):
@@ -153,13 +201,8 @@ class Reader:
                 more, at = known[name[0]], name.end()
             else:
                 break
-            if not set(parts).isdisjoint(more.parts):  # a piece counts once
-                continue
-            if len(parts) + len(more.parts) > MOST_PIECES:
-                values, parts = [], []
-            values.append(more.value)
-            parts += more.parts
-        return Literal("".join(values), tuple(parts)), at
+            first = first + more
+        return first, at
 
     def _lines(self, at: int, indent: int) -> tuple[Literal | None, int]:
         """The lines of a block scalar: those indented deeper than its key, without the frame of a key file."""
@@ -222,7 +265,7 @@ def assignments(text: str) -> Iterator[tuple[str, Literal]]:
             literal, at = read
             if len(left) >= 3 and left[-1][0] == "," and left[-2][0] == "string" and left[-3][0] == "(" and _KEY.fullmatch(left[-2][1]):
                 yield left[-2][1], literal
-            left.append(("string", literal.value))
+            left.append(("string", literal.text))
         elif kind == "end":
             left.clear()
             line, indent, annotated = at, -1, None
@@ -243,12 +286,12 @@ def assignments(text: str) -> Iterator[tuple[str, Literal]]:
             if literal is None or not literal.sure:
                 known.pop(name, None)
                 annotated = name if token == ":" else None
-            elif token == "+=" and name in known and len(known[name].parts) + len(literal.parts) <= MOST_PIECES and set(known[name].parts).isdisjoint(literal.parts):
-                literal = Literal(known[name].value + literal.value, known[name].parts + literal.parts)
+            elif token == "+=" and name in known:
+                literal = known[name] + literal
             if literal is None:
                 continue
             if name.lower() in _NAMERS:
-                named = literal.value
+                named = literal.text
             elif named and name.lower() in _VALUES:
                 name, named = named, None
             if literal.sure:
@@ -277,8 +320,8 @@ def added_spans(text: str) -> list[tuple[int, int, str]]:
         return []
     out = set()
     for name, literal in assignments(text):
-        if (weight := name_score(name)) >= 1.0 and (score := literal_score(literal.value)) >= 2.0 and weight + score >= LEAST_SCORE:
-            out |= {(start, end, "literal") for start, end in literal.parts if end > start}
+        if (weight := name_score(name)) >= 1.0 and (score := literal.score()) >= 2.0 and weight + score >= LEAST_SCORE:
+            out |= {(start, end, "literal") for start, end in literal.tell() if end > start}
     return sorted(out)
 
 
