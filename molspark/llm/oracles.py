@@ -68,3 +68,21 @@ s AS (SELECT *, least(39, CAST((2 * upto - size) * 40 // (2 * total) AS INT)) AS
 SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard,
   row_number() OVER (PARTITION BY shard ORDER BY upto) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM s
 """
+
+#: Near words share what is left without one letter at the same place, or one of them is what is left of the other.
+OP12 = f"""
+WITH RECURSIVE t AS ({_CRC_TABLE}),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+c AS (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS text, length(run) AS m FROM r WHERE length(run) >= 7),
+h AS (SELECT run, m, {_CRC32} AS h FROM c, t),
+o AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % m) || substr(run, h % m + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, count(*) AS n FROM o WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+k AS (SELECT word, 0 AS i, word AS k FROM w UNION ALL SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w) AS x),
+p AS (SELECT a.word AS x, b.word AS y FROM k AS a JOIN k AS b ON a.k = b.k AND a.i = b.i AND a.i > 0 AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM k AS a JOIN k AS b ON a.k = b.k AND a.i = 0 AND b.i > 0 UNION SELECT b.word, a.word FROM k AS a JOIN k AS b ON a.k = b.k AND a.i = 0 AND b.i > 0),
+g AS (SELECT x AS word, count(*) OVER (PARTITION BY x) AS n_near, y AS near, w.n AS near_n, row_number() OVER (PARTITION BY x ORDER BY w.n DESC, y) AS place FROM p JOIN w ON w.word = y),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form, CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n
+  FROM w LEFT JOIN g ON g.word = w.word AND place = 1),
+s AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT s.word, f.word, f.form FROM s JOIN f ON f.word = s.next)
+SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM f JOIN s ON s.word = f.word AND s.next IS NULL
+"""

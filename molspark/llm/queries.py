@@ -14,7 +14,7 @@ from .language import fit_languages, identify_languages
 from .lm import score_stupid_backoff
 from .media import wav_media
 from .ngram_join import jaccard_join
-from .oracles import OP2, OP4, OP5, OP7
+from .oracles import OP2, OP4, OP5, OP7, OP12
 from .packing import pack
 from .quality import fit_quality, score_quality
 from .secrets import scan_secrets
@@ -111,4 +111,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_token_alignment": op13_token_alignment,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2, "op4_jaccard_join": OP4, "op5_sharding": OP5, "op7_lm": OP7}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2, "op4_jaccard_join": OP4, "op5_sharding": OP5, "op7_lm": OP7, "op12_spelling": OP12}

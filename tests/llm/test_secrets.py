@@ -88,3 +88,33 @@ def test_literals_of_documents_against_a_plain_reader(spark):
             if secrets.name_score(text[j:i]) >= 1 and secrets.literal_score(value) >= 2 and secrets.name_score(text[j:i]) + secrets.literal_score(value) >= 4 and (quote or re.search("[0-9]", value)):
                 want.add(f"literal:{k}:{k + len(value)}")
         assert {s for s in got[d.doc_id].split(",") if s.startswith("literal")} == want, d.doc_id
+
+
+@pytest.mark.parametrize("n", [2, 256, 257, 300])
+def test_joined_literals_of_any_length(n):
+    """Every piece of a joined secret is found, on one line, over lines, added up and by way of constants."""
+    pieces = [f"{chr(97 + i % 26)}{chr(65 + i // 26 % 26)}{i % 10}x" for i in range(max(n, 5))]
+    want = len(pieces)
+    for text in (
+        "client_secret = " + " + ".join(f'"{p}"' for p in pieces),
+        "client_secret = " + " + \\\n  ".join(f'"{p}"' for p in pieces),
+        'client_secret = ""\n' + "".join(f'client_secret += "{p}"\n' for p in pieces),
+        "".join(f'k{i} = "{p}"\n' for i, p in enumerate(pieces)) + "client_secret = " + " + ".join(f"k{i}" for i in range(len(pieces))),
+    ):
+        spans = secrets.added_spans(text)
+        assert len(spans) == want and [text[s:e] for s, e, _ in spans] == pieces, text[:60]
+        assert not any(p in secrets.redact(text, spans) for p in pieces)
+
+
+LONG = {"called": "a=" * 100_000 + "a(", "colons": "a:" * 100_000 + "[", "dots": "a=" * 1000 + "." * 100_000 + "(",
+           "sums": "k0 = 'Ab9'\n" + "".join(f"k{i + 1} = k{i} + 'Q7x'\n" for i in range(10_000)) + "api_token = k10000\n",
+           "doubled": "k0 = 'Ab9xYz77'\n" + "".join(f"k{i + 1} = k{i} + k{i}\n" for i in range(10_000)) + "api_token = k10000\n",
+           "added": "secret_key = 'Zq9'\n" + "secret_key += 'Zq9xT'\n" * 10_000}
+
+
+@pytest.mark.parametrize("name", sorted(LONG))
+def test_hostile_texts_take_linear_time(name):
+    """Five times the length of a text that a quadratic reader takes a minute for; the bound is generous for slow machines."""
+    began = time.process_time()
+    secrets.added_spans(LONG[name])
+    assert time.process_time() - began < 5
