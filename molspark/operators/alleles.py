@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import approx_place, extract_or_null
+from .intervals import interval_join
 from .pairs import pairs_in_groups
+from .ranks import global_rank
 
 
 def parse_contigs(contigs: DataFrame, anchor1: str, anchor2: str, sbc_names: dict[str, str] | None = None) -> DataFrame:
@@ -158,7 +160,7 @@ def cs_alleles(df: DataFrame, loci: DataFrame, window: int = 60) -> DataFrame:
     """Alleles of ``cs`` tags of reads that start within ``window`` of a locus.
 
     ``hallele``: indels with absolute coordinates; ``sallele``: mismatches; lengths of insertions and deletions.  ``loci`` (locus, rname, pos)
-    is a short list of guides.
+    may be any number of guides: they are met by bins of the chromosome.
     """
     token = F.regexp_extract_all(F.col("cs"), F.lit("(:\\d+|\\*[a-z]{2}|\\+[a-z]+|-[a-z]+|~[a-z]{2}\\d+[a-z]{2})"), F.lit(1))
     start = F.struct(F.array().cast("array<struct<k:string,t:string,p:long,n:int>>").alias("out"), F.col("pos").cast("long").alias("r"))
@@ -168,7 +170,8 @@ def cs_alleles(df: DataFrame, loci: DataFrame, window: int = 60) -> DataFrame:
         n = F.when(k == ":", rest.try_cast("int")).when(k == "*", F.lit(1)).when(k == "~", F.regexp_extract(t, "(\\d+)", 1).try_cast("int")).otherwise(F.length(rest))
         return F.struct(F.concat(acc["out"], F.array(F.struct(k.alias("k"), rest.alias("t"), acc["r"].alias("p"), n.alias("n")))).alias("out"), (acc["r"] + F.when(k == "+", 0).otherwise(n)).alias("r"))
 
-    near = df.join(loci.withColumnRenamed("pos", "locus_pos"), "rname").where(F.abs(F.col("pos") - F.col("locus_pos")) <= window)
+    at = F.col("locus_pos")
+    near = interval_join(df, loci.withColumnRenamed("pos", "locus_pos"), ["rname"], (F.col("pos"), F.col("pos")), (at - window, at + window), max(1000, 2 * window + 1))
     out = near.withColumn("__e", F.aggregate(token, start, step, lambda acc: acc["out"]))
 
     def kind(*kinds: str) -> Column:
@@ -208,8 +211,7 @@ def allele_matrix_long(long: DataFrame) -> DataFrame:
 
 def allele_codes(long: DataFrame) -> DataFrame:
     """Integer code of each allele in the order of its text, over all sites: ``cell, site, code``.  The table of distinct alleles is ranked, not the matrix."""
-    names = long.select("allele").distinct()
-    coded = names.withColumn("code", F.dense_rank().over(Window.orderBy("allele")))  # distinct alleles only
+    coded = global_rank(long.select("allele").distinct(), "code", F.col("allele"))
     return long.join(coded, "allele").select("cell", "site", "code")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.sequence import fuzzy_pattern, fuzzy_regex, half_guard
 from ..sources.shared import materialise
 from .pairs import pairs_in_groups
+from .ranks import global_rank
 from .umi import barcode_merge, merge_roots
 
 # The guide's features.
@@ -54,9 +55,28 @@ def encode_reads(df: DataFrame, zombie: bool = False) -> DataFrame:
     return mask_wt(df)
 
 
-def encode_wt(df: DataFrame, spacers: list[str]) -> DataFrame:
-    """Whole spacers of a whitelist as a token."""
-    return df.withColumn("seq", F.regexp_replace("seq", "(" + "|".join(spacers) + ")", "[···WT···]"))
+def spacer_hits(seqs: DataFrame, spacers: DataFrame) -> DataFrame:
+    """``seq, hits`` of each distinct ``seq`` that holds a spacer: places (from 1) and spacers in the order of place, then of the spacer's text.
+
+    Each place of a sequence is looked up by a join on what stands there, once for each length that spacers have; so the whitelist may have any
+    number of rows, and Spark broadcasts it only where it is small.
+    """
+    listed = spacers.select(F.col("spacer").alias("hit")).where("hit <> ''").distinct()
+    lengths = listed.groupBy(F.length("hit").alias("size")).agg(F.count("*").alias("listed"))  # a row a length
+    places = seqs.select("seq").where("seq is not null").distinct().crossJoin(lengths.select("size")).where("length(seq) >= size")
+    places = places.select("seq", F.explode(F.expr("sequence(1, length(seq) - size + 1)")).alias("at"), "size").withColumn("hit", F.expr("substring(seq, at, size)"))
+    return places.join(listed, "hit").groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("at", "hit"))).alias("hits"))
+
+
+def encode_wt(df: DataFrame, spacers: DataFrame) -> DataFrame:
+    """Whole spacers of a whitelist (``spacer``) as a token: from the left, of those that begin at one place the first in the order of their texts."""
+    def step(acc: Column, h: Column) -> Column:
+        return F.when(h["at"] < acc["next"], acc).otherwise(F.struct(
+            F.concat(acc["out"], F.substring(F.col("seq"), acc["next"], h["at"] - acc["next"]), F.lit("[···WT···]")).alias("out"), (h["at"] + F.length(h["hit"])).alias("next")))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"))
+    coded = F.aggregate("hits", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("seq"), acc["next"], F.length("seq"))))
+    return df.join(spacer_hits(df, spacers), "seq", "left").withColumn("seq", F.coalesce(coded, "seq")).select(*df.columns)
 
 
 def mask_wt(df: DataFrame) -> DataFrame:
@@ -73,11 +93,10 @@ def ibar_molecules(reads: DataFrame, modality: str = "single-cell") -> DataFrame
     return top.where((F.size("ns") == 1) | (F.col("ns")[0] != F.try_element_at("ns", F.lit(2)))).select(*keys, "umi_reads", "umi_dom_reads", "b.seq", "b.oseq")
 
 
-def extract_spacer(df: DataFrame, spacers: list[str]) -> DataFrame:
-    """``spacer``: the first listed one in the encoded sequence, else what stands before CTAGA without tokens."""
-    pattern = "(" + "|".join(spacers) + ")"
+def extract_spacer(df: DataFrame, spacers: DataFrame) -> DataFrame:
+    """``spacer``: the first of a whitelist (``spacer``) in the encoded sequence, else what stands before CTAGA without tokens."""
     rest = F.regexp_replace(F.regexp_replace("seq", "CTAGA.+?$", ""), r"\[···(TSO|CNSCFL|bU6)···\]", "")
-    return df.withColumn("spacer", F.when(F.col("seq").rlike(pattern), F.regexp_extract("seq", pattern, 1)).otherwise(rest))
+    return df.join(spacer_hits(df, spacers), "seq", "left").select(*df.columns, F.coalesce(F.col("hits")[0]["hit"], rest).alias("spacer"))
 
 
 COUNTED = {"np_tsos": "TSO", "np_dss": "SCF1", "np_sts": "XXX", "np_u6s": "·U6·", "np_bu6s": "bU6", "np_can": "CNSCFL", "np_wts": "WT"}
@@ -101,7 +120,7 @@ def with_counts(df: DataFrame, keys: list[str], name: str, what: Column | None =
     return df.join(n, keys)
 
 
-def reads_to_molecules(reads: DataFrame, spacers: list[str], modality: str = "single-cell", min_reads: int = 1, max_reads: int = 1 << 30) -> DataFrame:
+def reads_to_molecules(reads: DataFrame, spacers: DataFrame, modality: str = "single-cell", min_reads: int = 1, max_reads: int = 1 << 30) -> DataFrame:
     """Reads to molecules with spacer, uncut flag, UMIs per allele and sibling alleles."""
     m = mask_wt(encode_wt(extract_spacer(ibar_molecules(encode_reads(reads), modality), spacers), spacers))
     for c in ("raw_ibar", "spacer", "umi"):
@@ -319,7 +338,7 @@ def ibar_correlation_groups(mols: DataFrame, min_cells: int = 10, min_corr: floa
             break
         roots = label.select("root").distinct().join(hooks, F.col("root") == F.col("old"), "left").select(F.col("root").alias("old"), F.coalesce("new", "root").alias("new"))
         label = materialise(label.join(merge_roots(roots).withColumnRenamed("old", "root"), "root").select("a", F.col("new").alias("root")), "corr-label")
-    sizes = label.groupBy("root").agg(F.count("*").alias("size")).withColumn("grp", F.row_number().over(Window.orderBy(F.desc("size"), "root")))  # a row a group
+    sizes = global_rank(label.groupBy("root").agg(F.count("*").alias("size")), "grp", -F.col("size"), F.col("root"))
     named = label.join(sizes, "root").select(F.col("a").alias("raw_ibar"), "grp")
     return stats.select("raw_ibar").join(named, "raw_ibar", "left").withColumn("grp", F.coalesce("grp", F.lit(-1)))
 

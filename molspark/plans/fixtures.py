@@ -119,11 +119,15 @@ def oracle(sql: str) -> str:
     return f"WITH {views}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {views} {sql}"
 
 
+#: A table up to this size is dealt to all cores: it may be one row group, and so one task, and dealing it costs little.  Larger ones Spark splits itself.
+SMALL_BYTES = 64 << 20
+
+
 def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the driver's, dealt to all cores where it has fewer files than there are cores: a file of one row group is one task otherwise."""
+    """A table of the driver's; one of at most SMALL_BYTES, by the statistics of its plan, is dealt to all cores."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -40,12 +40,12 @@ def ibar_molecules(t: Inputs) -> DataFrame:
     return i.ibar_molecules(encoded(t))
 
 
-def _spacers(t: Inputs) -> list[str]:
-    """The whitelist of spacers: 40 at most."""
-    return [r.spacer for r in t.fx_mols.where("cluster <> 3").select("spacer").distinct().orderBy("spacer").limit(40).collect()]
+def _spacers(t: Inputs) -> DataFrame:
+    """The whitelist of spacers."""
+    return t.fx_mols.where("cluster <> 3").select("spacer").distinct()
 
 
-_WL = "(SELECT '(' || string_agg(spacer, '|' ORDER BY spacer) || ')' AS p FROM (SELECT DISTINCT spacer FROM fx_mols WHERE cluster <> 3 ORDER BY spacer LIMIT 40) AS d)"
+_WL = "(SELECT '(' || string_agg(spacer, '|' ORDER BY spacer) || ')' AS p FROM (SELECT DISTINCT spacer FROM fx_mols WHERE cluster <> 3) AS d)"
 _REST = r"regexp_replace(regexp_replace(seq, 'CTAGA.+?$', '', 'g'), '\[···(TSO|CNSCFL|bU6)···\]', '', 'g')"
 _SP = f"(SELECT e.*, CASE WHEN regexp_matches(seq, p) THEN regexp_extract(seq, p, 1) ELSE {_REST} END AS spacer FROM {_ENC.replace(' AS enc', ' AS e')}, {_WL} AS w) AS sp"
 
