@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import hash_order
 from ..sources.shared import materialise
 
 
@@ -22,53 +27,137 @@ def _fold(sets: Column) -> Column:
     return F.aggregate(known, start, step)
 
 
-def parsimony_score(edges: DataFrame, states: DataFrame, keys: tuple[str, ...] = ("tree_id", "site")) -> DataFrame:
-    """Fitch score of each (tree, character): the number of unions from the leaves up.
+def _climb(level: DataFrame, edges: DataFrame, keys: list[str], values: list[str], fold: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """Go up from the leaves of all trees together: a node is done when all its children are.
 
-    Levels go up one at a time for all trees and characters together: a node is done when all its children are; children are folded in the
-    order of their names; a state below 0 is missing.  The loop ends after as many steps as the tree is deep; each is stored.
-    ``edges``: parent, child, of one tree for all keys, or with key columns (``tree_id``), of a tree each; ``states``: keys, leaf, state.
+    ``level``: keys, node and values of the leaves; ``fold`` makes them of a node (``keys, node``) from its children ``cs``, in the order of their names.
+    Returns the rows of all nodes without a parent; none if no node has a child.  As many steps as the tree is deep; each is stored.
     """
-    own = F.when(F.col("state") >= 0, F.array(F.col("state").cast("int"))).otherwise(F.array().cast("array<int>"))
-    cells = states.select(*keys).distinct()
     own_tree = [k for k in keys if k in edges.columns]
-    leaves = edges.select(*own_tree, F.col("child").alias("node")).join(edges.select(*own_tree, F.col("parent").alias("node")).distinct(), [*own_tree, "node"], "left_anti")
-    done = (cells.join(leaves, own_tree) if own_tree else cells.crossJoin(leaves)).join(states.select(*keys, F.col("leaf").alias("node"), own.alias("s")), [*keys, "node"], "left").select(
-        *keys, "node", F.coalesce("s", F.array().cast("array<int>")).alias("s"), F.lit(0).cast("long").alias("n"))
-    level = materialise(done, "fitch")
     waiting = edges.groupBy(*own_tree, "parent").agg(F.count("*").alias("children"))
-    pending = None
-    total = None
+    pending = total = None
     while True:
-        up = level.join(edges.withColumnRenamed("child", "node"), [*own_tree, "node"]).select(*keys, "parent", F.struct("node", "s").alias("c"), "n")
+        up = level.join(edges.withColumnRenamed("child", "node"), [*own_tree, "node"]).select(*keys, "parent", F.struct("node", *values).alias("c"))
         pending = up if pending is None else pending.unionByName(up)
-        groups = pending.groupBy(*keys, "parent").agg(F.array_sort(F.collect_list("c")).alias("cs"), F.sum("n").alias("n"), F.count("*").alias("k")).join(waiting, [*own_tree, "parent"])  # children of one node
-        full = groups.where("k = children").withColumn("f", _fold(F.transform("cs", lambda c: c["s"]))).select(*keys, F.col("parent").alias("node"), F.col("f.s").alias("s"), (F.col("f.n") + F.col("n")).alias("n"))
-        level = materialise(full, "fitch")
+        groups = pending.groupBy(*keys, "parent").agg(F.array_sort(F.collect_list("c")).alias("cs"), F.count("*").alias("k")).join(waiting, [*own_tree, "parent"])  # children of one node
+        level = materialise(fold(groups.where("k = children").select(*keys, F.col("parent").alias("node"), "cs")), "fitch")
         if level.isEmpty():
-            return total if total is not None else done.groupBy(*keys).agg(F.sum("n").alias("score"))
+            return total
         pending = materialise(pending.join(level.select(*keys, F.col("node").alias("parent")), [*keys, "parent"], "left_anti"), "fitch")
-        roots = level.join(edges.select(*own_tree, F.col("child").alias("node")).distinct(), [*own_tree, "node"], "left_anti").groupBy(*keys).agg(F.sum("n").alias("score"))
+        roots = level.join(edges.select(*own_tree, F.col("child").alias("node")).distinct(), [*own_tree, "node"], "left_anti")
         total = roots if total is None else total.unionByName(roots)
 
 
+def _leaves(edges: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, node``: the leaves of each key's tree."""
+    own_tree = [k for k in keys if k in edges.columns]
+    leaves = edges.select(*own_tree, F.col("child").alias("node")).join(edges.select(*own_tree, F.col("parent").alias("node")).distinct(), [*own_tree, "node"], "left_anti")
+    return cells.join(leaves, own_tree) if own_tree else cells.crossJoin(leaves)
+
+
+def parsimony_score(edges: DataFrame, states: DataFrame, keys: tuple[str, ...] = ("tree_id", "site")) -> DataFrame:
+    """Fitch score of each (tree, character): the number of unions from the leaves up.
+
+    Levels go up one at a time for all trees and characters together; a state below 0 is missing.
+    ``edges``: parent, child, of one tree for all keys, or with key columns (``tree_id``), of a tree each; ``states``: keys, leaf, state.
+    """
+    keys = [*keys]
+    own = F.when(F.col("state") >= 0, F.array(F.col("state").cast("int"))).otherwise(F.array().cast("array<int>"))
+    done = _leaves(edges, states.select(*keys).distinct(), keys).join(states.select(*keys, F.col("leaf").alias("node"), own.alias("s")), [*keys, "node"], "left").select(
+        *keys, "node", F.coalesce("s", F.array().cast("array<int>")).alias("s"), F.lit(0).cast("long").alias("n"))
+
+    def fold(full: DataFrame) -> DataFrame:
+        below = F.aggregate("cs", F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
+        return full.withColumn("f", _fold(F.transform("cs", lambda c: c["s"]))).select(*keys, "node", F.col("f.s").alias("s"), (F.col("f.n") + below).alias("n"))
+
+    roots = _climb(materialise(done, "fitch"), edges, keys, ["s", "n"], fold)
+    return (done if roots is None else roots).groupBy(*keys).agg(F.sum("n").alias("score"))
+
+
+#: Bytes of permuted states that a task holds of one tree and character; permutations are dealt to parts where a tree has too many leaves.
+PERMUTED_BYTES = 128 << 20
+
+
+def _permuted(n: int, at_once: int, seed: int, words: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of the leaves of one (tree, character), each leaf's state in each permutation of a part as a bit mask."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("leaf", kind="stable", na_position="first").reset_index(drop=True)
+        states = pdf["state"].fillna(-1).to_numpy().astype(np.int64)
+        known, number = np.unique(states[states >= 0], return_inverse=True)
+        bits = np.zeros((len(states), words), np.uint64)
+        bits[np.flatnonzero(states >= 0), number // 64] = np.uint64(1) << (number % 64).astype(np.uint64)
+        names = ["" if x is None else f":{x}" for x in pdf["leaf"]]
+        part = int(pdf["part"].iloc[0])
+        perms = range(part * at_once, min(n + 1, (part + 1) * at_once))
+        out = np.zeros((len(states), len(perms), words), np.uint64)
+        for k, p in enumerate(perms):
+            if p:  # the same order as a sort by the text of the hash, then by the leaf
+                h = np.frombuffer(b"".join(hashlib.md5(f"{seed}:{p}{x}".encode()).digest() for x in names), ">u8").reshape(-1, 2)
+                out[:, k] = bits[np.lexsort((h[:, 1], h[:, 0]))]
+            else:
+                out[:, k] = bits
+        return pd.DataFrame({"tree_id": pdf["tree_id"], "site": pdf["site"], "part": part, "node": pdf["leaf"], "s": [x.tobytes() for x in out]})
+
+    return run
+
+
 def parsimony_null(edges: DataFrame, states: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
     """Observed score of each (tree, character) against ``n`` permutations of its leaf states: mean, sd, z and p = (1 + as low) / (n + 1).
 
-    A permutation is another key of the score, so all run in one pass over the levels.
+    A node is one row: its state sets of all permutations are one array of bit masks, folded by AND and OR, with an array of their scores.
+    Trees with so many leaves that these arrays take more than PERMUTED_BYTES have a row for each part of the permutations.
     """
-    from pyspark.sql import Window
-
-    each = states.select("tree_id", "site", "leaf", "state", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("perm"))
-    w = Window.partitionBy("tree_id", "site", "perm")  # the leaves of one tree
-    a = each.select("tree_id", "site", "perm", "leaf", F.row_number().over(w.orderBy("leaf")).alias("k"))
-    b = each.select("tree_id", "site", "perm", "state", F.row_number().over(w.orderBy(F.when(F.col("perm") > 0, hash_order(seed, F.col("perm"), F.col("leaf"))), "leaf")).alias("k"))
-    mixed = a.join(b, ["tree_id", "site", "perm", "k"]).drop("k")
-    scores = parsimony_score(edges, mixed, ("tree_id", "site", "perm"))
-    obs = scores.where("perm = 0").select("tree_id", "site", F.col("score").alias("observed"))
-    null = scores.where("perm > 0").join(obs, ["tree_id", "site"])
-    out = null.groupBy("tree_id", "site").agg(F.first("observed").alias("observed"), F.avg("score").alias("null_mean"), F.stddev_samp("score").alias("null_sd"),
-                                              ((1 + F.sum((F.col("score") <= F.col("observed")).cast("int"))) / (F.count("*") + 1)).alias("p"))
+    keys = ["tree_id", "site", "part"]
+    most = states.groupBy("tree_id", "site").agg(F.count("*").alias("leaves"), F.countDistinct(F.when(F.col("state") >= 0, F.col("state"))).alias("k")).agg(F.max("leaves"), F.max("k")).first()
+    words = max(1, -(-(most[1] or 1) // 64))
+    at_once = max(1, min(n + 1, PERMUTED_BYTES // (8 * words * max(1, most[0] or 1))))
+    parts = -(-(n + 1) // at_once)
+    dealt = states.select("tree_id", "site", "leaf", "state").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    tree, site, leaf = (states.schema[c].dataType.simpleString() for c in ("tree_id", "site", "leaf"))
+    own = dealt.groupBy("tree_id", "site", "part").applyInPandas(_permuted(n, at_once, seed, words), f"tree_id {tree}, site {site}, part int, node {leaf}, s binary")
+    done = _leaves(edges, dealt.select(*keys).distinct(), keys).join(own, [*keys, "node"], "left").select(*keys, "node", "s", F.lit(None).cast("binary").alias("n"))
+    kinds = {f.name: f for f in done.schema}
+
+    def fold(full: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets, scores = [], []
+                for part, children in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                    size = min(at_once, n + 1 - part * at_once)
+                    s, score = np.zeros((size, words), np.uint64), np.zeros(size, np.uint32)
+                    for c in children:
+                        if c["n"]:
+                            score += np.frombuffer(c["n"], np.uint32)
+                        if c["s"]:
+                            other = np.frombuffer(c["s"], np.uint64).reshape(size, words)
+                            both = s & other
+                            apart = ~both.any(axis=1)  # one side is missing, or nothing in common
+                            score += apart & s.any(axis=1) & other.any(axis=1)
+                            s = np.where(apart[:, None], s | other, both)
+                    sets.append(s.tobytes())
+                    scores.append(score.tobytes())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary()), pa.array(scores, pa.binary())], names=[*keys, "node", "s", "n"])
+
+        return full.select(*keys, "node", "cs").mapInArrow(run, f"tree_id {tree}, site {site}, part int, node {kinds['node'].dataType.simpleString()}, s binary, n binary")
+
+    roots = _climb(materialise(done, "fitch"), edges, keys, ["s", "n"], fold)
+    roots = done if roots is None else roots
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (part, raw) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                size = min(at_once, n + 1 - part * at_once)
+                score = np.frombuffer(raw, np.uint32) if raw else np.zeros(size, np.uint32)
+                row = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([row.column(0).take(pa.array([0] * size)), row.column(1).take(pa.array([0] * size)), pa.array(np.arange(size) + part * at_once), pa.array(score.astype(np.int64))],
+                                                 names=["tree_id", "site", "perm", "score"])
+
+    scores = roots.select("tree_id", "site", "part", "n").mapInArrow(told, f"tree_id {tree}, site {site}, perm long, score long").groupBy("tree_id", "site", "perm").agg(F.sum("score").alias("score"))
+    of = F.when(F.col("perm") > 0, F.col("score"))
+    null = scores.groupBy("tree_id", "site").agg(F.max(F.when(F.col("perm") == 0, F.col("score"))).alias("observed"), F.avg(of).alias("null_mean"), F.stddev_samp(of).alias("null_sd"),
+                                                 F.collect_list(of).alias("drawn"))  # n numbers
+    low = F.size(F.filter("drawn", lambda x: x <= F.col("observed")))
+    out = null.select("tree_id", "site", "observed", "null_mean", "null_sd", ((1 + low) / (F.size("drawn") + 1)).alias("p"))
     return out.withColumn("z", F.when(F.col("null_sd") > 0, (F.col("observed") - F.col("null_mean")) / F.col("null_sd")))
 
 
