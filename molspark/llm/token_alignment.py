@@ -56,7 +56,7 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
 
-        self.a = ByteEncoder(path_a, plain=True)
+        self.a = ByteEncoder(path_a, plain=True, most_pieces=200_000)
         letters = {c: bytes([b]) for b, c in enumerate(byte_letters())}
         special = {t.content for t in self.a.tokenizer.get_added_tokens_decoder().values()}
         self.bytes_a = [b""] * self.a.tokenizer.get_vocab_size()
