@@ -71,7 +71,10 @@ class Aligner:
         #: Of each id of A the id of B with the same bytes, -1 if none: the fast path's map.  Byte pieces stand only for what no other piece is.
         same = {x: i for i, x in enumerate(self.bytes_b) if self.b.is_byte(i)}
         same |= {x: i for i, x in enumerate(self.bytes_b) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))}
-        self.same = np.array([same.get(x, -1) if x else -1 for x in self.bytes_a], np.int64)
+        self.same_list = [same.get(x, -1) if x else -1 for x in self.bytes_a]
+        self.same = np.array(self.same_list, np.int64)
+        self.pair_shown = [f"{x}|{y}" for x, y in enumerate(self.same_list)]
+        self.pair_code = [x * len(pieces) + y for x, y in enumerate(self.same_list)]
         self.forget()
 
     def forget(self) -> None:
@@ -84,6 +87,11 @@ class Aligner:
         raw = b" " + text.encode("utf-8", "surrogatepass")
         if b"".join([self.bytes_a[x] for x in a]) != raw or b"".join([self.bytes_b[x] for x in b]) != raw:
             return None
+        if b == [self.same_list[x] for x in a]:  # only exact one-to-one groups
+            n = len(a)
+            codes = [self.pair_code[x] for x in a]
+            links = dict.fromkeys(codes, 1)
+            return Aligned((n, n, n, n), ";".join([self.pair_shown[x] for x in a]).encode(), links if len(links) == n else Counter(codes))
         size_a, size_b, every_b = self.size_a, self.size_b, len(self.size_b)
         groups, links, n_links, i, j = [], {}, 0, 0, 0
         while i < len(a):
