@@ -15,71 +15,132 @@ from ..functions.sequence import fuzzy_regex
 GAP_OPEN, GAP_EXTEND, MATCH, MISMATCH = 20, 1, 5, -4
 
 
-def align_pair(seq: str, ref: str, local: bool = False) -> tuple[str, str, str, int, int, int]:
+#: Cells of a pair that are held at once, a byte each; of a larger pair, the states of this many rows a level.
+CELLS, STATES = 1 << 26, 32
+# What a cell holds: the best way ends in a match, or in a gap in the reference; such a gap opens here, or one in the sequence; nothing scores.
+_MATCHES, _GAP_IN_REF, _OPENS_IN_REF, _OPENS_IN_SEQ, _NOTHING = 1, 2, 4, 8, 16
+
+
+def _sweep(a: np.ndarray, b: np.ndarray, h: np.ndarray, e: np.ndarray, local: bool, ways: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, tuple[int, int, int]]:
+    """Run the rows ``a`` from the scores ``h`` and those of gaps in the sequence ``e``: both after the last row, and (score, row, column) of the best end.
+
+    A row is computed as vectors; a gap along it is a running maximum.  ``ways`` gets what each cell's best way ends in.
+    """
+    slope = np.arange(len(b) + 1, dtype=np.int32) * GAP_EXTEND
+    flags = np.zeros((8, len(b)), bool)
+    best = (0, 0, 0)
+    for i, letter in enumerate(a):
+        match = h[:-1] + np.where(b == letter, np.int32(MATCH), np.int32(MISMATCH))
+        opened = h - GAP_OPEN
+        e = np.maximum(opened, e - GAP_EXTEND)
+        h = e.copy()
+        h[0] = 0
+        np.maximum(h[1:], match, out=h[1:])
+        f = np.maximum.accumulate(h + slope)[:-1] - GAP_OPEN - slope[:-1]
+        np.maximum(h[1:], f, out=h[1:])
+        if local:
+            np.maximum(h, 0, out=h)
+            k = int(h.argmax())
+            best = max(best, (int(h[k]), i + 1, k), key=lambda x: x[0])
+        if ways is not None:
+            for row, (x, y) in enumerate(((h[1:], match), (h[1:], f), (f, h[:-1] - GAP_OPEN), (e[1:], opened[1:]), (h[1:], 0))):
+                np.equal(x, y, out=flags[row])
+            ways[i] = np.packbits(flags, 0, "little")[0]
+    return h, e, best
+
+
+class _Path:
+    """The way back from the end of an alignment, as runs of operations, last one first."""
+
+    def __init__(self, i: int, k: int, local: bool):
+        self.i, self.k, self.local = i, k, local
+        self.state, self.runs, self.ended = "M", [], False
+
+    def add(self, op: str, n: int = 1) -> None:
+        if self.runs and self.runs[-1][0] == op:
+            self.runs[-1][1] += n
+        elif n:
+            self.runs.append([op, n])
+
+    def follow(self, ways: np.ndarray, first: int) -> None:
+        """Walk through the rows after ``first``, whose cells ``ways`` holds."""
+        while self.i > first and self.k and not self.ended:
+            way = int(ways[self.i - first - 1, self.k - 1])
+            if self.state == "M":
+                if self.local and way & _NOTHING:
+                    self.ended = True
+                elif way & _MATCHES:
+                    self.add("M")
+                    self.i, self.k = self.i - 1, self.k - 1
+                else:
+                    self.state = "I" if way & _GAP_IN_REF else "D"
+                continue
+            self.add(self.state)
+            opens = way & (_OPENS_IN_REF if self.state == "I" else _OPENS_IN_SEQ)
+            if self.state == "I":
+                self.k -= 1
+            else:
+                self.i -= 1
+            if opens:
+                self.state = "M"
+
+
+def align_pair(seq: str, ref: str, local: bool = False, cells: int = CELLS) -> tuple[str, str, str, int, int, int]:
     """(CIGAR, aligned ref, aligned seq, score, start in the ref, start in the seq) of an alignment with affine gaps; gaps at the start cost nothing.
 
     Global: all of both.  ``local``: the best scoring part of both, the first one by its end in the reference, then in the sequence; nothing
-    if no letter agrees.  Rows are computed as vectors; a gap along the row is a running maximum.  Ties prefer a match, then a gap in the
-    reference, then one in the sequence.
+    if no letter agrees.  Ties prefer a match, then a gap in the reference, then one in the sequence.
+
+    Memory is linear in the lengths.  Up to ``cells`` cells are held, a byte each.  Of a larger pair the scores of STATES rows are kept, and the way
+    back computes the rows between two of them again, the last ones first and only up to its column; parts that are still too large are
+    divided the same way.
     """
     a, b = np.frombuffer(ref.encode(), np.uint8), np.frombuffer(seq.encode(), np.uint8)
     n, m = len(a), len(b)
-    low = -10**9
-    h, e, f = (np.full((n + 1, m + 1), low, np.int32) for _ in range(3))
-    h[0], h[:, 0] = 0, 0
-    j = np.arange(m + 1)
-    for i in range(1, n + 1):
-        e[i] = np.maximum(h[i - 1] - GAP_OPEN, e[i - 1] - GAP_EXTEND)
-        here = e[i].copy()
-        here[0] = 0
-        here[1:] = np.maximum(here[1:], h[i - 1, :-1] + np.where(b == a[i - 1], MATCH, MISMATCH))
-        f[i, 1:] = np.maximum.accumulate(here + j * GAP_EXTEND)[:-1] - GAP_OPEN - (j[1:] - 1) * GAP_EXTEND
-        h[i] = np.maximum(here, f[i])
-        if local:
-            np.maximum(h[i], 0, out=h[i])
-    end_a, end_b = np.unravel_index(int(h.argmax()), h.shape) if local else (n, m)
-    score = int(h[end_a, end_b])
-    out_a, out_b, ops = [], [], []
-    i, k, state = int(end_a), int(end_b), "h"
-    while i and k:
-        if local and state == "h" and not h[i, k]:
-            break
-        if state == "h":
-            if h[i, k] == h[i - 1, k - 1] + (MATCH if a[i - 1] == b[k - 1] else MISMATCH):
-                out_a.append(ref[i - 1]), out_b.append(seq[k - 1]), ops.append("M")
-                i, k = i - 1, k - 1
-            else:
-                state = "f" if h[i, k] == f[i, k] else "e"
-        elif state == "f":
-            if f[i, k] == h[i, k - 1] - GAP_OPEN:
-                state = "h"
-            out_a.append("-"), out_b.append(seq[k - 1]), ops.append("I")
-            k -= 1
-        else:
-            if e[i, k] == h[i - 1, k] - GAP_OPEN:
-                state = "h"
-            out_a.append(ref[i - 1]), out_b.append("-"), ops.append("D")
-            i -= 1
-    first_a, first_b = (i, k) if local else (0, 0)
-    while i and not local:
-        out_a.append(ref[i - 1]), out_b.append("-"), ops.append("D")
-        i -= 1
-    while k and not local:
-        out_a.append("-"), out_b.append(seq[k - 1]), ops.append("I")
-        k -= 1
-    ops.reverse()
-    cigar, at = "", 0
-    for x in range(1, len(ops) + 1):
-        if x == len(ops) or ops[x] != ops[at]:
-            cigar += f"{x - at}{ops[at]}"
-            at = x
-    return cigar, "".join(reversed(out_a)), "".join(reversed(out_b)), score, first_a, first_b
+    h, e = np.zeros(m + 1, np.int32), np.full(m + 1, -10**9, np.int32)
+    score, path = None, None
+    if local:
+        ways = np.empty((n, m), np.uint8) if n * m <= cells else None
+        score, i, k = _sweep(a, b, h, e, True, ways)[2]
+        path = _Path(i, k, True)
+        if ways is not None:
+            path.follow(ways, 0)
+    else:
+        path = _Path(n, m, False)
+        if not n or not m:
+            score = 0
+    parts = [(0, path.i, h, e)] if path.i and path.k and not path.ended else []
+    while parts and path.k and not path.ended:
+        first, last, h, e = parts.pop()
+        width = path.k
+        column, h, e = b[:width], h[: width + 1], e[: width + 1]
+        if last - first == 1 or (last - first) * width <= cells:
+            ways = np.empty((last - first, width), np.uint8)
+            end = _sweep(a[first:last], column, h, e, local, ways)[0]
+            score = int(end[-1]) if score is None else score
+            path.follow(ways, first)
+            continue
+        step = -(-(last - first) // STATES)
+        for at in range(first, last, step):
+            parts.append((at, min(at + step, last), h, e))
+            if at + step < last:
+                h, e, _ = _sweep(a[at : at + step], column, h, e, local)
+    i, k = (path.i, path.k) if local else (0, 0)
+    if not local:
+        path.add("D", path.i)
+        path.add("I", path.k)
+    first_a, first_b, out_a, out_b = i, k, [], []
+    for op, length in reversed(path.runs):
+        out_a.append("-" * length if op == "I" else ref[i : i + length])
+        out_b.append("-" * length if op == "D" else seq[k : k + length])
+        i, k = i + (op != "I") * length, k + (op != "D") * length
+    return "".join(f"{length}{op}" for op, length in reversed(path.runs)), "".join(out_a), "".join(out_b), score, first_a, first_b
 
 
 def align_distinct(pairs: DataFrame, local: bool = False) -> DataFrame:
     """``seq, ref`` -> with ``cigar_str, aligned_ref, aligned_seq, alignment_score``, ``local`` with ``start_ref, start_seq``; each distinct pair is aligned once.
 
-    Memory follows the product of the two lengths of one pair, 12 bytes a cell.
+    Memory of a task: one batch of pairs, and for the pair at work what ``align_pair`` holds, linear in the two lengths.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

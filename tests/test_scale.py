@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from molspark.operators import ibars
+from molspark.operators import align, ibars
 from molspark.operators.intervals import interval_join
 from molspark.operators.ranks import global_rank
 from molspark.sources import fastq
@@ -118,3 +118,33 @@ def test_spacer_whitelists_of_any_size(spark):
             elif first:
                 assert got[i] == first
     assert ibars.extract_spacer(df, white.limit(0)).where("id = 42").first().spacer == "AAAA"
+
+
+@pytest.mark.parametrize("local", [False, True])
+@pytest.mark.parametrize("cells", [1, 50, 700])
+def test_alignment_in_parts_is_the_whole_one(cells, local):
+    """However little is held, the same operations come out, ties included; two letters make many ties."""
+    rng = random.Random(cells)
+    for _ in range(150):
+        ref = "".join(rng.choices("AC", k=rng.randrange(0, 90)))
+        seq = "".join(x for x in ref if rng.random() < 0.8) + "".join(rng.choices("AC", k=rng.randrange(0, 30)))
+        whole, parts = align.align_pair(seq, ref, local), align.align_pair(seq, ref, local, cells=cells)
+        assert whole == parts, (seq, ref)
+        _, out_ref, out_seq, _, i, k = whole
+        assert ref[i:].startswith(out_ref.replace("-", "")) and seq[k:].startswith(out_seq.replace("-", ""))
+
+
+def test_alignment_of_long_pairs_in_little_memory():
+    """12,000 letters against 11,700: 140 million cells, of which one million are held."""
+    import tracemalloc
+
+    rng = random.Random(8)
+    ref = "".join(rng.choices("ACGT", k=12_000))
+    seq = ref[:4000] + ref[4300:9000] + ref[9000:]
+    tracemalloc.start()
+    cigar, out_ref, out_seq, score, _, _ = align.align_pair(seq, ref, cells=1 << 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert cigar.count("D") == 1 and "300D" in cigar and out_ref == ref and out_seq.replace("-", "") == seq
+    assert score == 5 * len(seq) - 20 - 299
+    assert peak < 20_000_000
