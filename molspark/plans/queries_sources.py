@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sql as sql_functions
+from ..sources import arrow_files as af
 from ..sources import fastq as fq
 from ..sources import files as f
 from ..sources.shared import session_folder
@@ -59,6 +61,26 @@ def table_scan_sink(t: Inputs) -> DataFrame:
     return f.table_scan(t.spark, *paths)
 
 
+@query("arrow_scan_sink", "SELECT umi, cbc, umi_reads FROM fx_mols")
+def arrow_scan_sink(t: Inputs) -> DataFrame:
+    """Two appends to one folder of Arrow files; of the columns written, three are read back."""
+    path = _folder(t, "arrow")
+    for cond in ("wt", "not wt"):
+        af.arrow_sink(t.fx_mols.where(cond), path)
+    return af.arrow_scan(t.spark, path, ["umi", "cbc", "umi_reads"])
+
+
+@query("sql_text_functions", """SELECT read_id, reverse(translate(r2_seq, 'ACGTMKRYVBacgtvb', 'TGCAKMYRBVtgcabv')) AS rc, hamming(substr(r1_seq, 1, 10), substr(r1_seq, 11, 10)) AS apart,
+  round(list_avg(list_transform(string_split(r1_qual, ''), lambda c: ascii(c) - 33)), 6) AS quality, round(length(regexp_replace(r2_seq, '[^GC]', '', 'g')) / length(r2_seq), 6) AS gc,
+  len(list_distinct(list_transform(range(1, length(r2_seq) - 6), lambda i: substr(r2_seq, CAST(i AS BIGINT), 8)))) AS n_kmers,
+  CASE WHEN regexp_matches(r2_seq, 'CATCTTAG.*?GACAGG') THEN regexp_extract(r2_seq, 'CATCTTAG(.*?)GACAGG', 1) END AS inner_seq FROM fx_reads""")
+def sql_text_functions(t: Inputs) -> DataFrame:
+    """A query in SQL text by the functions of ``functions.sql``."""
+    sql_functions.register(t.spark)
+    return t.spark.sql("""SELECT read_id, reverse_complement(r2_seq) AS rc, hamming(substr(r1_seq, 1, 10), substr(r1_seq, 11, 10)) AS apart, round(mean_quality(r1_qual), 6) AS quality,
+        round(gc_share(r2_seq), 6) AS gc, size(array_distinct(kmers(r2_seq, 8))) AS n_kmers, between_anchors(r2_seq, 'CATCTTAG', 'GACAGG') AS inner_seq FROM {reads}""", reads=t.fx_reads)
+
+
 @query("features_csv_scan", "SELECT concat(feature, '_', n_name) AS feature, seq, kind, 2 AS n_marks FROM fx_features, (SELECT n_name FROM nation) AS n WHERE kind = 'EDITED_TARGET'")
 def features_csv_scan(t: Inputs) -> DataFrame:
     path = _folder(t, "features")
