@@ -93,6 +93,17 @@ def bit_maps(keys: DataFrame, key: Column, bits: int) -> DataFrame:
     return keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("__map_no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("__map"))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores behind those that ``df`` has already, in either case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def apart(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column) -> tuple[DataFrame, DataFrame]:
     """``df`` in two: rows whose key is surely not among ``keys``, and the rest, for an exact join.
 
@@ -103,9 +114,11 @@ def apart(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column) -> tupl
     bits = min(MOST_BITS, 1 << max(20, (BITS_A_KEY * n - 1).bit_length()))
     maps = stage(bit_maps(keys, keys_key, bits), "filter")
     cols = df.columns
-    marked = df.withColumn("__bit", F.pmod(F.xxhash64(key), F.lit(bits)) + 1).withColumns({"__no": F.bitmap_bucket_number("__bit"), "__at": F.bitmap_bit_position("__bit")})
-    marked = marked.join(F.broadcast(maps), F.col("__no") == F.col("__map_no"), "left")
-    hit = F.expr("coalesce(shiftright(cast(conv(hex(substring(__map, cast(__at div 8 as int) + 1, 1)), 16, 10) as int), cast(__at % 8 as int)) & 1, 0) = 1")
+    bit, no, at, map_no, bitmap = free(df, "__bit", "__no", "__at", "__map_no", "__map")
+    maps = maps.select(F.col("__map_no").alias(map_no), F.col("__map").alias(bitmap))
+    marked = df.withColumn(bit, F.pmod(F.xxhash64(key), F.lit(bits)) + 1).withColumns({no: F.bitmap_bucket_number(bit), at: F.bitmap_bit_position(bit)})
+    marked = marked.join(F.broadcast(maps), F.col(no) == F.col(map_no), "left")
+    hit = F.expr(f"coalesce(shiftright(cast(conv(hex(substring({bitmap}, cast({at} div 8 as int) + 1, 1)), 16, 10) as int), cast({at} % 8 as int)) & 1, 0) = 1")
     return marked.where(~hit).select(*(F.col(f"`{c}`") for c in cols)), marked.where(hit).select(*(F.col(f"`{c}`") for c in cols))
 
 

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, apart, block_ids, id_and_text, small_batches, stage, sub_batches, tidy, tidy_group
+from .common import WordHashes, apart, block_ids, free, id_and_text, small_batches, stage, sub_batches, tidy, tidy_group
 
 WINDOW = 13
 #: Benchmark windows searched at once; a larger benchmark is searched in slices, so what is collected and broadcast stays bounded.
@@ -261,6 +261,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     """
     key = F.xxhash64(f"`{text_col}`")
     hits = find_contamination(docs.select(key.alias("doc_id"), F.col(f"`{text_col}`").alias("text")), benchmark, **options)
-    bad = stage(contaminated(hits).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    surely, rest = apart(docs, key, bad, F.col("__bad"))
-    return surely.unionByName(rest.join(bad, key == F.col("__bad"), "left_anti"))
+    (name,) = free(docs, "__bad")
+    bad = stage(contaminated(hits).where("contaminated").select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    surely, rest = apart(docs, key, bad, F.col(name))
+    return surely.unionByName(rest.join(bad, key == F.col(name), "left_anti"))

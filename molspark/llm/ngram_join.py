@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, apart, id_and_text, join_unique, mix, ngram_hashes, stage, sub_batches, tidy
+from .common import WordHashes, apart, free, id_and_text, join_unique, mix, ngram_hashes, stage, sub_batches, tidy
 from .components import connected_components
 
 #: Sampled tokens of each set by a byte of which sets are first compared; path steps use the same ones in turn, and more where they need them.
@@ -328,9 +328,10 @@ def keep_one_of_each_class(docs: DataFrame, *, threshold: tuple[int, int] = (4,
     pairs = stage(rows.groupBy("th", "doc_id").agg(F.count("*").alias("m")), "join-pairs")
     met = join_unique(pairs, info, "th", "copies", pairs.agg(F.sum("m")).first()[0] or 0)
     kept = (F.col("th") == F.col("class_th")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    unsure = stage(met.withColumn("__kept", kept).where("not __kept or m > 1").select(_row_key("th", "doc_id").alias("__pk"), "__kept", F.col("m").alias("__m")), "join-unsure")
-    keyed = docs.withColumn("__th", th).withColumn("__pk", _row_key("__th", f"`{id_col}`")).drop("__th")
-    surely, rest = apart(keyed, F.col("__pk"), unsure, F.col("__pk"))
-    rest = join_unique(rest, unsure, "__pk", "__m", unsure.agg(F.sum("__m")).first()[0] or 0, "left")
-    once = rest.where("__kept").drop("__kept", "__m").dropDuplicates(["__pk"])
-    return surely.unionByName(rest.where("__kept is null").drop("__kept", "__m")).unionByName(once).select(*(F.col(f"`{c}`") for c in docs.columns))
+    hash_, pk, keeps, many = free(docs, "__th", "__pk", "__kept", "__m")
+    unsure = stage(met.withColumn(keeps, kept).where(f"not {keeps} or m > 1").select(_row_key("th", "doc_id").alias(pk), keeps, F.col("m").alias(many)), "join-unsure")
+    keyed = docs.withColumn(hash_, th).withColumn(pk, _row_key(hash_, f"`{id_col}`")).drop(hash_)
+    surely, rest = apart(keyed, F.col(pk), unsure, F.col(pk))
+    rest = join_unique(rest, unsure, pk, many, unsure.agg(F.sum(many)).first()[0] or 0, "left")
+    once = rest.where(keeps).drop(keeps, many).dropDuplicates([pk])
+    return surely.unionByName(rest.where(f"{keeps} is null").drop(keeps, many)).unionByName(once).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -52,3 +52,21 @@ def test_pipeline_drops_copied_junk(spark, junk, tmp_path):
     shutil.copy("/root/testdata/sf0.001/benchmark.parquet", tmp_path / "benchmark.parquet")
     kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
     assert kept and max(kept) < 1_000_000
+
+
+def test_columns_that_clash(spark):
+    """A table may hold the names that the pipeline's stages give their own columns; it comes out with all its columns."""
+    from molspark.llm.decontamination import drop_contaminated
+    from molspark.llm.ngram_join import keep_one_of_each_class
+
+    clash = ["__th", "__pk", "__KEPT", "__m", "__bad", "__bit", "__no", "__at", "__map", "__map_no", "th", "n", "rows"]
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words), " ".join([*words[:59], "other"]), "a clean text of few words", None, ""]
+    docs = spark.createDataFrame([(i, t, *[f"{c}{i}" for c in clash]) for i, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in clash))
+    bench = spark.createDataFrame([("b", " ".join(words[20:40]))], "item_id string, text string")
+    kept = keep_one_of_each_class(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [tuple(r) for r in docs.orderBy("doc_id").collect() if r.doc_id in (0, 3, 4, 5)]
+    clean = drop_contaminated(docs, bench)
+    assert clean.columns == docs.columns
+    assert sorted(map(tuple, clean.collect())) == [tuple(r) for r in docs.orderBy("doc_id").collect() if r.doc_id >= 3]
