@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import approx_place, extract_or_null
+from .dictionaries import correct_by_dictionary
 from .intervals import interval_join
 from .pairs import pairs_in_groups
 from .ranks import global_rank
@@ -184,6 +185,30 @@ def cs_alleles(df: DataFrame, loci: DataFrame, window: int = 60) -> DataFrame:
                       F.transform(kind("+"), lambda e: e["n"]).alias("ins_lengths"), F.transform(kind("-"), lambda e: e["n"]).alias("del_lengths"))
 
 
+def cs_allele_table(df: DataFrame, loci: DataFrame, window: int = 60, cells: DataFrame | None = None, umis: DataFrame | None = None) -> DataFrame:
+    """The 14 columns of called alleles, and the locus: ``chr, start, cr, cb, ur, ub, molid, cs, cigar, iv, dv, hallele, sallele, seq``.
+
+    ``df`` has ``name, rname, pos, cs, cigar_str, seq`` and the raw barcodes ``cr`` and ``ur``; a null one is read from the name's ``:Z:`` fields.  ``cells``
+    and ``umis`` are dictionaries (raw, corrected) of any size.  ``cb`` and ``ub`` are ``NA`` without a dictionary or an entry; ``molid`` joins the raw
+    barcodes; ``iv`` and ``dv`` are the CIGAR's lengths of insertions and deletions, ``0`` for none; ``hallele`` is ``wildtype`` and ``sallele``
+    ``NA`` where empty.  Rows without ``cs`` or ``seq`` give none.
+    """
+    fields = F.split("name", ":Z:")
+    raw = df.where("cs IS NOT NULL AND seq IS NOT NULL").withColumns({
+        "cr": F.coalesce("cr", F.split(F.get(fields, F.lit(1)), "_")[0]), "ur": F.coalesce("ur", F.get(fields, F.lit(2)))})
+    out = cs_alleles(raw.select("rname", "pos", "cr", "ur", "cs", "cigar_str", "seq"), loci, window)
+    for dictionary, of, to in ((cells, "cr", "cb"), (umis, "ur", "ub")):
+        out = out.withColumn(to, F.lit("NA")) if dictionary is None else correct_by_dictionary(out, dictionary, of, to, "NA")
+
+    def lengths(op: str) -> Column:
+        n = F.array_join(F.regexp_extract_all("cigar_str", F.lit(f"(\\d+){op}"), F.lit(1)), ",")
+        return F.when(n == "", "0").otherwise(n)
+
+    return out.select(F.col("rname").alias("chr"), F.col("pos").alias("start"), "cr", "cb", "ur", "ub", F.concat("cr", "ur").alias("molid"), "cs", F.col("cigar_str").alias("cigar"),
+                      lengths("I").alias("iv"), lengths("D").alias("dv"), F.when(F.col("hallele") == "", "wildtype").otherwise(F.col("hallele")).alias("hallele"),
+                      F.when(F.col("sallele") == "", "NA").otherwise(F.col("sallele")).alias("sallele"), "seq", "locus")
+
+
 def cigar_allele_string(df: DataFrame, cigar: str = "cigar_str") -> DataFrame:
     """``allele``: ``{coordinate}{operation}`` of the CIGAR without first and last token, joined by ``:``; ``NA`` if empty."""
     toks = _tokens(cigar)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import fuzzy_pattern, fuzzy_regex, half_guard
 from ..sources.shared import materialise
+from .intervals import free_names
 from .pairs import pairs_in_groups
 from .ranks import global_rank
 from .umi import barcode_merge, merge_roots
@@ -297,8 +298,21 @@ def annotate_cells(cells: DataFrame, annotation: DataFrame, on: str = "cbc") ->
     return cells.drop(*(c for c in annotation.columns if c != on and c in cells.columns)).join(annotation, on, "left")
 
 
-def clone_pairs(mols: DataFrame, min_marginal: int = 0) -> DataFrame:
-    """Unordered pairs of barcodes that share cells: ``a, b, cells, distance`` (1 / (1 + cells)); barcodes need ``min_marginal`` cells."""
+def clone_pairs(mols: DataFrame, min_marginal: int = 0, *, whitelist: DataFrame | None = None, top_cells: int | None = None, reads_per_umi: int | None = None,
+                order: str = "umi") -> DataFrame:
+    """Unordered pairs of barcodes that share cells: ``a, b, cells, distance`` (1 / (1 + cells)); barcodes need ``min_marginal`` cells.
+
+    Cells are those of ``whitelist`` (cbc), else the ``top_cells`` with most UMIs, ties by name, else all.  With ``reads_per_umi`` ``mols`` has a row a read, and
+    the first so many by ``order``, then barcode, of each UMI of a cell count.
+    """
+    if whitelist is not None:
+        mols = mols.join(whitelist.select("cbc").distinct(), "cbc", "left_semi")
+    elif top_cells is not None:
+        size = mols.where("cbc IS NOT NULL").groupBy("cbc").agg(F.countDistinct("umi").alias("n"))
+        mols = mols.join(size.orderBy(F.desc("n"), "cbc").limit(top_cells).select("cbc"), "cbc", "left_semi")
+    if reads_per_umi is not None:  # Spark keeps the first rows of each group in the task before the shuffle
+        (k,) = free_names(mols, "k")
+        mols = mols.withColumn(k, F.row_number().over(Window.partitionBy("cbc", "umi").orderBy(*dict.fromkeys([order, "raw_ibar"])))).where(F.col(k) <= reads_per_umi)
     each = mols.select("cbc", "raw_ibar").distinct()
     if min_marginal:
         enough = each.groupBy("raw_ibar").agg(F.count("*").alias("n")).where(F.col("n") >= min_marginal)

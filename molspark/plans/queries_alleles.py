@@ -174,6 +174,33 @@ def cs_alleles(t: Inputs) -> DataFrame:
     return a.cs_alleles(d, loci, 3).withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("ins_lengths", "del_lengths")})
 
 
+#: Reads with cs tags; some have no barcode but in their name, some no tag or no sequence.
+_CS_READS = """SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), ':Z:', substr(translate(md5(concat('c', CAST(l_orderkey % 200 AS STRING))), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 16), '_x:Z:', CAST(l_partkey AS STRING)) AS name,
+  concat('chr', CAST(l_suppkey % 3 AS STRING)) AS rname, 100 + l_linenumber AS pos,
+  CASE WHEN l_orderkey % 11 <> 0 THEN concat(':', CAST(10 + l_linenumber AS STRING), CASE WHEN l_orderkey % 5 = 0 THEN '' WHEN l_orderkey % 2 = 0 THEN '-ac' ELSE '+gg' END, CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE ':5*ag' END, ':', CAST(l_orderkey % 7 AS STRING)) END AS cs, cigar_str,
+  CASE WHEN l_linenumber % 2 = 0 THEN substr(translate(md5(concat('c', CAST(l_orderkey % 200 AS STRING))), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 16) END AS cr, CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_partkey AS STRING) END AS ur,
+  CASE WHEN l_orderkey % 13 <> 0 THEN cigar_str END AS seq FROM fx_cigar"""
+_CELL_DICTIONARY = "SELECT DISTINCT cbc AS raw, concat(substr(cbc, 1, 12), 'AAAA') AS corrected FROM fx_mols WHERE sample_id <> 'S1' AND raw_ibar < 'G'"
+_UMI_DICTIONARY = "SELECT DISTINCT CAST(l_partkey AS STRING) AS raw, concat('u', CAST(l_partkey - l_partkey % 3 AS STRING)) AS corrected FROM fx_cigar WHERE l_partkey % 2 = 0"
+
+
+@query("cs_allele_table", f"""WITH r AS ({_CS_READS}), d AS (SELECT row_number() OVER () AS rid, * REPLACE (coalesce(cr, split_part(split_part(name, ':Z:', 2), '_', 1)) AS cr, coalesce(ur, split_part(name, ':Z:', 3)) AS ur) FROM r WHERE cs IS NOT NULL AND seq IS NOT NULL),
+  n AS (SELECT d.*, locus FROM d JOIN (VALUES ('g0', 'chr0', 100), ('g1', 'chr1', 104)) AS v(locus, rname, at_) ON d.rname = v.rname AND abs(pos - at_) <= 3),
+  t AS (SELECT *, unnest(regexp_extract_all(cs, '(:[0-9]+|[*][a-z]{{2}}|[+][a-z]+|-[a-z]+)')) AS tok, generate_subscripts(regexp_extract_all(cs, '(:[0-9]+|[*][a-z]{{2}}|[+][a-z]+|-[a-z]+)'), 1) AS i FROM n),
+  l AS (SELECT *, left(tok, 1) AS k, CASE left(tok, 1) WHEN ':' THEN CAST(substr(tok, 2) AS INT) WHEN '*' THEN 1 ELSE length(tok) - 1 END AS n FROM t),
+  p AS (SELECT *, pos + coalesce(sum(CASE WHEN k = '+' THEN 0 ELSE n END) OVER (PARTITION BY rid, locus ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM l),
+  g AS (SELECT rid, locus, any_value(rname) AS chr, any_value(pos) AS start, any_value(cr) AS cr, any_value(ur) AS ur, any_value(cs) AS cs, any_value(cigar_str) AS cigar, any_value(seq) AS seq,
+    coalesce(string_agg(CASE WHEN k IN ('+', '-') THEN concat(CAST(p AS STRING), tok) END, ':' ORDER BY i), 'wildtype') AS hallele, coalesce(string_agg(CASE WHEN k = '*' THEN concat(CAST(p AS STRING), tok) END, ':' ORDER BY i), 'NA') AS sallele FROM p GROUP BY 1, 2),
+  c AS ({_CELL_DICTIONARY}), u AS ({_UMI_DICTIONARY})
+  SELECT chr, start, cr, coalesce(c.corrected, 'NA') AS cb, ur, coalesce(u.corrected, 'NA') AS ub, concat(cr, ur) AS molid, cs, cigar, CASE WHEN cigar LIKE '%I%' THEN regexp_extract(cigar, '([0-9]+)I', 1) ELSE '0' END AS iv,
+    CASE WHEN cigar LIKE '%D%' THEN regexp_extract(cigar, '([0-9]+)D', 1) ELSE '0' END AS dv, hallele, sallele, seq, locus FROM g LEFT JOIN c ON cr = c.raw LEFT JOIN u ON ur = u.raw""")
+def cs_allele_table(t: Inputs) -> DataFrame:
+    t.fx_cigar.createOrReplaceTempView("fx_cigar")
+    t.fx_mols.createOrReplaceTempView("fx_mols")
+    loci = t.spark.createDataFrame([("g0", "chr0", 100), ("g1", "chr1", 104)], "locus string, rname string, pos int")
+    return a.cs_allele_table(t.spark.sql(_CS_READS), loci, 3, t.spark.sql(_CELL_DICTIONARY), t.spark.sql(_UMI_DICTIONARY))
+
+
 @query("cigar_allele_string", f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, concat(CAST(m AS STRING), op) AS allele FROM {_CG}")
 def cigar_allele_string(t: Inputs) -> DataFrame:
     return a.cigar_allele_string(t.fx_cigar).drop("cigar_str")

@@ -209,6 +209,28 @@ def clone_pairs(t: Inputs) -> DataFrame:
     return i.clone_pairs(t.fx_mols, 95).withColumn("distance", F.round("distance", 9))
 
 
+#: A row a read: UMIs of one letter and a sample, so that they hold many.
+_CLONE_READS = "SELECT cbc, concat(substr(umi, 1, 1), sample_id) AS umi, raw_ibar, umi AS read FROM fx_mols"
+
+
+def _clone_sql(cells: str) -> str:
+    return f"""WITH r AS ({_CLONE_READS}), c AS ({cells}), k AS (SELECT *, row_number() OVER (PARTITION BY cbc, umi ORDER BY read, raw_ibar) AS k FROM r WHERE cbc IN (SELECT cbc FROM c)),
+  e AS (SELECT DISTINCT cbc, raw_ibar FROM k WHERE k <= 30) SELECT x.raw_ibar AS a, y.raw_ibar AS b, count(*) AS cells, round(1 / (1 + count(*)), 9) AS distance FROM e AS x JOIN e AS y ON x.cbc = y.cbc AND x.raw_ibar < y.raw_ibar GROUP BY 1, 2"""
+
+
+@query("clone_pairs_top_cells", _clone_sql("SELECT cbc FROM r GROUP BY 1 ORDER BY count(DISTINCT umi) DESC, cbc LIMIT 50"))
+def clone_pairs_top_cells(t: Inputs) -> DataFrame:
+    t.fx_mols.createOrReplaceTempView("fx_mols")
+    return i.clone_pairs(t.spark.sql(_CLONE_READS), top_cells=50, reads_per_umi=30, order="read").withColumn("distance", F.round("distance", 9))
+
+
+@query("clone_pairs_whitelist", _clone_sql("SELECT DISTINCT cbc FROM fx_mols WHERE wt AND cluster = 1 AND doublet_prediction = 'singlet'"))
+def clone_pairs_whitelist(t: Inputs) -> DataFrame:
+    t.fx_mols.createOrReplaceTempView("fx_mols")
+    cells = t.fx_mols.where("wt and cluster = 1 and doublet_prediction = 'singlet'")
+    return i.clone_pairs(t.spark.sql(_CLONE_READS), whitelist=cells, reads_per_umi=30, order="read").withColumn("distance", F.round("distance", 9))
+
+
 @query("ibar_correlation_groups", """WITH RECURSIVE x AS (SELECT cbc, raw_ibar, CAST(count(*) AS DOUBLE) AS x FROM fx_mols WHERE wt GROUP BY 1, 2),
   s AS (SELECT raw_ibar, sum(x) AS s, sum(x * x) AS ss FROM x GROUP BY 1 HAVING count(*) >= 10), n AS (SELECT CAST(count(DISTINCT cbc) AS DOUBLE) AS n FROM x),
   xy AS (SELECT p.raw_ibar AS a, q.raw_ibar AS b, sum(p.x * q.x) AS sxy FROM x AS p JOIN x AS q ON p.cbc = q.cbc AND p.raw_ibar < q.raw_ibar GROUP BY 1, 2),

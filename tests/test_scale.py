@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from molspark.operators import align, ibars
+from molspark.operators import align, dictionaries, ibars
 from molspark.operators.intervals import interval_join
 from molspark.operators.ranks import global_rank
 from molspark.sources import fastq
@@ -148,3 +148,31 @@ def test_alignment_of_long_pairs_in_little_memory():
     assert cigar.count("D") == 1 and "300D" in cigar and out_ref == ref and out_seq.replace("-", "") == seq
     assert score == 5 * len(seq) - 20 - 299
     assert peak < 20_000_000
+
+
+@pytest.mark.parametrize("map_bytes", [0, 1 << 20])
+def test_barcodes_by_dictionary(spark, map_bytes):
+    """As a map and by shuffle with dealt keys; a hot, a null and an unknown barcode, repeated entries, columns with the names of helpers."""
+    rows = [("A" if i % 3 else ("B", "C", None)[i // 3 % 3], i, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "bc string, raw int, part int")
+    words = spark.createDataFrame([("A", "a2"), ("A", "a1"), ("B", "b"), (None, "n"), ("C", None)], "raw string, corrected string")
+    got = dictionaries.correct_by_dictionary(df, words, "bc", "to", "NA", map_bytes=map_bytes, key_rows=20)
+    assert got.columns == ["bc", "raw", "part", "to"]
+    assert sorted(got.collect(), key=lambda r: r.raw) == [(b, i, p, {"A": "a1", "B": "b"}.get(b, "NA")) for b, i, p in rows]
+    assert {r.to for r in dictionaries.correct_by_dictionary(df, words.limit(0), "bc", "to", map_bytes=map_bytes).collect()} == {None}
+    assert dictionaries.correct_by_dictionary(df.limit(0), words, "bc", "to", map_bytes=map_bytes).count() == 0
+    if map_bytes:
+        assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clone_pairs_of_chosen_cells_and_reads(spark):
+    reads = spark.createDataFrame([("c1", "u", "X", 1), ("c1", "u", "Y", 2), ("c1", "u", "Z", 3), ("c1", "v", "Y", 4), ("c2", "u", "X", 5), ("c2", "v", "Z", 6), ("c3", "u", "X", 7), ("c3", "u", "Y", 8),
+                                   (None, "u", "X", 9)], "cbc string, umi string, raw_ibar string, read int")
+
+    def pairs(**options):
+        return {(r.a, r.b): r.cells for r in ibars.clone_pairs(reads, **options).collect()}
+
+    assert pairs() == {("X", "Y"): 2, ("X", "Z"): 2, ("Y", "Z"): 1}
+    assert pairs(reads_per_umi=2, order="read") == {("X", "Y"): 2, ("X", "Z"): 1}
+    assert pairs(top_cells=1) == {("X", "Y"): 1, ("X", "Z"): 1, ("Y", "Z"): 1}
+    assert pairs(whitelist=spark.createDataFrame([("c3",), ("c3",), ("c9",)], "cbc string")) == {("X", "Y"): 1}
