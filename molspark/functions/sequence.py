@@ -137,22 +137,3 @@ def hash_share(key: Column, seed: int = 0) -> Column:
 def hash_order(seed: int, *keys: Column) -> Column:
     """A text by which rows stand in a random order that depends on the seed and the keys alone, the same in every engine."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in keys)))
-
-
-def approx_place(seq: Column, text: str, errors: int) -> Column:
-    """Where the first stretch within ``errors`` edits of ``text`` starts, from 1; 0 without any.
-
-    Without errors it is a plain search; else each place is tried with each length that is possible.
-    """
-    if not errors:
-        return F.instr(seq, text)
-    lengths = range(max(1, len(text) - errors), len(text) + errors + 1)
-
-    def fits(p: Column) -> Column:
-        tried = [F.coalesce(F.levenshtein(F.substring(seq, p, F.lit(n)), F.lit(text), errors) >= 0, F.lit(False)) & (p + n - 1 <= F.length(seq)) for n in lengths]
-        out = tried[0]
-        for x in tried[1:]:
-            out = out | x
-        return out
-
-    return F.coalesce(F.try_element_at(F.filter(F.sequence(F.lit(1), F.greatest(F.length(seq), F.lit(1))), fits), F.lit(1)), F.lit(0))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import approx_place, extract_or_null
+from ..functions.approximate import approx_place
+from ..functions.sequence import extract_or_null
 from .dictionaries import correct_by_dictionary
 from .intervals import interval_join
 from .pairs import pairs_in_groups

@@ -7,7 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.approximate import near_ends, near_starts
 from ..functions.sequence import extract_or_null, fuzzy_regex, half_guard, has_fuzzy, hash_order, low_quality_bases, reverse_complement, reverse_complement_text, sanitize
+from .intervals import free_names
 
 
 def fuzzy_sanitize(df: DataFrame, features: list[str], anchors: list[str], col: str = "seq", wildcard: str = ".{0,1}") -> DataFrame:
@@ -23,18 +25,23 @@ def fuzzy_sanitize(df: DataFrame, features: list[str], anchors: list[str], col:
 def approx_anchor_extract(df: DataFrame, col: str, anchor1: str, err1: int, length: int, anchor2: str, err2: int, out: str = "barcode") -> DataFrame:
     """The ``length`` bases between two anchors that may hold ``err1`` and ``err2`` edits; null without both.
 
-    Every position is tried as the start of the barcode: the window before it against the first anchor and the one
-    behind it against the second by bounded edit distance; fewest edits win, then the leftmost.
+    A position is the start of the barcode if the window before it is within the edits of the first anchor and the one behind it within those of
+    the second; fewest edits win, then the leftmost.  One bit-vector scan an anchor leaves the positions where any stretch fits, and only their windows
+    are measured.
     """
     n1, n2 = len(anchor1), len(anchor2)
-    s = F.col(col)
-    starts = F.when(F.length(s) >= n1 + length + n2, F.sequence(F.lit(n1 + 1), F.length(s) - (length + n2) + 1)).otherwise(F.array().cast("array<int>"))
-    tried = F.transform(starts, lambda p: F.struct(
+    before, after, best = free_names(df, "before", "after", "best")
+    s = F.col(f"`{col}`")
+    df = df.withColumns({before: near_ends(s, anchor1, err1), after: near_starts(s, anchor2, err2)})
+    starts = F.array_intersect(F.transform(before, lambda e: e + 1), F.transform(after, lambda b: b - length))
+    inside = F.filter(starts, lambda p: (p > n1) & (p + length + n2 - 1 <= F.length(s)))
+    tried = F.transform(inside, lambda p: F.struct(
         F.levenshtein(F.substring(s, p - n1, F.lit(n1)), F.lit(anchor1), err1).alias("a"),
         F.levenshtein(F.substring(s, p + length, F.lit(n2)), F.lit(anchor2), err2).alias("b"), p.alias("p")))
     fits = F.filter(tried, lambda t: (t["a"] >= 0) & (t["b"] >= 0))
-    best = F.array_min(F.transform(fits, lambda t: F.struct((t["a"] + t["b"]).alias("e"), t["p"].alias("p"))))
-    return df.withColumn("__best", best).withColumn(out, F.substring(s, F.col("__best.p"), F.lit(length))).withColumn("edits", F.col("__best.e")).drop("__best")
+    least = F.array_min(F.transform(fits, lambda t: F.struct((t["a"] + t["b"]).alias("e"), t["p"].alias("p"))))
+    out_of = df.withColumn(best, least).withColumn(out, F.substring(s, F.col(f"{best}.p"), F.lit(length)))
+    return out_of.withColumn("edits", F.col(f"{best}.e")).drop(before, after, best)
 
 
 def quality_filter(df: DataFrame, qual_col: str, tolerance: int, min_qual: str = "@") -> DataFrame:

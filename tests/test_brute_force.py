@@ -9,6 +9,7 @@ from statistics import mean, stdev
 import pytest
 from pyspark.sql import functions as F
 
+from molspark.functions import approximate
 from molspark.functions import sequence as s
 from molspark.operators import align, alleles, cassette, kmers, qc, reads, trees, umi
 from molspark.operators.pairs import pairs_in_groups
@@ -223,11 +224,54 @@ def test_approximate_places(spark):
     rng = random.Random(4)
     rows = [("".join(rng.choice("ACGT") for _ in range(rng.randrange(0, 30))),) for _ in range(200)] + [("TTACGTGGTT",), ("TTACGGTT",)]
     for errors in (0, 1, 2):
-        for r in spark.createDataFrame(rows, "x string").select("x", s.approx_place(F.col("x"), "ACGTGG", errors).alias("at")).collect():
+        for r in spark.createDataFrame(rows, "x string").select("x", approximate.approx_place(F.col("x"), "ACGTGG", errors).alias("at")).collect():
             want = next((p + 1 for p in range(len(r.x)) for n in range(6 - errors, 7 + errors) if p + n <= len(r.x) and edits(r.x[p : p + n], "ACGTGG") <= errors), 0)
             assert r["at"] == want, (r.x, errors)
 
 
+def _ends(seq, text, errors):
+    """Ends of near stretches by the plain table of distances, free to start anywhere."""
+    row, out = list(range(len(text) + 1)), []
+    for at, c in enumerate(seq, 1):
+        row, old = [0], row
+        for j, y in enumerate(text, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (c != y)))
+        if row[-1] <= errors:
+            out.append(at)
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 63, 64, 65, 130])
+def test_ends_by_bit_vectors(size):
+    """At and around a word's length; empty, long and odd sequences among short ones."""
+    rng = random.Random(size)
+    text = "".join(rng.choices("ACGT", k=size))
+    seqs = ["", "\0", "A", text, text[1:], "é" + text + "\0", text[: size // 2] + "G" + text[size // 2 :], "AC" * 300 + text + "x"]
+    seqs += ["".join(rng.choices("ACGTN", k=rng.randrange(40))) + text[rng.randrange(3) :] + "".join(rng.choices("ACGT", k=rng.randrange(9))) for _ in range(30)]
+    for errors in (0, 1, 3, size):
+        assert approximate.ends_within(seqs, text, errors) == [_ends(s, text, errors) for s in seqs]
+    assert approximate.ends_within([], text, 1) == []
+
+
+def test_anchors_by_windows(spark):
+    """Windows of the anchors' own lengths, each measured alone; null and empty reads, a column named like a helper."""
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    rng, one, two = random.Random(8), "ACGTGGA", "TTGCAC"
+    reads_ = [None, "", one + two] + ["".join(rng.choices("ACGT", k=rng.randrange(6))) + one[: rng.randrange(5, 8)] + "".join(rng.choices("ACGT", k=rng.randrange(3, 6))) + two[rng.randrange(2) :] + "G" * rng.randrange(4) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(reads_)), "best int, x string")
+    got = {r.best: (r.barcode, r.edits) for r in reads.approx_anchor_extract(df, "x", one, 2, 4, two, 1).collect()}
+    for i, x in enumerate(reads_):
+        found = [(edits(x[p - 7 : p], one) + edits(x[p + 4 : p + 10], two), p) for p in range(7, len(x or "") - 9) if edits(x[p - 7 : p], one) <= 2 and edits(x[p + 4 : p + 10], two) <= 1]
+        assert got[i] == ((x[min(found)[1] :][:4], min(found)[0]) if found else (None, None)), x
+
+
 def fitch(node, kids, leaves):
     if node not in kids:
         return ({leaves[node]} if leaves.get(node, -1) >= 0 else set()), 0
