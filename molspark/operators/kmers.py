@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
+from .intervals import free_names
+from .unitigs import longest_unitigs
+
+#: Edges of one graph that a task walks in Python.
+TASK_EDGES = 1_000_000
+
 
 def kmer_explode(df: DataFrame, seq: str, k: int = 15, only_unique: bool = True, max_str_len: int = 1 << 30) -> DataFrame:
     """One row for each k-mer, or the first ``max_str_len``; ``only_unique`` keeps those that stand once in the whole frame."""
@@ -36,19 +44,28 @@ def debruijn_edges(df: DataFrame, groups: list[str], seq: str, k: int) -> DataFr
 
 
 def _path(edges: dict[str, list[tuple[str, int]]], start: str, end: str) -> str:
-    """Shortest walk of (k-1)-mers from ``start`` to ``end``; ties by higher coverage, then by text; empty if none."""
-    best, todo = {}, [(0, 0, start, "")]
-    while todo:
-        steps, cost, node, text = heapq.heappop(todo)
-        if node in best:
-            continue
-        best[node] = True
-        if node == end:
-            return start + text
-        for nxt, n in edges.get(node, ()):
-            if nxt not in best:
-                heapq.heappush(todo, (steps + 1, cost - n, nxt, text + nxt[-1]))
-    return ""
+    """Shortest walk of (k-1)-mers from ``start`` to ``end``; ties by higher coverage, then by text; empty if none.
+
+    Nodes are met level by level and keep the node before them.  Texts of a level are compared by their places in it: of two of equal length
+    the one whose beginning was smaller is, then the one with the smaller last letter.
+    """
+    came: dict[str, str] = {start: ""}
+    level = {start: (0, 0)}
+    while level and end not in came:
+        best: dict[str, tuple[int, int, str]] = {}
+        for node, (cost, rank) in level.items():
+            for nxt, n in edges.get(node, ()):
+                if nxt not in came and (nxt not in best or (cost - n, rank, node) < best[nxt]):
+                    best[nxt] = (cost - n, rank, node)
+        level = {node: (best[node][0], i) for i, node in enumerate(sorted(best, key=lambda v: (best[v][1], v[-1])))}
+        came |= {node: before for node, (_, _, before) in best.items()}
+    if end not in came:
+        return ""
+    letters, at = [], end
+    while at != start:
+        letters.append(at[-1])
+        at = came[at]
+    return start + "".join(reversed(letters))
 
 
 def _unitig(edges: dict[str, list[tuple[str, int]]]) -> str:
@@ -63,38 +80,39 @@ def _unitig(edges: dict[str, list[tuple[str, int]]]) -> str:
         if ins[node] == 1 and len(edges.get(node, ())) == 1:
             continue  # inside a unitig
         for first, _ in edges.get(node, ()):
-            text, at = node + first[-1], first
+            letters, at = [node, first[-1]], first
             while ins[at] == 1 and len(edges.get(at, ())) == 1:
                 seen.add(at)
                 at = edges[at][0][0]
-                text += at[-1]
-            best = max(best, text, key=lambda t: (len(t), [-ord(c) for c in t]))
+                letters.append(at[-1])
+            best = min(best, "".join(letters), key=lambda t: (-len(t), t))
     for node in sorted(edges):  # rings
         if node not in seen and ins[node] == 1 and len(edges[node]) == 1:
-            text, at = node, edges[node][0][0]
+            letters, at = [node], edges[node][0][0]
             while at != node:
                 seen.add(at)
-                text += at[-1]
+                letters.append(at[-1])
                 at = edges[at][0][0]
-            best = max(best, text, key=lambda t: (len(t), [-ord(c) for c in t]))
+            best = min(best, "".join(letters), key=lambda t: (-len(t), t))
     return best
 
 
 def assemble_umis(df: DataFrame, groups: list[str], *, seq: str = "r2_seq", k: int = 15, min_coverage: int = 20, method: str = "shortest_path",
-                  start_anchor: str = "", end_anchor: str = "", min_length: int = 0) -> DataFrame:
+                  start_anchor: str = "", end_anchor: str = "", min_length: int = 0, task_edges: int | None = None) -> DataFrame:
     """One contig a group by its de Bruijn graph; empty if there is none of ``min_length``.
 
     The walk is of ``_assembled``, for one k and coverage."""
-    return _assembled(df, groups, [k], [min_coverage], seq=seq, method=method, start_anchor=start_anchor, end_anchor=end_anchor, min_length=min_length).drop("k", "min_coverage")
+    return _assembled(df, groups, [k], [min_coverage], seq=seq, method=method, start_anchor=start_anchor, end_anchor=end_anchor, min_length=min_length, task_edges=task_edges).drop("k", "min_coverage")
 
 
 def _assembled(df: DataFrame, groups: list[str], ks: list[int], coverages: list[int], *, seq: str = "r2_seq", method: str = "shortest_path",
-               start_anchor: str = "", end_anchor: str = "", min_length: int = 0) -> DataFrame:
+               start_anchor: str = "", end_anchor: str = "", min_length: int = 0, task_edges: int | None = None) -> DataFrame:
     """Groups x k x coverage with a contig each.
 
     Reads are cut to [start anchor, end anchor] where they hold them, k-mers are counted by Spark, those below
     ``min_coverage`` dropped, and only the edges left of one UMI, at most the distinct k-mers of one molecule, are walked in
-    Python: ``shortest_path`` from the start to the end anchor's (k-1)-mer, or ``compression``, the longest unitig.
+    Python: ``shortest_path`` from the start to the end anchor's (k-1)-mer, or ``compression``, the longest unitig.  A graph of more than ``task_edges``
+    edges is compressed by tables instead, with the same text; its shortest path is one task's work at any size.
     """
     s = F.col(seq)
     if start_anchor:
@@ -123,10 +141,27 @@ def _assembled(df: DataFrame, groups: list[str], ks: list[int], coverages: list[
             contig = _unitig(graph)
         return pdf[keys].head(1).assign(contig=contig if len(contig) >= min_length else "")
 
-    found = edges.groupBy(*keys).applyInPandas(walk, schema)
+    large = None
+    if method != "shortest_path":
+        edges = materialise(edges, "edges")
+        n, g, *marks = free_names(edges, "n", "g", *(f"of_{c}" for c in keys))
+        large = edges.groupBy(*keys).agg(F.count("*").alias(n)).where(F.col(n) > (TASK_EDGES if task_edges is None else task_edges))
+        large = materialise(large.select(*(F.col(c).alias(m) for c, m in zip(keys, marks, strict=True)), F.monotonically_increasing_id().alias(g)), "large-graphs")  # a row for each TASK_EDGES edges at most
+    if large is None or large.isEmpty():
+        found = edges.groupBy(*keys).applyInPandas(walk, schema)
+    else:
+        same = reduce(and_, (F.col(c).eqNullSafe(F.col(m)) for c, m in zip(keys, marks, strict=True)))
+        texts = longest_unitigs(edges.join(large, same).select(F.col(g).alias("g"), "src", "dst")).withColumnRenamed("g", g)
+        long_enough = F.when(F.length("contig") >= min_length, F.col("contig")).otherwise("")
+        texts = large.join(texts, g).select(*(F.col(m).alias(c) for c, m in zip(keys, marks, strict=True)), long_enough.alias("contig"))
+        found = edges.join(large, same, "left_anti").groupBy(*keys).applyInPandas(walk, schema).unionByName(texts)
     grid = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(c).alias("min_coverage")) for k in ks for c in coverages)))
-    every = df.select(*groups).distinct().select(*groups, grid.alias("g")).select(*groups, "g.k", "g.min_coverage")
-    return every.join(found, keys, "left").select(*groups, F.coalesce("contig", F.lit("")).alias("contig"), "k", "min_coverage")
+    (cell,) = free_names(df, "cell")
+    every = df.select(*groups).distinct().select(*groups, grid.alias(cell)).select(*groups, f"{cell}.k", f"{cell}.min_coverage")
+    marks = free_names(every, *(f"of_{c}" for c in keys))
+    found = found.withColumnsRenamed(dict(zip(keys, marks, strict=True)))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(m)) for c, m in zip(keys, marks, strict=True)))
+    return every.join(found, same, "left").select(*groups, F.coalesce("contig", F.lit("")).alias("contig"), "k", "min_coverage")
 
 
 def assembly_sweep(df: DataFrame, groups: list[str], ks: list[int], coverages: list[int], **options) -> DataFrame:

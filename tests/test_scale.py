@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from molspark.operators import align, dictionaries, ibars
+from molspark.operators import align, dictionaries, ibars, kmers
 from molspark.operators.intervals import interval_join
 from molspark.operators.ranks import global_rank
 from molspark.sources import fastq
@@ -176,3 +176,26 @@ def test_clone_pairs_of_chosen_cells_and_reads(spark):
     assert pairs(reads_per_umi=2, order="read") == {("X", "Y"): 2, ("X", "Z"): 1}
     assert pairs(top_cells=1) == {("X", "Y"): 1, ("X", "Z"): 1, ("Y", "Z"): 1}
     assert pairs(whitelist=spark.createDataFrame([("c3",), ("c3",), ("c9",)], "cbc string")) == {("X", "Y"): 1}
+
+
+def test_unitigs_by_tables(spark):
+    """The same texts as the walk in one task: random graphs with branches and ties, chains of every length, rings, loops, null and repeated groups."""
+    rng = random.Random(5)
+    rows = [("chain", "ACGTTGCATTGGATCCTTAA"), ("ring", "ACGTTGCAACGTTG"), ("loop", "AAAAAAAA"), ("two", "ACCGT"), ("two", "TTCAG"), (None, "ACGTAACC"), ("short", "AC"), ("both", "ACGGACGGA"), ("both", "CCCCCC")]
+    rows += [(f"r{i}", "".join(rng.choices("ACGT"[: 2 + i % 3], k=rng.randrange(4, 40)))) for i in range(40) for _ in range(1 + i % 3)]
+    df = spark.createDataFrame(rows, "g string, r2_seq string")
+
+    def contigs(bound):
+        return {(r.g, r.k): r.contig for r in kmers.assembly_sweep(df, ["g"], [3, 5], [1], method="compression", task_edges=bound).collect()}
+
+    task = contigs(1 << 30)
+    assert len(task) == 94 and contigs(4) == task and contigs(0) == task
+    assert task["loop", 5] == "AAAA" and task["short", 3] == ""
+
+
+def test_unitig_of_a_long_molecule(spark):
+    """More letters than several pieces; pointers need about 14 rounds."""
+    text = "".join(random.Random(6).choices("ACGT", k=12_000))
+    df = spark.createDataFrame([("m", text[i : i + 600]) for i in range(0, 12_000, 400)], "umi string, r2_seq string")
+    got = kmers.assemble_umis(df, ["umi"], k=31, min_coverage=1, method="compression", task_edges=1000)
+    assert got.first().contig == text
