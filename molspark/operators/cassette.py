@@ -146,8 +146,9 @@ def assemble_segmented(df: DataFrame, metas: dict[str, str], edited: dict[str, t
     reads = flag_aberrant(fuzzy_sanitize(df, list(metas.values()), [start_anchor, end_anchor], col), metas, col).where("not is_aberrant")
     segments = segment_by_metas(reads, metas, start_anchor, end_anchor, col, groups, None).where("segment_seq != ''")
     keys = [*groups, "start_meta", "end_meta"]
-    contigs = assemble_umis(segments, keys, seq="segment_seq", k=k, min_coverage=min_coverage, method="compression")
-    best = fallback_consensus(segments, validate_assembly(contigs, boundary_kmers(metas, start_anchor, end_anchor), k), keys)
+    contigs = assemble_umis(segments, keys, seq="segment_seq", k=k, min_coverage=min_coverage, method="compression", top="raw")
+    checked = validate_assembly(contigs, boundary_kmers(metas, start_anchor, end_anchor), k)
+    best = checked.select(*keys, F.when(F.col("is_valid"), F.col("contig")).otherwise(F.col("raw")).alias("segment_seq"))
     return target_insertions(stitch_segments(best, list(metas), groups), edited, "stitched_seq")
 
 

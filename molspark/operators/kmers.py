@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import OrderedDict, defaultdict
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,10 @@ from ..sources.shared import materialise
 from .intervals import free_names
 from .unitigs import longest_unitigs
 
-#: Edges of one graph that a task walks in Python.
+#: Edges of one graph that a task walks in Python, and letters of the distinct reads of one group whose k-mers it counts.
 TASK_EDGES = 1_000_000
+#: Letters of reads and contigs that a worker remembers.
+KNOWN_LETTERS = 32 << 20
 
 
 def kmer_explode(df: DataFrame, seq: str, k: int = 15, only_unique: bool = True, max_str_len: int = 1 << 30) -> DataFrame:
@@ -98,55 +102,158 @@ def _unitig(edges: dict[str, list[tuple[str, int]]]) -> str:
 
 
 def assemble_umis(df: DataFrame, groups: list[str], *, seq: str = "r2_seq", k: int = 15, min_coverage: int = 20, method: str = "shortest_path",
-                  start_anchor: str = "", end_anchor: str = "", min_length: int = 0, task_edges: int | None = None) -> DataFrame:
-    """One contig a group by its de Bruijn graph; empty if there is none of ``min_length``.
+                  start_anchor: str = "", end_anchor: str = "", min_length: int = 0, task_edges: int | None = None, top: str | None = None) -> DataFrame:
+    """One contig a group by its de Bruijn graph; empty if there is none of ``min_length``.  ``top`` names a column for the group's most frequent read.
 
     The walk is of ``_assembled``, for one k and coverage."""
-    return _assembled(df, groups, [k], [min_coverage], seq=seq, method=method, start_anchor=start_anchor, end_anchor=end_anchor, min_length=min_length, task_edges=task_edges).drop("k", "min_coverage")
+    return _assembled(df, groups, [k], [min_coverage], seq=seq, method=method, start_anchor=start_anchor, end_anchor=end_anchor, min_length=min_length, task_edges=task_edges, top=top).drop("k", "min_coverage")
 
 
-def _assembled(df: DataFrame, groups: list[str], ks: list[int], coverages: list[int], *, seq: str = "r2_seq", method: str = "shortest_path",
-               start_anchor: str = "", end_anchor: str = "", min_length: int = 0, task_edges: int | None = None) -> DataFrame:
-    """Groups x k x coverage with a contig each.
+def _contig(graph: dict[str, list[tuple[str, int]]], k: int, method: str, start_anchor: str, end_anchor: str) -> str:
+    """The contig of one graph, whose edges are in order of their texts."""
+    if method != "shortest_path":
+        return _unitig(graph)
+    nodes = set(graph) | {b for outs in graph.values() for b, _ in outs}
+    first = min((n for n in nodes if n.startswith(start_anchor[: k - 1])), default="")
+    last = min((n for n in nodes if n.endswith(end_anchor[-(k - 1) :])), default="")
+    return _path(graph, first, last) if first and last else ""
+
+
+def _contigs(reads: dict[str, int], ks: list[int], coverages: list[int], method: str, start_anchor: str, end_anchor: str, min_length: int) -> list[str]:
+    """The contigs of one group's distinct reads and their numbers, for each k and coverage."""
+    out = []
+    for k in ks:
+        counts: dict[str, int] = defaultdict(int)
+        for s, n in reads.items():
+            for i in range(len(s) - k + 1):
+                counts[s[i : i + k]] += n
+        edges = sorted(counts.items())
+        for c in coverages:
+            graph: dict[str, list[tuple[str, int]]] = defaultdict(list)
+            for kmer, n in edges:
+                if n >= c:
+                    graph[kmer[:-1]].append((kmer[1:], n))
+            contig = _contig(graph, k, method, start_anchor, end_anchor)
+            out.append(contig if len(contig) >= min_length else "")
+    return out
 
-    Reads are cut to [start anchor, end anchor] where they hold them, k-mers are counted by Spark, those below
-    ``min_coverage`` dropped, and only the edges left of one UMI, at most the distinct k-mers of one molecule, are walked in
-    Python: ``shortest_path`` from the start to the end anchor's (k-1)-mer, or ``compression``, the longest unitig.  A graph of more than ``task_edges``
-    edges is compressed by tables instead, with the same text; its shortest path is one task's work at any size.
+
+def _assembled(df: DataFrame, groups: list[str], ks: list[int], coverages: list[int], *, seq: str = "r2_seq", method: str = "shortest_path",
+               start_anchor: str = "", end_anchor: str = "", min_length: int = 0, task_edges: int | None = None, top: str | None = None) -> DataFrame:
+    """Groups x k x coverage with a contig each; ``top`` names a column for a group's most frequent read, ties by text.
+
+    Reads are cut to [start anchor, end anchor] where they hold them; copies in a group are counted by Spark.  The distinct reads of a group stand
+    together in a sorted partition, so k-mers are counted, those below the coverage dropped and the edges walked where the reads are:
+    ``shortest_path`` from the start to the end anchor's (k-1)-mer, or ``compression``, the longest unitig.  Groups with the same reads are
+    assembled once a worker.  Of a group with more than ``task_edges`` letters in distinct reads the k-mers are counted by tables; a graph of more
+    edges is compressed by tables too, with the same text; its shortest path is one task's work at any size.
     """
+    bound = TASK_EDGES if task_edges is None else task_edges
     s = F.col(seq)
     if start_anchor:
         s = F.when(F.instr(s, start_anchor) > 0, F.substring(s, F.instr(s, start_anchor), F.length(s))).otherwise(s)
     if end_anchor:
         s = F.when(F.instr(s, end_anchor) > 0, F.substring(s, F.lit(1), F.instr(s, end_anchor) + len(end_anchor) - 1)).otherwise(s)
-    each = df.select(*groups, s.alias("__s"), F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    distinct = df.select(*groups, s.alias("__s")).groupBy(*groups, "__s").agg(F.count("*").alias("__n"))
+    beside = [top] if top else []
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*groups).schema)
+    schema = kinds + ", k int, min_coverage int, contig string" + "".join(f", `{c}` string" for c in beside)
+    names, width, grid = [*groups, "k", "min_coverage", "contig", *beside], len(groups), [(k, c) for k in ks for c in coverages]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: OrderedDict[tuple, list[str]] = OrderedDict()  # what groups with the same reads give
+        held = 0
+
+        def contigs(reads: dict[str, int]) -> list[str]:
+            nonlocal held
+            key = tuple(reads.items())  # in order of the texts
+            if key in known:
+                known.move_to_end(key)
+                return known[key]
+            found = _contigs(reads, ks, coverages, method, start_anchor, end_anchor, min_length)
+            size = sum(map(len, reads)) + sum(map(len, found))
+            if size <= KNOWN_LETTERS // 8:
+                known[key] = found
+                held += size
+                while held > KNOWN_LETTERS:
+                    old, gone = known.popitem(last=False)
+                    held -= sum(len(x) for x, _ in old) + sum(map(len, gone))
+            return found
+
+        rows: list[tuple] = []
+
+        def close(group: tuple, reads: dict[str, int], best: tuple[int, str] | None, letters: int) -> None:
+            found = [None] * len(grid) if letters > bound else contigs(reads)  # None: by tables
+            rows.extend((*group, k, c, text, *((best and best[1],) if top else ())) for (k, c), text in zip(grid, found, strict=True))
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            rows.clear()
+            return out
+
+        group, reads, best, letters, types = None, {}, None, 0, []
+        for batch in batches:
+            types = [*(f.type for f in list(batch.schema)[:width]), pa.int32(), pa.int32(), pa.string(), *(pa.string() for _ in beside)]
+            columns = [c.to_pylist() for c in batch.columns]
+            for g, s, n in zip(zip(*columns[:width], strict=True), columns[width], columns[width + 1], strict=True):
+                if g != group:
+                    if group is not None:
+                        close(group, reads, best, letters)
+                    group, reads, best, letters = g, {}, None, 0
+                if s is None:
+                    continue
+                if best is None or n > best[0]:
+                    best = n, s
+                letters += len(s)
+                if letters <= bound:
+                    reads[s] = n
+                else:
+                    reads.clear()
+            while len(rows) > 10_000:
+                yield told()
+        if group is not None:
+            close(group, reads, best, letters)
+        if rows:
+            yield told()
+
+    together = distinct.repartition(*groups).sortWithinPartitions(*groups, "__s")
+    found = materialise(together.mapInArrow(run, schema), "contigs")
+    large = found.where("contig is null")
+    if large.isEmpty():
+        return found.select(*groups, "contig", "k", "min_coverage", *beside)
+    marks = free_names(found, *(f"of_{c}" for c in groups))
+    large = large.select(*(F.col(c).alias(m) for c, m in zip(groups, marks, strict=True)), *beside).distinct()  # a row for each ``bound`` letters at most
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(m)) for c, m in zip(groups, marks, strict=True)))
+    texts = _by_tables(distinct.join(large.select(*marks), same, "left_semi"), groups, ks, coverages, kinds, method, start_anchor, end_anchor, min_length, bound)
+    if top:
+        texts = texts.join(large, same).drop(*marks)
+    columns = [*groups, "contig", "k", "min_coverage", *beside]
+    return found.where("contig is not null").select(*columns).unionByName(texts.select(*columns))
+
+
+def _by_tables(distinct: DataFrame, groups: list[str], ks: list[int], coverages: list[int], kinds: str, method: str, start_anchor: str, end_anchor: str, min_length: int, bound: int) -> DataFrame:
+    """The contigs of large groups, from the distinct reads ``__s`` and their numbers ``__n``: k-mers are counted by Spark."""
+    each = distinct.select(*groups, "__s", "__n", F.explode(F.array(*map(F.lit, ks))).alias("k"))
     starts = F.when(F.length("__s") >= F.col("k"), F.sequence(F.lit(1), F.length("__s") - F.col("k") + 1))
-    n = each.select(*groups, "k", F.explode(F.transform(starts, lambda i: F.substring("__s", i, F.col("k")))).alias("kmer")).groupBy(*groups, "k", "kmer").agg(F.count("*").alias("count"))
+    n = each.select(*groups, "k", "__n", F.explode(F.transform(starts, lambda i: F.substring("__s", i, F.col("k")))).alias("kmer")).groupBy(*groups, "k", "kmer").agg(F.sum("__n").alias("count"))
     cuts = F.explode(F.filter(F.array(*map(F.lit, coverages)), lambda c: c <= F.col("count")))
     edges = n.select(*groups, "k", F.expr("substr(kmer, 1, k - 1)").alias("src"), F.expr("substr(kmer, 2)").alias("dst"), "count", cuts.alias("min_coverage"))
     keys = [*groups, "k", "min_coverage"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*groups).schema) + ", k int, min_coverage int, contig string"
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(pdf["k"].iloc[0])
         graph: dict[str, list[tuple[str, int]]] = defaultdict(list)
         for a, b, n in sorted(zip(pdf["src"], pdf["dst"], pdf["count"], strict=True)):
             graph[a].append((b, int(n)))
-        if method == "shortest_path":
-            nodes = set(graph) | {b for outs in graph.values() for b, _ in outs}
-            first = next((n for n in sorted(nodes) if n.startswith(start_anchor[: k - 1])), "")
-            last = next((n for n in sorted(nodes) if n.endswith(end_anchor[-(k - 1) :])), "")
-            contig = _path(graph, first, last) if first and last else ""
-        else:
-            contig = _unitig(graph)
+        contig = _contig(graph, int(pdf["k"].iloc[0]), method, start_anchor, end_anchor)
         return pdf[keys].head(1).assign(contig=contig if len(contig) >= min_length else "")
 
+    schema = kinds + ", k int, min_coverage int, contig string"
     large = None
     if method != "shortest_path":
         edges = materialise(edges, "edges")
         n, g, *marks = free_names(edges, "n", "g", *(f"of_{c}" for c in keys))
-        large = edges.groupBy(*keys).agg(F.count("*").alias(n)).where(F.col(n) > (TASK_EDGES if task_edges is None else task_edges))
-        large = materialise(large.select(*(F.col(c).alias(m) for c, m in zip(keys, marks, strict=True)), F.monotonically_increasing_id().alias(g)), "large-graphs")  # a row for each TASK_EDGES edges at most
+        large = edges.groupBy(*keys).agg(F.count("*").alias(n)).where(F.col(n) > bound)
+        large = materialise(large.select(*(F.col(c).alias(m) for c, m in zip(keys, marks, strict=True)), F.monotonically_increasing_id().alias(g)), "large-graphs")  # a row for each ``bound`` edges at most
     if large is None or large.isEmpty():
         found = edges.groupBy(*keys).applyInPandas(walk, schema)
     else:
@@ -156,8 +263,8 @@ def _assembled(df: DataFrame, groups: list[str], ks: list[int], coverages: list[
         texts = large.join(texts, g).select(*(F.col(m).alias(c) for c, m in zip(keys, marks, strict=True)), long_enough.alias("contig"))
         found = edges.join(large, same, "left_anti").groupBy(*keys).applyInPandas(walk, schema).unionByName(texts)
     grid = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(c).alias("min_coverage")) for k in ks for c in coverages)))
-    (cell,) = free_names(df, "cell")
-    every = df.select(*groups).distinct().select(*groups, grid.alias(cell)).select(*groups, f"{cell}.k", f"{cell}.min_coverage")
+    (cell,) = free_names(distinct, "cell")
+    every = distinct.select(*groups).distinct().select(*groups, grid.alias(cell)).select(*groups, f"{cell}.k", f"{cell}.min_coverage")
     marks = free_names(every, *(f"of_{c}" for c in keys))
     found = found.withColumnsRenamed(dict(zip(keys, marks, strict=True)))
     same = reduce(and_, (F.col(c).eqNullSafe(F.col(m)) for c, m in zip(keys, marks, strict=True)))

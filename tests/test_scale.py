@@ -199,3 +199,27 @@ def test_unitig_of_a_long_molecule(spark):
     df = spark.createDataFrame([("m", text[i : i + 600]) for i in range(0, 12_000, 400)], "umi string, r2_seq string")
     got = kmers.assemble_umis(df, ["umi"], k=31, min_coverage=1, method="compression", task_edges=1000)
     assert got.first().contig == text
+
+
+def test_groups_of_many_reads_are_assembled_by_tables(spark):
+    """Groups above the bound, below it and a mix of both give the same contigs and the same most frequent read, null groups and null reads included."""
+    rng = random.Random(8)
+    text = "".join(rng.choices("ACGT", k=60))
+    rows = [("a", text), ("a", text), ("a", text[:40] + "T" + text[41:]), (None, text[5:]), (None, text[5:]), ("n", None), ("s", "AC"), ("b", text[:20]), ("b", text[:18])]
+    rows += [("many", text[i : i + 30]) for i in range(31)]
+    df = spark.createDataFrame(rows, "g string, r2_seq string")
+    for method in ("shortest_path", "compression"):
+        def told(bound, method=method):
+            return {(r.g, r.contig, r.raw) for r in kmers.assemble_umis(df, ["g"], k=9, min_coverage=1, method=method, start_anchor=text[:9], end_anchor=text[-9:], task_edges=bound, top="raw").collect()}
+
+        few = told(1 << 30)
+        assert len(few) == 6 and told(0) == few and told(100) == few
+        assert ("n", "", None) in few and ("s", "", "AC") in few and {r for g, _, r in few if g == "a"} == {text}
+        assert ("b", "" if method == "shortest_path" else text[:20], min(text[:18], text[:20])) in few
+
+
+def test_kmers_of_small_groups_are_no_rows(spark):
+    """The reads of a group are shuffled, not their k-mers."""
+    df = spark.createDataFrame([(str(i % 5), "ACGTTGCATTGGATCCTTAA") for i in range(50)], "g string, r2_seq string")
+    plan = kmers.assembly_sweep(df, ["g"], [5, 7], [1])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
