@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialise
+from ..sources.shared import bound_batches, materialise
 from .intervals import free_names
 from .unitigs import longest_unitigs
 
@@ -148,6 +148,7 @@ def _assembled(df: DataFrame, groups: list[str], ks: list[int], coverages: list[
     assembled once a worker.  Of a group with more than ``task_edges`` letters in distinct reads the k-mers are counted by tables; a graph of more
     edges is compressed by tables too, with the same text; its shortest path is one task's work at any size.
     """
+    bound_batches(df.sparkSession)
     bound = TASK_EDGES if task_edges is None else task_edges
     s = F.col(seq)
     if start_anchor:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialise
+from ..sources.shared import bound_batches, materialise
 
 
 def _fold(sets: Column) -> Column:
@@ -37,13 +38,13 @@ def _climb(level: DataFrame, edges: DataFrame, keys: list[str], values: list[str
     waiting = edges.groupBy(*own_tree, "parent").agg(F.count("*").alias("children"))
     pending = total = None
     while True:
-        up = level.join(edges.withColumnRenamed("child", "node"), [*own_tree, "node"]).select(*keys, "parent", F.struct("node", *values).alias("c"))
+        up = level.join(edges.withColumnRenamed("child", "node").hint("merge"), [*own_tree, "node"]).select(*keys, "parent", F.struct("node", *values).alias("c"))
         pending = up if pending is None else pending.unionByName(up)
-        groups = pending.groupBy(*keys, "parent").agg(F.array_sort(F.collect_list("c")).alias("cs"), F.count("*").alias("k")).join(waiting, [*own_tree, "parent"])  # children of one node
+        groups = pending.groupBy(*keys, "parent").agg(F.array_sort(F.collect_list("c")).alias("cs"), F.count("*").alias("k")).join(waiting.hint("merge"), [*own_tree, "parent"])  # children of one node
         level = materialise(fold(groups.where("k = children").select(*keys, F.col("parent").alias("node"), "cs")), "fitch")
         if level.isEmpty():
             return total
-        pending = materialise(pending.join(level.select(*keys, F.col("node").alias("parent")), [*keys, "parent"], "left_anti"), "fitch")
+        pending = materialise(pending.join(level.select(*keys, F.col("node").alias("parent")).hint("merge"), [*keys, "parent"], "left_anti"), "fitch")
         roots = level.join(edges.select(*own_tree, F.col("child").alias("node")).distinct(), [*own_tree, "node"], "left_anti")
         total = roots if total is None else total.unionByName(roots)
 
@@ -55,13 +56,107 @@ def _leaves(edges: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.join(leaves, own_tree) if own_tree else cells.crossJoin(leaves)
 
 
-def parsimony_score(edges: DataFrame, states: DataFrame, keys: tuple[str, ...] = ("tree_id", "site")) -> DataFrame:
-    """Fitch score of each (tree, character): the number of unions from the leaves up.
-
-    Levels go up one at a time for all trees and characters together; a state below 0 is missing.
+#: Edges of a tree, and states of a character in it, that a task folds by itself; larger trees go up level by level as tables.
+TREE_EDGES = 100_000
+#: Bytes of drawn hashes that a worker remembers, and of state sets that it holds at once.
+HASH_BYTES, SET_BYTES = 64 << 20, 32 << 20
+
+
+def _order(edges: list[dict]) -> tuple[list[tuple], set]:
+    """(node, its children by name) from the leaves up, as far as all children of a node are done, and the leaves."""
+    below, above = defaultdict(list), defaultdict(list)
+    for e in edges:
+        up = above[e["child"]]
+        if e["parent"] is not None:
+            below[e["parent"]].append(e["child"])
+            up.append(e["parent"])
+    left = {node: len(children) for node, children in below.items()}
+    leaves = {node for node in above if node is not None and node not in below}
+    ready, out = list(leaves), []
+    while ready:
+        for parent in above.get(ready.pop(), ()):
+            left[parent] -= 1
+            if not left[parent]:
+                out.append((parent, sorted(below[parent])))
+                ready.append(parent)
+    return [(node, children, node not in above) for node, children in out], leaves
+
+
+def _split(edges: DataFrame, states: DataFrame, keys: list[str], bound: int) -> tuple[DataFrame, DataFrame | None]:
+    """A row a key of the trees within ``bound``: keys, ``leaves`` (leaf, state) and ``edges`` (parent, child); and the keys of the larger trees, if any."""
+    bound_batches(edges.sparkSession)
+    own_tree = [k for k in keys if k in edges.columns]
+    sizes = edges.groupBy(*own_tree).agg(F.count("*").alias("n"))
+    marked = states.groupBy(*keys).agg(F.count("*").alias("n")).groupBy(*own_tree).agg(F.max("n").alias("n"))
+    large = materialise(sizes.unionByName(marked).groupBy(*own_tree).agg(F.max("n").alias("n")).where(F.col("n") > bound).select(*own_tree, "n"), "large-trees")  # a row for each ``bound`` edges or states at most
+    if large.isEmpty():
+        large = None
+    elif not own_tree:
+        return None, states.select(*keys).distinct()
+    else:
+        large = large.select(*own_tree)
+        states, edges = (df.join(large, own_tree, "left_anti") for df in (states, edges))
+    shapes = edges.groupBy(*own_tree).agg(F.collect_list(F.struct("parent", "child")).alias("edges"))  # ``bound`` at most
+    leaves = states.groupBy(*keys).agg(F.collect_list(F.struct("leaf", "state")).alias("leaves"))
+    # a file's size says little of the arrays made of it, so neither side is sent through the driver
+    return (leaves.join(shapes.hint("merge"), own_tree) if own_tree else leaves.crossJoin(shapes)).select(*keys, "leaves", "edges"), large
+
+
+def _of(df: DataFrame, large: DataFrame) -> DataFrame:
+    """The rows of the large trees."""
+    on = [k for k in large.columns if k in df.columns]
+    return df.join(large, on, "left_semi") if on else df
+
+
+def parsimony_score(edges: DataFrame, states: DataFrame, keys: tuple[str, ...] = ("tree_id", "site"), tree_edges: int | None = None) -> DataFrame:
+    """Fitch score of each (tree, character): the number of unions from the leaves up; a state below 0 is missing.
+
+    A tree is folded where its edges and the states of a character meet; of trees with more than ``tree_edges`` edges or states a character levels
+    go up one at a time, all together.
     ``edges``: parent, child, of one tree for all keys, or with key columns (``tree_id``), of a tree each; ``states``: keys, leaf, state.
     """
     keys = [*keys]
+    small, large = _split(edges, states, keys, TREE_EDGES if tree_edges is None else tree_edges)
+    found = None
+    if small is not None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows, scores, last, shape = [], [], None, None
+                for i, (leaves, tree) in enumerate(zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist(), strict=True)):
+                    if tree != last:
+                        last, shape = tree, _order(tree)
+                    order, tips = shape
+                    bit: dict = {}
+                    sets, n = {}, {}
+                    for x in leaves:
+                        sets[x["leaf"]] = 1 << bit.setdefault(x["state"], len(bit)) if x["state"] is not None and x["state"] >= 0 else 0
+                    sets = {tip: sets.get(tip, 0) for tip in tips}
+                    score, ended = 0, False
+                    for node, children, root in order:
+                        at = unions = 0
+                        for c in children:
+                            unions += n.get(c, 0)
+                            if s := sets[c]:
+                                both = at & s
+                                unions += bool(at) and not both
+                                at = both or at | s
+                        sets[node], n[node] = at, unions
+                        if root:
+                            score, ended = score + unions, True
+                    if ended:
+                        rows.append(i)
+                        scores.append(score)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(rows, pa.int64())) for k in range(len(keys))), pa.array(scores, pa.int64())], names=[*keys, "score"])
+
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in small.select(*keys).schema)
+        found = small.mapInArrow(run, f"{kinds}, score long")
+        if large is None:
+            return found
+    rest = _score_by_levels(_of(edges, large), _of(states, large), keys)
+    return rest if found is None else found.unionByName(rest)
+
+
+def _score_by_levels(edges: DataFrame, states: DataFrame, keys: list[str]) -> DataFrame:
     own = F.when(F.col("state") >= 0, F.array(F.col("state").cast("int"))).otherwise(F.array().cast("array<int>"))
     done = _leaves(edges, states.select(*keys).distinct(), keys).join(states.select(*keys, F.col("leaf").alias("node"), own.alias("s")), [*keys, "node"], "left").select(
         *keys, "node", F.coalesce("s", F.array().cast("array<int>")).alias("s"), F.lit(0).cast("long").alias("n"))
@@ -101,10 +196,102 @@ def _permuted(n: int, at_once: int, seed: int, words: int) -> Callable[[pd.DataF
     return run
 
 
-def parsimony_null(edges: DataFrame, states: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
+def parsimony_null(edges: DataFrame, states: DataFrame, n: int = 1000, seed: int = 0, tree_edges: int | None = None) -> DataFrame:
     """Observed score of each (tree, character) against ``n`` permutations of its leaf states: mean, sd, z and p = (1 + as low) / (n + 1).
 
-    A node is one row: its state sets of all permutations are one array of bit masks, folded by AND and OR, with an array of their scores.
+    A tree and a character are one row, folded in its task for all permutations at once, as vectors of bit masks; nothing but the outcome leaves it.
+    Trees with more than ``tree_edges`` edges or states a character go up level by level.
+    """
+    keys = ["tree_id", "site"]
+    small, large = _split(edges, states, keys, TREE_EDGES if tree_edges is None else tree_edges)
+    found = None
+    if small is not None:
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in small.select(*keys).schema)
+        found = small.mapInArrow(_null_of(n, seed), f"{kinds}, observed long, null_mean double, null_sd double, p double")
+    if large is not None:
+        rest = _null_by_levels(_of(edges, large), _of(states, large), n, seed)
+        found = rest if found is None else found.unionByName(rest)
+    return found.withColumn("z", F.when(F.col("null_sd") > 0, (F.col("observed") - F.col("null_mean")) / F.col("null_sd")))
+
+
+def _null_of(n: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows of ``tree_id, site, leaves, edges`` the observed score and the mean, deviation and p of the permutations."""
+    hashes: dict[str, np.ndarray] = {}
+
+    def drawn(name: str, perms: range) -> np.ndarray:
+        """The hashes of a leaf in the permutations."""
+        if name in hashes and len(perms) == n + 1:
+            return hashes[name]
+        h = np.frombuffer(b"".join(hashlib.md5(f"{seed}:{p}{name}".encode()).digest() for p in perms), ">u8").reshape(-1, 2).astype(np.uint64)
+        if len(perms) == n + 1 and (len(hashes) + 1) * h.nbytes <= HASH_BYTES:
+            hashes[name] = h
+        return h
+
+    def scores(leaves: list[dict], shape: tuple[list[tuple], set]) -> np.ndarray | None:
+        order, tips = shape
+        if not any(root for _, _, root in order):
+            return None
+        leaves = sorted(leaves, key=lambda x: (x["leaf"] is not None, x["leaf"]) if x["leaf"] is not None else (False,))
+        states = np.array([-1 if x["state"] is None else x["state"] for x in leaves], np.int64)
+        known, number = np.unique(states[states >= 0], return_inverse=True)
+        words = max(1, -(-len(known) // 64))
+        bits = np.zeros((len(states), words), np.uint64)
+        bits[np.flatnonzero(states >= 0), number // 64] = np.uint64(1) << (number % 64).astype(np.uint64)
+        names = ["" if x["leaf"] is None else f":{x['leaf']}" for x in leaves]
+        at_once = max(1, min(n + 1, SET_BYTES // (24 * words * max(1, len(leaves)))))
+        out = []
+        for first in range(0, n + 1, at_once):
+            perms = range(first, min(n + 1, first + at_once))
+            h = np.stack([drawn(x, perms) for x in names], 1)  # permutation, leaf, half
+            take = np.argsort(h[:, :, 0], axis=1, kind="stable")
+            halves = np.take_along_axis(h[:, :, 0], take, 1)
+            for p in np.flatnonzero((halves[:, 1:] == halves[:, :-1]).any(axis=1)):
+                take[p] = np.lexsort((h[p, :, 1], h[p, :, 0]))
+            if not first:
+                take[0] = np.arange(len(leaves))  # the observed states
+            none = np.zeros((len(perms), words), np.uint64)
+            sets = {x["leaf"]: bits[take[:, i]] for i, x in enumerate(leaves)}
+            sets = {tip: sets.get(tip, none) for tip in tips}
+            total, below = np.zeros(len(perms), np.int64), {}
+            for node, children, root in order:
+                s, score = none, np.zeros(len(perms), np.int64)
+                for c in children:
+                    other = sets[c]
+                    if c in below:
+                        score += below[c]
+                    both = s & other
+                    apart = ~both.any(axis=1)  # one side is missing, or nothing in common
+                    score += apart & s.any(axis=1) & other.any(axis=1)
+                    s = np.where(apart[:, None], s | other, both)
+                sets[node], below[node] = s, score
+                if root:
+                    total += score
+            out.append(total)
+        return np.concatenate(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, told, last, shape = [], [], None, None
+            for i in range(batch.num_rows):
+                tree = batch.column(3)[i].as_py()
+                if tree != last:
+                    last, shape = tree, _order(tree)
+                score = scores(batch.column(2)[i].as_py(), shape)
+                if score is not None:
+                    null = score[1:]
+                    rows.append(i)
+                    told.append((int(score[0]), float(null.mean()) if n else None, float(null.std(ddof=1)) if n > 1 else None, (1 + int((null <= score[0]).sum())) / (n + 1)))
+            columns = list(zip(*told, strict=True)) or [()] * 4
+            rows = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[1:])],
+                                             names=["tree_id", "site", "observed", "null_mean", "null_sd", "p"])
+
+    return run
+
+
+def _null_by_levels(edges: DataFrame, states: DataFrame, n: int, seed: int) -> DataFrame:
+    """The same of large trees.  A node is one row: its state sets of all permutations are one array of bit masks, folded by AND and OR, with an array of their scores.
+
     Trees with so many leaves that these arrays take more than PERMUTED_BYTES have a row for each part of the permutations.
     """
     keys = ["tree_id", "site", "part"]
@@ -157,8 +344,7 @@ def parsimony_null(edges: DataFrame, states: DataFrame, n: int = 1000, seed: int
     null = scores.groupBy("tree_id", "site").agg(F.max(F.when(F.col("perm") == 0, F.col("score"))).alias("observed"), F.avg(of).alias("null_mean"), F.stddev_samp(of).alias("null_sd"),
                                                  F.collect_list(of).alias("drawn"))  # n numbers
     low = F.size(F.filter("drawn", lambda x: x <= F.col("observed")))
-    out = null.select("tree_id", "site", "observed", "null_mean", "null_sd", ((1 + low) / (F.size("drawn") + 1)).alias("p"))
-    return out.withColumn("z", F.when(F.col("null_sd") > 0, (F.col("observed") - F.col("null_mean")) / F.col("null_sd")))
+    return null.select("tree_id", "site", "observed", "null_mean", "null_sd", ((1 + low) / (F.size("drawn") + 1)).alias("p"))
 
 
 def tree_qc_summary(stats: DataFrame, states: DataFrame) -> DataFrame:

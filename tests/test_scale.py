@@ -223,3 +223,27 @@ def test_kmers_of_small_groups_are_no_rows(spark):
     df = spark.createDataFrame([(str(i % 5), "ACGTTGCATTGGATCCTTAA") for i in range(50)], "g string, r2_seq string")
     plan = kmers.assembly_sweep(df, ["g"], [5, 7], [1])._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+def test_trees_in_a_task_and_by_levels(spark):
+    """Scores and permutations of trees folded whole are those of trees that go up level by level, null states, foreign leaves and several roots included."""
+    from molspark.operators import trees
+
+    rng = random.Random(9)
+    edges, states = [], []
+    for t in range(4):
+        for i in range(2, 20 + t):
+            edges.append((f"t{t}", f"n{i // 2}", f"n{i}"))
+        edges += [(f"t{t}", "m1", "m2"), (f"t{t}", "m1", "m3"), (f"t{t}", "m1", "m4")]
+        parents = {p for _, p, _ in edges[-30:]}
+        leaves = [c for x, _, c in edges if x == f"t{t}" and c not in parents]
+        states += [(f"t{t}", s, leaf, rng.choice([None, -1, 0, 1, 2, 70])) for s in "ab" for leaf in [*leaves, "foreign"] if rng.random() < 0.9]
+    e = spark.createDataFrame(edges, "tree_id string, parent string, child string")
+    s = spark.createDataFrame(states, "tree_id string, site string, leaf string, state int")
+    key = lambda rows: {(r.tree_id, r.site): tuple(round(x, 9) if isinstance(x, float) else x for x in r[2:]) for r in rows}
+    scores = key(trees.parsimony_score(e, s).collect())
+    assert len(scores) == 8 and key(trees.parsimony_score(e, s, tree_edges=0).collect()) == scores == key(trees.parsimony_score(e, s, tree_edges=22).collect())
+    null = key(trees.parsimony_null(e, s, 20).collect())
+    assert {k: v[0] for k, v in null.items()} == {k: v[0] for k, v in scores.items()}
+    by_levels = {(r.tree_id, r.site): r for r in trees.parsimony_null(e, s, 20, tree_edges=0).collect()}
+    assert {k: tuple(round(by_levels[k][c], 9) if isinstance(by_levels[k][c], float) else by_levels[k][c] for c in ("observed", "null_mean", "null_sd", "p", "z")) for k in null} == null
