@@ -54,7 +54,8 @@ def quality_background_quantile(df: DataFrame, qual_col: str, q: float = 0.5, fi
     if first is not None:
         df = df.orderBy(order).limit(first)
     each = df.select(F.posexplode(F.split(qual_col, "")).alias("pos", "c")).where("c != ''")
-    return each.groupBy("pos").agg(F.percentile(F.ascii("c") - 33, F.lit(q)).alias("q"))
+    n = each.groupBy("pos", (F.ascii("c") - 33).alias("v")).agg(F.count("*").alias("n"))  # summed in the task: a row for each position and value
+    return n.groupBy("pos").agg(F.percentile("v", F.lit(q), F.col("n")).alias("q"))
 
 
 def quality_span_gate(df: DataFrame, bg: DataFrame, pattern: str, whitelist: DataFrame | None = None, spacer_gate: float = 0.005, ibar_gate: float = 0.009,
