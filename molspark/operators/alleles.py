@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+from itertools import zip_longest
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,44 +123,50 @@ def lineage_vector(df: DataFrame, intervals: list[tuple[str, int, int]], anchor:
     """
     at = approx_place(F.col("aligned_seq"), anchor, anchor_errors)
     out = df.withColumns({"__at": at, "__end": approx_place(F.col("aligned_seq"), anchor_end, anchor_errors) > 0}).withColumn("__cut", F.greatest("__at", F.lit(1)))
-    pairs = F.arrays_zip(F.split(F.expr("upper(substr(aligned_ref, __cut))"), "").alias("a"), F.split(F.expr("upper(substr(aligned_seq, __cut))"), "").alias("b"))
-    start = F.struct(F.array().cast("array<struct<p:int,k:string,c:string>>").alias("out"), F.lit(-1).alias("r"))
-
-    def event(p: Column, k: Column, c: Column) -> Column:
-        return F.array(F.struct(p.alias("p"), k.alias("k"), c.alias("c")))
-
-    events = F.aggregate(pairs, start, lambda acc, p: F.when(F.coalesce(p["a"], F.lit("")) == "", acc).when(
-        p["a"] == "-", F.struct(F.concat(acc["out"], event(F.greatest(acc["r"], F.lit(0)), F.lit("i"), p["b"])).alias("out"), acc["r"].alias("r"))).otherwise(
-        F.struct(F.concat(acc["out"], event(acc["r"] + 1, F.when(p["b"] == p["a"], F.lit("=")).when(p["b"] == "-", F.lit("d")).otherwise(F.lit("m")), F.when(p["b"] == "-", p["a"]).otherwise(p["b"]))).alias("out"),
-                 (acc["r"] + 1).alias("r"))), lambda acc: acc["out"])
-    out = out.withColumn("__ev", events)
-    first, last = min(a for _, a, _ in intervals), max(b for _, _, b in intervals)
-    inside = F.filter("__ev", lambda e: e["p"].between(first, last))
-    runs = F.array_join(F.transform(inside, lambda e: F.when(e["k"] == "i", e["c"]).when(e["k"] == "d", F.lower(e["c"])).otherwise(".")), "")
-    out = out.withColumn("__poly", runs.rlike("A{8}|G{8}|a{8}|g{8}"))
-    n_ref = F.size(F.filter("__ev", lambda e: e["k"] != "i"))
-
-    def unread(i: int, first: int, last: int) -> Column:
-        nxt = intervals[i + 1][1] if i + 1 < len(intervals) else 1 << 30
-        if read_end == "read1":
-            return F.lit(nxt > read_length)
-        return F.lit(first) <= n_ref - read_length if read_end == "read2" else F.lit(False)
-
-    def code(i: int, first: int, last: int) -> Column:
-        def n(kind: str) -> Column:
-            return F.size(F.filter("__ev", lambda e: (e["p"] >= first) & (e["p"] <= last) & (e["k"] == kind)))
-
-        def text(kind: str) -> Column:
-            return F.when(n(kind) > 0, n(kind).cast("string")).otherwise("")
-
-        whole = (F.when(unread(i, first, last) | (n("m") > max_mismatch), ".NA.").when(n("d") == last - first + 1, "..exx")
-                 .otherwise(F.concat_ws(".", text("m"), text("i"), text("d"))))
+    args = (tuple((a, b) for _, a, b in intervals), max_mismatch, read_end, read_length)
+
+    @F.pandas_udf("string")
+    def told(ref: pd.Series, seq: pd.Series, end: pd.Series) -> pd.Series:
+        return pd.Series([_interval_codes(r, s, e is not None and not pd.isna(e) and not e, *args) for r, s, e in zip(ref, seq, end, strict=True)], index=ref.index, dtype=object)
+
+    codes = told(F.expr("upper(substr(aligned_ref, __cut))"), F.expr("upper(substr(aligned_seq, __cut))"), F.col("__end"))
+    barcode = F.when((F.col("__at") == 0) & ~F.col("__end"), "trash-unmatched").otherwise(codes)
+    return out.withColumn("barcode", barcode).drop("__at", "__end", "__cut")
+
+
+_POLY = re.compile("A{8}|G{8}|a{8}|g{8}")
+
+
+@lru_cache(maxsize=1 << 15)
+def _interval_codes(ref: str | None, seq: str | None, no_end: bool, intervals: tuple[tuple[int, int], ...], max_mismatch: int, read_end: str, read_length: int) -> str:
+    """The codes of one pair that is cut to its anchor, or ``trash-gen``; those of a worker's last pairs are remembered."""
+    first, last = min(a for a, _ in intervals), max(b for _, b in intervals)
+    counts = [{"m": 0, "i": 0, "d": 0} for _ in intervals]
+    at, runs = -1, []
+    for a, b in zip_longest(ref, seq[: len(ref)]) if ref is not None and seq is not None else ():
+        if a == "-":
+            place, kind, letter = max(at, 0), "i", b or ""
+        else:
+            at += 1
+            place = at
+            kind, letter = ("=", ".") if a == b else ("d", a.lower()) if b == "-" else ("m", ".")
+        if first <= place <= last:
+            runs.append(letter)
+            if kind != "=":
+                for n, (x, y) in zip(counts, intervals, strict=True):
+                    if x <= place <= y:
+                        n[kind] += 1
+    if _POLY.search("".join(runs)):
+        return "trash-gen"
+    n_ref = at + 1 if ref is not None and seq is not None else None
+    out = []
+    for i, (n, (x, y)) in enumerate(zip(counts, intervals, strict=True)):
+        nxt = intervals[i + 1][0] if i + 1 < len(intervals) else 1 << 30
+        unread = nxt > read_length if read_end == "read1" else read_end == "read2" and n_ref is not None and x <= n_ref - read_length
+        whole = ".NA." if unread or n["m"] > max_mismatch else "..exx" if n["d"] == y - x + 1 else ".".join(str(n[k] or "") for k in "mid")
         lost = whole == "..exx" if i + 1 < len(intervals) else whole != ".."
-        return F.when(~F.col("__end") & lost, ".NA.").otherwise(whole)
-
-    codes = F.array_join(F.array(*(code(i, a, b) for i, (_, a, b) in enumerate(intervals))), "|")
-    barcode = F.when((F.col("__at") == 0) & ~F.col("__end"), "trash-unmatched").when(F.col("__poly"), "trash-gen").otherwise(codes)
-    return out.withColumn("barcode", barcode).drop("__at", "__end", "__cut", "__ev", "__poly")
+        out.append(".NA." if no_end and lost else whole)
+    return "|".join(out)
 
 
 def cs_alleles(df: DataFrame, loci: DataFrame, window: int = 60) -> DataFrame:
