@@ -90,10 +90,12 @@ def _edit_pieces(col: str, parts: int) -> Column:
 def barcode_merge(counts: DataFrame, errors: int = 1, mode: str = "dist", col: str = "umi", by: str = "reads") -> DataFrame:
     """``old, new``: each barcode's best-ranked better one within ``errors`` substitutions or (mode regex) edits; else itself.
 
-    Rank is by count, then barcode, both descending.  Candidates share one of errors + 1 pieces (for edits, a piece of one
+    Rank is by count, then barcode, both descending.  With one substitution see ``_merge_of_one``; else candidates share one of errors + 1 pieces (for edits, a piece of one
     in any place of the other shifted by up to ``errors``), so no pair without a common piece is compared.
     """
     b = counts.select(F.col(col).alias("bc"), F.struct(F.col(by).alias("n"), F.col(col).alias("bc")).alias("rank"))
+    if mode == "dist" and errors == 1:
+        return _merge_of_one(b)
     if mode == "dist":
         left = b.select("bc", "rank", F.explode(pieces("bc", errors + 1)).alias("p"))
         right = left.select(F.col("bc").alias("new"), F.col("rank").alias("new_rank"), "p")
@@ -110,6 +112,17 @@ def barcode_merge(counts: DataFrame, errors: int = 1, mode: str = "dist", col: s
     return b.select(F.col("bc").alias("old")).join(best, "old", "left").select("old", F.coalesce("new", "old").alias("new"))
 
 
+def _merge_of_one(b: DataFrame) -> DataFrame:
+    """``barcode_merge`` within one substitution, in proportion to the barcodes: those that agree but for one place meet under that
+    place and the rest of their letters, as many as the alphabet has letters, and the best of them is the candidate of all."""
+    n = F.length("bc")
+    left = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), F.concat(F.substring("bc", F.lit(1), i - 1), F.substring("bc", i + 1, n)).alias("rest")))
+    meet = b.where(n > 0).select("bc", "rank", F.explode(left).alias("p")).groupBy("p").agg(F.max("rank").alias("best"), F.collect_list("rank").alias("ranks")).where(F.size("ranks") > 1)
+    found = meet.select("best", F.explode("ranks").alias("rank")).where(F.col("best") > F.col("rank"))
+    best = found.groupBy(F.col("rank.bc").alias("old")).agg(F.max("best").alias("best"))
+    return b.select(F.col("bc").alias("old")).join(best, "old", "left").select("old", F.coalesce("best.bc", "old").alias("new"))
+
+
 def merge_roots(merge: DataFrame) -> DataFrame:
     """``old, new`` with chains followed to their end, by pointer jumping; each step is stored."""
     step = materialise(merge, "merge")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from molspark.operators import align, dictionaries, ibars, kmers
+from molspark.operators import align, dictionaries, ibars, kmers, reads, umi
 from molspark.operators.intervals import interval_join
 from molspark.operators.ranks import global_rank
 from molspark.sources import fastq
@@ -247,3 +247,35 @@ def test_trees_in_a_task_and_by_levels(spark):
     assert {k: v[0] for k, v in null.items()} == {k: v[0] for k, v in scores.items()}
     by_levels = {(r.tree_id, r.site): r for r in trees.parsimony_null(e, s, 20, tree_edges=0).collect()}
     assert {k: tuple(round(by_levels[k][c], 9) if isinstance(by_levels[k][c], float) else by_levels[k][c] for c in ("observed", "null_mean", "null_sd", "p", "z")) for k in null} == null
+
+
+def test_neighbours_by_one_letter_meet_in_small_groups(spark):
+    """All barcodes of a dense set find the best one within a substitution, and no pairs of a shared half are made."""
+    import itertools
+
+    rng = random.Random(4)
+    words = ["".join(w) for w in itertools.product("ACGT", repeat=4)] + ["AC", "AG", "N", "", "ACGTA", "ÄCGT"]
+    counts = {w: rng.randrange(1, 6) for w in words}
+    df = spark.createDataFrame(list(counts.items()), "umi string, reads long")
+    merged = umi.barcode_merge(df, 1)
+    want = {w: max((v for v in words if len(v) == len(w) and sum(a != b for a, b in zip(v, w, strict=True)) <= 1), key=lambda v: (counts[v], v.encode())) for w in words}
+    assert {r.old: r.new for r in merged.collect()} == want
+    assert "levenshtein" not in (plan := merged._jdf.queryExecution().optimizedPlan().toString()) and "piece" not in plan
+
+
+def test_quality_background_is_summed_before_the_shuffle(spark):
+    df = spark.createDataFrame([("!5I",), ("I5",), (None,), ("",), ("5",)], "qual string")
+    got = reads.quality_background_quantile(df, "qual", 0.5)
+    assert {(r.pos, r.q) for r in got.collect()} == {(0, 20.0), (1, 20.0), (2, 40.0)}
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Aggregate") == 2 and "percentile(v" in text
+
+
+def test_lineage_vectors_are_coded_in_time_of_their_length(spark):
+    from molspark.operators import alleles
+
+    n = 20_000
+    df = spark.createDataFrame([("ACGT" * n, "ACGT" * n), (None, "ACGT"), ("ACGT", None), ("ACGT", "")], "aligned_ref string, aligned_seq string")
+    got = alleles.lineage_vector(df, [("a", 0, 2), ("b", 3, 3)], "AC", "GT", anchor_errors=0)
+    assert [r.barcode for r in got.collect()] == ["..|..", "..|..", "..|..", "trash-unmatched"]
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
