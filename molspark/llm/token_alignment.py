@@ -21,7 +21,7 @@ from .tokens import ByteEncoder, byte_letters
 #: What stands for a blank in a piece.
 _BLANK = "▁"
 #: Chunks whose alignment a Python worker keeps; it forgets them between blocks once there are more.
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 150_000
 
 
 def _unsigned(a: np.ndarray) -> bytes:
@@ -56,7 +56,7 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
 
-        self.a = ByteEncoder(path_a, plain=True, most_pieces=200_000)
+        self.a = ByteEncoder(path_a, plain=True, most_pieces=100_000)
         letters = {c: bytes([b]) for b, c in enumerate(byte_letters())}
         special = {t.content for t in self.a.tokenizer.get_added_tokens_decoder().values()}
         self.bytes_a = [b""] * self.a.tokenizer.get_vocab_size()
