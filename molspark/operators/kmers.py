@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -305,9 +306,84 @@ def assembly_metrics(contigs: DataFrame) -> DataFrame:
                        F.avg(n).alias("mean_length"), F.median(n).alias("median_length"))
 
 
-def kmer_classify(contigs: DataFrame, refs: DataFrame, k: int = 25) -> DataFrame:
-    """Per integration barcode the reference whose own k-mers most UMIs share: ``intBC, mod, fps``; ties by name."""
-    own = kmer_explode(refs.select("mod", F.col("seq").alias("ref_seq")), "ref_seq", k, max_str_len=1 << 30).select("kmer", "mod")
-    each = kmer_explode(contigs.select("intBC", "sbc", "umi", "contig"), "contig", k, only_unique=False, max_str_len=1 << 30).select("intBC", "sbc", "umi", "kmer")
-    fps = each.join(own, "kmer").groupBy("intBC", "mod", "sbc").agg(F.countDistinct("umi").alias("n")).groupBy("intBC", "mod").agg(F.sum("n").alias("fps"))
+#: k-mers of references that every task gets; with more, all k-mers of the contigs are joined.
+KNOWN_KMERS = 1_000_000
+_FACTOR, _WORD, _SLOTS = 0x9E3779B97F4A7C15, 1 << 64, 20
+
+
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _codes(letters: np.ndarray, k: int, factor: int) -> np.ndarray:
+    """A number for each k consecutive letters, equal for equal ones: a stretch's from those of its two parts."""
+    power, out, done, width = letters.astype(np.uint64) + np.uint64(1), None, 0, 1
+    if len(power) < k:
+        return power[:0]
+    while True:
+        if k & 1:
+            out = power if out is None else out[: len(power) - done] * np.uint64(pow(factor, width, _WORD)) + power[done:]
+            done += width
+        k >>= 1
+        if not k:
+            return out
+        power = power[:-width] * np.uint64(pow(factor, width, _WORD)) + power[width:]
+        width *= 2
+
+
+class _Known:
+    """k-mers with their references, all different, found in many texts at once: by their codes, then letter by letter."""
+
+    def __init__(self, k: int, own: list[tuple[str, str]]):
+        self.k, factor = k, _FACTOR
+        while True:
+            codes = np.array([_codes(_letters(kmer), k, factor)[0] for kmer, _ in own], np.uint64)
+            order = np.argsort(codes)
+            self.codes, self.factor = codes[order], factor
+            if (self.codes[1:] != self.codes[:-1]).all():
+                break
+            factor = factor * _FACTOR % _WORD
+        self.letters = np.array([_letters(own[i][0]).astype(np.uint32) for i in order])
+        self.mods = pa.array([own[i][1] for i in order], pa.string()).dictionary_encode("encode")
+        self.number = self.mods.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.slots = np.zeros(1 << _SLOTS, bool)
+        self.slots[self.codes >> np.uint64(64 - _SLOTS)] = True
+
+    def mods_of(self, texts: list[str]) -> pa.ListArray:
+        """For each text the references of which it holds a k-mer."""
+        letters, ends = _letters("".join(texts)), np.cumsum([len(x) for x in texts])
+        codes = _codes(letters, self.k, self.factor)
+        at = np.flatnonzero(self.slots[codes >> np.uint64(64 - _SLOTS)])
+        place = np.minimum(np.searchsorted(self.codes, codes[at]), len(self.codes) - 1)
+        row = np.searchsorted(ends, at, "right")
+        same = (self.codes[place] == codes[at]) & (at + self.k <= ends[row])
+        at, place, row = at[same], place[same], row[same]
+        same = (letters[at[:, None] + np.arange(self.k)] == self.letters[place]).all(axis=1)
+        held = np.unique(row[same] * len(self.mods.dictionary) + self.number[place[same]])
+        offsets = np.searchsorted(held, np.arange(len(texts) + 1) * len(self.mods.dictionary))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), self.mods.dictionary.take(pa.array(held % len(self.mods.dictionary))))
+
+
+def kmer_classify(contigs: DataFrame, refs: DataFrame, k: int = 25, known_kmers: int | None = None) -> DataFrame:
+    """Per integration barcode the reference whose own k-mers most UMIs share: ``intBC, mod, fps``; ties by name.
+
+    Up to ``known_kmers`` own k-mers are sent to the tasks, which give a row for each reference that a contig shares one with; more are joined with all k-mers.
+    """
+    known_kmers = KNOWN_KMERS if known_kmers is None else known_kmers
+    own = materialise(kmer_explode(refs.select("mod", F.col("seq").alias("ref_seq")), "ref_seq", k, max_str_len=1 << 30).select("kmer", "mod"), "kmers")
+    listed = own.limit(known_kmers + 1).collect()
+    if 0 < len(listed) <= known_kmers:
+        bound_batches(contigs.sparkSession)
+        known = contigs.sparkSession.sparkContext.broadcast(_Known(k, [(r.kmer, r.mod) for r in listed]))
+
+        @F.arrow_udf("array<string>")
+        def mods(texts: pa.Array) -> pa.Array:
+            coded = texts.fill_null("").dictionary_encode()
+            return known.value.mods_of(coded.dictionary.to_pylist()).take(coded.indices)
+
+        shared = contigs.select("intBC", "sbc", "umi", F.explode(mods("contig")).alias("mod"))
+    else:
+        each = kmer_explode(contigs.select("intBC", "sbc", "umi", "contig"), "contig", k, only_unique=False, max_str_len=1 << 30).select("intBC", "sbc", "umi", "kmer")
+        shared = each.join(own, "kmer")
+    fps = shared.groupBy("intBC", "mod", "sbc").agg(F.countDistinct("umi").alias("n")).groupBy("intBC", "mod").agg(F.sum("n").alias("fps"))
     return fps.groupBy("intBC").agg(F.min(F.struct((-F.col("fps")).alias("m"), F.col("mod"))).alias("b")).select("intBC", "b.mod", (-F.col("b.m")).alias("fps"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from molspark.functions.sequence import fuzzy_pattern
-from molspark.operators import ibars
+from molspark.operators import ibars, kmers
 
 
 def plan_of(df):
@@ -68,3 +68,18 @@ def test_molecules_are_made_once(spark):
     out = ibars.reads_to_molecules(spark.createDataFrame(rows, "cbc string, umi string, seq string"), spark.createDataFrame([("ACGTACGTACGTACGTACGT",)], "spacer string"))
     assert sorted((r.cbc, r.umi, r.umis_allele, r.n_sib) for r in out.collect()) == [("c1", "u0", 3, 2), ("c1", "u1", 3, 2), ("c1", "u2", 3, 2), ("c1", "u9", 1, 2), ("c2", "u1", 1, 1)]
     assert "ArrowEvalPython" not in plan_of(out)
+
+
+@pytest.mark.parametrize("k", [1, 5, 12, 13])
+def test_kmers_of_references_are_found_in_the_task(spark, k):
+    """As by the join of all k-mers, but contigs are not exploded; some letters are outside ASCII, some contigs null or shorter than k."""
+    rng = random.Random(k)
+    refs = [(rng.choice(("m1", "m2", "m3")), "".join(rng.choices("ACGT", k=30)) + rng.choice(("", "é𝔊AC"))) for _ in range(6)] if k > 1 else [("m1", "A"), ("m2", "C𝔊")]
+    contigs = [(f"i{rng.randrange(4)}", rng.choice("st"), f"u{rng.randrange(30)}", rng.choice(("", "G𝔊", "é")) + rng.choice(refs)[1][rng.randrange(20) :] + rng.choice(refs)[1][: rng.randrange(30)]) for _ in range(300)]
+    df = spark.createDataFrame([*contigs, ("i1", "s", "u1", None), ("i1", "s", "u1", ""), (None, "s", "u1", refs[0][1])], "intBC string, sbc string, umi string, contig string")
+    refs = spark.createDataFrame(refs, "mod string, seq string")
+    here, joined = kmers.kmer_classify(df, refs, k), kmers.kmer_classify(df, refs, k, known_kmers=0)
+    rows = sorted(map(tuple, here.collect()), key=str)
+    assert rows and rows == sorted(map(tuple, joined.collect()), key=str)
+    assert "substring" not in plan_of(here) and "substring" in plan_of(joined)
+    assert kmers.kmer_classify(df, refs.limit(0), k).count() == 0
