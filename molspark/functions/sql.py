@@ -14,9 +14,13 @@ DEFINITIONS = (
     ("reverse_complement(seq STRING)", "STRING", f"reverse(translate(seq, '{COMPLEMENT_FROM}', '{COMPLEMENT_TO}'))"),
     ("hamming(a STRING, b STRING)", "INT", """CASE WHEN length(a) = length(b) THEN
        size(filter(zip_with(split(a, ''), split(b, ''), (x, y) -> x <> y), d -> d)) END"""),
-    ("mean_quality(qual STRING)", "DOUBLE", "CASE WHEN qual <> '' THEN aggregate(transform(split(qual, ''), c -> ascii(c) - 33), 0, (s, q) -> s + q) / length(qual) END"),
-    ("gc_share(seq STRING)", "DOUBLE", "CASE WHEN seq <> '' THEN (length(seq) - length(translate(seq, 'GCgc', ''))) / length(seq) END"),
-    ("kmers(seq STRING, k INT)", "ARRAY<STRING>", "CASE WHEN k > 0 AND length(seq) >= k THEN transform(sequence(1, length(seq) - k + 1), i -> substr(seq, i, k)) WHEN seq IS NOT NULL THEN cast(array() AS ARRAY<STRING>) END"),
+    ("mean_quality(qual STRING)", "DOUBLE", "CASE WHEN qual <> '' THEN (aggregate(split(qual, ''), 0, (s, c) -> s + ascii(c)) - 33 * length(qual)) / length(qual) END"),
+    ("gc_share(seq STRING)", "DOUBLE", "CASE WHEN seq <> '' THEN (length(seq) - length(replace(replace(replace(replace(seq, 'G'), 'C'), 'g'), 'c'))) / length(seq) END"),
+    ("kmers(seq STRING, k INT)", "ARRAY<STRING>",  # a place in bytes is found at once, one in letters by going through the text
+     """CASE WHEN k > 0 AND length(seq) >= k THEN
+       CASE WHEN octet_length(seq) = length(seq) THEN transform(array(cast(seq AS BINARY)), b -> transform(sequence(1, octet_length(b) - k + 1), i -> cast(substr(b, i, k) AS STRING)))[0]
+            ELSE regexp_extract_all(seq, concat('(?s)(?=(.{', k, '})).'), 1) END
+     WHEN seq IS NOT NULL THEN cast(array() AS ARRAY<STRING>) END"""),
     ("between_anchors(seq STRING, first STRING, last STRING)", "STRING",
      "CASE WHEN instr(seq, first) > 0 AND locate(last, seq, instr(seq, first) + length(first)) > 0 THEN substr(seq, instr(seq, first) + length(first), locate(last, seq, instr(seq, first) + length(first)) - instr(seq, first) - length(first)) END"),
 )
