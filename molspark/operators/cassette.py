@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from itertools import pairwise
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fuzzy import compiled, each_text
 from ..functions.sequence import extract_or_null, fuzzy_regex, scramble_text
+from ..sources.shared import bound_batches
 from .kmers import assemble_umis
 from .reads import fuzzy_sanitize
 
@@ -76,29 +82,34 @@ def segment_by_metas(df: DataFrame, metas: dict[str, str], start_anchor: str, en
     """
     if wildcard:
         df = fuzzy_sanitize(df, list(metas.values()), [start_anchor, end_anchor], col, wildcard)
-    s = F.col(col)
-    named = F.create_map(*(F.lit(x) for name, seq in metas.items() for x in (seq, name)))
-    found = df.withColumn("__hits", F.regexp_extract_all(s, F.lit("(" + "|".join(metas.values()) + ")"), F.lit(1)))
-    hits = F.col("__hits")
-
-    def cut(a: Column, b: Column) -> Column:
-        """From the first base of ``a`` to the last of ``b``; empty if b ends before."""
-        from_, to = F.position(a, s), F.position(b, s)
-        return F.when(to + F.length(b) > from_, F.substring(s, from_, to + F.length(b) - from_)).otherwise("")
-
-    pairs = F.when(F.size(hits) > 1, F.transform(F.sequence(F.lit(0), F.size(hits) - 2), lambda i: F.struct(
-        named[hits[i]].alias("start_meta"), named[hits[i + 1]].alias("end_meta"), cut(hits[i], hits[i + 1]).alias("segment_seq"))))
-    places = F.filter(F.array(*(F.struct(F.instr(s, seq).alias("p"), F.lit(name).alias("name"), F.lit(seq).alias("seq")) for name, seq in metas.items())), lambda x: x["p"] > 0)
-    a0, b0 = F.instr(s, start_anchor), F.instr(s, end_anchor)
-    first, last = F.array_min(F.filter(places, lambda x: x["p"] > a0)), F.array_max(F.filter(places, lambda x: x["p"] < b0))
-    n_end = len(end_anchor)
-    starts = F.when((a0 > 0) & first.isNotNull(), F.array(F.struct(
-        F.lit(CASSETTE_START).alias("start_meta"), first["name"].alias("end_meta"), F.substring(s, a0, first["p"] - a0 + META_LEN).alias("segment_seq"))))
-    ends = F.when((b0 > 0) & last.isNotNull(), F.array(F.struct(
-        last["name"].alias("start_meta"), F.lit(CASSETTE_END).alias("end_meta"), F.substring(s, last["p"], b0 - last["p"] + n_end).alias("segment_seq"))))
-    none = F.array().cast("array<struct<start_meta:string,end_meta:string,segment_seq:string>>")
-    every = F.concat(*(F.coalesce(x, none) for x in (pairs, starts, ends)))
-    return found.select(*keep, F.inline(every))
+    bound_batches(df.sparkSession)
+
+    @F.arrow_udf(_SEGMENTS)
+    def segments(seqs: pa.Array) -> pa.Array:
+        pattern = compiled("(" + "|".join(metas.values()) + ")")
+        return each_text(seqs, lambda s: _segments(s, pattern, metas, start_anchor, end_anchor), _SEGMENT_TYPE)
+
+    return df.select(*keep, F.inline(segments(F.col(col))))
+
+
+_SEGMENTS = "array<struct<start_meta:string,end_meta:string,segment_seq:string>>"
+_SEGMENT_TYPE = pa.list_(pa.struct([(x, pa.string()) for x in ("start_meta", "end_meta", "segment_seq")]))
+
+
+def _segments(s: str, pattern: re.Pattern, metas: dict[str, str], start_anchor: str, end_anchor: str) -> list[tuple[str | None, str | None, str]]:
+    """The segments of one text; one whose end stands before its start is empty."""
+    named = {seq: name for name, seq in metas.items()}
+    hits = [m[1] for m in pattern.finditer(s)]
+    out = [(named.get(a), named.get(b), s[s.find(a) : s.find(b) + len(b)]) for a, b in pairwise(hits)]
+    places = [(p, name) for name, seq in metas.items() if (p := s.find(seq)) >= 0]
+    a0, b0 = s.find(start_anchor), s.find(end_anchor)
+    if a0 >= 0 and (behind := [x for x in places if x[0] > a0]):
+        p, name = min(behind)
+        out.append((CASSETTE_START, name, s[a0 : p + META_LEN]))
+    if b0 >= 0 and (before := [x for x in places if x[0] < b0]):
+        p, name = max(before)
+        out.append((name, CASSETTE_END, s[p : b0 + len(end_anchor)]))
+    return out
 
 
 def boundary_kmers(metas: dict[str, str], start_anchor: str, end_anchor: str) -> dict[str, str]:

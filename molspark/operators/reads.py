@@ -3,17 +3,33 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.approximate import near_ends, near_starts
+from ..functions.fuzzy import Fuzzy, each_text
 from ..functions.sequence import extract_or_null, fuzzy_regex, half_guard, has_fuzzy, hash_order, low_quality_bases, reverse_complement, reverse_complement_text, sanitize
+from ..sources.shared import bound_batches
 from .intervals import free_names
 
 
 def fuzzy_sanitize(df: DataFrame, features: list[str], anchors: list[str], col: str = "seq", wildcard: str = ".{0,1}") -> DataFrame:
-    """Canonical features, then anchors, in place of their fuzzy hits; features in the given order."""
+    """Canonical features, then anchors, in place of their fuzzy hits; features in the given order.
+
+    With one letter or none for another, distinct texts of an Arrow batch are looked through once, where a half of a feature stands.
+    """
+    if wildcard == ".{0,1}":
+        bound_batches(df.sparkSession)
+
+        @F.arrow_udf("string")
+        def cleaned(seqs: pa.Array) -> pa.Array:
+            known = [(Fuzzy(text), text) for text in (*features, *anchors)]
+            return each_text(seqs, lambda s: reduce(lambda x, f: f[0].replaced(x, f[1]), known, s), pa.string())
+
+        return df.withColumn(col, cleaned(col))
     seq = F.col(col)
     for text in [*features, *anchors]:
         seq = sanitize(seq, text, wildcard)

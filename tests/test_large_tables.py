@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from molspark.functions import sql
 from molspark.functions.sequence import fuzzy_pattern
-from molspark.operators import ibars, kmers
+from molspark.operators import cassette, ibars, kmers, reads
+from molspark.plans.constants import END, METAS, START
 
 
 def plan_of(df):
@@ -83,3 +85,31 @@ def test_kmers_of_references_are_found_in_the_task(spark, k):
     assert rows and rows == sorted(map(tuple, joined.collect()), key=str)
     assert "substring" not in plan_of(here) and "substring" in plan_of(joined)
     assert kmers.kmer_classify(df, refs.limit(0), k).count() == 0
+
+
+def test_cleaning_and_segments_of_damaged_cassettes(spark):
+    """Cleaned as by the flat patterns; segments in one pass of Arrow batches, with no pattern or list function left in the plan."""
+    rng = random.Random(12)
+    parts = [*METAS.values(), START, END]
+    seqs = ["".join(damaged(rng, rng.choice(parts)) + rng.choice(("", "AC", "\n", "é")) for _ in range(rng.randrange(9))) for _ in range(400)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate([*seqs, START + METAS["META02"] + "GG" + METAS["META01"] + "T" + END, None])], "id int, seq string")
+    flat = df
+    for text in parts:
+        flat = flat.withColumn("seq", F.regexp_replace("seq", fuzzy_pattern(text), text))
+    clean = reads.fuzzy_sanitize(df, list(METAS.values()), [START, END])
+    assert sorted(map(tuple, clean.collect())) == sorted(map(tuple, flat.collect()))
+    got = cassette.segment_by_metas(df, METAS, START, END, "seq", ["id"])
+    assert [tuple(r)[1:] for r in got.where(f"id = {len(seqs)}").collect()] == [
+        ("META02", "META01", METAS["META02"] + "GG" + METAS["META01"]), ("_CASSETTE_START_", "META02", START + METAS["META02"]), ("META01", "_CASSETTE_END_", METAS["META01"] + "T" + END)]
+    assert "regexp" not in plan_of(got) and "transform(" not in plan_of(got)
+
+
+def test_sql_kmers_in_linear_time(spark):
+    """A text of 200,000 letters, in ASCII or not, and letters beyond the first plane."""
+    sql.register(spark)
+    texts = ["ACGT" * 50_000, "AC𝔊\nT" * 40_000, "𝔊é", "A"]
+    spark.createDataFrame([(t,) for t in texts], "t string").createOrReplaceTempView("texts")
+    got = {r.t: (r.n, r.some) for r in spark.sql("SELECT t, size(kmers(t, 5)) AS n, array_sort(array_distinct(kmers(t, 5))) AS some FROM texts").collect()}
+    for t in texts:
+        want = [t[i : i + 5] for i in range(len(t) - 4)]
+        assert got[t] == (len(want), sorted(set(want)))
