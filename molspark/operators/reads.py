@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.approximate import near_ends, near_starts
 from ..functions.fuzzy import Fuzzy, each_text
 from ..functions.sequence import extract_or_null, fuzzy_regex, half_guard, has_fuzzy, hash_order, low_quality_bases, reverse_complement, reverse_complement_text, sanitize
-from ..sources.shared import bound_batches
+from ..sources.shared import bound_batches, materialise
 from .intervals import free_names
 
 
@@ -260,9 +260,10 @@ def tag_read_ids(df: DataFrame, umi_len: int) -> DataFrame:
 def ingest_experiments(frames: list[DataFrame], batches: DataFrame, valid_cells: DataFrame | None, min_mols: int) -> DataFrame:
     """Molecules of all experiments with their batch; cells get it as suffix; barcodes need ``min_mols`` molecules.
 
-    Samples and batches must be 1:1; a sample listed twice, or a batch of two samples, is an error.
+    Samples and batches must be 1:1; a sample listed twice, or a batch of two samples, is an error.  Batches, valid cells and frequent barcodes are
+    stored, so Spark knows their sizes and broadcasts small ones: molecules are not shuffled to a task a sample.
     """
-    pairs = batches.select("sample_id", "batch").distinct()
+    pairs = materialise(batches.select("sample_id", "batch").distinct(), "batches")
     if bad := [r[0] for c in ("sample_id", "batch") for r in pairs.groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(c).limit(10).collect()]:
         raise ValueError(f"samples and batches are not 1:1: {bad}")
     batches = pairs
@@ -271,8 +272,8 @@ def ingest_experiments(frames: list[DataFrame], batches: DataFrame, valid_cells:
         allm = allm.unionByName(f)
     allm = allm.join(batches, "sample_id").withColumn("cbc", F.concat_ws("-", "cbc", "batch"))
     if valid_cells is not None:
-        allm = allm.join(valid_cells, "cbc", "left_semi")
-    enough = allm.groupBy("raw_ibar").agg(F.count("*").alias("n")).where(F.col("n") >= min_mols).select("raw_ibar")
+        allm = allm.join(materialise(valid_cells.select("cbc").distinct(), "cells"), "cbc", "left_semi")
+    enough = materialise(allm.groupBy("raw_ibar").agg(F.count("*").alias("n")).where(F.col("n") >= min_mols).select("raw_ibar"), "barcodes")
     return allm.join(enough, "raw_ibar", "left_semi")
 
 
