@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fuzzy import Fuzzy, compiled, each_text
 from ..functions.sequence import fuzzy_regex
+from ..sources.shared import bound_batches, materialise
 
 # Affine gaps and match scores.
 GAP_OPEN, GAP_EXTEND, MATCH, MISMATCH = 20, 1, 5, -4
@@ -160,18 +162,36 @@ def align_alleles(df: DataFrame, groups: list[str], start_anchor: str, end_ancho
     """Align each molecule's sequence, trimmed to its anchors, to its group's reference: given, or the most frequent ``wt`` spacer.
 
     ``fuzzy`` anchors may hold one wrong, or lack one, letter.  A sequence is kept from its first start anchor to the first end anchor behind it; those without both go.
-    Groups with fewer than ``min_group_size`` trimmed reads, or without a reference, are left out.
+    Groups with fewer than ``min_group_size`` trimmed reads, or without a reference, are left out.  Group sizes, references and alignments come from the stored
+    counts of distinct trimmed reads; the reads themselves are read once more, to meet their alignment.
     """
-    s = F.col("seq")
     a, b = (fuzzy_regex(x) if fuzzy else x for x in (start_anchor, end_anchor))
-    cut = df.withColumn("seq", F.regexp_substr(s, F.lit(f"(?:{a}).*?(?:{b})"))).where("seq is not null")
-    n = cut.groupBy(*groups).agg(F.count("*").alias("n")).where(F.col("n") >= min_group_size).drop("n")
-    cut = cut.join(n, groups, "left_semi")
+    bound_batches(df.sparkSession)
+
+    @F.arrow_udf("string")
+    def trimmed(seqs: pa.Array) -> pa.Array:
+        pattern, first = compiled(f"(?:{a}).*?(?:{b})"), Fuzzy(start_anchor)
+
+        def trim(s: str) -> str | None:
+            found = filter(None, (pattern.match(s, at) for at in first.starts(s))) if fuzzy and first.half else pattern.finditer(s)
+            m = next(iter(found), None)
+            return m and m[0]
+
+        return each_text(seqs, trim, pa.string())
+
+    cut = df.withColumn("seq", trimmed("seq")).where("seq is not null")
+    counts = [F.count("*").alias("n"), *([F.count_if("wt").alias("wts")] if refs is None else [])]
+    texts = materialise(cut.groupBy(*groups, "seq").agg(*counts), "texts")
+    n = texts.groupBy(*groups).agg(F.sum("n").alias("n")).where(F.col("n") >= min_group_size).select(*groups)
     if refs is None:
-        wt = cut.where("wt").groupBy(*groups, "seq").agg(F.count("*").alias("n"))
-        refs = wt.groupBy(*groups).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col("seq").alias("r"))).alias("b")).select(*groups, F.col("b.r").alias("ref"))
-    keyed = cut.join(refs, groups)
-    return keyed.join(align_distinct(keyed, local), ["seq", "ref"])
+        wt = texts.where("wts > 0").groupBy(*groups).agg(F.min(F.struct((-F.col("wts")).alias("m"), F.col("seq").alias("r"))).alias("b"))
+        refs = wt.select(*groups, F.col("b.r").alias("ref"))
+    keyed = materialise(texts.select(*groups, "seq").join(n, groups, "left_semi").join(refs, groups), "pairs")
+    aligned = materialise(keyed.join(align_distinct(keyed, local), ["seq", "ref"]), "aligned")
+    # columns as of a join of the reads with their references and then with the alignments
+    rest = [c for c in cut.columns if c not in (*groups, "seq")]
+    given = [c for c in aligned.columns if c not in ("seq", "ref", *groups)]
+    return cut.join(aligned, [*groups, "seq"]).select("seq", "ref", *groups, *rest, *given)
 
 
 def coverage_by_position(alignments: DataFrame, max_range: int, groups: tuple[str, ...] = ()) -> DataFrame:

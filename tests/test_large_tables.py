@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from molspark.functions import sql
 from molspark.functions.sequence import fuzzy_pattern
-from molspark.operators import cassette, ibars, kmers, reads
+from molspark.operators import align, cassette, ibars, kmers, reads
 from molspark.plans.constants import END, METAS, START
 
 
@@ -113,3 +113,21 @@ def test_sql_kmers_in_linear_time(spark):
     for t in texts:
         want = [t[i : i + 5] for i in range(len(t) - 4)]
         assert got[t] == (len(want), sorted(set(want)))
+
+
+def test_alignments_are_made_once(spark):
+    """Reads meet stored alignments in one join; sizes and references are those of all reads, copies included."""
+    rows = [("g", "u1", "AACCGGTTA", True), ("g", "u2", "AACCGGTTA", True), ("g", "u3", "AACGGTTA", False), ("h", "u4", "AACCTTA", True), (None, "u5", "AACCTTA", True), ("k", "u6", "AACTTA", False), ("k", "u7", "AACTTA", None)]
+    df = spark.createDataFrame(rows, "grp string, umi string, seq string, wt boolean")
+    out = align.align_alleles(df, ["grp"], "AAC", "TTA", min_group_size=2, fuzzy=False)
+    assert out.columns == ["seq", "ref", "grp", "umi", "wt", "cigar_str", "aligned_ref", "aligned_seq", "alignment_score"]
+    assert sorted((r.umi, r.ref, r.seq) for r in out.collect()) == [("u1", "AACCGGTTA", "AACCGGTTA"), ("u2", "AACCGGTTA", "AACCGGTTA"), ("u3", "AACCGGTTA", "AACGGTTA")]
+    given = align.align_alleles(df.drop("wt"), ["grp"], "AAC", "TTA", refs=spark.createDataFrame([("k", "AACCTTA", 1), ("k", "AACTTA", 2)], "grp string, ref string, no int"), fuzzy=False)
+    assert sorted((r.umi, r.no, r.ref) for r in given.collect()) == [("u6", 1, "AACCTTA"), ("u6", 2, "AACTTA"), ("u7", 1, "AACCTTA"), ("u7", 2, "AACTTA")]
+    assert "MapInArrow" not in plan_of(out)
+
+
+def test_molecules_of_a_sample_are_not_shuffled_to_one_task(spark):
+    mols = spark.range(4000).selectExpr("'S1' AS sample_id", "concat('c', id % 3) AS cbc", "cast(id AS string) AS umi", "concat('b', id % 2) AS raw_ibar")
+    out = reads.ingest_experiments([mols], spark.createDataFrame([("S1", "1")], "sample_id string, batch string"), spark.createDataFrame([("c0-1",), ("c0-1",)], "cbc string"), 3)
+    assert "Exchange hashpartitioning" not in plan_of(out) and out.count() == 1334
