@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import bound_batches, materialise
+from .contigs import shortest_contigs
 from .intervals import free_names
 from .unitigs import longest_unitigs
 
@@ -21,6 +22,8 @@ from .unitigs import longest_unitigs
 TASK_EDGES = 1_000_000
 #: Letters of reads and contigs that a worker remembers.
 KNOWN_LETTERS = 32 << 20
+#: Letters of reads whose shortest contigs are looked for together; of a group with more the k-mers are counted and walked one by one.
+TOGETHER_LETTERS = 1 << 16
 
 
 def kmer_explode(df: DataFrame, seq: str, k: int = 15, only_unique: bool = True, max_str_len: int = 1 << 30) -> DataFrame:
@@ -139,15 +142,25 @@ def _contigs(reads: dict[str, int], ks: list[int], coverages: list[int], method:
     return out
 
 
+def _best(found: list[str], grid: list[tuple[int, int]], start_anchor: str, end_anchor: str, longest: bool) -> int:
+    """The place of a group's contig that holds both anchors, then of the longest (or longest first), then of the smallest k and coverage."""
+    def rank(i: int) -> tuple:
+        both, n = start_anchor in found[i] and end_anchor in found[i], len(found[i])
+        return (*((n, both) if longest else (both, n)), -grid[i][0], -grid[i][1], found[i])
+
+    return max(range(len(grid)), key=rank)
+
+
 def _assembled(df: DataFrame, groups: list[str], ks: list[int], coverages: list[int], *, seq: str = "r2_seq", method: str = "shortest_path",
-               start_anchor: str = "", end_anchor: str = "", min_length: int = 0, task_edges: int | None = None, top: str | None = None) -> DataFrame:
-    """Groups x k x coverage with a contig each; ``top`` names a column for a group's most frequent read, ties by text.
+               start_anchor: str = "", end_anchor: str = "", min_length: int = 0, task_edges: int | None = None, top: str | None = None,
+               counted: str | None = None, min_reads: int = 1, longest: bool | None = None) -> DataFrame:
+    """Groups x k x coverage with a contig each; ``top`` names a column for a group's most frequent read, ties by text, ``counted`` one for its number of rows.
 
     Reads are cut to [start anchor, end anchor] where they hold them; copies in a group are counted by Spark.  The distinct reads of a group stand
-    together in a sorted partition, so k-mers are counted, those below the coverage dropped and the edges walked where the reads are:
-    ``shortest_path`` from the start to the end anchor's (k-1)-mer, or ``compression``, the longest unitig.  Groups with the same reads are
-    assembled once a worker.  Of a group with more than ``task_edges`` letters in distinct reads the k-mers are counted by tables; a graph of more
-    edges is compressed by tables too, with the same text; its shortest path is one task's work at any size.
+    together in a sorted partition, so groups below ``min_reads`` are left out, k-mers are counted, those below the coverage dropped and the edges walked where the reads are:
+    ``shortest_path`` from the start to the end anchor's (k-1)-mer, for many groups at once, or ``compression``, the longest unitig.  Groups with the same reads are
+    assembled once a worker.  With ``longest`` given the best contig of a group alone is told, see ``_best``.  Of a group with more than ``task_edges`` letters in distinct
+    reads the k-mers are counted by tables; a graph of more edges is compressed by tables too, with the same text; its shortest path is one task's work at any size.
     """
     bound_batches(df.sparkSession)
     bound = TASK_EDGES if task_edges is None else task_edges
@@ -157,51 +170,79 @@ def _assembled(df: DataFrame, groups: list[str], ks: list[int], coverages: list[
     if end_anchor:
         s = F.when(F.instr(s, end_anchor) > 0, F.substring(s, F.lit(1), F.instr(s, end_anchor) + len(end_anchor) - 1)).otherwise(s)
     distinct = df.select(*groups, s.alias("__s")).groupBy(*groups, "__s").agg(F.count("*").alias("__n"))
-    beside = [top] if top else []
+    beside = {c: kind for c, kind in ((top, "string"), (counted, "bigint")) if c}
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*groups).schema)
-    schema = kinds + ", k int, min_coverage int, contig string" + "".join(f", `{c}` string" for c in beside)
+    schema = kinds + ", k int, min_coverage int, contig string" + "".join(f", `{c}` {kind}" for c, kind in beside.items())
     names, width, grid = [*groups, "k", "min_coverage", "contig", *beside], len(groups), [(k, c) for k in ks for c in coverages]
+    at_once = method == "shortest_path" and min(ks, default=0) > 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[tuple, list[str]] = OrderedDict()  # what groups with the same reads give
-        held = 0
+        waiting: dict[tuple, list[tuple]] = {}  # reads of groups that are assembled together, and the groups
+        held = queued = 0
+        rows: list[tuple] = []
+
+        def tell(group: tuple, found: list[str | None], others: tuple) -> None:
+            places = range(len(grid)) if longest is None else [_best(found, grid, start_anchor, end_anchor, longest) if found[0] is not None else 0]
+            rows.extend((*group, *grid[i], found[i], *others) for i in places)
 
-        def contigs(reads: dict[str, int]) -> list[str]:
+        def learn(key: tuple, found: list[str]) -> None:
             nonlocal held
-            key = tuple(reads.items())  # in order of the texts
-            if key in known:
-                known.move_to_end(key)
-                return known[key]
-            found = _contigs(reads, ks, coverages, method, start_anchor, end_anchor, min_length)
-            size = sum(map(len, reads)) + sum(map(len, found))
+            size = sum(len(x) for x, _ in key) + sum(map(len, found))
             if size <= KNOWN_LETTERS // 8:
                 known[key] = found
                 held += size
                 while held > KNOWN_LETTERS:
                     old, gone = known.popitem(last=False)
                     held -= sum(len(x) for x, _ in old) + sum(map(len, gone))
-            return found
-
-        rows: list[tuple] = []
 
-        def close(group: tuple, reads: dict[str, int], best: tuple[int, str] | None, letters: int) -> None:
-            found = [None] * len(grid) if letters > bound else contigs(reads)  # None: by tables
-            rows.extend((*group, k, c, text, *((best and best[1],) if top else ())) for (k, c), text in zip(grid, found, strict=True))
+        def assemble() -> None:
+            nonlocal queued
+            for (key, same), found in zip(waiting.items(), shortest_contigs(list(waiting), ks, coverages, start_anchor, end_anchor), strict=True):
+                found = [x if len(x) >= min_length else "" for x in found]
+                learn(key, found)
+                for group, others in same:
+                    tell(group, found, others)
+            waiting.clear()
+            queued = 0
+
+        def close(group: tuple, reads: dict[str, int], best: tuple[int, str] | None, letters: int, n: int) -> None:
+            nonlocal queued
+            if n < min_reads:
+                return
+            others = (*((best and best[1],) if top else ()), *((n,) if counted else ()))
+            if letters > bound:
+                return tell(group, [None] * len(grid), others)  # by tables
+            key = tuple(reads.items())  # in order of the texts
+            if key in known:
+                known.move_to_end(key)
+            elif key in waiting:
+                return waiting[key].append((group, others))
+            elif at_once and letters <= TOGETHER_LETTERS:
+                waiting[key] = [(group, others)]
+                queued += letters
+                return assemble() if queued >= TOGETHER_LETTERS else None
+            else:
+                found = _contigs(reads, ks, coverages, method, start_anchor, end_anchor, min_length)
+                learn(key, found)
+                return tell(group, found, others)
+            tell(group, known[key], others)
 
         def told() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
             rows.clear()
             return out
 
-        group, reads, best, letters, types = None, {}, None, 0, []
+        group, reads, best, letters, copies, types = None, {}, None, 0, 0, []
         for batch in batches:
-            types = [*(f.type for f in list(batch.schema)[:width]), pa.int32(), pa.int32(), pa.string(), *(pa.string() for _ in beside)]
+            types = [*(f.type for f in list(batch.schema)[:width]), pa.int32(), pa.int32(), pa.string(), *(pa.string() if c == top else pa.int64() for c in beside)]
             columns = [c.to_pylist() for c in batch.columns]
             for g, s, n in zip(zip(*columns[:width], strict=True), columns[width], columns[width + 1], strict=True):
                 if g != group:
                     if group is not None:
-                        close(group, reads, best, letters)
-                    group, reads, best, letters = g, {}, None, 0
+                        close(group, reads, best, letters, copies)
+                    group, reads, best, letters, copies = g, {}, None, 0, 0
+                copies += n
                 if s is None:
                     continue
                 if best is None or n > best[0]:
@@ -214,22 +255,29 @@ def _assembled(df: DataFrame, groups: list[str], ks: list[int], coverages: list[
             while len(rows) > 10_000:
                 yield told()
         if group is not None:
-            close(group, reads, best, letters)
+            close(group, reads, best, letters, copies)
+        if waiting:
+            assemble()
         if rows:
             yield told()
 
     together = distinct.repartition(*groups).sortWithinPartitions(*groups, "__s")
     found = materialise(together.mapInArrow(run, schema), "contigs")
     large = found.where("contig is null")
+    columns = [*groups, "contig", "k", "min_coverage", *beside]
     if large.isEmpty():
-        return found.select(*groups, "contig", "k", "min_coverage", *beside)
+        return found.select(*columns)
     marks = free_names(found, *(f"of_{c}" for c in groups))
     large = large.select(*(F.col(c).alias(m) for c, m in zip(groups, marks, strict=True)), *beside).distinct()  # a row for each ``bound`` letters at most
     same = reduce(and_, (F.col(c).eqNullSafe(F.col(m)) for c, m in zip(groups, marks, strict=True)))
     texts = _by_tables(distinct.join(large.select(*marks), same, "left_semi"), groups, ks, coverages, kinds, method, start_anchor, end_anchor, min_length, bound)
-    if top:
+    if longest is not None:
+        both, n = (F.col("contig").contains(start_anchor) & F.col("contig").contains(end_anchor)).cast("int"), F.length("contig")
+        rank = F.struct(*([n, both] if longest else [both, n]), -F.col("k"), -F.col("min_coverage"), F.col("contig"))
+        (b,) = free_names(texts, "best")
+        texts = texts.groupBy(*groups).agg(F.max_by(F.struct("contig", "k", "min_coverage"), rank).alias(b)).select(*groups, *(f"{b}.{c}" for c in ("contig", "k", "min_coverage")))
+    if beside:
         texts = texts.join(large, same).drop(*marks)
-    columns = [*groups, "contig", "k", "min_coverage", *beside]
     return found.where("contig is not null").select(*columns).unionByName(texts.select(*columns))
 
 
@@ -280,23 +328,20 @@ def assembly_sweep(df: DataFrame, groups: list[str], ks: list[int], coverages: l
 
 def assembly_optimize(df: DataFrame, groups: list[str], ks: list[int], coverages: list[int], *, start_anchor: str, end_anchor: str, prioritize_length: bool = False,
                       min_reads: int = 1, **options) -> DataFrame:
-    """Per group of at least ``min_reads`` reads the contig that holds both anchors, then the longest (or longest first); ``failed`` if empty."""
-    if min_reads > 1:
-        enough = df.groupBy(*groups).agg(F.count("*").alias("__n")).where(F.col("__n") >= min_reads).select(*groups)
-        df = df.join(enough, groups, "left_semi")
-    grid = assembly_sweep(df, groups, ks, coverages, start_anchor=start_anchor, end_anchor=end_anchor, **options)
-    both = (F.col("contig").contains(start_anchor) & F.col("contig").contains(end_anchor)).cast("int")
-    n = F.length("contig")
-    rank = F.struct(*(([n, both] if prioritize_length else [both, n]) + [-F.col("k"), -F.col("min_coverage"), F.col("contig")]))
-    best = grid.groupBy(*groups).agg(F.max_by(F.struct("contig", "k", "min_coverage"), rank).alias("b"))
-    return best.select(*groups, "b.contig", "b.k", "b.min_coverage", (F.length("b.contig") == 0).alias("failed"))
-
-
-def contig_table(df: DataFrame, groups: list[str], min_reads: int, sample_id: str, **options) -> DataFrame:
-    """Contigs of groups with at least ``min_reads`` reads, with length, sample and reads."""
-    n = df.groupBy(*groups).agg(F.count("*").alias("reads")).where(F.col("reads") >= min_reads)
-    contigs = assemble_umis(df.join(n.select(*groups), groups, "left_semi"), groups, **options)
-    return contigs.join(n, groups, "left").withColumns({"length": F.length("contig"), "sample_id": F.lit(sample_id)})
+    """Per group of at least ``min_reads`` reads the contig that holds both anchors, then the longest (or longest first); ``failed`` if empty.
+
+    The reads of a group are counted and its best contig chosen where they are assembled."""
+    if min_reads > 1:  # groups with null keys have no reads that a join would find
+        df = df.where(reduce(and_, (F.col(c).isNotNull() for c in groups)))
+    best = _assembled(df, groups, ks, coverages, start_anchor=start_anchor, end_anchor=end_anchor, min_reads=min_reads, longest=prioritize_length, **options)
+    return best.select(*groups, "contig", "k", "min_coverage", (F.length("contig") == 0).alias("failed"))
+
+
+def contig_table(df: DataFrame, groups: list[str], min_reads: int, sample_id: str, *, k: int = 15, min_coverage: int = 20, **options) -> DataFrame:
+    """Contigs of groups with at least ``min_reads`` reads, with length, sample and reads, which are counted where they are assembled."""
+    whole = df.where(reduce(and_, (F.col(c).isNotNull() for c in groups)))
+    contigs = _assembled(whole, groups, [k], [min_coverage], counted="reads", min_reads=min_reads, **options).drop("k", "min_coverage")
+    return contigs.withColumns({"length": F.length("contig"), "sample_id": F.lit(sample_id)})
 
 
 def assembly_metrics(contigs: DataFrame) -> DataFrame:
