@@ -42,15 +42,43 @@ def _in_order(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return order, key[order]
 
 
-def _holding(letters: np.ndarray, at: np.ndarray, codes: list[int]) -> np.ndarray:
-    """Which of the stretches that begin at ``at`` begin with the letters ``codes``."""
-    which = np.arange(len(at))
-    for i, code in enumerate(codes):
-        which = which[letters[at[which] + i] == code]
-    return which
+def _holding(text: str, part: str) -> np.ndarray:
+    """Whether ``part`` stands in ``text`` from each place on."""
+    out = np.full(len(text) + 1, not part)
+    i = text.find(part) if part else -1
+    while i >= 0:
+        out[i] = True
+        i = text.find(part, i + 1)
+    return out
 
 
-def _walk(text: str, node: int, last: int, lo: int, hi: int, to: list[int], steps: list[int], cover: list[int], added: list[slice], los: list[int], his: list[int], joined: str) -> str:
+#: Rounds in which distances of all graphs go one stretch on, what a step counts in letters of coverage, and a distance above all others.
+_ROUNDS, _STEP, _FAR = 32, 1 << 40, 1 << 61
+
+
+def _reached(fro: np.ndarray, to: np.ndarray, weight: np.ndarray, first: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each node the stretch of the lightest walk from a first node to it (-1: none) and whether there are several; and the nodes whose walks are not settled yet."""
+    if not len(to):
+        return np.full(nodes, -1), np.zeros(nodes, bool), to
+    order = np.argsort(to, kind="stable")
+    fro, weight, to = fro[order], weight[order], to[order]
+    runs = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+    ends = to[runs]
+    far = np.full(nodes, _FAR)
+    far[first] = 0
+    for _ in range(_ROUNDS):
+        near = np.minimum.reduceat(far[fro] + weight, runs)
+        nearer = near < far[ends]
+        if not nearer.any():
+            break
+        far[ends[nearer]] = near[nearer]
+    tight = np.flatnonzero((far[fro] + weight == far[to]) & (far[to] < _FAR))
+    by = np.full(nodes, -1)
+    by[to[tight]] = order[tight]
+    return by, np.bincount(to[tight], minlength=nodes) > 1, ends[nearer]
+
+
+def _walk(text: str, node: int, last: int, lo: int, hi: int, to: list[int], steps: list[int], cover: list[int], a: list[int], b: list[int], los: list[int], his: list[int], joined: str) -> str:
     """The walk of fewest steps from ``node`` to ``last`` over stretches, those of a node from lo to hi; ties by higher coverage, then by text; empty if none."""
     heap, done = [(0, 0, text, node, lo, hi)], set()
     while heap:
@@ -62,7 +90,7 @@ def _walk(text: str, node: int, last: int, lo: int, hi: int, to: list[int], step
         done.add(node)
         for s in range(lo, hi):
             if to[s] not in done:
-                heappush(heap, (far + steps[s], cost - cover[s], text + joined[added[s]], to[s], los[s], his[s]))
+                heappush(heap, (far + steps[s], cost - cover[s], text + joined[a[s] : b[s]], to[s], los[s], his[s]))
     return ""
 
 
@@ -85,7 +113,7 @@ def shortest_contigs(sets: list[list[tuple[str, int]]], ks: list[int], coverages
     most = int(table.sum())
     table = np.cumsum(table) - 1
     letters = np.append(table[raw], -1)
-    coded = {c: int(table[ord(c)]) if c in joined else -2 for c in set(start_anchor + end_anchor)}
+    holds: dict[str, np.ndarray] = {}
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     offsets = np.cumsum(sizes) - sizes
     numbers = np.fromiter((n for reads in sets for _, n in reads), np.int64, len(texts))
@@ -121,9 +149,12 @@ def shortest_contigs(sets: list[list[tuple[str, int]]], ks: list[int], coverages
         dst = np.zeros(len(some), np.int64)
         dst[true] = node[some[true] + 1]
         one = some[new]  # a place of each node
-        starts = _holding(letters, at[one], [coded[c] for c in start_anchor[: k - 1]])
         tail = end_anchor[-(k - 1) :]
-        lasts = _holding(letters, at[one] + k - 1 - len(tail), [coded[c] for c in tail])
+        for part in (start_anchor[: k - 1], tail):
+            if part not in holds:
+                holds[part] = _holding(joined, part)
+        starts = np.flatnonzero(holds[start_anchor[: k - 1]][at[one]])
+        lasts = np.flatnonzero(holds[tail][at[one] + k - 1 - len(tail)])
         covered = np.append(0, np.cumsum(count[edge]))
         for y, c in enumerate(coverages):
             keep = true & (count >= c)
@@ -150,19 +181,26 @@ def shortest_contigs(sets: list[list[tuple[str, int]]], ks: list[int], coverages
             kmers = np.flatnonzero(told >= 0)  # in order of their nodes
             head, tail_at = stops[told[kmers]], stops[told[kmers] + 1]
             fro, to = src[kmers], node[tail_at]
-            a, b = (at[head] + k - 1).tolist(), (at[tail_at] + k - 1).tolist()
-            lo, hi = np.searchsorted(fro, first), np.searchsorted(fro, first, "right")
-            only = np.flatnonzero(hi - lo == 1)
-            straight = np.zeros(len(have), bool)
-            straight[only] = to[lo[only]] == last[only]
+            steps, cover = tail_at - head, covered[tail_at] - covered[head]
+            by, several, unsettled = _reached(fro, to, steps * _STEP - cover, first, len(one))
+            unsure = np.full(len(sets), covered[-1] >= _STEP or len(edge) >= 1 << 20)  # weights would not fit
+            unsure[group[one[unsettled]]] = True
+            doubts, begins, firsts = (x.tolist() for x in (unsure[have] | several[last], by[last], at[one[first]]))
+            a, b, before, branched = (x.tolist() for x in (at[head] + k - 1, at[tail_at] + k - 1, by[fro], several[fro]))
             more = None
-            for g, f, e, i, j, whole, place in zip(have.tolist(), first.tolist(), last.tolist(), lo.tolist(), hi.tolist(), straight.tolist(), at[one[first]].tolist(), strict=True):
-                if whole and f != e:
-                    text = joined[a[i] - k + 1 : b[i]]
-                else:
+            for g, f, e, doubt, step, place in zip(have.tolist(), first.tolist(), last.tolist(), doubts, begins, firsts, strict=True):
+                way, none = [], step < 0 and f != e
+                while step >= 0 and not doubt:
+                    way.append(step)
+                    doubt, step = branched[step], before[step]
+                text = joined[place : place + k - 1]
+                if doubt:
                     if more is None:
-                        more = (to.tolist(), (tail_at - head).tolist(), (covered[tail_at] - covered[head]).tolist(), [slice(*ab) for ab in zip(a, b, strict=True)],
-                                np.searchsorted(fro, to).tolist(), np.searchsorted(fro, to, "right").tolist(), joined)
-                    text = _walk(joined[place : place + k - 1], f, e, i, j, *more)
+                        more = (to.tolist(), steps.tolist(), cover.tolist(), a, b, *(np.searchsorted(fro, to, side).tolist() for side in ("left", "right")), joined)
+                    text = _walk(text, f, e, *(int(np.searchsorted(fro, f, side)) for side in ("left", "right")), *more)
+                elif none:
+                    text = ""
+                else:
+                    text = "".join([text, *[joined[a[s] : b[s]] for s in reversed(way)]])
                 out[g][x * len(coverages) + y] = text
     return out

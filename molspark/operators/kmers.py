@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 from operator import and_
 
 import numpy as np
@@ -22,8 +23,8 @@ from .unitigs import longest_unitigs
 TASK_EDGES = 1_000_000
 #: Letters of reads and contigs that a worker remembers.
 KNOWN_LETTERS = 32 << 20
-#: Letters of reads whose shortest contigs are looked for together; of a group with more the k-mers are counted and walked one by one.
-TOGETHER_LETTERS = 1 << 16
+#: Letters of reads whose shortest contigs are looked for together, and of a group whose k-mers are counted and walked one by one.
+TOGETHER_LETTERS, LONE_LETTERS = 1 << 15, 1 << 16
 
 
 def kmer_explode(df: DataFrame, seq: str, k: int = 15, only_unique: bool = True, max_str_len: int = 1 << 30) -> DataFrame:
@@ -142,6 +143,38 @@ def _contigs(reads: dict[str, int], ks: list[int], coverages: list[int], method:
     return out
 
 
+class _Contigs:
+    """What a worker remembers: the contigs of groups with the same reads, up to KNOWN_LETTERS letters; those used last stay."""
+
+    def __init__(self, options: tuple):
+        self.options, self.known, self.held = options, OrderedDict(), 0
+
+    def get(self, key: tuple) -> list[str] | None:
+        if key in self.known:
+            self.known.move_to_end(key)
+        return self.known.get(key)
+
+    def learn(self, key: tuple, found: list[str]) -> None:
+        size = sum(len(x) for x, _ in key) + sum(map(len, found))
+        if size <= KNOWN_LETTERS // 8:
+            self.known[key] = found
+            self.held += size
+            while self.held > KNOWN_LETTERS:
+                old, gone = self.known.popitem(last=False)
+                self.held -= sum(len(x) for x, _ in old) + sum(map(len, gone))
+
+
+_contigs_known: _Contigs | None = None
+
+
+def _known_contigs(options: tuple) -> _Contigs:
+    """The worker's contigs of these options, kept from task to task; those of others are forgotten."""
+    global _contigs_known
+    if _contigs_known is None or _contigs_known.options != options:
+        _contigs_known = _Contigs(options)
+    return _contigs_known
+
+
 def _best(found: list[str], grid: list[tuple[int, int]], start_anchor: str, end_anchor: str, longest: bool) -> int:
     """The place of a group's contig that holds both anchors, then of the longest (or longest first), then of the smallest k and coverage."""
     def rank(i: int) -> tuple:
@@ -153,54 +186,45 @@ def _best(found: list[str], grid: list[tuple[int, int]], start_anchor: str, end_
 
 def _assembled(df: DataFrame, groups: list[str], ks: list[int], coverages: list[int], *, seq: str = "r2_seq", method: str = "shortest_path",
                start_anchor: str = "", end_anchor: str = "", min_length: int = 0, task_edges: int | None = None, top: str | None = None,
-               counted: str | None = None, min_reads: int = 1, longest: bool | None = None) -> DataFrame:
+               counted: str | None = None, min_reads: int = 1, null_keys: bool = True, longest: bool | None = None) -> DataFrame:
     """Groups x k x coverage with a contig each; ``top`` names a column for a group's most frequent read, ties by text, ``counted`` one for its number of rows.
 
-    Reads are cut to [start anchor, end anchor] where they hold them; copies in a group are counted by Spark.  The distinct reads of a group stand
-    together in a sorted partition, so groups below ``min_reads`` are left out, k-mers are counted, those below the coverage dropped and the edges walked where the reads are:
+    Reads are cut to [start anchor, end anchor] where they hold them and shuffled once.  The reads of a group stand together in a sorted partition,
+    copies in a row, so copies are counted, groups below ``min_reads`` (and without ``null_keys`` those of a null) left out, k-mers counted, those below the coverage dropped and the edges walked where the reads are:
     ``shortest_path`` from the start to the end anchor's (k-1)-mer, for many groups at once, or ``compression``, the longest unitig.  Groups with the same reads are
     assembled once a worker.  With ``longest`` given the best contig of a group alone is told, see ``_best``.  Of a group with more than ``task_edges`` letters in distinct
     reads the k-mers are counted by tables; a graph of more edges is compressed by tables too, with the same text; its shortest path is one task's work at any size.
     """
     bound_batches(df.sparkSession)
     bound = TASK_EDGES if task_edges is None else task_edges
-    s = F.col(seq)
+    s, whole = F.col(seq), F.lit(1 << 30)
     if start_anchor:
-        s = F.when(F.instr(s, start_anchor) > 0, F.substring(s, F.instr(s, start_anchor), F.length(s))).otherwise(s)
+        s = F.substring(s, F.greatest(F.instr(s, start_anchor), F.lit(1)), whole)
     if end_anchor:
-        s = F.when(F.instr(s, end_anchor) > 0, F.substring(s, F.lit(1), F.instr(s, end_anchor) + len(end_anchor) - 1)).otherwise(s)
-    distinct = df.select(*groups, s.alias("__s")).groupBy(*groups, "__s").agg(F.count("*").alias("__n"))
+        s = F.substring(s, F.lit(1), F.pmod(F.instr(s, end_anchor) - 1, whole) + len(end_anchor))  # each place is looked for once; none: the whole text
+    cut = df.select(*groups, s.alias("__s"))
     beside = {c: kind for c, kind in ((top, "string"), (counted, "bigint")) if c}
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*groups).schema)
     schema = kinds + ", k int, min_coverage int, contig string" + "".join(f", `{c}` {kind}" for c, kind in beside.items())
     names, width, grid = [*groups, "k", "min_coverage", "contig", *beside], len(groups), [(k, c) for k in ks for c in coverages]
+    options = (tuple(ks), tuple(coverages), method, start_anchor, end_anchor, min_length)
     at_once = method == "shortest_path" and min(ks, default=0) > 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[tuple, list[str]] = OrderedDict()  # what groups with the same reads give
+        known = _known_contigs(options)
         waiting: dict[tuple, list[tuple]] = {}  # reads of groups that are assembled together, and the groups
-        held = queued = 0
+        queued = 0
         rows: list[tuple] = []
 
         def tell(group: tuple, found: list[str | None], others: tuple) -> None:
             places = range(len(grid)) if longest is None else [_best(found, grid, start_anchor, end_anchor, longest) if found[0] is not None else 0]
             rows.extend((*group, *grid[i], found[i], *others) for i in places)
 
-        def learn(key: tuple, found: list[str]) -> None:
-            nonlocal held
-            size = sum(len(x) for x, _ in key) + sum(map(len, found))
-            if size <= KNOWN_LETTERS // 8:
-                known[key] = found
-                held += size
-                while held > KNOWN_LETTERS:
-                    old, gone = known.popitem(last=False)
-                    held -= sum(len(x) for x, _ in old) + sum(map(len, gone))
-
         def assemble() -> None:
             nonlocal queued
             for (key, same), found in zip(waiting.items(), shortest_contigs(list(waiting), ks, coverages, start_anchor, end_anchor), strict=True):
                 found = [x if len(x) >= min_length else "" for x in found]
-                learn(key, found)
+                known.learn(key, found)
                 for group, others in same:
                     tell(group, found, others)
             waiting.clear()
@@ -208,60 +232,64 @@ def _assembled(df: DataFrame, groups: list[str], ks: list[int], coverages: list[
 
         def close(group: tuple, reads: dict[str, int], best: tuple[int, str] | None, letters: int, n: int) -> None:
             nonlocal queued
-            if n < min_reads:
+            if n < min_reads or not null_keys and None in group:
                 return
             others = (*((best and best[1],) if top else ()), *((n,) if counted else ()))
             if letters > bound:
                 return tell(group, [None] * len(grid), others)  # by tables
             key = tuple(reads.items())  # in order of the texts
-            if key in known:
-                known.move_to_end(key)
-            elif key in waiting:
+            if (found := known.get(key)) is not None:
+                return tell(group, found, others)
+            if key in waiting:
                 return waiting[key].append((group, others))
-            elif at_once and letters <= TOGETHER_LETTERS:
+            if at_once and letters <= LONE_LETTERS:
                 waiting[key] = [(group, others)]
                 queued += letters
                 return assemble() if queued >= TOGETHER_LETTERS else None
-            else:
-                found = _contigs(reads, ks, coverages, method, start_anchor, end_anchor, min_length)
-                learn(key, found)
-                return tell(group, found, others)
-            tell(group, known[key], others)
+            found = _contigs(reads, ks, coverages, method, start_anchor, end_anchor, min_length)
+            known.learn(key, found)
+            tell(group, found, others)
 
         def told() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
             rows.clear()
             return out
 
-        group, reads, best, letters, copies, types = None, {}, None, 0, 0, []
-        for batch in batches:
-            types = [*(f.type for f in list(batch.schema)[:width]), pa.int32(), pa.int32(), pa.string(), *(pa.string() if c == top else pa.int64() for c in beside)]
-            columns = [c.to_pylist() for c in batch.columns]
-            for g, s, n in zip(zip(*columns[:width], strict=True), columns[width], columns[width + 1], strict=True):
-                if g != group:
-                    if group is not None:
-                        close(group, reads, best, letters, copies)
-                    group, reads, best, letters, copies = g, {}, None, 0, 0
-                copies += n
-                if s is None:
-                    continue
-                if best is None or n > best[0]:
-                    best = n, s
-                letters += len(s)
-                if letters <= bound:
-                    reads[s] = n
-                else:
-                    reads.clear()
-            while len(rows) > 10_000:
-                yield told()
+        def lines() -> Iterator[tuple]:
+            for batch in batches:
+                types[:] = [*(f.type for f in list(batch.schema)[:width]), pa.int32(), pa.int32(), pa.string(), *(pa.string() if c == top else pa.int64() for c in beside)]
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        types: list[pa.DataType] = []
+        group, reads, best, letters, copies = None, {}, None, 0, 0
+        for (*g, s), same in groupby(lines()):
+            n = sum(1 for _ in same)
+            if g != group:
+                if group is not None:
+                    close(tuple(group), reads, best, letters, copies)
+                    if len(rows) > 10_000:
+                        yield told()
+                group, reads, best, letters, copies = g, {}, None, 0, 0
+            copies += n
+            if s is None:
+                continue
+            if best is None or n > best[0]:
+                best = n, s
+            letters += len(s)
+            if letters <= bound:
+                reads[s] = n
+            else:
+                reads.clear()
         if group is not None:
-            close(group, reads, best, letters, copies)
+            close(tuple(group), reads, best, letters, copies)
         if waiting:
             assemble()
         if rows:
             yield told()
 
-    together = distinct.repartition(*groups).sortWithinPartitions(*groups, "__s")
+    # the session's number of tasks: by the bytes of the reads alone Spark would make too few for the work on them
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = cut.repartition(tasks, *groups).sortWithinPartitions(*groups, "__s")
     found = materialise(together.mapInArrow(run, schema), "contigs")
     large = found.where("contig is null")
     columns = [*groups, "contig", "k", "min_coverage", *beside]
@@ -270,7 +298,8 @@ def _assembled(df: DataFrame, groups: list[str], ks: list[int], coverages: list[
     marks = free_names(found, *(f"of_{c}" for c in groups))
     large = large.select(*(F.col(c).alias(m) for c, m in zip(groups, marks, strict=True)), *beside).distinct()  # a row for each ``bound`` letters at most
     same = reduce(and_, (F.col(c).eqNullSafe(F.col(m)) for c, m in zip(groups, marks, strict=True)))
-    texts = _by_tables(distinct.join(large.select(*marks), same, "left_semi"), groups, ks, coverages, kinds, method, start_anchor, end_anchor, min_length, bound)
+    distinct = cut.join(large.select(*marks), same, "left_semi").groupBy(*groups, "__s").agg(F.count("*").alias("__n"))
+    texts = _by_tables(distinct, groups, ks, coverages, kinds, method, start_anchor, end_anchor, min_length, bound)
     if longest is not None:
         both, n = (F.col("contig").contains(start_anchor) & F.col("contig").contains(end_anchor)).cast("int"), F.length("contig")
         rank = F.struct(*([n, both] if longest else [both, n]), -F.col("k"), -F.col("min_coverage"), F.col("contig"))
@@ -331,16 +360,13 @@ def assembly_optimize(df: DataFrame, groups: list[str], ks: list[int], coverages
     """Per group of at least ``min_reads`` reads the contig that holds both anchors, then the longest (or longest first); ``failed`` if empty.
 
     The reads of a group are counted and its best contig chosen where they are assembled."""
-    if min_reads > 1:  # groups with null keys have no reads that a join would find
-        df = df.where(reduce(and_, (F.col(c).isNotNull() for c in groups)))
-    best = _assembled(df, groups, ks, coverages, start_anchor=start_anchor, end_anchor=end_anchor, min_reads=min_reads, longest=prioritize_length, **options)
+    best = _assembled(df, groups, ks, coverages, start_anchor=start_anchor, end_anchor=end_anchor, min_reads=min_reads, null_keys=min_reads == 1, longest=prioritize_length, **options)
     return best.select(*groups, "contig", "k", "min_coverage", (F.length("contig") == 0).alias("failed"))
 
 
 def contig_table(df: DataFrame, groups: list[str], min_reads: int, sample_id: str, *, k: int = 15, min_coverage: int = 20, **options) -> DataFrame:
     """Contigs of groups with at least ``min_reads`` reads, with length, sample and reads, which are counted where they are assembled."""
-    whole = df.where(reduce(and_, (F.col(c).isNotNull() for c in groups)))
-    contigs = _assembled(whole, groups, [k], [min_coverage], counted="reads", min_reads=min_reads, **options).drop("k", "min_coverage")
+    contigs = _assembled(df, groups, [k], [min_coverage], counted="reads", min_reads=min_reads, null_keys=False, **options).drop("k", "min_coverage")
     return contigs.withColumns({"length": F.length("contig"), "sample_id": F.lit(sample_id)})
 
 

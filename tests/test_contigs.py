@@ -70,3 +70,34 @@ def test_contig_table_counts_reads_in_the_task(spark):
         if bound is None:
             plan = got._jdf.queryExecution().executedPlan().toString()
             assert "Join" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("query", ["assemble_umis", "assembly_sweep", "assembly_optimize", "contig_table"])
+def test_reads_are_shuffled_once(spark, monkeypatch, query):
+    """To as many tasks as the session has, without an aggregate before; null keys are left out in the task, so no filter makes the keys twice."""
+    text, df = made(spark)
+    plans, store = [], kmers.materialise
+
+    def stored(frame, name):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return store(frame, name)
+
+    monkeypatch.setattr(kmers, "materialise", stored)
+    options = {"start_anchor": text[:9], "end_anchor": text[-9:]}
+    calls = {"assemble_umis": lambda: kmers.assemble_umis(df, ["g"], k=9, min_coverage=1, **options), "contig_table": lambda: kmers.contig_table(df, ["g"], 2, "s", k=9, min_coverage=1, **options),
+             "assembly_sweep": lambda: kmers.assembly_sweep(df, ["g"], [7, 9], [1], **options), "assembly_optimize": lambda: kmers.assembly_optimize(df, ["g"], [7, 9], [1], min_reads=2, **options)}
+    assert calls[query]().count() > 0
+    (plan,) = plans
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and "Aggregate" not in plan and "Filter" not in plan and "Join" not in plan
+
+
+def test_groups_with_the_same_reads_are_assembled_once(spark):
+    """What a worker remembers holds for its options alone and is bounded by letters."""
+    known = kmers._known_contigs(([3], [1]))
+    known.learn((("ACGT", 1),), ["ACGT"])
+    assert kmers._known_contigs(([3], [1])).get((("ACGT", 1),)) == ["ACGT"]
+    assert kmers._known_contigs(([5], [1])).get((("ACGT", 1),)) is None
+    known = kmers._Contigs(())
+    for i in range(20):
+        known.learn((("A" * (kmers.KNOWN_LETTERS // 10 + i), 1),), [""])
+    assert known.held <= kmers.KNOWN_LETTERS and len(known.known) == 9 and known.get((("A" * (kmers.KNOWN_LETTERS // 10), 1),)) is None
